@@ -5,18 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import language, minhash, projection, quality
+from .ngrams import held_out
 from .shared import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labelled rows that are not held out."""
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.learn(documents, labels.where(~held_out("doc_id", 3, 1)))
+    scored = quality.score(documents.withColumn("row", F.struct("doc_id", held_out("doc_id", 3, 1).alias("held_out"))), model, "row")
+    return scored.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9 or more."""
+    return projection.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document's mixture, learned from the rows that are not held out."""
+    documents = read_table(spark, sf_dir, "documents")
+    model = language.learn(documents.where(~held_out("doc_id", 5, 0)))
+    found = language.identify(documents.withColumn("row", F.struct("doc_id", held_out("doc_id", 5, 0).alias("held_out"))), model, "row")
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "languages", "shares")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 2-word shingles have similarity 0.8 or more."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_minhash_near_dedup]
+    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
