@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, projection, quality
+from . import bpe, language, minhash, projection, quality
 from .ngrams import held_out
 from .shared import read_table
 
@@ -38,8 +39,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document encoded by the many-language vocabulary, and decoded again."""
+    ranks = bpe.read_ranks(spark, vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup]
+    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op8_byte_bpe]
     return {f.__name__: f for f in found}
 
 
