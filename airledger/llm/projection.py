@@ -193,9 +193,9 @@ def pair_angles(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def near_duplicate_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, window: int = 32, fold_passes: int = 3, passes: int = 20) -> DataFrame:
     """(id_col, n_links, component_id, kept) of each vector.
 
-    First, tight groups fold: in each of fold_passes orders every vector within an eighth of the
+    First, tight groups fold: in each of fold_passes orders every vector within half of the
     link angle of a smaller id in its window joins it, and only the others go on to the next
-    order. A group within a quarter of the angle of its first vector is a clique by the triangle
+    order. A group within half of the angle of its first vector is a clique by the triangle
     inequality, so its links are counted, never written out. The first vectors then go through
     `passes` orders. Two groups whose distance and radii settle all their pairs link by count;
     only those that they leave open are compared vector by vector. A pair of first vectors at the
@@ -211,14 +211,14 @@ def near_duplicate_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_co
     usable = rows.where(F.coalesce(number, F.lit(False))).withColumn("radius", F.lit(0.0))
     firsts, parents = usable, None
     for p in range(fold_passes):
-        joined = settle(neighbour_pass(sort_keys(firsts, p, 1), window, theta / 8, True).groupBy("a").agg(F.min("b").alias("b")))
+        joined = settle(neighbour_pass(sort_keys(firsts, p, 1), window, theta / 2, True).groupBy("a").agg(F.min("b").alias("b")))
         parents = joined if parents is None else parents.union(joined)
         firsts = firsts.join(joined.select(F.col("a").alias("id")), "id", "left_anti")
     roots = connected_components(parents).where("id <> component_id")
     near = pair_angles(
         roots.join(usable.select("id", "vec"), "id").join(usable.select(F.col("id").alias("component_id"), F.col("vec").alias("root_vec")), "component_id").select("id", "component_id", "vec", "root_vec"), "vec", "root_vec"
     )
-    near = settle(near.where(F.col("angle") <= theta / 4))
+    near = settle(near.where(F.col("angle") <= theta / 2))
     members = near.select("id", F.col("component_id").alias("grp"), "angle")
     placed = usable.select("id").join(members, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
     groups = settle(placed.groupBy("grp").agg(F.count("*").alias("size"), F.max("angle").alias("radius")))
