@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle (operator 8).
 
 Texts are cut into blocks of whole documents. A block keeps the sequence of its pre-tokens as
-positions into its own word list; the lists alone are shuffled, so that each distinct word of the
-corpus is encoded once, and its ids go back to the blocks that have it. Null and empty texts have
+positions into its own word list; the lists are shuffled by word, so that each distinct word of
+the corpus is encoded once, its ids go back to the blocks that have it, and each block puts its
+documents together by position. Null and empty texts have
 no ids. Rows are independent: repeated rows and ids are encoded like any other. An empty table
 gives an empty result; extra columns are not read. Very long texts form a block of their own.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle
-
 #: Bytes of text from which a block is closed.
 BLOCK_BYTES = 12 << 20
+#: Slices that words hash to: the grain of the word shuffle.
+SLICES = 1024
+#: Words whose ids a task remembers (at about 300 bytes 150 MB); beyond that it starts afresh.
+KNOWN_WORDS = 500_000
 #: Largest vocabulary that is broadcast (at 16 bytes a token about 16 MB).
 MAX_VOCABULARY = 1 << 20
 
@@ -84,10 +88,28 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x, keep in zip(parts, alive, strict=True) if keep]
 
 
-def _pack(sequence: np.ndarray) -> bytes:
-    """Positions as three byte planes, compressed; frequent words have small numbers."""
-    planes = [(sequence >> shift).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)]
-    return struct.pack("<q", len(sequence)) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers as byte planes, compressed."""
+    planes = [(numbers >> shift).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)]
+    return struct.pack("<q", len(numbers)) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    lengths = _pack(np.array([len(x) for x in words], dtype=np.uint32))
+    return struct.pack("<q", len(lengths)) + lengths + zstandard.ZstdCompressor(level=1).compress(b"".join(words))
+
+
+def _unpack_words(packed: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<q", packed)
+    ends = np.cumsum(_unpack(packed[8 : 8 + n])).tolist()
+    flat = zstandard.ZstdDecompressor().decompress(packed[8 + n :])
+    return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -96,91 +118,120 @@ def _unpack(packed: bytes) -> np.ndarray:
     return planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16) | planes[3] << np.uint32(24)
 
 
-def word_blocks(documents: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
-    """One row per block: its ids, pre-tokens of each document, packed sequence and word list."""
-    id_type = documents.schema[id_col].dataType
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, list[int], np.ndarray, list[bytes], np.ndarray]]:
+    """Of each block of a task: number, ids, pre-tokens of each document, sequence, and the words
+    in order of their slice with the number of words of each slice."""
+    split = regex.compile(pattern).findall
+    no, seq = TaskContext.get().partitionId(), 0
+    ids, lengths, found, number, size = [], [], [], {}, 0
+
+    def block():
+        words = [x.encode() for x in number]
+        slices = np.fromiter((zlib.crc32(x) % SLICES for x in words), dtype=np.int64, count=len(words))
+        order = np.argsort(slices, kind="stable")
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return no << 32 | seq, ids, lengths, rank[np.concatenate(found)], [words[i] for i in order], np.bincount(slices, minlength=SLICES)
+
+    for batch in batches:
+        texts = batch.column(1)
+        for i in range(batch.num_rows):
+            text = texts[i].as_py() or ""
+            words = split(text)
+            row = np.fromiter((number.setdefault(x, len(number)) for x in words), dtype=np.uint32, count=len(words))
+            ids.append(batch.column(0)[i].as_py())
+            lengths.append(len(row))
+            found.append(row)
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield block()
+                seq += 1
+                ids, lengths, found, number, size = [], [], [], {}, 0
+    if ids:
+        yield block()
+
+
+def word_slices(texts: DataFrame, pattern: str) -> DataFrame:
+    """(block, slice, words): the distinct words of each block by the slice that they hash to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        no, seq = TaskContext.get().partitionId(), 0
-        ids, lengths, found, number, size = [], [], [], {}, 0
-
-        def block() -> pa.RecordBatch:
-            flat = np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
-            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
-            rank = np.empty(len(order), dtype=np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            words = list(number)
-            listed = [words[i].encode() for i in order]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([no << 32 | seq]), pa.array([ids], type=pa.list_(kind)), pa.array([lengths], type=pa.list_(pa.int64())), pa.array([_pack(rank[flat])], type=pa.binary()), pa.array([listed], type=pa.list_(pa.binary()))],
-                names=["block", "ids", "lengths", "sequence", "words"],
-            )
+        for block, _, _, _, words, sizes in _blocks(batches, pattern):
+            ends = np.cumsum(sizes)
+            some = np.flatnonzero(sizes)
+            packed = [_pack_words(words[ends[k] - sizes[k] : ends[k]]) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), pa.array(packed, type=pa.binary())], names=["block", "slice", "words"])
+
+    return texts.mapInArrow(run, "block long, slice int, words binary")
 
-        for batch in batches:
-            kind = batch.column(0).type
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                words = split(text)
-                row = np.fromiter((number.setdefault(x, len(number)) for x in words), dtype=np.uint32, count=len(words))
-                ids.append(batch.column(0)[i].as_py())
-                lengths.append(len(row))
-                found.append(row)
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield block()
-                    seq += 1
-                    ids, lengths, found, number, size = [], [], [], {}, 0
-        if ids:
-            yield block()
-
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("sequence", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
-    return documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids as packed 32-bit integers) of distinct words."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+
+def encode_slices(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(of, at, coded): the ids of each block's words. A slice's rows of all blocks come to one
+    task, which encodes each distinct word when it first meets it."""
+    shared = slices.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, known = shared.value, {}
         for batch in batches:
-            out = [np.array(encode_word(x, table), dtype="<u4").tobytes() for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["word", "ids"])
+            for i in range(batch.num_rows):
+                out = []
+                for word in _unpack_words(batch.column(2)[i].as_py()):
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        ids = known[word] = np.array(encode_word(word, table), dtype=np.uint32)
+                    out.append(ids)
+                counts = _pack(np.array([len(x) for x in out], dtype=np.uint32))
+                coded = struct.pack("<q", len(counts)) + counts + _pack(np.concatenate(out))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([coded], type=pa.binary())], names=["of", "at", "coded"])
 
-    return words.mapInArrow(run, "word binary, ids binary")
+    return slices.repartition("slice").mapInArrow(run, "of long, at int, coded binary")
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, token_ids: the ids as little-endian unsigned 32-bit integers) of every row."""
+    """(id_col, token_ids: the ids as little-endian unsigned 32-bit integers) of every row.
+
+    The texts are split twice, once for the words and once for the positions, so that neither has
+    to be kept: documents should be a scan, whose tasks read the same rows each time. If they did
+    not, the word counts of the two would differ and the job fails.
+    """
     id_type = documents.schema[id_col].dataType
-    blocks = settle(word_blocks(documents, id_col, text_col, pattern))
-    listed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    coded = encode_words(listed.select("word").distinct(), ranks).withColumnRenamed("word", "w")
-    back = listed.join(coded, F.col("word") == F.col("w")).select(F.col("block").alias("of"), "at", "ids")
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("token_ids", T.BinaryType())])
+    texts = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, lengths, sequence, words, _ in _blocks(batches, pattern):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([ids], type=pa.list_(_arrow(id_type))), pa.array([lengths], type=pa.list_(pa.int64())), pa.array([_pack(sequence)], type=pa.binary()), pa.array([len(words)], type=pa.int64())],
+                names=["block", "ids", "lengths", "sequence", "n_words"],
+            )
+
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("sequence", T.BinaryType()), T.StructField("n_words", T.LongType())])
+    blocks = texts.mapInArrow(positions, schema)
+    back = encode_slices(word_slices(texts, pattern), ranks)
+    out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("token_ids", T.BinaryType())])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right["at"].to_numpy()) if right.num_rows else []
-        coded = right["ids"].to_pylist()
-        coded = [coded[i] for i in order]
-        size = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-        flat = np.frombuffer(b"".join(coded), dtype="<u4")
+        sizes, flat = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+        for i in order:
+            coded = right["coded"][i].as_py()
+            (n,) = struct.unpack_from("<q", coded)
+            sizes.append(_unpack(coded[8 : 8 + n]).astype(np.int64))
+            flat.append(_unpack(coded[8 + n :]))
+        size, flat = np.concatenate(sizes), np.concatenate(flat).astype("<u4")
+        if left.num_rows != 1 or left["n_words"][0].as_py() != len(size):
+            raise ValueError("the texts were not the same at both readings")
         first = np.cumsum(size) - size
-        ids, lengths, packed = left["ids"][0].as_py(), np.asarray(left["lengths"][0].as_py(), dtype=np.int64), left["sequence"][0].as_py()
-        sequence = _unpack(packed)
-        ends = np.cumsum(lengths)
+        ids, lengths, sequence = left["ids"][0].as_py(), np.asarray(left["lengths"][0].as_py(), dtype=np.int64), _unpack(left["sequence"][0].as_py())
         out = []
-        for end, n in zip(ends, lengths, strict=True):
+        for end, n in zip(np.cumsum(lengths), lengths, strict=True):
             part = sequence[end - n : end]
             count = size[part]
-            total = int(count.sum())
-            where = np.repeat(first[part] - (np.cumsum(count) - count), count) + np.arange(total)
+            where = np.repeat(first[part] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             out.append(flat[where].tobytes())
-        return pa.table({id_col: pa.array(ids, type=left.schema.field("ids").type.value_type), "token_ids": pa.array(out, type=pa.binary())})
+        return pa.table({id_col: pa.array(ids, type=_arrow(id_type)), "token_ids": pa.array(out, type=pa.binary())})
 
-    return blocks.select("block", "ids", "lengths", "sequence").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, schema)
+    return blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, out_schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:
