@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, minhash, projection, quality
+from . import bpe, language, minhash, projection, quality, warc
 from .ngrams import held_out
-from .shared import read_table
+from .shared import read_table, shared_folder
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to ZIP-packaged WARC archives in the shared folder, and read back."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("payload", "url")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Every document encoded by the many-language vocabulary, and decoded again."""
     ranks = bpe.read_ranks(spark, vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -47,7 +55,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op8_byte_bpe]
+    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op7_warc_archives, op8_byte_bpe]
     return {f.__name__: f for f in found}
 
 

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and cut its lineage there.
-
-    The folder is the cluster's spark.checkpoint.dir; only a session that names none (tests) gets
-    a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a session without one (tests)
+    gets a folder of its own."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="airledger-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airledger-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the session's checkpoint folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
