@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, minhash, projection, quality, warc
+from . import bpe, decontamination, language, minhash, projection, quality, warc
 from .ngrams import held_out
 from .shared import read_table, shared_folder
 
@@ -54,8 +54,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of ten consecutive words of a benchmark item."""
+    found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "hits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op7_warc_archives, op8_byte_bpe]
+    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op7_warc_archives, op8_byte_bpe, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
