@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, minhash, projection, quality, warc
+from . import bpe, decontamination, language, licences, minhash, projection, quality, warc
 from .ngrams import held_out
 from .shared import read_table, shared_folder
 
@@ -22,6 +22,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "row.held_out", "score", "predicted")
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known licence that every document, and lines of it, are in canonical form."""
+    return licences.scan(read_table(spark, sf_dir, "documents")).withColumn("line_licences", F.concat_ws(",", "line_licences"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9 or more."""
     return projection.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
@@ -61,9 +66,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op7_warc_archives, op8_byte_bpe, op10_benchmark_decontamination]
+    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op7_warc_archives, op8_byte_bpe, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licence_scan": licences.oracle_sql()}
