@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, licences, minhash, projection, quality, warc
+from . import bpe, decontamination, language, licences, minhash, projection, quality, suffixes, warc
 from .ngrams import held_out
 from .shared import read_table, shared_folder
 
@@ -45,6 +45,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 100 bytes covers which also starts earlier."""
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to ZIP-packaged WARC archives in the shared folder, and read back."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -66,7 +71,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op7_warc_archives, op8_byte_bpe, op10_benchmark_decontamination]
+    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_warc_archives, op8_byte_bpe, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
