@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, licences, minhash, projection, quality, suffixes, warc
+from . import bpe, decontamination, language, licences, minhash, projection, pseudo_likelihood, quality, suffixes, warc
 from .ngrams import held_out
 from .shared import read_table, shared_folder
 
@@ -64,6 +64,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summed conditional log-probability of the tokens of every document."""
+    documents = read_table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(documents, pseudo_likelihood.train(documents))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of ten consecutive words of a benchmark item."""
     found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -71,7 +77,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_warc_archives, op8_byte_bpe, op10_benchmark_decontamination]
+    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_warc_archives, op8_byte_bpe, op9_masked_pseudo_likelihood, op10_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
