@@ -274,8 +274,8 @@ def later_strings(rows: np.ndarray, lcp: np.ndarray, docs: np.ndarray, places: n
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row; kept is what is left
-    as bytes. The texts are read once for each of steps 1, 2 and 4, so documents should be a scan
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each row; kept_text is what
+    is left, without characters that were cut in part. The texts are read once for each of steps 1, 2 and 4, so documents should be a scan
     whose tasks read the same rows each time; blocks whose anchors differ make the job fail."""
     if not GRAM < length <= 250:
         raise ValueError(f"length must lie between {GRAM + 1} and 250")
@@ -378,7 +378,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             answers.append(_squeeze(np.packbits(mine), later[cls[mine]].ravel()))
         return pa.table({"of": table["block"], "at": pa.array(table["range"].to_numpy(), pa.int32()), "marks": pa.array([struct.pack("<q", len(x[0])) + y for x, y in zip(runs, answers, strict=True)], type=pa.binary())})
 
-    fields = [T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * keep_text
+    fields = [T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * keep_text
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         marks, answers = right.filter(pa.compute.less(right["at"], SLICES)), right.filter(pa.compute.greater_equal(right["at"], SLICES))
@@ -422,8 +422,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             out["n_spans"].append(int((cut[1:] & ~cut[:-1]).sum() + (cut[0] if len(cut) else 0)))
             out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
             if keep_text:
-                out["kept"].append(rest)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                out["kept_text"].append(rest.decode("utf-8", "ignore"))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({name: pa.array(x, type=kind) for (name, x), kind in zip(out.items(), kinds, strict=False)})
 
     source = texts.mapInArrow(packed_blocks, "block long, texts binary")
