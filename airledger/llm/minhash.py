@@ -26,6 +26,10 @@ _U = np.uint64
 BANDS, ROWS = 32, 4
 #: Low bits of each minimum that the packed signature retains.
 LOW_BITS = 2
+#: Rounds of canopies before what is left of a bucket is compared pair by pair.
+CANOPY_ROUNDS = 3
+#: Ids up to which texts are picked by a broadcast (8 bytes each), and beyond which by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,51 +146,115 @@ def slack(threshold: float, k: int = BANDS * ROWS, deviations: float = 6.5) -> f
     return deviations * (p * (1 - p) / k) ** 0.5 / (1 - chance)
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+def _linked(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the asking sets of a block and its others of another component."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    asks = table["asks"].to_numpy()
+    if not asks.any() or asks.all():
+        return none
+    ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+    sets = table["shingles"].combine_chunks()
+    size = np.asarray(sets.value_lengths())
+    flat = sets.flatten().to_numpy()
+    row = np.repeat(np.arange(len(ids)), size)
+    tokens, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    useful = count > 1  # a shingle of one set is in no intersection
+    number = np.cumsum(useful) - 1
+    keep = useful[at]
+    row, col = row[keep], number[at[keep]]
+    place = np.where(asks, np.cumsum(asks) - 1, np.cumsum(~asks) - 1)
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    common = np.zeros((len(x), len(y)), dtype=np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, int(useful.sum()), 4096):
+        i, j = np.searchsorted(col, [lo, lo + 4096])
+        r, c = row[i:j], col[i:j] - lo
+        left, right = np.zeros((len(x), 4096), dtype=np.float32), np.zeros((len(y), 4096), dtype=np.float32)
+        mine = asks[r]
+        left[place[r[mine]], c[mine]] = 1
+        right[place[r[~mine]], c[~mine]] = 1
+        common += left @ right.T
+    union = size[x][:, None] + size[y][None, :] - common
+    u, v = np.nonzero((100 * common >= percent * union) & (comp[x][:, None] != comp[y][None, :]))
+    a, b = ids[x[u]], ids[y[v]]
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)}) if len(a) else none
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of each row of documents.
 
     Documents link if 100 * |intersection| >= percent * |union| of their distinct word shingles.
-    Equal sets fold into one class first. Of each bucket, members are confirmed against its
-    smallest class only; a bucket whose members are then not all in one component is worked
-    through again: members outside its largest component are compared with all its members, in
-    salted blocks, so no bucket's pairs are written out and none is left out.
+    Equal sets fold into one class first. In a bucket, members are estimated and confirmed against
+    its smallest class only, which leads a canopy of all that are near it; by the triangle
+    inequality two linked members of a bucket share a canopy. Canopies are only made of buckets
+    that the first links left in several components, and those that overlap form a family. The
+    members outside a family's largest component are compared with all its members exactly, in a
+    grid of blocks of about `block` sets a side, and only links come out.
     """
     signed = settle(signatures(documents, id_col, text_col, words))
-    classes = signed.where("d0 is not null").groupBy("d0", "d1").agg(F.min("id").alias("rep"))
-    firsts = signed.where("d0 is not null").join(classes.select("rep", F.col("d0").alias("c0"), F.col("d1").alias("c1")), (F.col("id") == F.col("rep")) & (F.col("d0") == F.col("c0")) & (F.col("d1") == F.col("c1")))
-    # An id that repeats with other texts may stand for several classes: n tells them apart.
-    reps = firsts.select("id", "d0", "d1", "n_shingles", "packed", "buckets").dropDuplicates(["d0", "d1"])
-    members = reps.select("id", F.explode("buckets").alias("bucket"))
+    some = signed.where("d0 is not null")
+    classes = some.groupBy("d0", "d1").agg(F.min(F.struct("id", "packed", "buckets")).alias("first"))
+    classes = settle(classes.select("d0", "d1", F.col("first.id").alias("rep"), F.col("first.packed").alias("packed"), F.col("first.buckets").alias("buckets")))
+    members = classes.select(F.col("rep").alias("id"), F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
     shared = settle(members.join(shared, "bucket"))
-    facts = reps.select("id", "n_shingles", "packed")
+    facts = classes.select(F.col("rep").alias("id"), "packed")
     floor = percent / 100 - slack(percent / 100)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(facts.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("packed").alias("pa")), "a").join(facts.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("packed").alias("pb")), "b")
-        return p.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimated_similarity("pa", "pb") >= floor)).select("a", "b").distinct()
+    def likely(pairs: DataFrame, least: float) -> DataFrame:
+        p = pairs.join(facts.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(facts.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
+        return p.select("a", "b", estimated_similarity("pa", "pb").alias("estimate")).where(F.col("estimate") >= least).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The full set of each id; texts are shuffled only if the ids are too many to broadcast."""
+        ids = settle(ids.distinct())
+        texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        return shingle_sets(texts, "id", "text", words)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        sets = shingle_sets(texts, "id", "text", words)
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         p = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return p.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
-    stars = settle(likely(shared.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()))
-    links = settle(confirmed(stars))
+    stars = settle(likely(shared.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), floor))
+    links = settle(confirmed(stars.select("a", "b")))
     groups = settle(connected_components(links))
-    placed = shared.where("n > 2").join(groups, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("comp"))
-    by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("n", F.col("comp"))).alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = placed.join(mixed, "bucket").join(facts, "id").withColumn("salts", F.ceil(F.col("size") / block).cast("int"))
-    right = open_.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"), F.col("n_shingles").alias("nb"), F.col("packed").alias("pb"))
-    left = open_.where("comp <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("packed").alias("pa"))
-    once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
-    rest = left.join(right, ["bucket", "salt"]).where((F.col("ca") != F.col("cb")) & once & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimated_similarity("pa", "pb") >= floor))
-    rest = settle(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = settle(confirmed(rest))
+    placed = shared.where("n > 2").join(groups, "id", "left").select("bucket", "id", "center", F.coalesce("component_id", "id").alias("comp"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    left_over = settle(placed.join(mixed, "bucket", "left_semi").select("bucket", "id", "center"))
+    # Canopies: the smallest member of a bucket takes all that may link with any it holds; those
+    # that it holds are done with the bucket, the others go on to their own smallest member.
+    # After CANOPY_ROUNDS what is left of a bucket is mostly unlike: those meet pair by pair in salted
+    # blocks, where only pairs that may link come out.
+    canopies = None
+    for _ in range(CANOPY_ROUNDS):
+        near = left_over.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+        near = settle(likely(near, floor - (1 - percent / 100)))
+        canopies = near if canopies is None else canopies.union(near)
+        held = near.where(F.col("estimate") >= floor).select(F.col("a").alias("id"), F.col("b").alias("center"))
+        out = left_over.where("id <> center").join(held, ["id", "center"], "left_anti").select("bucket", "id")
+        again = out.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
+        left_over = settle(out.join(again, "bucket"))
+    tail = left_over.join(facts, "id").withColumn("salts", F.ceil(F.col("n") / block).cast("int"))
+    left = tail.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("packed").alias("pa"))
+    right = tail.select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("b"), F.col("packed").alias("pb"))
+    tail = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (estimated_similarity("pa", "pb") >= floor)).select("a", "b").distinct()
+    canopies = canopies.select("a", "b").union(tail)
+    families = connected_components(canopies).withColumnRenamed("component_id", "family")
+    held = settle(families.join(groups, "id", "left").select("family", "id", F.coalesce("component_id", "id").alias("comp")))
+    by_comp = held.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    mixed = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1 and size > 2")
+    mixed = mixed.withColumn("cols", F.ceil(F.col("size") / block).cast("int")).withColumn("rows", F.ceil((F.col("size") - F.col("most")) / block).cast("int"))
+    open_ = settle(held.join(mixed.select("family", "main", "cols", "rows"), "family"))
+    open_ = open_.join(sets_of(open_.select("id")).groupBy("id").agg(F.first("shingles").alias("shingles")), "id")
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = open_.where("comp <> main").withColumn("x", salt("rows")).select("family", "x", every("cols").alias("y"), F.lit(True).alias("asks"), "id", "comp", "shingles")
+    asked = open_.withColumn("y", salt("cols")).select("family", every("rows").alias("x"), "y", F.lit(False).alias("asks"), "id", "comp", "shingles")
+    rest = asking.union(asked).groupBy("family", "x", "y").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
+    more = settle(rest.distinct())
     final = connected_components(links.union(more))
     placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d0", "d1", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "d0", "d1").join(placed, ["d0", "d1"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
