@@ -123,8 +123,8 @@ def health(snapshots: DataFrame, stall_s: float = 5, silence_s: float = 300, sil
     buffer and overflows warn besides. The worst severity is the state; issues are worst first.
     """
     idle = F.when(~F.col("capturing") & ~F.col("finished"), F.struct(F.lit(2).alias("severity"), F.lit("not capturing").alias("text"))).when(
-        F.col("capturing") & ~F.col("finished") & (F.col("clock") - F.col("last_frame") > stall_s), F.struct(F.lit(2), F.lit("no audio frames"))
-    ).when(F.col("capturing") & ~F.col("finished") & (F.col("clock") - F.col("last_loud") > silence_s), F.struct(F.lit(1), F.lit("silent")))
+        F.col("capturing") & ~F.col("finished") & (F.col("clock") - F.col("last_frame") > stall_s), F.struct(F.lit(2).alias("severity"), F.lit("no audio frames").alias("text"))
+    ).when(F.col("capturing") & ~F.col("finished") & (F.col("clock") - F.col("last_loud") > silence_s), F.struct(F.lit(1).alias("severity"), F.lit("silent").alias("text")))
     warn = lambda cond, text: F.when(cond, F.struct(F.lit(1).alias("severity"), F.lit(text).alias("text")))
     found = F.filter(F.array(idle, warn(F.col("spill") > 0, "clips waiting on disk"), warn(F.col("buffer_fill") > 0.5, "buffer filling"), warn(F.col("overflows") > 0, "overflows")), lambda x: x.isNotNull())
     ordered = F.transform(F.array_sort(F.transform(found, lambda x: F.struct((-x.severity).alias("s"), x.text.alias("text")))), lambda x: x.text)
