@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ _U = np.uint64
 #: Bytes of an anchor's fingerprint.
 GRAM = 32
 #: Bytes of text of a block, and the slices in which fingerprints meet.
-BLOCK_BYTES, SLICES = 4 << 20, 1024
+BLOCK_BYTES, SLICES = 2 << 20, 512
+#: Ranges of the sort: one per block, at most so many (their cuts are broadcast, 32 bytes each).
+MAX_RANGES = 16384
 
 
 def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
@@ -103,7 +106,7 @@ def _block_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[
     places, prints = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_U)]
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), side="right")) - 1)
         at, h = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
         places.append(at + offsets[i])
         prints.append(h)
@@ -336,7 +339,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     fingerprints = settle(texts.mapInArrow(prints, "block long, slice int, prints binary").groupBy("slice").applyInArrow(meet, "of long, at int, marks binary"))
     blocks = fingerprints.select("of").distinct().count()
-    sample = _splitters(documents, text_col, length, max(1, min(4096, blocks // 2)))
+    sample = _splitters(documents, text_col, length, max(1, min(MAX_RANGES, blocks)))
     cuts = np.frombuffer(sample, dtype=f"S{GRAM}") if sample else np.zeros(0, dtype=f"S{GRAM}")
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -356,7 +359,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def combine(table: pa.Table) -> pa.Table:
         """Sort a range's runs into one, find the first of all strings, and answer each block."""
         runs = [_loosen(x) for x in table["run"].to_pylist()]
-        rows, lcps, docs, places, members, at = bytearray(), [], [], [], [], [0] * len(runs)
+        rows, lcps, docs, places, member_run, member_class, at = bytearray(), array("q"), array("q"), array("q"), array("q"), array("q"), [0] * len(runs)
         for lcp, i, row in merge_runs([decoded(x[0], x[1], width) for x in runs], width):
             doc, place = int(runs[i][2][at[i]]), int(runs[i][3][at[i]])
             at[i] += 1
@@ -365,15 +368,14 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 lcps.append(lcp), docs.append(doc), places.append(place)
             elif (doc, place) < (docs[-1], places[-1]):
                 docs[-1], places[-1] = doc, place
-            members.append((i, len(lcps) - 1))
+            member_run.append(i), member_class.append(len(lcps) - 1)
         docs, places = np.array(docs, dtype=np.int64), np.array(places, dtype=np.int64)
-        matrix = np.frombuffer(bytes(rows), dtype=np.uint8).reshape(-1, width)
+        matrix = np.frombuffer(rows, dtype=np.uint8).reshape(-1, width)
         later = np.packbits(later_strings(matrix, np.array(lcps), docs, places, length), axis=1)
-        members = np.array(members, dtype=np.int64).reshape(-1, 2)
-        members = members[np.argsort(members[:, 0], kind="stable")]
+        members = np.array(member_class)[np.argsort(np.array(member_run), kind="stable")]
         answers, ends = [], np.cumsum([len(x[0]) for x in runs])
         for i, x in enumerate(runs):
-            cls = members[ends[i] - len(x[0]) : ends[i], 1]
+            cls = members[ends[i] - len(x[0]) : ends[i]]
             mine = (docs[cls] == x[2]) & (places[cls] == x[3])
             answers.append(_squeeze(np.packbits(mine), later[cls[mine]].ravel()))
         return pa.table({"of": table["block"], "at": pa.array(table["range"].to_numpy(), pa.int32()), "marks": pa.array([struct.pack("<q", len(x[0])) + y for x, y in zip(runs, answers, strict=True)], type=pa.binary())})
@@ -442,13 +444,13 @@ def _splitters(documents: DataFrame, text_col: str, length: int, ranges: int) ->
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             at, h = _block_anchors(data, offsets, length)
-            at = at[h % _U(16) == 0]
+            at = at[(h >> _U(8)) % _U(16) == 0]
             rows = data[np.minimum(at[:, None] + np.arange(GRAM), len(data) - 1)] if len(at) else np.zeros((0, GRAM), dtype=np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], type=pa.binary())], names=["gram"])
 
     if ranges < 2:
         return b""
     found = documents.select(F.col(text_col).cast("string")).sample(0.01, seed=1).mapInArrow(run, "gram binary")
-    numbered = found.orderBy(F.xxhash64("gram")).limit(64 * ranges)
+    numbered = found.orderBy(F.xxhash64("gram")).limit(32 * ranges)
     grams = sorted(bytes(row.gram) for row in numbered.collect())
     return b"".join(grams[i * len(grams) // ranges] for i in range(1, ranges) if grams)
