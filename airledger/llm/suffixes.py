@@ -392,7 +392,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             own, bits = _loosen(packed[8:])
             own = np.unpackbits(own)[:n].astype(bool)
             mine = np.concatenate([mine, own])
-            later = np.concatenate([later, np.unpackbits(bits.reshape(int(own.sum()), -1), axis=1)[:, : back + 1].astype(bool)])
+            later = np.concatenate([later, np.unpackbits(bits.reshape(int(own.sum()), (back + 8) // 8), axis=1)[:, : back + 1].astype(bool)])
         if len(mine) != len(rows):
             raise ValueError("the texts were not the same at all readings")
         change = np.zeros(len(data) + 1, dtype=np.int64)
