@@ -15,15 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licence_texts import LICENCES
+from .shared import settle
 
 #: Rewriting rules in order, as (pattern, replacement); a replacement names groups as {1}. Spelling
-#: rules need not give real words, only the same word for equivalent spellings.
+#: rules need not give real words, only the same word for equivalent spellings. They keep line ends.
 RULES = [
     (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", "{1}"),  # copyright lines
     (r"https://", "http://"),
-    (r"[^a-z0-9]+", " "),  # punctuation, quotes, dashes, white space
-    (r"\b(sub|non) ", "{1}"),  # sub-license, non-commercial
-    (r"\bper cent\b", "percent"),
+    (r"[^a-z0-9\n]+", " "),  # punctuation, quotes, dashes, white space
     (r"licenc", "licens"),
     (r"([a-z]{2})is(e|ed|es|ing|ation|ations)\b", "{1}iz{2}"),
     (r"([a-z]{2})our(s|ed|able|ite|ites)?\b", "{1}or{2}"),
@@ -33,19 +32,34 @@ RULES = [
     (r"programme(s?)\b", "program{1}"),
     (r"artefact", "artifact"),
     (r"\bwhilst\b", "while"),
-    (r"copyright (owner|author)", "copyright holder"),
     (r"ll", "l"),  # fulfil, wilful, labelled
 ]
+#: Rules of several words, for a whole text or a line once its white space is single blanks.
+PHRASES = [
+    (r"[ \n]+", " "),
+    (r"\b(sub|non) ", "{1}"),  # sub-license, non-commercial
+    (r"\bper cent\b", "percent"),
+    (r"copyright (owner|author)", "copyright holder"),
+]
 
 
-def canonical_sql(text: str, duckdb: bool = False) -> str:
-    """SQL for the canonical form of an expression, for Spark or DuckDB."""
-    out = f"translate(coalesce({text}, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
-    for pattern, new in RULES:
+def _apply(out: str, rules: list[tuple[str, str]], duckdb: bool) -> str:
+    for pattern, new in rules:
         for k in "12":
             new = new.replace("{%s}" % k, f"\\{k}" if duckdb else f"${k}")
         out = f"regexp_replace({out}, {_quoted(pattern, duckdb)}, {_quoted(new, duckdb)}{', ' + _quoted('g', True) if duckdb else ''})"
-    return f"nullif(trim({out}), '')"
+    return out
+
+
+def words_sql(text: str, duckdb: bool = False) -> str:
+    """SQL for a text with its words rewritten and its line ends kept, for Spark or DuckDB."""
+    return _apply(f"translate(coalesce({text}, ''), '{ascii_uppercase}', '{ascii_lowercase}')", RULES, duckdb)
+
+
+def digest_sql(words: str, duckdb: bool = False) -> str:
+    """SQL for the digest of rewritten words; null if there are none."""
+    text = f"nullif(trim({_apply(words, PHRASES, duckdb)}), '')"
+    return f"sha256({text})" if duckdb else f"sha2(cast({text} AS binary), 256)"
 
 
 def _quoted(text: str, duckdb: bool) -> str:
@@ -54,7 +68,8 @@ def _quoted(text: str, duckdb: bool) -> str:
 
 def known_digests(spark) -> DataFrame:
     """(known, licence): digests of the known texts, as many as the list has."""
-    return spark.createDataFrame(LICENCES, "licence string, text string").select("licence", F.sha2(F.expr(canonical_sql("text")).cast("binary"), 256).alias("known")).groupBy("known").agg(F.min("licence").alias("licence"))
+    listed = spark.createDataFrame(LICENCES, "licence string, text string")
+    return listed.select("licence", F.expr(digest_sql(words_sql("text"))).alias("known")).groupBy("known").agg(F.min("licence").alias("licence"))
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -63,28 +78,32 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     entire text. Rows that repeat an id share their line_licences.
 
     known: (known, licence), by default the built-in list. Its size is that of the list, so it is
-    broadcast; only lines that matched are shuffled.
+    broadcast. Words are rewritten once for the text and its lines; only whole texts' digests and
+    lines that matched go on.
     """
     table = F.broadcast(known if known is not None else known_digests(documents.sparkSession))
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    digest = F.sha2(F.expr(canonical_sql("text")).cast("binary"), 256)
-    lines = texts.select("id", F.explode(F.split("text", "\n")).alias("text")).select("id", digest.alias("known")).join(table, "known")
-    lines = lines.groupBy("id").agg(F.array_sort(F.collect_set("licence")).alias("line_licences"))
-    whole = texts.select("id", digest.alias("digest")).join(table, F.col("digest") == F.col("known"), "left").select("id", "digest", "licence")
+    texts = documents.select(F.col(id_col).alias("id"), F.expr(words_sql(f"cast(`{text_col}` AS string)")).alias("words"))
+    part = lambda whole, text: F.struct(F.lit(whole).alias("whole"), text.alias("text"))
+    parts = F.concat(F.array(part(True, F.col("words"))), F.transform(F.split("words", "\n"), lambda x: part(False, x)))
+    looked = texts.select("id", F.explode(parts).alias("p")).select("id", "p.whole", F.expr(digest_sql("p.text")).alias("digest"))
+    looked = settle(looked.join(table, F.col("digest") == F.col("known"), "left").where("whole or licence is not null").select("id", "whole", "digest", "licence"))
+    lines = looked.where("not whole").groupBy("id").agg(F.array_sort(F.collect_set("licence")).alias("line_licences"))
     empty = F.array().cast("array<string>")
+    whole = looked.where("whole").select("id", "digest", "licence")
     return whole.join(lines, "id", "left").select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("line_licences", empty).alias("line_licences"))
 
 
 def oracle_sql() -> str:
     """DuckDB SQL for `scan` over documents, with line_licences joined by commas."""
     known = ", ".join(f"({_quoted(name, True)}, {_quoted(text, True)})" for name, text in LICENCES)
-    digest = f"sha256({canonical_sql('text', True)})"
+    words, digest = words_sql("text", True), digest_sql("words", True)
     return f"""
         WITH listed(licence, text) AS (VALUES {known}),
-        known AS (SELECT {digest} AS known, min(licence) AS licence FROM listed GROUP BY 1),
-        line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
+        known AS (SELECT {digest} AS known, min(licence) AS licence FROM (SELECT licence, {words} AS words FROM listed) GROUP BY 1),
+        rewritten AS (SELECT doc_id, {words} AS words FROM documents),
+        line AS (SELECT doc_id, unnest(string_split(words, chr(10))) AS words FROM rewritten),
         by_line AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences
                     FROM (SELECT doc_id, {digest} AS known FROM line) JOIN known USING (known) GROUP BY doc_id),
-        whole AS (SELECT doc_id, {digest} AS digest FROM documents)
+        whole AS (SELECT doc_id, {digest} AS digest FROM rewritten)
         SELECT doc_id, digest, licence, coalesce(line_licences, '') AS line_licences
         FROM whole LEFT JOIN known ON digest = known LEFT JOIN by_line USING (doc_id)"""
