@@ -11,8 +11,9 @@ from ..functions.text import indel_ratio
 from .text import mentions, normalise
 
 #: Rosters up to this many entries are broadcast against all distinct candidates, so that even a
-#: hopeless candidate gets its nearest entry; larger ones are joined by blocks.
-BROADCAST_ROSTER = 5_000
+#: hopeless candidate gets its nearest entry; larger ones are joined by blocks, which find all entries
+#: that can decide a match and leave the score of hopeless candidates at 0.
+BROADCAST_ROSTER = 500
 
 
 def _scored(cands: DataFrame, roster: DataFrame, least: float) -> DataFrame:
@@ -96,11 +97,12 @@ def match_all(lines: DataFrame, roster: DataFrame, aliases: DataFrame | None = N
 
 
 def nearest(cands: DataFrame, roster: DataFrame, k: int = 8) -> DataFrame:
-    """The k closest roster entries of each candidate; nothing for an empty one."""
+    """The k closest roster entries of each candidate; nothing for an empty one. Rosters beyond the
+    broadcast bound give only entries that score 70 or more."""
     distinct = cands.select("candidate").where("candidate is not null and candidate <> ''").distinct()
     w = Window.partitionBy("candidate").orderBy(F.desc("score"), "ordinal")
     rows = distinct.crossJoin(F.broadcast(roster.select("callsign", "name", "position", "ordinal"))) if roster.count() <= BROADCAST_ROSTER else None
-    rows = rows.withColumn("score", indel_ratio(F.col("candidate"), F.col("callsign"))) if rows is not None else _scored(distinct, roster, 50)
+    rows = rows.withColumn("score", indel_ratio(F.col("candidate"), F.col("callsign"))) if rows is not None else _scored(distinct, roster, 70)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "rank", "callsign", "score")
 
 
