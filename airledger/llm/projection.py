@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes (operator 3).
+"""Near-duplicate vectors, all pairs compared in blocks (operator 3).
 
 Rows: one per distinct vec_id, with its number of links, the smallest id of its component and
 whether it is that vector. A vector that is null, zero, or holds a null or non-finite component
@@ -9,21 +9,19 @@ read, so their names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import acos
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, settle
 
-#: One-bit random projections that are concatenated to a sort key.
-KEY_BITS = 62
-EPS = 1e-9
+#: Numbers in a block of vectors at most, so that blocks of long vectors have fewer rows.
+BLOCK_NUMBERS = 1 << 22
+#: Rows of a block that are multiplied at once, and doubtful pairs that are computed again at once.
+STRIP, AGAIN = 512, 1 << 16
+#: Tasks among which the pairs of blocks are dealt at most.
+TASKS = 10_000
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,196 +48,67 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return scaled, np.where(fine, lengths, 0)
 
 
-def sort_keys(rows: DataFrame, first: int, passes: int) -> DataFrame:
-    """Adds (pass, key) rows: per pass, the concatenated signs of random projections."""
-    columns = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        weights = np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                u, _ = unit_rows(part.column(columns.index("vec")))
-                for p in range(first, first + passes):
-                    d = u.shape[1]
-                    if (p, d) not in planes:
-                        planes[p, d] = np.random.default_rng([p, 20, 11]).standard_normal((4096, KEY_BITS))[:d] if d <= 4096 else np.random.default_rng([p, d]).standard_normal((d, KEY_BITS))
-                    key = ((u @ planes[p, d]) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(key), p, dtype=np.int32)), pa.array(key)], names=[*columns, "pass", "key"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, pass int, key long")
-
-
-def _window_pairs(ids, u, dims, radius, pas, window, limit, new_from, joint=None):
-    """Pairs (i, j) of rows at most `window` apart whose angle is at most limit + both radii; the
-    later row must be at new_from or after. joint keeps only pairs that cross that row."""
-    left, right, angle = [], [], []
-    n = len(ids)
-    for step in range(1, min(window, n - 1) + 1):
-        lo = max(0, new_from - step)
-        a = np.arange(lo, n - step)
-        b = a + step
-        if joint is not None:
-            cross = (a < joint) & (b >= joint)
-            a, b = a[cross], b[cross]
-        if not len(a):
-            continue
-        cos = np.einsum("ij,ij->i", u[a], u[b])
-        ang = np.arccos(np.clip(cos, -1, 1))
-        # arccos loses digits near 0; the chord does not
-        chord = 2 * np.arcsin(np.minimum(1, np.linalg.norm(u[a] - u[b], axis=1) / 2))
-        ang = np.where(cos > 0.99, chord, ang)
-        ok = (pas[a] == pas[b]) & (dims[a] == dims[b]) & (dims[a] > 0) & (ang <= limit + radius[a] + radius[b] + EPS)
-        left.append(a[ok]), right.append(b[ok]), angle.append(ang[ok])
-    if not left:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(angle)
-
-
-PAIRS = "kind int, a long, b long, angle double, border int, side int, seq int, pass int, radius double, vec array<double>"
-
-
-def _found(ids, i, j, angle, smallest: bool) -> pd.DataFrame:
-    x, y = ids[i], ids[j]
-    out = pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y), "angle": angle})
-    if smallest and len(out):
-        out = out.sort_values(["a", "b"]).drop_duplicates("a")
-    return out
-
-
-def neighbour_pass(keyed: DataFrame, window: int, limit: float, smallest: bool) -> DataFrame:
-    """(a, b, angle) with a > b: rows at most `window` places apart in the order of (pass, key, id)
-    and within the angle. smallest: of each a only its smallest b. Windows reach across partition
-    ends: each task also hands on its first and last `window` rows, and those meet per border."""
-    ordered = keyed.repartitionByRange("pass", "key", "id").sortWithinPartitions("pass", "key", "id").select("id", "vec", "radius", "pass")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no = TaskContext.get().partitionId()
-        kept = None
-        head: list[tuple] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                u, dims = unit_rows(part.column(1))
-                new = (np.asarray(part.column(0)), u, dims, np.asarray(part.column(2)), np.asarray(part.column(3)))
-                if len(head) < window:
-                    head += list(zip(*(x[: window - len(head)] for x in new), strict=True))
-                start = 0
-                if kept is not None:
-                    width = max(kept[1].shape[1], u.shape[1])
-                    wide = [np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (kept[1], u)]
-                    start = len(kept[0])
-                    new = tuple(np.concatenate(x) for x in ((kept[0], new[0]), wide, (kept[2], dims), (kept[3], new[3]), (kept[4], new[4])))
-                i, j, angle = _window_pairs(*new, window, limit, start)
-                out = _found(new[0], i, j, angle, smallest)
-                if len(out):
-                    yield _batch(kind=0, a=out.a, b=out.b, angle=out.angle)
-                kept = tuple(x[-window:] for x in new)
-        if kept is not None:
-            tail = list(zip(*kept, strict=True))
-            for border, side, rows in ((no - 1, 1, head), (no, 0, tail)):
-                yield _batch(kind=1, a=[r[0] for r in rows], border=border, side=side, seq=np.arange(len(rows)), radius=[r[3] for r in rows], pas=[r[4] for r in rows], vec=[r[1][: max(1, r[2])] for r in rows])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "seq"])
-        u, dims = unit_rows(pa.array(list(pdf.vec), type=pa.list_(pa.float64())))
-        joint = int((pdf.side == 0).sum())
-        if joint in (0, len(pdf)):
-            return pd.DataFrame({"a": [], "b": [], "angle": []})
-        i, j, angle = _window_pairs(pdf.a.to_numpy(), u, dims, pdf.radius.to_numpy(), pdf["pass"].to_numpy(), window, limit, joint, joint)
-        return _found(pdf.a.to_numpy(), i, j, angle, smallest)
-
-    found = settle(ordered.mapInArrow(run, PAIRS))
-    across = found.where("kind = 1").groupBy("border").applyInPandas(meet, "a long, b long, angle double")
-    return found.where("kind = 0").select("a", "b", "angle").union(across)
-
-
-def _batch(kind, a, b=None, angle=None, border=None, side=None, seq=None, pas=None, radius=None, vec=None) -> pa.RecordBatch:
-    n = len(a)
-    fill = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(np.full(n, x) if np.isscalar(x) else x, type=kind)
-    return pa.RecordBatch.from_arrays(
-        [
-            fill(kind, pa.int32()), fill(np.asarray(a), pa.int64()), fill(None if b is None else np.asarray(b), pa.int64()), fill(None if angle is None else np.asarray(angle), pa.float64()),
-            fill(border, pa.int32()), fill(side, pa.int32()), fill(seq, pa.int32()), fill(pas, pa.int32()), fill(radius, pa.float64()),
-            pa.nulls(n, pa.list_(pa.float64())) if vec is None else pa.array([list(x) for x in vec], type=pa.list_(pa.float64())),
-        ],
-        names=["kind", "a", "b", "angle", "border", "side", "seq", "pass", "radius", "vec"],
-    )
-
-
-def pair_angles(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Adds `angle` between the vectors in two columns, which it drops."""
-    keep = [c for c in pairs.columns if c not in (left, right)]
-    ordered = pairs.select(*keep, left, right)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                (x, _), (y, _) = unit_rows(part.column(len(keep))), unit_rows(part.column(len(keep) + 1))
-                width = max(x.shape[1], y.shape[1])
-                x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (x, y))
-                cos = np.clip(np.einsum("ij,ij->i", x, y), -1, 1)
-                angle = np.where(cos > 0.99, 2 * np.arcsin(np.minimum(1, np.linalg.norm(x - y, axis=1) / 2)), np.arccos(cos))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(angle)], names=[*keep, "angle"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.select(*keep).schema)
-    return ordered.mapInArrow(run, f"{kinds}, angle double")
-
-
-def near_duplicate_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, window: int = 32, fold_passes: int = 3, passes: int = 20) -> DataFrame:
+def _cell_links(table: pa.Table, cosine: float) -> pa.Table:
+    """(id, first, n) of each vector of a pair of blocks that links: the smallest id that it reaches
+    by links of this pair, and how many it has. Every pair of vectors is compared: products in
+    single precision decide those beyond their rounding error, double precision the others."""
+    ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+    own = table["x"][0] == table["y"][0]
+    left = np.flatnonzero(side == 0)
+    right = left if own else np.flatnonzero(side == 1)
+    u, _ = unit_rows(table["vec"])
+    single = u.astype(np.float32)
+    across = np.ascontiguousarray(single[right].T)
+    margin = (u.shape[1] + 8) * 2.0**-23
+    links, comp = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+    for at in range(0, len(left) if len(right) else 0, STRIP):
+        rows = left[at : at + STRIP]
+        cos = single[rows] @ across
+        near = cos >= cosine - margin
+        r, c = np.nonzero(near & (cos <= cosine + margin))
+        for k in range(0, len(r), AGAIN):
+            i, j = r[k : k + AGAIN], c[k : k + AGAIN]
+            near[i, j] = np.einsum("ij,ij->i", u[rows[i]], u[right[j]]) >= cosine
+        if own:
+            near[np.arange(len(rows)), at + np.arange(len(rows))] = False
+        else:
+            links[right] += near.sum(axis=0)
+        links[rows] += near.sum(axis=1)
+        for k in np.flatnonzero(near.any(axis=1)):
+            parts = comp[right[near[k]]]
+            if (parts != comp[rows[k]]).any():
+                parts = np.unique(np.append(parts, comp[rows[k]]))
+                comp[np.isin(comp, parts)] = parts[0]
+    first = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(first, comp, ids)
+    some = links > 0
+    return pa.table({"id": ids[some], "first": first[comp[some]], "n": links[some]})
+
+
+def near_duplicate_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, block: int = 8192) -> DataFrame:
     """(id_col, n_links, component_id, kept) of each vector.
 
-    First, tight groups fold: in each of fold_passes orders every vector within half of the
-    link angle of a smaller id in its window joins it, and only the others go on to the next
-    order. A group within half of the angle of its first vector is a clique by the triangle
-    inequality, so its links are counted, never written out. The first vectors then go through
-    `passes` orders. Two groups whose distance and radii settle all their pairs link by count;
-    only those that they leave open are compared vector by vector. A pair of first vectors at the
-    threshold itself is next to each other in at least one order with a probability that passes
-    and window set (recall against brute force is measured in the tests); no pair below links.
+    Exact: vectors of one length are dealt to blocks of about `block` rows by their id, and every
+    pair of blocks meets in one group, which multiplies all its pairs of vectors. Of a pair of blocks
+    only each linked vector's count and smallest reached id come out, so a dense group writes no
+    pairs. Products grow with the square of the table, copies of rows with the number of blocks.
     """
-    theta = acos(cosine)
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
     twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if twice:
         rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
     number = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    usable = rows.where(F.coalesce(number, F.lit(False))).withColumn("radius", F.lit(0.0))
-    firsts, parents = usable, None
-    for p in range(fold_passes):
-        joined = settle(neighbour_pass(sort_keys(firsts, p, 1), window, theta / 2, True).groupBy("a").agg(F.min("b").alias("b")))
-        parents = joined if parents is None else parents.union(joined)
-        firsts = firsts.join(joined.select(F.col("a").alias("id")), "id", "left_anti")
-    roots = connected_components(parents).where("id <> component_id")
-    near = pair_angles(
-        roots.join(usable.select("id", "vec"), "id").join(usable.select(F.col("id").alias("component_id"), F.col("vec").alias("root_vec")), "component_id").select("id", "component_id", "vec", "root_vec"), "vec", "root_vec"
-    )
-    near = settle(near.where(F.col("angle") <= theta / 2))
-    members = near.select("id", F.col("component_id").alias("grp"), "angle")
-    placed = usable.select("id").join(members, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
-    groups = settle(placed.groupBy("grp").agg(F.count("*").alias("size"), F.max("angle").alias("radius")))
-    first_rows = settle(usable.select("id", "vec").join(groups.select(F.col("grp").alias("id"), "size", "radius"), "id"))
-    found = neighbour_pass(sort_keys(first_rows.select("id", "vec", "radius"), 100, passes), window, theta, False)
-    found = found.groupBy("a", "b").agg(F.min("angle").alias("angle"))
-    of = lambda x: groups.select(F.col("grp").alias(x), F.col("size").alias(f"n{x}"), F.col("radius").alias(f"r{x}"))
-    found = settle(found.join(of("a"), "a").join(of("b"), "b").withColumn("sure", F.col("angle") + F.col("ra") + F.col("rb") <= theta - EPS))
-    # One vector against one vector: the angle itself decides, with the cosine at full precision.
-    single = found.where("na = 1 and nb = 1")
-    open_ = found.where("(na > 1 or nb > 1) and not sure").select("a", "b").union(single.where(~F.col("sure")).select("a", "b"))
-    own = placed.select("id", "grp")
-    vecs = usable.select("id", "vec")
-    expanded = open_.join(own.select(F.col("id").alias("x"), F.col("grp").alias("a")), "a").join(own.select(F.col("id").alias("y"), F.col("grp").alias("b")), "b")
-    expanded = expanded.join(vecs.select(F.col("id").alias("x"), F.col("vec").alias("vx")), "x").join(vecs.select(F.col("id").alias("y"), F.col("vec").alias("vy")), "y").select("a", "b", "x", "y", "vx", "vy")
-    confirmed = settle(pair_angles(expanded, "vx", "vy").where(F.cos("angle") >= cosine))
-    sure = found.where("sure")
-    by_group = sure.select(F.col("a").alias("grp"), F.col("nb").alias("n")).union(sure.select(F.col("b").alias("grp"), F.col("na").alias("n"))).groupBy("grp").agg(F.sum("n").alias("group_links"))
-    by_vec = confirmed.select(F.col("x").alias("id")).union(confirmed.select(F.col("y").alias("id"))).groupBy("id").agg(F.count("*").alias("own_links"))
-    parts = connected_components(sure.select("a", "b").union(confirmed.select("a", "b"))).withColumnRenamed("id", "grp")
-    facts = groups.join(by_group, "grp", "left").join(parts, "grp", "left").select("grp", (F.col("size") - 1 + F.coalesce("group_links", F.lit(0))).alias("group_links"), F.coalesce("component_id", "grp").alias("component_id"))
-    out = placed.join(facts, "grp").join(by_vec, "id", "left").select("id", (F.col("group_links") + F.coalesce("own_links", F.lit(0))).cast("long").alias("n_links"), "component_id")
-    out = rows.select("id").join(out, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    usable = rows.where(F.coalesce(number, F.lit(False))).withColumn("dims", F.size("vec"))
+    fit = F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dims"))))
+    lengths = settle(usable.groupBy("dims").agg(F.count("*").alias("n")).select("dims", F.ceil(F.col("n") / fit).cast("int").alias("blocks")))
+    pairs = lengths.agg(F.sum(F.expr("cast(blocks AS long) * (blocks + 1) / 2"))).first()[0] or 1
+    placed = usable.join(F.broadcast(lengths), "dims").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = placed.select("dims", "id", "vec", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("dims", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "vec")
+    cells = cells.repartition(int(min(pairs, TASKS)), "dims", "x", "y")  # by number: few bytes, much work
+    found = settle(cells.groupBy("dims", "x", "y").applyInArrow(lambda t: _cell_links(t, cosine), "id long, first long, n long"))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    parts = connected_components(found.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    out = rows.select("id").join(counts, "id", "left").join(parts, "id", "left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

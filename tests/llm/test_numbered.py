@@ -100,6 +100,21 @@ def test_vectors(spark):
     assert projection.near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_of_a_loose_group(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(32)
+    x = centre / np.linalg.norm(centre) + rng.standard_normal((3000, 32)) * 0.048
+    x = np.vstack([x, rng.standard_normal((500, 32))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    assert 2000 < near[:3000].sum(axis=1).mean() < 3000
+    want = components([(0, int(b)) for b in np.flatnonzero(near[:3000, :3000].any(axis=1))], range(3500))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in projection.near_duplicate_vectors(df, block=1000).collect()}
+    assert [got[i].n_links for i in range(3500)] == (near.sum(axis=1) - 1).tolist()
+    assert [got[i].component_id for i in range(3500)] == [want[i] for i in range(3500)]
+
+
 def brute_repeats(rows, length=100):
     first = {}
     for d, t in rows:
