@@ -10,28 +10,36 @@ from pyspark.sql import functions as F
 from ..functions.text import indel_ratio
 from .text import mentions, normalise
 
-#: Rosters up to this many entries are broadcast against all distinct candidates, so that even a
-#: hopeless candidate gets its nearest entry; larger ones are joined by blocks, which find all entries
-#: that can decide a match and leave the score of hopeless candidates at 0.
+#: Rosters up to this many entries are broadcast against all distinct candidates; larger ones are first
+#: joined by blocks, and only candidates with too few entries found are scored against all. Both give
+#: the same rows.
 BROADCAST_ROSTER = 500
 
 
-def _scored(cands: DataFrame, roster: DataFrame, least: float) -> DataFrame:
-    """(candidate, callsign, name, position, ordinal, score) of distinct candidates and entries.
+def _scored(cands: DataFrame, roster: DataFrame, least: float, fewest: int = 0) -> DataFrame:
+    """(candidate, callsign, name, position, ordinal, score) of distinct candidates and entries: all
+    pairs, or at least those that score `least` or more and the `fewest` best of each candidate.
 
     A large roster is blocked exactly: strings whose similarity is at least `least` are within an
     insert-delete distance that follows from their lengths, so deleting that many characters from
     both leaves a common string. Both sides are exploded to what deletions leave and joined on it.
+    Candidates with fewer than `fewest` entries of that score are scored against the whole roster.
     """
     entries = roster.select("callsign", "name", "position", "ordinal")
+    score = indel_ratio(F.col("candidate"), F.col("callsign"))
     if roster.count() <= BROADCAST_ROSTER:
-        pairs = cands.crossJoin(F.broadcast(entries))
-    else:
-        longest = max(cands.agg(F.max(F.length("candidate"))).first()[0] or 0, entries.agg(F.max(F.length("callsign"))).first()[0] or 0)
-        cuts = floor((1 - least / 100) * 2 * longest)
-        left, right = _variants(cands, "candidate", cuts), _variants(entries.select("callsign").distinct(), "callsign", cuts)
-        pairs = left.join(right, "variant").select("candidate", "callsign").distinct().join(entries, "callsign")
-    return pairs.withColumn("score", indel_ratio(F.col("candidate"), F.col("callsign")))
+        return cands.crossJoin(F.broadcast(entries)).withColumn("score", score)
+    longest = max(cands.agg(F.max(F.length("candidate"))).first()[0] or 0, entries.agg(F.max(F.length("callsign"))).first()[0] or 0)
+    cuts = floor((1 - least / 100) * 2 * longest + 1e-9)
+    left, right = _variants(cands, "candidate", cuts), _variants(entries.select("callsign").distinct(), "callsign", cuts)
+    close = left.join(right, "variant").select("candidate", "callsign").distinct().withColumn("score", score).where(F.col("score") >= least)
+    found = close.join(entries, "callsign").select("candidate", "callsign", "name", "position", "ordinal", "score")
+    if not fewest:
+        return found
+    enough = found.groupBy("candidate").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("candidate")
+    tasks = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work
+    rest = cands.join(enough, "candidate", "left_anti").repartition(tasks, "candidate").crossJoin(entries).withColumn("score", score)
+    return found.join(enough, "candidate", "left_semi").unionByName(rest)
 
 
 def _variants(df: DataFrame, col: str, cuts: int) -> DataFrame:
@@ -53,7 +61,7 @@ def match_candidates(cands: DataFrame, roster: DataFrame, aliases: DataFrame | N
     """
     distinct = cands.select("candidate").where("candidate is not null and candidate <> ''").distinct()
     w = Window.partitionBy("candidate").orderBy(F.desc("score"), "ordinal")
-    ranked = _scored(distinct, roster, threshold - margin).withColumn("_n", F.row_number().over(w)).withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w))
+    ranked = _scored(distinct, roster, threshold - margin, 2).withColumn("_n", F.row_number().over(w)).withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w))
     best = distinct.join(ranked.where("_n = 1"), "candidate", "left")
     if aliases is not None:
         known = aliases.select("candidate", F.col("callsign").alias("_alias")).join(roster.select(F.col("callsign").alias("_alias"), F.col("name").alias("_an"), F.col("position").alias("_ap")).dropDuplicates(["_alias"]), "_alias")
@@ -97,13 +105,10 @@ def match_all(lines: DataFrame, roster: DataFrame, aliases: DataFrame | None = N
 
 
 def nearest(cands: DataFrame, roster: DataFrame, k: int = 8) -> DataFrame:
-    """The k closest roster entries of each candidate; nothing for an empty one. Rosters beyond the
-    broadcast bound give only entries that score 70 or more."""
+    """The k closest roster entries of each candidate; nothing for an empty one."""
     distinct = cands.select("candidate").where("candidate is not null and candidate <> ''").distinct()
     w = Window.partitionBy("candidate").orderBy(F.desc("score"), "ordinal")
-    rows = distinct.crossJoin(F.broadcast(roster.select("callsign", "name", "position", "ordinal"))) if roster.count() <= BROADCAST_ROSTER else None
-    rows = rows.withColumn("score", indel_ratio(F.col("candidate"), F.col("callsign"))) if rows is not None else _scored(distinct, roster, 70)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "rank", "callsign", "score")
+    return _scored(distinct, roster, 70, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "rank", "callsign", "score")
 
 
 def roster_conflicts(roster: DataFrame, min_score: float = 70) -> DataFrame:

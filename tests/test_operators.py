@@ -33,6 +33,18 @@ def test_blocked_join_equals_broadcast(spark, roster, monkeypatch):
     assert match.match_candidates(cands, roster).select("candidate", "callsign", "reason").orderBy("candidate").collect() == whole
 
 
+def test_large_roster_gives_the_same_rows(spark, monkeypatch):
+    names = [f"{chr(65 + i % 26)}{chr(65 + i // 26 % 26)}{i % 10}{chr(65 + i * 3 % 26)}{chr(65 + i * 5 % 26)}A" for i in range(600)]
+    roster = spark.createDataFrame([(i, x, f"n{i}", "", []) for i, x in enumerate(names)], ROSTER)
+    cands = spark.createDataFrame([(x,) for x in ("AA0AAA", "AA0AAQ", "BC7", "ZZ9ZZZ", "QQ", "")], "candidate string")
+    lines = spark.createDataFrame([("s", 1, "AA0AAQ here"), ("s", 2, "ZZ9ZZZ calling"), ("s", 3, "nothing")], "session string, id int, raw_text string")
+    run = lambda: [sorted(map(str, df.collect())) for df in (match.match_candidates(cands, roster), match.match_lines(lines, roster), match.match_all(lines, roster), match.nearest(cands, roster))]
+    blocked = run()
+    monkeypatch.setattr(match, "BROADCAST_ROSTER", 10_000)
+    assert blocked == run()
+    assert len(blocked[3]) == 5 * 8
+
+
 def test_lines(spark, roster):
     lines = spark.createDataFrame([("s", 1, "whiskey six alpha bravo charlie, go"), ("s", 2, "nothing here"), ("s", 3, "K7XYZ for W6ABC, K7XYZ")], "session string, id int, raw_text string")
     got = {r.id: (r.callsign, r.reason) for r in match.match_lines(lines, roster).collect()}
