@@ -2,7 +2,8 @@
 
 Rows: one per document row, with the size of its shingle set, the smallest id of its group and
 whether it is that document. Null or word-free texts have an empty set and link with nothing.
-Repeated rows of one id count as one document: they share a group. An empty table gives an empty
+Repeated rows of one id count as one document: they share a group. Rows without an id link with
+nothing and name no group: their component_id is null and kept is false. An empty table gives an empty
 result. Extra columns are not read, so their names cannot clash.
 """
 
@@ -193,7 +194,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     grid of blocks of about `block` sets a side, and only links come out.
     """
     signed = settle(signatures(documents, id_col, text_col, words))
-    some = signed.where("d0 is not null")
+    some = signed.where("id is not null and d0 is not null")
     classes = some.groupBy("d0", "d1").agg(F.min(F.struct("id", "packed", "buckets")).alias("first"))
     classes = settle(classes.select("d0", "d1", F.col("first.id").alias("rep"), F.col("first.packed").alias("packed"), F.col("first.buckets").alias("buckets")))
     members = classes.select(F.col("rep").alias("id"), F.explode("buckets").alias("bucket"))
@@ -245,7 +246,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     families = connected_components(canopies).withColumnRenamed("component_id", "family")
     held = settle(families.join(groups, "id", "left").select("family", "id", F.coalesce("component_id", "id").alias("comp")))
     by_comp = held.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1 and size > 2")
+    mixed = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.withColumn("cols", F.ceil(F.col("size") / block).cast("int")).withColumn("rows", F.ceil((F.col("size") - F.col("most")) / block).cast("int"))
     open_ = settle(held.join(mixed.select("family", "main", "cols", "rows"), "family"))
     open_ = open_.join(sets_of(open_.select("id")).groupBy("id").agg(F.first("shingles").alias("shingles")), "id")
@@ -257,5 +258,6 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     more = settle(rest.distinct())
     final = connected_components(links.union(more))
     placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d0", "d1", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("id", "n_shingles", "d0", "d1").join(placed, ["d0", "d1"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = signed.select("id", "n_shingles", "d0", "d1").join(placed, ["d0", "d1"], "left")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

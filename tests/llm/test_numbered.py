@@ -73,6 +73,23 @@ def test_minhash_empty(spark):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_minhash_rows_without_id(spark):
+    text = "one two three four five six seven"
+    got = minhash.near_duplicates(docs(spark, [(9, text), (None, text), (5, text), (None, "alone")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.doc_id) == [(5, 5, True), (9, 5, False)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, False)] * 2
+
+
+def test_minhash_links_behind_an_unlike_document(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda *args: real(*args).withColumn("buckets", F.array(F.lit(1).cast("long"))))
+    near = " ".join(f"w{i}" for i in range(60))
+    got = minhash.near_duplicates(docs(spark, [(1, " ".join(f"v{i}" for i in range(60))), (2, near), (3, near + " more")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2}
+
+
 def test_minhash_block_links():
     import pyarrow as pa
 
