@@ -17,7 +17,7 @@ LOOSE = r"^[A-Z]{1,3}[0-9][A-Z]{0,4}$"
 #: Marks a dropped word, so that characters do not glue across it.
 BREAK = "\x01"
 
-_PHONETIC, _DIGIT, _AMBIGUOUS, _NAMES = (V.entries(x) for x in (V.PHONETIC, V.DIGITS, V.AMBIGUOUS, V.LETTER_NAMES))
+_PHONETIC, _DIGIT, _AMBIGUOUS, _NAMES = V.PHONETIC, V.DIGITS, V.AMBIGUOUS, V.LETTER_NAMES
 _SPOKEN = {**_PHONETIC, **_DIGIT}
 _WORDS = "|".join(sorted(_SPOKEN, key=len))
 
@@ -165,9 +165,9 @@ def spell(df: DataFrame, col: str) -> DataFrame:
 
 
 # Words and phrases that settle whether traffic is declared.
-NEGATORS = "no not negative without nothing none zero clear".split()
-ASKING = "any anyone anybody who whom".split()
-DECLARING = "have got holding hold with carrying".split()
+NEGATORS = ["no", "not", "negative", "without", "nothing", "none", "zero", "clear"]
+ASKING = ["any", "anyone", "anybody", "who", "whom"]
+DECLARING = ["have", "got", "holding", "hold", "with", "carrying"]
 NONE_PHRASES = ["nothing for the net", "nothing to pass", "nothing further", "nothing at this time", "nothing tonight"]
 YES_PHRASES = ["traffic for", "with traffic", "priority traffic", "emergency traffic", "piece of traffic", "pieces of traffic"]
 OFFERS = ["message for", "health and welfare", "something to pass", "one to pass"]

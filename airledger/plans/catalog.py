@@ -246,7 +246,7 @@ def mine_callsigns(v):
     return _mined(v)
 
 
-LIC = f"""WITH {MINED}, l AS (SELECT m.callsign, regexp_matches(m.callsign, '^(V[AEOY]|C[FGIJKYZ]|X[EFJ]|[GM]|2[EMW]|E[IJ]|Z[LS]|JA|VK)') AS far, status, grid FROM mined m LEFT JOIN net_licences c ON c.callsign = m.callsign),
+LIC = f"""WITH {MINED}, l AS (SELECT m.callsign, regexp_matches(m.callsign, '{geo.FOREIGN}') AS far, status, grid FROM mined m LEFT JOIN net_licences c ON c.callsign = m.callsign),
  g AS (SELECT callsign, CASE WHEN far THEN 'non-us' ELSE coalesce(status, 'unchecked') END AS status, CASE WHEN NOT far THEN grid END AS grid FROM l),
  h AS (SELECT grid AS home FROM g WHERE grid IS NOT NULL GROUP BY grid ORDER BY count(*) DESC, grid LIMIT 1),
  p AS (SELECT callsign, status, grid, radians((ascii(substr(grid, 2, 1)) - 65) * 10 - 90 + (ascii(substr(grid, 4, 1)) - 48) + 0.5) AS a, radians((ascii(grid) - 65) * 20 - 180 + (ascii(substr(grid, 3, 1)) - 48) * 2 + 1.0) AS o,
@@ -259,7 +259,7 @@ def check_licences(v):
     return history.check_licences(_mined(v), v("net_licences")).select("callsign", "status", "grid", F.round("distance_km", 3).alias("distance_km"))
 
 
-@_query(f"WITH {MINED} SELECT callsign FROM mined WHERE sessions >= 2 AND callsign NOT IN (SELECT callsign FROM net_licences WHERE status = 'not issued' AND NOT regexp_matches(callsign, '^(V[AEOY]|C[FGIJKYZ]|X[EFJ]|[GM]|2[EMW]|E[IJ]|Z[LS]|JA|VK)'))")
+@_query(f"WITH {MINED} SELECT callsign FROM mined WHERE sessions >= 2 AND callsign NOT IN (SELECT callsign FROM net_licences WHERE status = 'not issued' AND NOT regexp_matches(callsign, '{geo.FOREIGN}'))")
 def draft_roster(v):
     mined = _mined(v)
     return history.draft_roster(mined, history.check_licences(mined, v("net_licences"), "CN87")).select("callsign")
@@ -304,9 +304,9 @@ def top_k(v):
 
 # Text
 
-DECLARED = """CASE WHEN contains(raw_text, 'nothing to pass') THEN 'no' WHEN NOT contains(raw_text, 'traffic') THEN CASE WHEN contains(raw_text, 'message for') THEN 'yes' ELSE '' END
- WHEN regexp_matches(raw_text, '\\b(no|not|negative|without|nothing|none|zero|clear)( [a-z]+){0,2} traffic') THEN 'no' WHEN regexp_matches(raw_text, '\\b(any|anyone|anybody|who|whom)( [a-z]+)? traffic') THEN ''
- WHEN regexp_matches(raw_text, '\\b(have|got|holding|hold|with|carrying)( [a-z]+){0,2} traffic|traffic for') THEN 'yes' ELSE '' END"""
+DECLARED = f"""CASE WHEN contains(raw_text, 'nothing to pass') THEN 'no' WHEN NOT contains(raw_text, 'traffic') THEN CASE WHEN contains(raw_text, 'message for') THEN 'yes' ELSE '' END
+ WHEN regexp_matches(raw_text, '\\b({'|'.join(text.NEGATORS)})( [a-z]+){{0,2}} traffic') THEN 'no' WHEN regexp_matches(raw_text, '\\b({'|'.join(text.ASKING)})( [a-z]+)? traffic') THEN ''
+ WHEN regexp_matches(raw_text, '\\b({'|'.join(text.DECLARING)})( [a-z]+){{0,2}} traffic|traffic for') THEN 'yes' ELSE '' END"""
 
 
 @_query(f"SELECT session, id, {DECLARED} AS declared FROM net_log")
