@@ -3,8 +3,9 @@
 A text is reduced to a canonical form (case, copyright lines, punctuation, equivalent spellings)
 whose digest is joined to the digests of known licences; its lines are looked up in the same way,
 each as a text of its own. Null, empty and word-free texts have a null digest and match nothing.
-Rows are independent: repeated rows come out as often as they came in. An empty table gives an
-empty result; extra columns are not read.
+Rows are independent: repeated rows, and rows with repeated or null ids, are each judged by their own
+text and come out as often as they came in. Very long texts are rewritten whole. An empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .licence_texts import LICENCES
+from .licence_texts import FULL_TEXTS, LICENCES
 from .shared import settle
 
 #: Rewriting rules in order, as (pattern, replacement); a replacement names groups as {1}. Spelling
 #: rules need not give real words, only the same word for equivalent spellings. They keep line ends.
 RULES = [
-    (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", "{1}"),  # copyright lines
+    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*(copyright|[0-9]{4})|©)[^\n]*", "{1}"),  # copyright lines, not wrapped prose
+    (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", "{1}"),
     (r"https://", "http://"),
     (r"[^a-z0-9\n]+", " "),  # punctuation, quotes, dashes, white space
     (r"licenc", "licens"),
@@ -43,6 +45,10 @@ PHRASES = [
 ]
 
 
+#: Known digests up to which they are broadcast (about 150 bytes each).
+BROADCAST_ROWS = 100_000
+
+
 def _apply(out: str, rules: list[tuple[str, str]], duckdb: bool) -> str:
     for pattern, new in rules:
         for k in "12":
@@ -69,37 +75,41 @@ def _quoted(text: str, duckdb: bool) -> str:
 def known_digests(spark) -> DataFrame:
     """(known, licence): digests of the known texts, as many as the list has."""
     listed = spark.createDataFrame(LICENCES, "licence string, text string")
-    return listed.select("licence", F.expr(digest_sql(words_sql("text"))).alias("known")).groupBy("known").agg(F.min("licence").alias("licence"))
+    listed = listed.select("licence", F.expr(digest_sql(words_sql("text"))).alias("known"))
+    return listed.union(spark.createDataFrame(FULL_TEXTS, "licence string, known string")).groupBy("known").agg(F.min("licence").alias("licence"))
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(id_col, digest, licence, line_licences) of each row: the digest of the canonical whole text,
     the licence that it is, and the sorted licences that lines of it are, each line taken as an
-    entire text. Rows that repeat an id share their line_licences.
+    entire text.
 
-    known: (known, licence), by default the built-in list. Its size is that of the list, so it is
-    broadcast. Words are rewritten once for the text and its lines; only whole texts' digests and
+    known: (known, licence), by default the built-in list; it is broadcast if it has at most
+    BROADCAST_ROWS rows. Words are rewritten once for the text and its lines; only whole texts' digests and
     lines that matched go on.
     """
-    table = F.broadcast(known if known is not None else known_digests(documents.sparkSession))
-    texts = documents.select(F.col(id_col).alias("id"), F.expr(words_sql(f"cast(`{text_col}` AS string)")).alias("words"))
+    table = known if known is not None else known_digests(documents.sparkSession)
+    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    # The row numbers are used only behind the checkpoint that they are written to.
+    texts = documents.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.expr(words_sql(f"cast(`{text_col}` AS string)")).alias("words"))
     part = lambda whole, text: F.struct(F.lit(whole).alias("whole"), text.alias("text"))
     parts = F.concat(F.array(part(True, F.col("words"))), F.transform(F.split("words", "\n"), lambda x: part(False, x)))
-    looked = texts.select("id", F.explode(parts).alias("p")).select("id", "p.whole", F.expr(digest_sql("p.text")).alias("digest"))
-    looked = settle(looked.join(table, F.col("digest") == F.col("known"), "left").where("whole or licence is not null").select("id", "whole", "digest", "licence"))
-    lines = looked.where("not whole").groupBy("id").agg(F.array_sort(F.collect_set("licence")).alias("line_licences"))
+    looked = texts.select("id", "row", F.explode(parts).alias("p")).select("id", "row", "p.whole", F.expr(digest_sql("p.text")).alias("digest"))
+    looked = settle(looked.join(table, F.col("digest") == F.col("known"), "left").where("whole or licence is not null").select("id", "row", "whole", "digest", "licence"))
+    lines = looked.where("not whole").groupBy("row").agg(F.array_sort(F.collect_set("licence")).alias("line_licences"))
     empty = F.array().cast("array<string>")
-    whole = looked.where("whole").select("id", "digest", "licence")
-    return whole.join(lines, "id", "left").select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("line_licences", empty).alias("line_licences"))
+    whole = looked.where("whole").select("id", "row", "digest", "licence")
+    return whole.join(lines, "row", "left").select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("line_licences", empty).alias("line_licences"))
 
 
 def oracle_sql() -> str:
     """DuckDB SQL for `scan` over documents, with line_licences joined by commas."""
     known = ", ".join(f"({_quoted(name, True)}, {_quoted(text, True)})" for name, text in LICENCES)
+    full = ", ".join(f"('{name}', '{known}')" for name, known in FULL_TEXTS)
     words, digest = words_sql("text", True), digest_sql("words", True)
     return f"""
-        WITH listed(licence, text) AS (VALUES {known}),
-        known AS (SELECT {digest} AS known, min(licence) AS licence FROM (SELECT licence, {words} AS words FROM listed) GROUP BY 1),
+        WITH listed(licence, text) AS (VALUES {known}), full_text(licence, known) AS (VALUES {full}),
+        known AS (SELECT known, min(licence) AS licence FROM (SELECT licence, {digest} AS known FROM (SELECT licence, {words} AS words FROM listed) UNION ALL SELECT licence, known FROM full_text) GROUP BY known),
         rewritten AS (SELECT doc_id, {words} AS words FROM documents),
         line AS (SELECT doc_id, unnest(string_split(words, chr(10))) AS words FROM rewritten),
         by_line AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences
