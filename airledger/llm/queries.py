@@ -53,8 +53,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to ZIP-packaged WARC archives in the shared folder, and read back."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder).drop("payload", "url")
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages"), folder)).drop("payload", "url")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

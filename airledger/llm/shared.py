@@ -1,12 +1,29 @@
-"""Cutting lineage, and connected components by alternating stars."""
+"""Bounded batches, cutting lineage, and connected components by alternating stars."""
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of rows that an Arrow batch carries to a Python worker (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, so that long rows do not fill a worker's memory.
+    The bound is the session's, which is lowered if it is above BATCH_BYTES; no result depends on it."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_CONF).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,10 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airledger-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder for a session of one process; a cluster has to name a shared one."""
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="airledger-checkpoint-")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the session's checkpoint folder and cut its lineage there."""
     shared_folder(df.sparkSession)
