@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, byte_set, chunks, utf8, word_spans
 from .ngrams import BUCKETS, class_counts, gram_buckets
+from .shared import map_batches
 
 #: Bytes of words: letters, and all bytes of characters beyond ASCII.
 LETTER = byte_set([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -157,4 +158,4 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
                     names=[id_col, "lang_pred", "score", "languages", "shares"],
                 )
 
-    return documents.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return map_batches(documents.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` {id_type}, lang_pred string, score double, languages array<string>, shares array<double>")

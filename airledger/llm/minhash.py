@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, byte_set, chunks, distinct_per_row, int_lists, mix, span_hashes, utf8, word_spans
-from .shared import connected_components, settle
+from .shared import connected_components, map_batches, settle
 
 #: Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and return.
 WORD = ~byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -109,7 +109,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, words: int, ban
                     names=["id", "n_shingles", "d0", "d1", "packed", "buckets"],
                 )
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, d0 long, d1 long, packed array<long>, buckets array<long>")
+    return map_batches(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, n_shingles long, d0 long, d1 long, packed array<long>, buckets array<long>")
 
 
 def shingle_sets(documents: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -122,7 +122,7 @@ def shingle_sets(documents: DataFrame, id_col: str, text_col: str, words: int) -
                 row, h = shingle_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), int_lists(h.view(np.int64), np.bincount(row, minlength=j - i))], names=["id", "shingles"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, shingles array<long>")
+    return map_batches(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, shingles array<long>")
 
 
 def estimated_similarity(left: str, right: str, k: int = BANDS * ROWS) -> F.Column:

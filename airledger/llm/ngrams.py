@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import CHUNK_BYTES, chunks, utf8
+from .shared import map_batches
 
 #: Buckets that byte n-grams are hashed to.
 BUCKETS = 1 << 16
@@ -52,4 +53,4 @@ def class_counts(rows: DataFrame, row_buckets: Callable[[np.ndarray, np.ndarray]
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), type=pa.string()), pa.array(np.where(at == BUCKETS, -1, at)), pa.array(total[at])], names=["label", "bucket", "n"])
 
-    return rows.mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return map_batches(rows, run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))

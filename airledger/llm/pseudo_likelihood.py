@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, byte_set, chunks, span_hashes, utf8, word_spans
+from .shared import map_batches
 
 WORD = byte_set([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 #: The vocabulary is FACTOR x FACTOR: the most frequent words, then buckets of all others by hash.
@@ -75,7 +76,7 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
                 words, n = np.unique(span_hashes(LOWER[part], starts, ends), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return documents.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(documents.select(F.col(text_col).cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _token_rows(model: WindowModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +169,7 @@ def _round(texts: DataFrame, model: WindowModel) -> dict[str, np.ndarray]:
         total = sum(np.frombuffer(x, dtype=np.float64) for x in table["sums"].to_pylist())
         return pa.table({"slice": table["slice"][:1], "mean": pa.array([(total / sum(table["seen"].to_pylist())).tobytes()], type=pa.binary())})
 
-    rows = texts.mapInArrow(run, "slice int, seen long, sums binary").groupBy("slice").applyInArrow(add, "slice int, mean binary").collect()
+    rows = map_batches(texts, run, "slice int, seen long, sums binary").groupBy("slice").applyInArrow(add, "slice int, mean binary").collect()
     if not rows:
         return model.weights
     return _shaped(np.concatenate([np.frombuffer(r["mean"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["slice"])]))
@@ -203,4 +204,4 @@ def score(documents: DataFrame, model: WindowModel, id_col: str = "doc_id", text
                 mean = total / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, mask=n == 0)], names=[id_col, "n_tokens", "pseudo_log_likelihood", "mean_log_likelihood"])
 
-    return documents.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, pseudo_log_likelihood double, mean_log_likelihood double")
+    return map_batches(documents.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` {id_type}, n_tokens long, pseudo_log_likelihood double, mean_log_likelihood double")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .kernels import byte_set, chunks, int_lists, span_hashes, utf8, word_spans
 from .ngrams import BUCKETS, class_counts, gram_buckets
+from .shared import map_batches
 
 WORD = ~byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Shares of repeated words from which an indicator is set.
@@ -121,7 +122,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return pd.DataFrame({"bucket": np.append(at, -1), "w": np.append(w[at], bias)})
 
     id_type = documents.schema[id_col].dataType.simpleString()
-    spread = rows.select("id", "text", "label").mapInArrow(features, f"id {id_type}, grams array<int>, label int").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    spread = map_batches(rows.select("id", "text", "label"), features, f"id {id_type}, grams array<int>, label int").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     fitted = spread.groupBy("block").applyInPandas(fit, "bucket long, w double").groupBy("bucket").agg((F.sum("w") / blocks).alias("w")).toPandas()
     weights = np.zeros(BUCKETS)
     inner = fitted.bucket >= 0
@@ -147,4 +148,4 @@ def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", tex
                 value = 1 / (1 + np.exp(-SHARPNESS * np.clip(margin, -50, 50))) if m.constant is None else np.full(j - i, m.constant)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return documents.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
+    return map_batches(documents.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` {id_type}, score double, predicted int")

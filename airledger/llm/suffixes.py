@@ -3,12 +3,15 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id,
 or in the same document before. Rows: one per document row. Null texts are empty; texts shorter
 than `length` keep all their bytes; rows that repeat an id are documents of equal rank, so neither
-makes the other's strings earlier ones. An empty table gives an empty result; extra columns are
-not read.
+makes the other's strings earlier ones; rows without an id come after all others and are of equal
+rank (the id 2^63 - 1 stands for none). A very long text makes up a block, which one task holds
+packed; what is derived from it is made piece by piece, and equal contexts are kept once. An empty
+table gives an empty result; extra columns are not read.
 
 Only suffixes at anchors are sorted. An anchor is the place of the smallest fingerprint of GRAM
-bytes in some string of `length` bytes, so equal strings have theirs at equal places. Blocks of
-documents go through these steps:
+bytes in some string of `length` bytes, so equal strings have theirs at equal places. Documents are
+packed into blocks once, in a table of the checkpoint folder, so that nothing depends on how the input
+is split later on. Blocks go through these steps:
 
 1. Fingerprints of all anchors meet in slices; an anchor whose fingerprint is single is left out.
 2. The others' contexts (the bytes from the anchor on, then those before it, backwards) are sorted
@@ -36,13 +39,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import BYTE_CODE, _P, _P_INV, mix, powers, utf8
-from .shared import settle
+from .shared import map_batches, settle
 
 _U = np.uint64
 #: Bytes of an anchor's fingerprint.
 GRAM = 32
 #: Bytes of text of a block, and the slices in which fingerprints meet.
 BLOCK_BYTES, SLICES = 2 << 20, 512
+#: Bytes in which a block's anchors are found at once, and contexts that are compared at once.
+PIECE_BYTES, PIECE_ROWS = 1 << 19, 1 << 15
+#: Stands for the id of rows without one.
+NO_ID = (1 << 63) - 1
 #: Ranges of the sort: one per block, at most so many (their cuts are broadcast, 32 bytes each).
 MAX_RANGES = 16384
 
@@ -101,17 +108,36 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield block()
 
 
-def _block_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """anchors() of a block, a part of its documents at a time."""
-    places, prints = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_U)]
-    i = 0
+def _block_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """anchors() of a block, some documents or a piece of a long one at a time. A piece is read with
+    the bytes around it that decide on its anchors."""
+    i, around = 0, 2 * length
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), side="right")) - 1)
-        at, h = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-        places.append(at + offsets[i])
-        prints.append(h)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, side="right")) - 1)
+        begin, end = int(offsets[i]), int(offsets[j])
+        for lo in range(begin, end, PIECE_BYTES) if j == i + 1 else [begin]:
+            hi = min(lo + PIECE_BYTES, end) if j == i + 1 else end
+            first, last = max(begin, lo - around), min(end, hi + around)
+            bounds = np.array([0, last - first]) if j == i + 1 else offsets[i : j + 1] - begin
+            at, h = anchors(data[first:last], bounds, length)
+            own = (at + first >= lo) & (at + first < hi)
+            yield at[own] + first, h[own]
         i = j
-    return np.concatenate(places), np.concatenate(prints)
+
+
+def distinct_contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of the places, sorted, and the number of each place's context. They are
+    made and folded some at a time, so that a text of few different contexts takes little memory."""
+    rows, which, n = [contexts(data, offsets, places[:0], length)], [np.zeros(0, dtype=np.int64)], 0
+    for at in range(0, len(places), PIECE_ROWS):
+        part = contexts(data, offsets, places[at : at + PIECE_ROWS], length)
+        _, first, number = np.unique(_strings(part), return_index=True, return_inverse=True)
+        rows.append(part[first])
+        which.append(number + n)
+        n += len(first)
+    whole = np.concatenate(rows)
+    _, first, number = np.unique(_strings(whole), return_index=True, return_inverse=True)
+    return whole[first], number[np.concatenate(which)] if n else np.concatenate(which)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -278,19 +304,18 @@ def later_strings(rows: np.ndarray, lcp: np.ndarray, docs: np.ndarray, places: n
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each row; kept_text is what
-    is left, without characters that were cut in part. The texts are read once for each of steps 1, 2 and 4, so documents should be a scan
-    whose tasks read the same rows each time; blocks whose anchors differ make the job fail."""
+    is left, without characters that were cut in part."""
     if not GRAM < length <= 250:
         raise ValueError(f"length must lie between {GRAM + 1} and 250")
     spark = documents.sparkSession
     back = length - GRAM
     width = length + back + 2
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, data, offsets in _blocks(batches):
-            _, h = _block_anchors(data, offsets, length)
-            h = np.unique(h)
+        for block, packed in _packed(batches):
+            _, offsets, data = _loosen(packed)
+            h = np.unique(np.concatenate([np.zeros(0, dtype=_U), *(np.unique(h) for _, h in _block_anchors(data, offsets, length))]))
             part = (h % _U(SLICES)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             h, size = h[order] // _U(SLICES), np.bincount(part, minlength=SLICES)
@@ -307,6 +332,11 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         marks = [_squeeze(np.packbits(np.isin(x, many, assume_unique=True))) for x in sets]
         return pa.table({"of": table["block"], "at": table["slice"], "marks": pa.array(marks, type=pa.binary())})
 
+    def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
     def packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, data, offsets in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_squeeze(ids, offsets, data)], type=pa.binary())], names=["block", "texts"])
@@ -314,32 +344,30 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def suspects(left: pa.Table, right: pa.Table) -> tuple:
         """Of a block: ids, offsets, bytes, places of suspect anchors (in order of id and place),
         the order of their contexts, and the distinct sorted contexts with the number of each."""
-        if left.num_rows != 1:
-            raise ValueError("the texts were not the same at all readings")
         ids, offsets, data = _loosen(left["texts"][0].as_py())
-        places, h = _block_anchors(data, offsets, length)
-        known, which, often = np.unique(h, return_inverse=True, return_counts=True)
+        found = [(at.astype(np.int64), h) for at, h in _block_anchors(data, offsets, length)]
+        known = np.unique(np.concatenate([np.zeros(0, dtype=_U), *(np.unique(h) for _, h in found)]))
         part = (known % _U(SLICES)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         size = np.bincount(part, minlength=SLICES)
         marks = dict(zip(right["at"].to_pylist(), right["marks"].to_pylist(), strict=True))
-        if set(marks) != set(np.flatnonzero(size).tolist()):
-            raise ValueError("the texts were not the same at all readings")
         many = np.zeros(len(known), dtype=bool)
         if len(known):
             many[order] = np.concatenate([np.unpackbits(_loosen(marks[s])[0])[: size[s]].astype(bool) for s in np.flatnonzero(size)])
+        often = np.zeros(len(known), dtype=np.int64)
+        for _, h in found:
+            often += np.bincount(np.searchsorted(known, h), minlength=len(known))
         many |= often > 1
-        places = places[many[which]]
-        rows = contexts(data, offsets, places, length)
-        by = np.argsort(_strings(rows), kind="stable")
-        rows = rows[by]
-        fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = common_prefixes(rows)[1:] < width
-        return ids, offsets, data, places, by, rows[fresh], np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-
-    fingerprints = settle(texts.mapInArrow(prints, "block long, slice int, prints binary").groupBy("slice").applyInArrow(meet, "of long, at int, marks binary"))
-    blocks = fingerprints.select("of").distinct().count()
-    sample = _splitters(documents, text_col, length, max(1, min(MAX_RANGES, blocks)))
+        places = np.concatenate([np.zeros(0, dtype=np.int64), *(at[many[np.searchsorted(known, h)]] for at, h in found)])
+        rows, which = distinct_contexts(data, offsets, places, length)
+        by = np.argsort(which, kind="stable")
+        number = which[by]
+        return ids, offsets, data, places, by, rows, number, np.flatnonzero(np.diff(number, prepend=-1))
+
+    source = settle(map_batches(texts, packed_blocks, "block long, texts binary"))
+    fingerprints = settle(map_batches(source, prints, "block long, slice int, prints binary").groupBy("slice").applyInArrow(meet, "of long, at int, marks binary"))
+    blocks = source.count()
+    sample = _splitters(documents, text_col, length, max(1, min(MAX_RANGES, blocks)), max(0.01, min(1.0, 8 / max(1, blocks))))
     cuts = np.frombuffer(sample, dtype=f"S{GRAM}") if sample else np.zeros(0, dtype=f"S{GRAM}")
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -394,7 +422,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             mine = np.concatenate([mine, own])
             later = np.concatenate([later, np.unpackbits(bits.reshape(int(own.sum()), (back + 8) // 8), axis=1)[:, : back + 1].astype(bool)])
         if len(mine) != len(rows):
-            raise ValueError("the texts were not the same at all readings")
+            raise ValueError("an answer of a range is missing")
         change = np.zeros(len(data) + 1, dtype=np.int64)
         if len(rows):
             size = rows.shape[1]
@@ -428,29 +456,27 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({name: pa.array(x, type=kind) for (name, x), kind in zip(out.items(), kinds, strict=False)})
 
-    source = texts.mapInArrow(packed_blocks, "block long, texts binary")
     sorted_runs = source.groupBy("block").cogroup(fingerprints.groupBy("of")).applyInArrow(runs, "range int, block long, run binary")
     answers = sorted_runs.groupBy("range").applyInArrow(combine, "of long, at int, marks binary")
     back_to = fingerprints.union(answers.select("of", (F.col("at") + SLICES).alias("at"), "marks"))
     out = source.groupBy("block").cogroup(back_to.groupBy("of")).applyInArrow(drop, T.StructType(fields))
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
 
 
-def _splitters(documents: DataFrame, text_col: str, length: int, ranges: int) -> bytes:
-    """GRAM-byte strings that cut the anchors of a sample of documents into so many equal ranges.
+def _splitters(documents: DataFrame, text_col: str, length: int, ranges: int, share: float) -> bytes:
+    """GRAM-byte strings that cut the anchors of a share of the documents into so many equal ranges.
     They only balance the ranges: any cuts give the same result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            at, h = _block_anchors(data, offsets, length)
-            at = at[(h >> _U(8)) % _U(16) == 0]
+            at = np.concatenate([np.zeros(0, dtype=np.int64), *(at[(h >> _U(8)) % _U(16) == 0] for at, h in _block_anchors(data, offsets, length))])
             rows = data[np.minimum(at[:, None] + np.arange(GRAM), len(data) - 1)] if len(at) else np.zeros((0, GRAM), dtype=np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], type=pa.binary())], names=["gram"])
 
     if ranges < 2:
         return b""
-    found = documents.select(F.col(text_col).cast("string")).sample(0.01, seed=1).mapInArrow(run, "gram binary")
+    found = map_batches(documents.select(F.col(text_col).cast("string")).sample(share, seed=1), run, "gram binary")
     numbered = found.orderBy(F.xxhash64("gram")).limit(32 * ranges)
     grams = sorted(bytes(row.gram) for row in numbered.collect())
     return b"".join(grams[i * len(grams) // ranges] for i in range(1, ranges) if grams)
