@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle (operator 8).
 
-Texts are cut into blocks of whole documents. A block keeps the sequence of its pre-tokens as
-positions into its own word list; the lists are shuffled by word, so that each distinct word of
-the corpus is encoded once, its ids go back to the blocks that have it, and each block puts its
-documents together by position. Null and empty texts have
-no ids. Rows are independent: repeated rows and ids are encoded like any other. An empty table
-gives an empty result; extra columns are not read. Very long texts form a block of their own.
+Texts are cut into blocks of whole documents and split into pre-tokens once. A block's record keeps
+the sequence of its pre-tokens as numbers of its own word list; the lists are shuffled by word, so
+that each distinct word of the corpus is encoded once, its ids go back to the blocks that have it,
+and each block puts its documents together by position. Blocks are made in one place only, so
+nothing depends on how the input is split. Null and empty texts have no ids. Rows are independent:
+repeated rows and rows with repeated or null ids are encoded like any other. An empty table gives an
+empty result; extra columns are not read. A very long text closes the block that it falls into, so
+that a block holds less than BLOCK_BYTES besides one text.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import map_batches
+
 #: Bytes of text from which a block is closed.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 #: Slices that words hash to: the grain of the word shuffle.
 SLICES = 1024
 #: Words whose ids a task remembers (at about 300 bytes 150 MB); beyond that it starts afresh.
@@ -94,10 +98,10 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def _pack(numbers: np.ndarray, level: int = 1) -> bytes:
     """Unsigned 32-bit integers as byte planes, compressed."""
     planes = [(numbers >> shift).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)]
-    return struct.pack("<q", len(numbers)) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return struct.pack("<q", len(numbers)) + zstandard.ZstdCompressor(level=level).compress(b"".join(planes))
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -118,111 +122,127 @@ def _unpack(packed: bytes) -> np.ndarray:
     return planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16) | planes[3] << np.uint32(24)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, list[int], np.ndarray, list[bytes], np.ndarray]]:
-    """Of each block of a task: number, ids, pre-tokens of each document, sequence, and the words
-    in order of their slice with the number of words of each slice."""
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, list[int], np.ndarray, list[str]]]:
+    """Of each block of a task: number, ids, pre-tokens of each document, sequence and word list.
+    Frequent words come first in the list, so that the sequence packs well."""
     split = regex.compile(pattern).findall
     no, seq = TaskContext.get().partitionId(), 0
-    ids, lengths, found, number, size = [], [], [], {}, 0
+    ids, lengths, found, number, size = [], [], [], _Numbers(), 0
 
     def block():
-        words = [x.encode() for x in number]
-        slices = np.fromiter((zlib.crc32(x) % SLICES for x in words), dtype=np.int64, count=len(words))
-        order = np.argsort(slices, kind="stable")
-        rank = np.empty(len(order), dtype=np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        return no << 32 | seq, ids, lengths, rank[np.concatenate(found)], [words[i] for i in order], np.bincount(slices, minlength=SLICES)
+        sequence, words = np.concatenate(found), list(number)
+        order = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), dtype=np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        return no << 32 | seq, ids, lengths, rank[sequence], [words[i] for i in order]
 
     for batch in batches:
         texts = batch.column(1)
         for i in range(batch.num_rows):
             text = texts[i].as_py() or ""
             words = split(text)
-            row = np.fromiter((number.setdefault(x, len(number)) for x in words), dtype=np.uint32, count=len(words))
+            found.append(np.fromiter(map(number.__getitem__, words), dtype=np.uint32, count=len(words)))
             ids.append(batch.column(0)[i].as_py())
-            lengths.append(len(row))
-            found.append(row)
+            lengths.append(len(words))
             size += len(text)
             if size >= BLOCK_BYTES:
                 yield block()
                 seq += 1
-                ids, lengths, found, number, size = [], [], [], {}, 0
+                ids, lengths, found, number, size = [], [], [], _Numbers(), 0
     if ids:
         yield block()
 
 
-def word_slices(texts: DataFrame, pattern: str) -> DataFrame:
-    """(block, slice, words): the distinct words of each block by the slice that they hash to."""
+def _parts_schema(id_type: T.DataType) -> T.StructType:
+    """A part is a block's record (slice -1: ids, lengths, packed sequence, slice of each word) or
+    the words of a block that hash to a slice, packed and later coded."""
+    kinds = {"block": T.LongType(), "slice": T.IntegerType(), "ids": T.ArrayType(id_type), "lengths": T.ArrayType(T.LongType()), "data": T.BinaryType(), "slices": T.BinaryType()}
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+def block_parts(texts: DataFrame, pattern: str) -> DataFrame:
+    """The parts of all blocks, by _parts_schema."""
+    id_type = texts.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, words, sizes in _blocks(batches, pattern):
-            ends = np.cumsum(sizes)
-            some = np.flatnonzero(sizes)
-            packed = [_pack_words(words[ends[k] - sizes[k] : ends[k]]) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), pa.array(packed, type=pa.binary())], names=["block", "slice", "words"])
+        for block, ids, lengths, sequence, known in _blocks(batches, pattern):
+            words = [x.encode() for x in known]
+            slices = np.fromiter((zlib.crc32(x) % SLICES for x in words), dtype=np.uint32, count=len(words))
+            order, sizes = np.argsort(slices, kind="stable"), np.bincount(slices, minlength=SLICES)
+            ends, some = np.cumsum(sizes), np.flatnonzero(sizes)
+            packed = [_pack_words([words[i] for i in order[ends[k] - sizes[k] : ends[k]]]) for k in some]
+            none = [None] * len(some)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(some) + 1, block)),
+                    pa.array(np.append(some, -1).astype(np.int32)),
+                    pa.array([*none, ids], type=pa.list_(_arrow(id_type))),
+                    pa.array([*none, lengths], type=pa.list_(pa.int64())),
+                    pa.array([*packed, _pack(sequence, 3)], type=pa.binary()),
+                    pa.array([*none, _pack(slices)], type=pa.binary()),
+                ],
+                names=["block", "slice", "ids", "lengths", "data", "slices"],
+            )
 
-    return texts.mapInArrow(run, "block long, slice int, words binary")
+    return map_batches(texts, run, _parts_schema(id_type))
 
 
-def encode_slices(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(of, at, coded): the ids of each block's words. A slice's rows of all blocks come to one
-    task, which encodes each distinct word when it first meets it."""
-    shared = slices.sparkSession.sparkContext.broadcast(ranks)
+def encode_words(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The parts with words coded. A slice's words of all blocks come to one task, which encodes
+    each distinct word when it first meets it; block records pass through, dealt out by block."""
+    shared = parts.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = shared.value, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                out = []
-                for word in _unpack_words(batch.column(2)[i].as_py()):
-                    ids = known.get(word)
-                    if ids is None:
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        ids = known[word] = np.array(encode_word(word, table), dtype=np.uint32)
-                    out.append(ids)
-                counts = _pack(np.array([len(x) for x in out], dtype=np.uint32))
-                coded = struct.pack("<q", len(counts)) + counts + _pack(np.concatenate(out))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([coded], type=pa.binary())], names=["of", "at", "coded"])
-
-    return slices.repartition("slice").mapInArrow(run, "of long, at int, coded binary")
+                row = batch.slice(i, 1)
+                if row.column(1)[0].as_py() >= 0:
+                    out = []
+                    for word in _unpack_words(row.column(4)[0].as_py()):
+                        ids = known.get(word)
+                        if ids is None:
+                            if len(known) >= KNOWN_WORDS:
+                                known.clear()
+                            ids = known[word] = np.array(encode_word(word, table), dtype=np.uint32)
+                        out.append(ids)
+                    counts = _pack(np.array([len(x) for x in out], dtype=np.uint32))
+                    coded = struct.pack("<q", len(counts)) + counts + _pack(np.concatenate(out))
+                    row = row.set_column(4, "data", pa.array([coded], type=pa.binary()))
+                yield row
+
+    dealt = parts.repartition(F.when(F.col("slice") >= 0, F.col("slice").cast("long")).otherwise(F.col("block")))
+    return map_batches(dealt, run, parts.schema)
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, token_ids: the ids as little-endian unsigned 32-bit integers) of every row.
-
-    The texts are split twice, once for the words and once for the positions, so that neither has
-    to be kept: documents should be a scan, whose tasks read the same rows each time. If they did
-    not, the word counts of the two would differ and the job fails.
-    """
-    id_type = documents.schema[id_col].dataType
+    """(id_col, token_ids: the ids as little-endian unsigned 32-bit integers) of every row."""
     texts = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    id_type = texts.schema[0].dataType
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, lengths, sequence, words, _ in _blocks(batches, pattern):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([ids], type=pa.list_(_arrow(id_type))), pa.array([lengths], type=pa.list_(pa.int64())), pa.array([_pack(sequence)], type=pa.binary()), pa.array([len(words)], type=pa.int64())],
-                names=["block", "ids", "lengths", "sequence", "n_words"],
-            )
-
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("sequence", T.BinaryType()), T.StructField("n_words", T.LongType())])
-    blocks = texts.mapInArrow(positions, schema)
-    back = encode_slices(word_slices(texts, pattern), ranks)
-    out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("token_ids", T.BinaryType())])
-
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["at"].to_numpy()) if right.num_rows else []
+    def join(parts: pa.Table) -> pa.Table:
+        order = np.argsort(parts["slice"].to_numpy())
+        record = parts.slice(int(order[0]), 1)
         sizes, flat = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
-        for i in order:
-            coded = right["coded"][i].as_py()
+        for i in order[1:]:
+            coded = parts["data"][int(i)].as_py()
             (n,) = struct.unpack_from("<q", coded)
             sizes.append(_unpack(coded[8 : 8 + n]).astype(np.int64))
             flat.append(_unpack(coded[8 + n :]))
-        size, flat = np.concatenate(sizes), np.concatenate(flat).astype("<u4")
-        if left.num_rows != 1 or left["n_words"][0].as_py() != len(size):
-            raise ValueError("the texts were not the same at both readings")
-        first = np.cumsum(size) - size
-        ids, lengths, sequence = left["ids"][0].as_py(), np.asarray(left["lengths"][0].as_py(), dtype=np.int64), _unpack(left["sequence"][0].as_py())
+        flat, by_slice = np.concatenate(flat).astype("<u4"), np.concatenate(sizes)
+        slices = _unpack(record["slices"][0].as_py())
+        size, first = np.empty(len(slices), dtype=np.int64), np.empty(len(slices), dtype=np.int64)
+        by = np.argsort(slices, kind="stable")
+        size[by], first[by] = by_slice, np.cumsum(by_slice) - by_slice
+        ids, lengths, sequence = record["ids"][0].as_py(), np.asarray(record["lengths"][0].as_py(), dtype=np.int64), _unpack(record["data"][0].as_py())
         out = []
         for end, n in zip(np.cumsum(lengths), lengths, strict=True):
             part = sequence[end - n : end]
@@ -231,7 +251,8 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
             out.append(flat[where].tobytes())
         return pa.table({id_col: pa.array(ids, type=_arrow(id_type)), "token_ids": pa.array(out, type=pa.binary())})
 
-    return blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(join, out_schema)
+    coded = encode_words(block_parts(texts, pattern), ranks)
+    return coded.groupBy("block").applyInArrow(join, T.StructType([T.StructField(id_col, id_type), T.StructField("token_ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:
@@ -261,4 +282,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
                     out.append(raw[where].tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, type=pa.binary())], names=[*columns, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_batches(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
