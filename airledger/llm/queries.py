@@ -37,7 +37,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = language.learn(documents.where(~held_out("doc_id", 5, 0)))
     found = language.identify(documents.withColumn("row", F.struct("doc_id", held_out("doc_id", 5, 0).alias("held_out"))), model, "row")
-    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "languages", "shares")
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "languages", "shares", "fit")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

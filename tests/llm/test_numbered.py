@@ -182,20 +182,65 @@ def test_loser_tree_merges():
 def test_warc(spark, tmp_path, zip64):
     rows = [(5, "http://a/\r\nx", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (9, None, None), (8, "http://c", ""), (7, "http://d", "Zq" * 50_000), (1, "http://e", "a\r\n\r\nb")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, payload int")
-    warc.write_archives(df, str(tmp_path / "w"), archive_bytes=1000, zip64=zip64)
-    got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    archives = warc.write_archives(df, str(tmp_path / "w"), archive_bytes=1000, zip64=zip64)
+    got = {r.page_id: r for r in warc.read_archives(archives).collect()}
     for page, _, html in rows:
         raw = (html or "").encode()
         first = min(p for p, _, h in rows if (h or "").encode() == raw)
         want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first == page else "revisit", None if first == page else first)
         assert (got[page].payload_bytes, got[page].payload_digest, got[page].record_type, got[page].refers_to) == want
-        assert got[page].payload is None or bytes(got[page].payload) == raw
-    for file in (tmp_path / "w").glob("*.txt"):
+        assert got[page].payload is None or (bytes(got[page].payload) == raw and got[page].intact)
+    files = list((tmp_path / "w" / "archives").glob("*.zip"))
+    assert files and {r.path.rpartition("/")[2] for r in warc.list_archives(spark, str(tmp_path / "w")).collect()} == {x.name for x in files}
+    for file in files:
         with zipfile.ZipFile(file) as z:
             assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {0}
             assert gzip.GzipFile(fileobj=io.BytesIO(z.read(warc.DATA))).read().startswith(b"WARC/1.1")
-    warc.write_archives(df.limit(0), str(tmp_path / "none"))
-    assert warc.read_archives(spark, str(tmp_path / "none")).collect() == []
+    assert warc.read_archives(warc.write_archives(df.limit(0), str(tmp_path / "none"))).collect() == []
+
+
+def test_warc_rows_without_id_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "B"), (None, "A"), (None, None), (2, "B")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(df, str(tmp_path / "w"))).collect()
+    found = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, bytes(r.payload) if r.payload is not None else None) for r in got if r.record_type == "response")
+    assert found == [(0, "response", 0, b""), (0, "response", 0, b"A"), (1, "response", 0, b"A"), (2, "response", 0, b"B"), (2, "response", 0, b"B")]
+    assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == [(2, 1), (3, 2)]
+
+
+def test_warc_foreign_archives(spark, tmp_path):
+    """Archives of another writer: own member names, no extension fields, gzip or plain, with or without an index; and one beyond 4 GB."""
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    plain = lambda kind, body: b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Target-URI: http://x\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(body), body)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: text/plain\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    raws = [info, plain(b"response", block)]
+    packed = [gzip.compress(x) for x in raws]
+    lines = "".join("com,x)/ 2020 " + f'{{"filename": "other.warc.gz", "offset": "{o}", "length": "{n}"}}\n' for o, n in ((0, len(packed[0])), (len(packed[0]), len(packed[1]))))
+    made = {"a": {"archive/one.warc.gz": b"".join(packed)}, "b": {"archive/two.warc": b"".join(raws), "pages/pages.jsonl": b'{"title": "no place"}'}, "c": {"archive/other.warc.gz": b"".join(packed), "indexes/index.cdx.gz": gzip.compress(lines.encode())}}
+    for name, members in made.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_STORED) as z:
+            z.comment = b"a comment with PK\x05\x06 in it"
+            for member, data in members.items():
+                z.writestr(member, data)
+    gap = 5 << 30
+    with open(tmp_path / "far.zip", "wb") as f:  # the same members behind a sparse gap of 5 GB
+        f.seek(gap)
+        central, at = b"", gap
+        for key, data in made["c"].items():
+            local = warc.LOCAL + b"\x2d\0" + b"\0" * 12 + len(data).to_bytes(4, "little") * 2 + len(key).to_bytes(2, "little") + b"\0\0" + key.encode()
+            f.write(local + data)
+            extra = b"\1\0\x08\0" + at.to_bytes(8, "little")
+            central += warc.CENTRAL + b"\x2d\0\x2d\0" + b"\0" * 12 + len(data).to_bytes(4, "little") * 2 + len(key).to_bytes(2, "little") + len(extra).to_bytes(2, "little") + b"\0" * 10 + b"\xff" * 4 + key.encode() + extra
+            at += len(local) + len(data)
+        end64 = at + len(central)
+        f.write(central + warc.END64 + (44).to_bytes(8, "little") + b"\x2d\0\x2d\0" + b"\0" * 8 + (2).to_bytes(8, "little") * 2 + len(central).to_bytes(8, "little") + at.to_bytes(8, "little"))
+        f.write(warc.LOCATOR64 + b"\0" * 4 + end64.to_bytes(8, "little") + b"\1\0\0\0" + warc.END + b"\0" * 4 + b"\xff" * 12 + b"\0\0")
+    got = warc.read_archives(warc.list_archives(spark, str(tmp_path))).collect()
+    assert sorted((r.record_type, bytes(r.payload), r.page_id, r.intact) for r in got) == [("response", b"hello", None, None)] * 4 + [("warcinfo", b"abc", None, None)] * 4
+    with zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.warc", raws[0])
+    with pytest.raises(Exception, match="compressed by the archive"):
+        warc.read_archives(warc.list_archives(spark, str(tmp_path)).where("path like '%packed%'")).collect()
 
 
 def test_bpe(spark, texts):
@@ -290,3 +335,99 @@ def test_licences(spark):
     assert (got[1].licence, got[2].licence, got[3].licence, got[4].digest) == ("MIT", "MIT", None, None)
     assert got[3].line_licences == ["CC-BY-NC-4.0", "MIT"] and got[5].line_licences == []
     assert licences.scan(docs(spark, [])).collect() == []
+
+
+def test_licences_rows_with_repeated_and_null_ids(spark):
+    rows = [(1, "plain words"), (1, "x\nLicensed under the MIT License."), (None, "Published under the terms of the Mozilla Public License 2.0"), (None, "no")]
+    got = sorted((r.doc_id or 0, r.licence or "", ",".join(r.line_licences)) for r in licences.scan(docs(spark, rows)).collect())
+    assert got == [(0, "", ""), (0, "MPL-2.0", "MPL-2.0"), (1, "", ""), (1, "", "MIT")]
+
+
+def test_licences_known_in_other_wordings(spark):
+    """Texts rewrapped, respelled and under another holder's copyright line; changed terms are no match."""
+    import textwrap
+
+    from airledger.llm import licence_texts as known
+
+    fill = lambda text, width: "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+    gnu = (known.GNU_NOTICE + "\n\n" + known.GNU_COPY).format("library", "Affero General Public License", "3")
+    rows = [
+        (1, "BSD 3-Clause License\n\nCopyright (c) 2011, A. Body\nAll rights reserved.\n\n" + fill(known.BSD_3, 60).replace('"AS IS"', "``AS IS''")),
+        (2, "/*\n" + fill(known.MIT, 50).replace("\n", "\n * ") + "\n */"),
+        (3, "Copyright © 1999 B\n" + fill(gnu, 72).replace("licens", "licenc").replace(": you", "; you")),
+        (4, known.MIT.replace("free of charge", "for a fee")),
+        (5, "This document is licensed under the Creative Commons Attribution-ShareAlike 3.0 License"),
+        (6, fill(known.UNLICENSE, 40)),
+    ]
+    got = {r.doc_id: r.licence for r in licences.scan(docs(spark, rows)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "MIT", 3: "AGPL-3.0-or-later", 4: None, 5: "CC-BY-SA-3.0", 6: "Unlicense"}
+
+
+def test_licences_match_their_sql(spark):
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = sorted(map(tuple, con.execute(licences.oracle_sql() + " ").fetchall()), key=str)
+    from airledger.llm.queries import op2_licence_scan
+
+    assert sorted(map(tuple, op2_licence_scan(spark, data).collect()), key=str) == want
+
+
+def test_contamination_rows_without_id_and_short_windows(spark):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "one"), (None, "gamma"), (3, " ".join(f"w{i}" for i in range(12))), (4, None)], "item_id long, text string")
+    rows = [(None, "so alpha\x00beta!"), (None, "gamma one one"), (7, "nothing"), (7, "ONE"), (8, "x " + " ".join(f"W{i}" for i in range(12)) + " y"), (9, None), (10, "one " * 400_000)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, ",".join(r.items), str([tuple(h) for h in r.hits])) for r in decontamination.contamination(docs(spark, rows), bench).collect())
+    assert got == [(0, 3, 2, "1", "[(1, 2)]"), (0, 3, 2, "2", "[(1, 2)]"), (7, 1, 0, "", "[]"), (7, 1, 1, "2", "[(0, 1)]"), (8, 14, 12, "3", "[(1, 12)]"), (9, 0, 0, "", "[]"), (10, 400_000, 400_000, "2", "[(0, 400000)]")]
+
+
+def test_bpe_rows_without_id_and_long_texts(spark):
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(None, "one two"), (None, None), (3, "x" * 3_000_000), (3, "other text"), (4, "a b " * 600_000)]
+    got = bpe.decode(bpe.encode(docs(spark, rows), ranks, public_tokenizers.PATTERN), ranks).collect()
+    raw = sorted(bytes(r.decoded) for r in got)
+    assert sorted(str(r.doc_id) for r in got) == ["3", "3", "4", "None", "None"] and raw == sorted((t or "").encode() for _, t in rows)
+    for r in got:
+        if len(r.decoded) < 3_000_000 or r.doc_id == 4:
+            assert np.frombuffer(r.token_ids, dtype="<u4").tolist() == known.encode_ordinary(bytes(r.decoded).decode())
+
+
+def test_repeated_strings_rows_without_id(spark):
+    once, more = "é".join(str(i) for i in range(60)), "y" * 99 + "".join(chr(97 + i * 7 % 26) for i in range(150))
+    rows = [(None, once), (None, once + "x"), (4, more), (None, more), (None, None)]
+    got = sorted((suffixes.NO_ID if r.doc_id is None else r.doc_id, *list(r)[1:]) for r in suffixes.remove_repeats(docs(spark, rows)).collect())
+    assert got == brute_repeats([(suffixes.NO_ID if d is None else d, (t or "").encode()) for d, t in rows])
+
+
+def test_repeated_strings_survive_another_split(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, base[rng.randrange(2000) :][: rng.randint(50, 900)]) for i in range(200)]
+    real = suffixes._splitters
+
+    def changed(*args):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "7")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        return real(*args)
+
+    monkeypatch.setattr(suffixes, "_splitters", changed)
+    try:
+        got = sorted(tuple(r) for r in suffixes.remove_repeats(docs(spark, rows)).collect())
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == brute_repeats([(d, t.encode()) for d, t in rows])
+
+
+def test_repeated_strings_long_texts(spark):
+    """Texts of megabytes: one character, a short period, and prose with a passage far apart; anchors of a long text are those of the whole."""
+    rng = random.Random(9)
+    prose = "".join(rng.choice("abcdefghijkl ") for _ in range(1_500_000))
+    rows = [(1, "a" * 3_000_000), (2, "abc" * 700_000), (3, prose + prose[700_000:700_300])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {1: (3_000_000, 2_999_999, 1), 2: (2_100_000, 2_099_997, 1), 3: (1_500_300, 300, 1)}
+    data = np.frombuffer(prose[:1_200_000].encode(), dtype=np.uint8)
+    at = np.concatenate([x for x, _ in suffixes._block_anchors(data, np.array([0, len(data)]), 100)])
+    assert at.tolist() == suffixes.anchors(data, np.array([0, len(data)]), 100)[0].tolist()
