@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import map_batches
+from .shared import giving_back, map_batches
 
 #: Bytes of text from which a block is closed.
 BLOCK_BYTES = 20 << 20
 #: Slices that words hash to: the grain of the word shuffle.
 SLICES = 1024
-#: Words whose ids a task remembers (at about 300 bytes 150 MB); beyond that it starts afresh.
-KNOWN_WORDS = 500_000
+#: Words whose ids a task remembers (at about 200 bytes 50 MB); beyond that it starts afresh.
+KNOWN_WORDS = 250_000
 #: Largest vocabulary that is broadcast (at 16 bytes a token about 16 MB).
 MAX_VOCABULARY = 1 << 20
 
@@ -212,10 +212,10 @@ def encode_words(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                         if ids is None:
                             if len(known) >= KNOWN_WORDS:
                                 known.clear()
-                            ids = known[word] = np.array(encode_word(word, table), dtype=np.uint32)
+                            ids = known[word] = np.array(encode_word(word, table), dtype="<u4").tobytes()
                         out.append(ids)
-                    counts = _pack(np.array([len(x) for x in out], dtype=np.uint32))
-                    coded = struct.pack("<q", len(counts)) + counts + _pack(np.concatenate(out))
+                    counts = _pack(np.fromiter(map(len, out), dtype=np.uint32, count=len(out)) // np.uint32(4))
+                    coded = struct.pack("<q", len(counts)) + counts + _pack(np.frombuffer(b"".join(out), dtype="<u4"))
                     row = row.set_column(4, "data", pa.array([coded], type=pa.binary()))
                 yield row
 
@@ -252,7 +252,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
         return pa.table({id_col: pa.array(ids, type=_arrow(id_type)), "token_ids": pa.array(out, type=pa.binary())})
 
     coded = encode_words(block_parts(texts, pattern), ranks)
-    return coded.groupBy("block").applyInArrow(join, T.StructType([T.StructField(id_col, id_type), T.StructField("token_ids", T.BinaryType())]))
+    return coded.groupBy("block").applyInArrow(giving_back(join), T.StructType([T.StructField(id_col, id_type), T.StructField("token_ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:

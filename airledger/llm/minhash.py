@@ -2,6 +2,7 @@
 
 Rows: one per document row, with the size of its shingle set, the smallest id of its group and
 whether it is that document. Null or word-free texts have an empty set and link with nothing.
+Very long texts are read whole.
 Repeated rows of one id count as one document: they share a group. Rows without an id link with
 nothing and name no group: their component_id is null and kept is false. An empty table gives an empty
 result. Extra columns are not read, so their names cannot clash.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, byte_set, chunks, distinct_per_row, int_lists, mix, span_hashes, utf8, word_spans
-from .shared import connected_components, map_batches, settle
+from .shared import connected_components, giving_back, map_batches, settle
 
 #: Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and return.
 WORD = ~byte_set(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -29,6 +30,10 @@ BANDS, ROWS = 32, 4
 LOW_BITS = 2
 #: Rounds of canopies before what is left of a bucket is compared pair by pair.
 CANOPY_ROUNDS = 3
+#: Shingles of one side of a block of sets at most, so that blocks of long texts have fewer sets.
+BLOCK_SHINGLES = 1 << 19
+#: Shingles that a block multiplies at once.
+STRIP = 2048
 #: Ids up to which texts are picked by a broadcast (8 bytes each), and beyond which by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -168,10 +173,10 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     common = np.zeros((len(x), len(y)), dtype=np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for lo in range(0, int(useful.sum()), 4096):
-        i, j = np.searchsorted(col, [lo, lo + 4096])
+    for lo in range(0, int(useful.sum()), STRIP):
+        i, j = np.searchsorted(col, [lo, lo + STRIP])
         r, c = row[i:j], col[i:j] - lo
-        left, right = np.zeros((len(x), 4096), dtype=np.float32), np.zeros((len(y), 4096), dtype=np.float32)
+        left, right = np.zeros((len(x), STRIP), dtype=np.float32), np.zeros((len(y), STRIP), dtype=np.float32)
         mine = asks[r]
         left[place[r[mine]], c[mine]] = 1
         right[place[r[~mine]], c[~mine]] = 1
@@ -191,12 +196,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     inequality two linked members of a bucket share a canopy. Canopies are only made of buckets
     that the first links left in several components, and those that overlap form a family. The
     members outside a family's largest component are compared with all its members exactly, in a
-    grid of blocks of about `block` sets a side, and only links come out.
+    grid of blocks of about `block` sets a side, fewer if they are long, and only links come out.
     """
     signed = settle(signatures(documents, id_col, text_col, words))
     some = signed.where("id is not null and d0 is not null")
-    classes = some.groupBy("d0", "d1").agg(F.min(F.struct("id", "packed", "buckets")).alias("first"))
-    classes = settle(classes.select("d0", "d1", F.col("first.id").alias("rep"), F.col("first.packed").alias("packed"), F.col("first.buckets").alias("buckets")))
+    classes = some.groupBy("d0", "d1").agg(F.min(F.struct("id", "packed", "buckets", "n_shingles")).alias("first"))
+    classes = settle(classes.select("d0", "d1", F.col("first.id").alias("rep"), F.col("first.packed").alias("packed"), F.col("first.buckets").alias("buckets"), F.col("first.n_shingles").alias("n_shingles")))
     members = classes.select(F.col("rep").alias("id"), F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
     shared = settle(members.join(shared, "bucket"))
@@ -244,17 +249,18 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     tail = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (estimated_similarity("pa", "pb") >= floor)).select("a", "b").distinct()
     canopies = canopies.select("a", "b").union(tail)
     families = connected_components(canopies).withColumnRenamed("component_id", "family")
-    held = settle(families.join(groups, "id", "left").select("family", "id", F.coalesce("component_id", "id").alias("comp")))
-    by_comp = held.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = mixed.withColumn("cols", F.ceil(F.col("size") / block).cast("int")).withColumn("rows", F.ceil((F.col("size") - F.col("most")) / block).cast("int"))
-    open_ = settle(held.join(mixed.select("family", "main", "cols", "rows"), "family"))
+    sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
+    held = settle(families.join(groups, "id", "left").join(sizes, "id").select("family", "id", F.coalesce("component_id", "id").alias("comp"), "n_shingles"))
+    by_comp = held.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    mixed = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps"), (F.sum("shingles") / BLOCK_SHINGLES).alias("least")).where("comps > 1")
+    mixed = mixed.withColumn("cols", F.ceil(F.greatest(F.col("size") / block, "least")).cast("int")).withColumn("rows", F.ceil(F.greatest((F.col("size") - F.col("most")) / block, "least")).cast("int"))
+    open_ = settle(held.drop("n_shingles").join(mixed.select("family", "main", "cols", "rows"), "family"))
     open_ = open_.join(sets_of(open_.select("id")).groupBy("id").agg(F.first("shingles").alias("shingles")), "id")
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = open_.where("comp <> main").withColumn("x", salt("rows")).select("family", "x", every("cols").alias("y"), F.lit(True).alias("asks"), "id", "comp", "shingles")
     asked = open_.withColumn("y", salt("cols")).select("family", every("rows").alias("x"), "y", F.lit(False).alias("asks"), "id", "comp", "shingles")
-    rest = asking.union(asked).groupBy("family", "x", "y").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
+    rest = asking.union(asked).groupBy("family", "x", "y").applyInArrow(giving_back(lambda t: _linked(t, percent)), "a long, b long")
     more = settle(rest.distinct())
     final = connected_components(links.union(more))
     placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d0", "d1", F.coalesce("component_id", "rep").alias("component_id"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +18,39 @@ BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive their tasks, and what an allocator
+    keeps for itself in each of them is missing to the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(function: Callable) -> Callable:
+    """function, of one group, that gives its memory back when it is done."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return function(group)
+        finally:
+            give_back()
+
+    return run
+
+
+def giving_back_pair(function: Callable) -> Callable:
+    """The same for a function of two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded by bytes, so that long rows do not fill a worker's memory.
     The bound is the session's, which is lowered if it is above BATCH_BYTES; no result depends on it."""
@@ -23,7 +58,12 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType) ->
     now = conf.get(_BATCH_CONF).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

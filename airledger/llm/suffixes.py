@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import BYTE_CODE, _P, _P_INV, mix, powers, utf8
-from .shared import map_batches, settle
+from .shared import giving_back, giving_back_pair, map_batches, settle
 
 _U = np.uint64
 #: Bytes of an anchor's fingerprint.
@@ -365,7 +365,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         return ids, offsets, data, places, by, rows, number, np.flatnonzero(np.diff(number, prepend=-1))
 
     source = settle(map_batches(texts, packed_blocks, "block long, texts binary"))
-    fingerprints = settle(map_batches(source, prints, "block long, slice int, prints binary").groupBy("slice").applyInArrow(meet, "of long, at int, marks binary"))
+    fingerprints = settle(map_batches(source, prints, "block long, slice int, prints binary").groupBy("slice").applyInArrow(giving_back(meet), "of long, at int, marks binary"))
     blocks = source.count()
     sample = _splitters(documents, text_col, length, max(1, min(MAX_RANGES, blocks)), max(0.01, min(1.0, 8 / max(1, blocks))))
     cuts = np.frombuffer(sample, dtype=f"S{GRAM}") if sample else np.zeros(0, dtype=f"S{GRAM}")
@@ -456,10 +456,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({name: pa.array(x, type=kind) for (name, x), kind in zip(out.items(), kinds, strict=False)})
 
-    sorted_runs = source.groupBy("block").cogroup(fingerprints.groupBy("of")).applyInArrow(runs, "range int, block long, run binary")
-    answers = sorted_runs.groupBy("range").applyInArrow(combine, "of long, at int, marks binary")
+    sorted_runs = source.groupBy("block").cogroup(fingerprints.groupBy("of")).applyInArrow(giving_back_pair(runs), "range int, block long, run binary")
+    answers = sorted_runs.groupBy("range").applyInArrow(giving_back(combine), "of long, at int, marks binary")
     back_to = fingerprints.union(answers.select("of", (F.col("at") + SLICES).alias("at"), "marks"))
-    out = source.groupBy("block").cogroup(back_to.groupBy("of")).applyInArrow(drop, T.StructType(fields))
+    out = source.groupBy("block").cogroup(back_to.groupBy("of")).applyInArrow(giving_back_pair(drop), T.StructType(fields))
     return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
 
 
