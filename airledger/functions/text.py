@@ -6,11 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters that a row of bits holds, with room for the carry.
+BITS = 61
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table per character of a.
+    """Length of the longest common subsequence, a row of the table per character of a: as bits of one
+    number if b has up to 61 characters, as callsigns do, else as an array."""
+    one = F.lit(1).cast("long")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    whole = bit(F.length(b)) - 1
+    letters = F.transform(F.split(b, ""), lambda y, i: F.struct(y.alias("y"), bit(i).alias("bit")))
+
+    def step(row: Column, x: Column) -> Column:
+        same = row.bitwiseAND(F.aggregate(letters, F.lit(0).cast("long"), lambda m, y: F.when(y.y == x, m.bitwiseOR(y.bit)).otherwise(m)))
+        return (row + same).bitwiseOR(row - same).bitwiseAND(whole)
+
+    bits = F.length(b) - F.bit_count(F.aggregate(F.split(a, ""), whole, step))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).when(F.length(b) <= BITS, bits).otherwise(_lcs_of_long(a, b))
+
 
-    The row is an array of len(b) + 1 numbers; it is folded over b with the value to the left.
-    """
+def _lcs_of_long(a: Column, b: Column) -> Column:
+    """The same with rows of len(b) + 1 numbers, each folded over b with the value to the left."""
     letters = F.split(b, "")
     empty = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
@@ -22,7 +39,7 @@ def lcs_length(a: Column, b: Column) -> Column:
         )
 
     rows = F.aggregate(F.split(a, ""), empty, next_row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.get(rows, F.length(b)))
+    return F.get(rows, F.length(b))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

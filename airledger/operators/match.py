@@ -131,6 +131,13 @@ def cross_check(suspect: DataFrame, others: DataFrame, threshold: float = 78) ->
     return scored.groupBy("clip", "callsign").agg(F.max(F.col("_s") >= threshold).alias("supported"))
 
 
+def unsupported_clips(rows: DataFrame, texts: DataFrame, n: int = 6) -> DataFrame:
+    """(clip, callsign, engine, text): the first n clips with an unsupported claim, and what every engine
+    made of them. rows: of cross_check; texts: engine, clip, text."""
+    first = rows.where(~F.col("supported")).groupBy("clip").agg(F.array_join(F.array_sort(F.collect_set("callsign")), ", ").alias("callsign")).orderBy("clip").limit(n)
+    return texts.join(F.broadcast(first), "clip").select("clip", "callsign", "engine", "text")
+
+
 def cross_check_report(rows: DataFrame, n: int = 10) -> DataFrame:
     """(section, key, value): totals, percentages, and the n most frequent unsupported claims."""
     total = rows.agg(F.count("*").alias("claims"), F.count_if("supported").alias("supported"), F.count_if(~F.col("supported")).alias("unsupported"))

@@ -126,7 +126,7 @@ def normalise(df: DataFrame, col: str) -> DataFrame:
     rows = rows.withColumn("_spelled", F.transform(spelled, lambda f: f.run))
 
     def value(x: Column, i: Column) -> Column:
-        t, before, after = x.text, F.get(F.transform("_t", lambda y: y.text), i - 1), F.get(F.transform("_t", lambda y: y.text), i + 1)
+        t, before, after = x.text, F.get("_words", i - 1), F.get("_words", i + 1)
         nine = F.coalesce((before == "9") | before.isin(*[w for w, d in _DIGIT.items() if d == "9"]), F.lit(False))
         tail = t.isin("or", "er") & nine & F.coalesce(_in(after, _PHONETIC), F.lit(False))
         at = lambda words: F.try_element_at(V.literal_map(words), t)
@@ -140,6 +140,7 @@ def normalise(df: DataFrame, col: str) -> DataFrame:
             .otherwise(F.upper(F.translate(t, "-'", "")))
         )
 
+    rows = rows.withColumn("_words", F.transform("_t", lambda y: y.text))
     rows = rows.withColumn("_t", F.filter(F.transform("_t", lambda x, i: token(value(x, i), x)), lambda x: x.text != ""))
     rows = rows.withColumn("tokens", _glue(F.col("_t"))).withColumn("normalised", F.array_join(F.transform("tokens", lambda x: x.text), " ")).select("_text", "tokens", "normalised")
     return df.join(rows, F.col(col) == F.col("_text"), "left").drop("_text")

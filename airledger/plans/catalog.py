@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, vocabulary
 from ..operators import boards, calibrate, frames, history, log, match, scoring, split, text, voice, windows
-from ..sources import writers
+from ..sources import readers, writers
 from ..streaming import live
+from .folders import new_folder
 from .views import view, with_views
 
 Query = Callable[[Callable[[str], DataFrame]], DataFrame]
@@ -193,7 +194,16 @@ def board(v):
     return boards.board(v("net_roster"), v("net_log"))
 
 
-@_query()
+LOG_PARTS = f"""f AS (SELECT session, count(*) AS n, count(DISTINCT CASE WHEN source <> '' THEN source END) AS srcs FROM net_log GROUP BY session),
+ lines AS (SELECT session, 0 AS part, '' AS t, 0 AS i, 'Session ' || session || ': ' || n || ' lines' AS line FROM f
+ UNION ALL SELECT session, 1, timestamp, id, concat_ws(' ', substr(timestamp, 12, 8), CASE WHEN srcs > 1 AND source <> '' THEN '[' || source || ']' END, coalesce(matched_callsign, 'UNMATCHED'), raw_text,
+  CASE WHEN corrected THEN '[corrected]' END, CASE WHEN traffic = 'yes' AND traffic_cleared THEN '[traffic passed]' WHEN traffic = 'yes' THEN '[traffic]' END) FROM net_log JOIN f USING (session)
+ UNION ALL SELECT session, 2, '', 0, 'Check-ins: ' || string_agg(callsign, ', ' ORDER BY ordinal) FROM ({FIRSTS.format("matched AND matched_callsign IS NOT NULL")}) GROUP BY session
+ UNION ALL SELECT session, 3, '', 0, 'Outstanding traffic: ' || string_agg(callsign, ', ' ORDER BY ordinal) FROM ({FIRSTS.format("traffic = 'yes' AND NOT traffic_cleared AND matched AND matched_callsign IS NOT NULL")}) GROUP BY session
+ UNION ALL SELECT session, 4, '', 0, 'Passed traffic: ' || string_agg(DISTINCT matched_callsign, ', ' ORDER BY matched_callsign) FROM net_log WHERE traffic = 'yes' AND traffic_cleared AND matched_callsign IS NOT NULL GROUP BY session)"""
+
+
+@_query(f"WITH {LOG_PARTS} SELECT session, row_number() OVER (PARTITION BY session ORDER BY part, t, i) - 1 AS line_no, line FROM lines")
 def render_log(v):
     return writers.render_log(v("net_log"))
 
@@ -327,7 +337,10 @@ def mentions(v):
     return text.mentions(rows).select("session", "id", "pos", "candidate", "strict", "best_rank")
 
 
-@_query()
+SPOKEN = ", ".join(f"'{c}': '{w}'" for c, w in [*[(w[0].upper(), w) for w in vocabulary.ALPHABET], *[(str(i), w) for i, w in enumerate(vocabulary.DIGIT_WORDS)]])
+
+
+@_query(f"SELECT callsign, array_to_string(list_transform(string_split(callsign, ''), lambda c: MAP {{{SPOKEN}}}[c]), ' ') AS spelled FROM net_roster")
 def spell(v):
     return text.spell(v("net_roster").select("callsign"), "callsign")
 
@@ -622,3 +635,105 @@ def top_two(v):
 def address_state(v):
     rows = v("net_licences").select(F.col("callsign").alias("id"), F.concat(F.lit("SEATTLE, "), F.col("state"), F.lit(" 98"), (100 + F.ascii("grid")).cast("string")).alias("line"))
     return rows.select("id", geo.address_state(F.col("line")).alias("state"))
+
+
+# Round trips through writers and readers, and streaming jobs in batch form
+
+
+@_query("SELECT type, id, timestamp, raw_text, round(confidence, 6) AS confidence FROM net_records")
+def read_sessions(v):
+    """Change records appended in two writes and read back."""
+    rows = v("net_records").select("type", "id", "timestamp", "raw_text", "confidence")
+    folder = new_folder(rows.sparkSession)
+    for rest in (0, 1):
+        writers.append_records(rows.where(F.col("id") % 2 == rest), folder)
+    return readers.read_sessions(rows.sparkSession, folder, "*.json").select("type", "id", "timestamp", "raw_text", F.round("confidence", 6).alias("confidence"))
+
+
+@_query("SELECT id, timestamp, matched, matched_callsign, raw_text, round(confidence, 6) AS confidence, traffic FROM net_log")
+def export_csv(v):
+    rows = v("net_log")
+    folder = new_folder(rows.sparkSession)
+    writers.export_csv(rows, folder)
+    back = rows.sparkSession.read.option("header", True).csv(folder)
+    return back.select(F.col("id").cast("long").alias("id"), "timestamp", F.col("matched").cast("boolean").alias("matched"), "matched_callsign", "raw_text", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), F.coalesce("traffic", F.lit("")).alias("traffic"))
+
+
+@_query("SELECT session, id, matched_callsign, traffic_cleared, round(match_score, 6) AS match_score FROM net_log")
+def export_json(v):
+    rows = v("net_log")
+    folder = new_folder(rows.sparkSession)
+    writers.export_json(rows, folder)
+    back = rows.sparkSession.read.schema(rows.select("session", "id", "matched_callsign", "traffic_cleared", "match_score").schema).json(folder)
+    return back.withColumn("match_score", F.round("match_score", 6))
+
+
+@_query("SELECT callsign, name, position, src AS sources FROM net_roster")
+def read_roster(v):
+    rows = v("net_roster")
+    folder = new_folder(rows.sparkSession)
+    writers.write_roster(rows.withColumn("sources", F.concat_ws(";", "sources")), folder)
+    return readers.read_roster(rows.sparkSession, folder).select("callsign", "name", "position", F.concat_ws(";", "sources").alias("sources"))
+
+
+@_query("""SELECT timestamp, id AS entry_id, l.candidate AS candidate, matched_callsign AS from_callsign, to_callsign FROM
+ (SELECT session, id, timestamp AS said, to_callsign FROM net_corrections) c JOIN net_log l USING (session, id)""".replace("SELECT timestamp,", "SELECT said AS timestamp,"))
+def read_corrections(v):
+    """Corrections appended to their log and read back."""
+    labels = writers.record_corrections(v("net_corrections").select("session", "id", "timestamp", "to_callsign"), v("net_log"))
+    folder = new_folder(labels.sparkSession)
+    writers.append_corrections(labels.drop("session"), folder)
+    return readers.read_corrections(labels.sparkSession, folder, "*.json").select("timestamp", "entry_id", "candidate", "from_callsign", "to_callsign")
+
+
+@_query("SELECT session AS file, seconds FROM (SELECT session, sum(clip_duration) AS seconds, count(*) AS n FROM net_log GROUP BY session) WHERE seconds >= 60 AND n % 3 <> 0")
+def new_recordings(v):
+    """Sessions as recordings, of which the manifest lists every one with a multiple of three lines."""
+    files = v("net_log").groupBy(F.col("session").alias("file")).agg(F.sum("clip_duration").alias("seconds"), F.count("*").alias("n"))
+    return readers.new_recordings(files, files.where("n % 3 = 0")).select("file", "seconds")
+
+
+@_query("SELECT substr(timestamp, 1, 16) AS minute, source, count(*) AS lines, count(*) FILTER (matched) AS matched FROM net_log GROUP BY 1, 2")
+def heartbeat(v):
+    rows = v("net_log").withColumn("ts", F.to_timestamp("timestamp"))
+    return live.heartbeat(rows).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "source", "lines", "matched")
+
+
+@_query("""SELECT session, matched_callsign AS callsign, count(*) AS lines, min(timestamp) AS first_seen, max(timestamp) AS last_seen, arg_max(traffic = 'yes' AND NOT traffic_cleared, id) AS holding
+ FROM net_log WHERE matched_callsign IS NOT NULL GROUP BY 1, 2""")
+def live_boards(v):
+    return live.boards_stream(v("net_log").withColumn("seq", F.col("id")))
+
+
+@_query("SELECT session, id, cast(least(id % 7 + 1, 26 - id % 20) AS bigint) AS run FROM net_log")
+def alphabet_run(v):
+    """Each line says a stretch of the alphabet whose place and length follow from its id, after two other words."""
+    said = F.concat(F.array(F.lit("zulu"), F.lit("the")), F.slice(vocabulary.literal_array(vocabulary.ALPHABET), (F.col("id") % 20 + 1).cast("int"), (F.col("id") % 7 + 1).cast("int")))
+    return text.alphabet_run(v("net_log").select("session", "id", F.posexplode(said).alias("pos", "word")))
+
+
+ALIASES = """al AS (SELECT a.candidate AS candidate, a.callsign AS alias FROM (SELECT candidate, max_by(to_callsign, (session, line_no)) AS callsign FROM net_corrections GROUP BY candidate) a WHERE a.callsign IN (SELECT callsign FROM net_roster))"""
+
+
+@_query(f"""WITH {SCORED}, {JUDGED}, {ALIASES} SELECT j.candidate AS candidate, alias IS NOT NULL OR reason IS NULL AS matched, coalesce(alias, CASE WHEN reason IS NULL THEN callsign END) AS callsign,
+ CASE WHEN alias IS NOT NULL THEN 100.0 ELSE round(score, 6) END AS score, CASE WHEN alias IS NULL THEN reason END AS reason, alias IS NOT NULL AS via_alias FROM judged j LEFT JOIN al ON al.candidate = j.candidate""")
+def match_aliases(v):
+    """Candidates matched with what corrections have taught."""
+    known = log.aliases(v("net_corrections"), v("net_roster"))
+    return match.match_candidates(v("net_mentions"), v("net_roster"), known).select("candidate", "matched", "callsign", F.round("score", 6).alias("score"), "reason", "via_alias")
+
+
+@_query(f"WITH {HINTS} SELECT term, grp, round(place, 6) AS place FROM hints UNION ALL SELECT s_name, CAST(s_suppkey % 2 AS int), CAST(s_suppkey AS double) FROM supplier")
+def hint_vocabulary(v):
+    """Hints that begin with a vocabulary of two groups, the names on the roster."""
+    roster, rows = v("net_roster"), v("net_log")
+    heard = rows.where("matched and session = '2024-01-30'").select(F.col("matched_callsign").alias("callsign"))
+    words = roster.select(F.col("name").alias("term"), (F.col("ordinal") % 2).alias("grp"), F.col("ordinal").alias("place"))
+    return history.hint_terms(roster, heard, history.attendance(rows, roster), "east", words).withColumn("place", F.round("place", 6))
+
+
+@_query(f"""WITH {CROSS}, bad AS (SELECT clip, callsign FROM checked WHERE NOT (supported AND clip % 2 = 0) ORDER BY clip LIMIT 6)
+ SELECT clip, bad.callsign AS callsign, 'main' AS engine, raw_text AS text FROM bad JOIN net_log ON id = clip""")
+def unsupported_clips(v):
+    texts = v("net_log").select(F.lit("main").alias("engine"), F.col("id").alias("clip"), F.col("raw_text").alias("text"))
+    return match.unsupported_clips(_cross(v), texts)

@@ -57,6 +57,11 @@ def write_roster(df: DataFrame, path: str) -> None:
     df.select("callsign", "name", "sources", "position").write.option("header", True).csv(path)
 
 
+def append_corrections(df: DataFrame, path: str) -> None:
+    """Add rows of `record_corrections` to the correction log; keys without a value are written too."""
+    df.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
 def record_corrections(labels: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of the correction log: what was heard, what was concluded, what it is. labels: session,
     id, timestamp, to_callsign."""

@@ -1,8 +1,9 @@
-"""Streaming forms: bursts and health with state per source, enrichment, live boards, heartbeat."""
+"""Streaming forms: gate, bursts and health with state per source, enrichment, live boards, heartbeat."""
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,34 +12,88 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.frames import BurstRules, BurstState, fleet, health
-from ..operators.text import detect_traffic
+from ..operators.text import detect_traffic, flag_echo
 from ..operators.windows import state_changes
 
 
-def bursts_stream(frames: DataFrame, idle_ms: int = 10_000, **limits: float) -> DataFrame:
-    """Bursts of a stream of frames (source, frame_no, ts, is_speech), in order of frame_no per source.
+def _timed(frames: DataFrame, late: str) -> DataFrame:
+    rows = frames if "session" in frames.columns else frames.withColumn("session", F.lit(""))
+    return rows.withColumn("source", F.col("source").cast("string")).withColumn("session", F.col("session").cast("string")).withWatermark("ts", late)
+
+
+def _in_order(state: dict, rows: list[list], watermark_ms: int) -> list[list]:
+    """The rows (frame_no, time in ms, ...) that are due: those that follow on the last one, and behind
+    a gap those whose missing frames are too late to come. The others are held in the state."""
+    held = sorted(state["held"] + rows)
+    due = []
+    while held and (state["next"] is None or held[0][0] <= state["next"] or held[0][1] <= watermark_ms):
+        due.append(held.pop(0))
+        state["next"] = max(due[-1][0] + 1, state["next"] or 0)
+    state["held"] = held
+    return due
+
+
+def bursts_stream(frames: DataFrame, idle_ms: int = 10_000, late: str = "10 seconds", **limits: float) -> DataFrame:
+    """Bursts of a stream of frames (source, frame_no, ts, is_speech, maybe session), in order of
+    frame_no per source and session, also where frames of one batch belong before those of another.
 
     The state is the same small machine as in the batch form. A source that sends nothing for
-    idle_ms of event time has its open burst closed.
+    idle_ms of event time has its open burst closed; its frames are counted on from there.
     """
     rules = BurstRules(**limits)
     fields = ("seen", "ring", "start", "frames", "quiet")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = BurstState(**json.loads(held.get[0])) if held.exists else BurstState()
+        order = json.loads(held.get[0]) if held.exists else {"next": None, "held": [], "machine": {}}
+        state = BurstState(**order["machine"])
         found = []
         if held.hasTimedOut:
-            found.append(state.close(rules))
-            held.remove()
+            found += [state.push(x[2], rules) for x in order["held"]] + [state.close(rules)]
+            order["next"], order["held"] = max([x[0] + 1 for x in order["held"]], default=order["next"]), []
         else:
-            rows = pd.concat(list(batches)).sort_values("frame_no")
-            found += [state.push(bool(x), rules) for x in rows["is_speech"]]
-            held.update((json.dumps({f: getattr(state, f) for f in fields}),))
-            held.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame([(str(key[0]), x[0] * rules.frame_ms, x[1] * rules.frame_ms) for x in found if x], columns=["source", "start_offset_ms", "duration_ms"])
+            rows = pd.concat(list(batches))
+            times = [int(t.timestamp() * 1000) for t in rows["ts"]]
+            found += [state.push(x[2], rules) for x in _in_order(order, [[int(n), t, bool(x)] for n, t, x in zip(rows["frame_no"], times, rows["is_speech"], strict=True)], held.getCurrentWatermarkMs())]
+            held.setTimeoutTimestamp(max(*times, held.getCurrentWatermarkMs()) + idle_ms)
+        order["machine"] = {f: getattr(state, f) for f in fields}
+        held.update((json.dumps(order),))
+        yield pd.DataFrame([(*map(str, key), x[0] * rules.frame_ms, x[1] * rules.frame_ms) for x in found if x], columns=["source", "session", "start_offset_ms", "duration_ms"])
+
+    rows = _timed(frames, late).select("source", "session", "frame_no", "ts", "is_speech")
+    return rows.groupBy("source", "session").applyInPandasWithState(run, "source string, session string, start_offset_ms long, duration_ms long", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    rows = frames.select(F.col("source").cast("string"), "frame_no", "ts", "is_speech").withWatermark("ts", "10 seconds")
-    return rows.groupBy("source").applyInPandasWithState(run, "source string, start_offset_ms long, duration_ms long", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+def gate_stream(frames: DataFrame, late: str = "10 seconds", idle_ms: int = 10_000, window: int = 333, quantile: float = 0.1, warm_up: int = 10, least: float = 300, ratio: float = 1.5) -> DataFrame:
+    """The noise gate over a stream of frames (source, frame_no, ts, rms, is_speech, maybe session):
+    floor, open, and is_speech only where the gate is open. The state of a source is its last levels."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(held.get[0]) if held.exists else {"next": None, "held": [], "n": 0, "levels": []}
+        if held.hasTimedOut:
+            due, state["held"] = state["held"], []
+            state["next"] = max([x[0] + 1 for x in due], default=state["next"])
+        else:
+            rows = pd.concat(list(batches))
+            times = [int(t.timestamp() * 1000) for t in rows["ts"]]
+            due = _in_order(state, [[int(n), t, float(r), bool(x)] for n, t, r, x in zip(rows["frame_no"], times, rows["rms"], rows["is_speech"], strict=True)], held.getCurrentWatermarkMs())
+            held.setTimeoutTimestamp(max(*times, held.getCurrentWatermarkMs()) + idle_ms)
+        levels, ordered, out = state["levels"], sorted(state["levels"]), []
+        for number, _, level, speech in due:
+            levels.append(level)
+            insort(ordered, level)
+            if len(levels) > window:
+                ordered.pop(bisect_left(ordered, levels.pop(0)))
+            state["n"] += 1
+            at = quantile * (len(ordered) - 1)
+            low = ordered[int(at)]
+            floor = low + (ordered[min(int(at) + 1, len(ordered) - 1)] - low) * (at - int(at))
+            open_ = state["n"] < warm_up or floor < least or level >= ratio * floor
+            out.append((*map(str, key), number, floor, open_, speech and open_))
+        held.update((json.dumps(state),))
+        yield pd.DataFrame(out, columns=["source", "session", "frame_no", "floor", "open", "is_speech"])
+
+    rows = _timed(frames, late).select("source", "session", "frame_no", "ts", "rms", "is_speech")
+    return rows.groupBy("source", "session").applyInPandasWithState(run, "source string, session string, frame_no long, floor double, open boolean, is_speech boolean", "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def heartbeat(stream: DataFrame, every: str = "1 minute", late: str = "1 minute") -> DataFrame:
@@ -47,13 +102,16 @@ def heartbeat(stream: DataFrame, every: str = "1 minute", late: str = "1 minute"
 
 
 def enrich_stream(lines: DataFrame, roster: DataFrame, aliases: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Match arriving lines against the roster, with the aliases as they are when a batch arrives."""
-    from ..operators.match import match_lines
+    """Match arriving lines against the roster, with the aliases as they are when a batch arrives, tell
+    declared traffic, and flag lines that look like the prompt coming back (suspect, echo_reason)."""
+    from ..operators.match import line_mentions, match_all, match_lines
 
     def each(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        found = match_lines(held, roster, aliases())
-        sink(detect_traffic(held.join(found, ["session", "id"], "left"), "raw_text"), number)
+        found, known = line_mentions(held), aliases()
+        one = match_lines(held, roster, known, found)
+        echo = flag_echo(held.select("session", "id", "raw_text"), match_all(held, roster, known, found)).select("session", "id", "suspect", F.col("reason").alias("echo_reason"))
+        sink(detect_traffic(held.join(one, ["session", "id"], "left").join(echo, ["session", "id"], "left"), "raw_text"), number)
         held.unpersist()
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -75,9 +133,20 @@ def mark_late(lines: DataFrame) -> DataFrame:
 
 
 def watch(snapshots: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Fleet state of each batch of snapshots, and the instants at which it changes."""
+    """Changes of the fleet's state over a stream of snapshots, with the state before each.
+
+    The state that a batch ends with is kept beside the checkpoint under the batch's number, so that
+    the next one goes on from it, and a batch that is run again from the one before it.
+    """
+    spark, kept = snapshots.sparkSession, f"{checkpoint}/fleet"
+    spark.createDataFrame([(-1, "ok")], "batch long, state string").write.mode("ignore").parquet(kept)
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(state_changes(fleet(health(batch)).withColumn("all", F.lit(0)), ["all"], "clock").drop("all"), number)
+        last = spark.read.parquet(kept).where(F.col("batch") < number).agg(F.max_by("state", "batch").alias("state")).first()["state"]
+        rows = fleet(health(batch)).withColumn("all", F.lit(0)).persist()
+        sink(state_changes(rows, ["all"], "clock", initial=last).drop("all"), number)
+        end = rows.agg(F.max_by("state", "clock").alias("state")).select(F.lit(number).cast("long").alias("batch"), F.coalesce("state", F.lit(last)).alias("state"))
+        end.coalesce(1).write.mode("append").parquet(kept)
+        rows.unpersist()
 
     return snapshots.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,6 @@ from airledger.plans import catalog
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Quadratic by meaning or slow to start: they run in the full suite only.
 SQL = catalog.oracle_sql()
 
 

@@ -138,3 +138,79 @@ def test_boards_stream(spark, tmp_path):
     query = live.boards_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("boards").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.callsign, r.lines, r.holding) for r in spark.table("boards").collect()] == [("W6ABC", 2, False)]
+
+
+def stream_of(spark, tmp_path, parts):
+    """A stream that gets one part per batch."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={k}"))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+
+def run_stream(query):
+    query.awaitTermination(180)
+    assert query.exception() is None
+
+
+def timed(rows):
+    return rows.withColumn("ts", F.timestamp_seconds(F.col("frame_no") * 0.03 + 1e9))
+
+
+def test_bursts_stream_keeps_its_place_over_an_idle_gap_and_late_frames(spark, tmp_path):
+    flags = "S" * 20 + "." * 40 + "S" * 40 + "." * 40
+    rows = timed(pattern(spark, flags))
+    later = rows.where("frame_no >= 60").withColumn("ts", F.col("ts") + F.expr("interval 60 seconds"))
+    tick = spark.createDataFrame([("z", 0, False)], "source string, frame_no long, is_speech boolean").withColumn("ts", F.timestamp_seconds(F.lit(1e9 + 50)))
+    parts = [rows.where("frame_no < 20 or frame_no between 25 and 40"), rows.where("frame_no between 20 and 24 or frame_no between 41 and 59"), tick, later]
+    query = live.bursts_stream(stream_of(spark, tmp_path, parts), min_clip_ms=300).writeStream.format("memory").queryName("gap").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run_stream(query)
+    want = {(r.start_offset_ms, r.duration_ms) for r in frames.bursts(rows, min_clip_ms=300).collect()}
+    assert {(r.start_offset_ms, r.duration_ms) for r in spark.table("gap").where("source = 'a'").collect()} == want and len(want) == 2
+
+
+def test_gate_stream_equals_batch(spark, tmp_path):
+    rows = timed(spark.range(600).select(F.lit("a").alias("source"), F.col("id").alias("frame_no"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 250).cast("double").alias("rms"), F.lit(True).alias("is_speech")))
+    stream = stream_of(spark, tmp_path, [rows.where("frame_no < 250 or frame_no = 251"), rows.where("frame_no = 250 or frame_no > 251")])
+    query = live.gate_stream(stream).writeStream.format("memory").queryName("gated").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run_stream(query)
+    want = {(r.frame_no, round(r.floor, 6), r.open) for r in frames.noise_gate(rows).collect()}
+    assert {(r.frame_no, round(r.floor, 6), r.open) for r in spark.table("gated").collect()} == want
+
+
+def test_watch_goes_on_from_the_last_state(spark, tmp_path):
+    shape = "source string, clock double, capturing boolean, finished boolean, last_frame double, last_loud double, spill int, buffer_fill double, overflows int"
+    parts = [spark.createDataFrame([("a", float(t), up, False, float(t), float(t), 0, 0.0, 0)], shape) for t, up in ((1, False), (2, False), (3, True))]
+    found = []
+    run_stream(live.watch(stream_of(spark, tmp_path, parts), lambda df, n: found.extend((r.clock, r.previous, r.state) for r in df.collect()), str(tmp_path / "cp")))
+    assert found == [(1.0, "ok", "error"), (3.0, "error", "ok")]
+
+
+def test_heartbeat_and_live_log(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    records = [{"type": "entry", "session": "s", "seq": k, "id": k, "timestamp": f"2024-01-01 10:00:{k:02d}", "matched": k % 2 == 0, "source": "east"} for k in range(4)]
+    (tmp_path / "log" / "a.json").write_text("\n".join(map(json.dumps, records)))
+    lines = readers.stream_sessions(spark, str(tmp_path / "log")).withColumn("ts", F.to_timestamp("timestamp"))
+    query = live.heartbeat(lines).writeStream.format("memory").queryName("beat").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run_stream(query)
+    assert [(r.source, r.lines, r.matched) for r in spark.table("beat").collect()] == [("east", 4, 2)]
+
+
+def test_enrichment(spark, roster, tmp_path):
+    lines = spark.createDataFrame([("s", 1, "whiskey six alpha bravo charlie with traffic"), ("s", 2, "QQ9QQQ here"), ("s", 3, "K7XYZ and W6ABC, K7XYA")], "session string, id int, raw_text string")
+    aliases = spark.createDataFrame([("QQ9QQQ", "W6ABC")], "candidate string, callsign string")
+    found = {}
+    run_stream(live.enrich_stream(stream_of(spark, tmp_path, [lines]), roster, lambda: aliases, lambda df, n: found.update({r.id: (r.callsign, r.declared, r.suspect, r.via_alias) for r in df.collect()}), str(tmp_path / "cp")))
+    assert found == {1: ("W6ABC", "yes", False, False), 2: ("W6ABC", "", False, True), 3: ("K7XYZ", "", True, False)}
+
+
+def test_lcs_of_short_and_long_strings(spark):
+    from airledger.functions.text import lcs_length
+
+    df = spark.createDataFrame([("AB" * 40, "BA" * 40, 79), ("K7XYZ", "K7" + "Q" * 70 + "XYZ", 5), ("A" * 61, "A" * 61, 61), ("A" * 80, "B" * 60, 0), ("ÄB", "BÄB", 2), ("", "A", 0)], "a string, b string, n int")
+    assert all(r.n == r.got for r in df.withColumn("got", lcs_length(F.col("a"), F.col("b"))).collect())
+
+
+def test_unsupported_clips(spark):
+    rows = spark.createDataFrame([(k, "AB1C", k % 2 == 0) for k in range(20)], "clip int, callsign string, supported boolean")
+    texts = spark.createDataFrame([(e, k, f"{e}{k}") for e in "xy" for k in range(20)], "engine string, clip int, text string")
+    assert sorted({r.clip for r in match.unsupported_clips(rows, texts).collect()}) == [1, 3, 5, 7, 9, 11]
