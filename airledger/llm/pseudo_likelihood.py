@@ -3,7 +3,7 @@
 A small network predicts each token from the tokens on both sides; the sum of the conditional
 log-probabilities of all tokens is the document's score. Null and word-free texts have no tokens,
 score 0 and a null mean. Repeated rows score alike. An empty table gives an empty result; extra
-columns are not read. Texts are scored whole.
+columns are not read. Texts are scored whole, and rows alike whatever their ids, null or repeated.
 
 Word counts are gathered over all documents. Training goes over all documents too: each task trains
 on the texts it reads, starting from the same weights, and the tasks' weights are averaged, slice
@@ -200,7 +200,7 @@ def score(documents: DataFrame, model: WindowModel, id_col: str = "doc_id", text
             for i, j in chunks(offsets):
                 token, rows, around = _token_rows(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.bincount(rows, minlength=j - i)
-                total = np.bincount(rows, weights=log_likelihoods(m.weights, token, around), minlength=j - i)
+                total = np.bincount(rows, weights=log_likelihoods(m.weights, token, around), minlength=j - i).astype(np.float64)  # integers if there is no token
                 mean = total / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, mask=n == 0)], names=[id_col, "n_tokens", "pseudo_log_likelihood", "mean_log_likelihood"])
 

@@ -2,7 +2,9 @@
 
 Indicators of byte n-grams are scaled by the classes' log-count ratios, and a linear hinge-loss
 model is fitted to them by dual coordinate descent. Every text gets a score, null and empty ones
-that of a document without n-grams. Without rows of both classes all scores are the share of
+that of a document without n-grams; very long texts are read whole. Rows are scored alike whatever
+their ids, null or repeated; labels without an id are left out, of labels that differ for one id the
+higher holds, and documents that share a labelled id are each learned from. Without rows of both classes all scores are the share of
 label 1 among the labelled rows (0.5 if there is none). An empty table gives an empty result;
 extra columns are not read.
 """
