@@ -5,45 +5,56 @@ log-probabilities of all tokens is the document's score. Null and word-free text
 score 0 and a null mean. Repeated rows score alike. An empty table gives an empty result; extra
 columns are not read. Texts are scored whole, and rows alike whatever their ids, null or repeated.
 
-Word counts are gathered over all documents. Training goes over all documents too: each task trains
-on the texts it reads, starting from the same weights, and the tasks' weights are averaged, slice
-by slice, in proportion to their tokens. Only the average (about 60,000 numbers) reaches the driver.
+The network predicts a class: each of the most frequent words is one, all other words share classes by
+hash. A word's probability is that of its class times its share of the class in the counts over all
+documents; the table of counts grows with the corpus, and scoring joins it. A word that training did
+not meet counts as met once. Every document is trained on once: documents are dealt to rounds, in each
+of which every task trains on the texts it reads, from the same weights, and the tasks' weights are
+averaged, slice by slice, in proportion to their tokens. Only the average (11,360 numbers) and the sums
+of the classes reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, byte_set, chunks, span_hashes, utf8, word_spans
-from .shared import map_batches
+from .kernels import LOWER, byte_set, chunks, int_lists, span_hashes, utf8, word_spans
+from .shared import map_batches, settle
 
 WORD = byte_set([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
-#: The vocabulary is FACTOR x FACTOR: the most frequent words, then buckets of all others by hash.
+#: The classes are FACTOR x FACTOR: the most frequent words, then all others by hash.
 FACTOR, OTHERS = 32, 64
 SIZE = FACTOR * FACTOR
 WINDOW, WIDTH, HIDDEN = 2, 8, 24
 BATCH, RATE = 4096, 0.15
 #: Slices in which the tasks' weights are averaged.
 SLICES = 16
-#: Of the first round, one document in so many; the second round goes over all.
-WARM_UP = 8
+#: Rounds among which the documents are dealt.
+ROUNDS = 2
 
 _SHAPES = {"emb": (SIZE + 1, WIDTH), "w1": (2 * WINDOW * WIDTH, HIDDEN), "b1": (HIDDEN,), "a": (HIDDEN, FACTOR), "a0": (FACTOR,), "ec": (FACTOR, HIDDEN), "b": (HIDDEN, FACTOR), "b0": (FACTOR,)}
 
 
 @dataclass
 class WindowModel:
-    """Hashes of the frequent words (sorted, with their token) and the network's weights."""
+    """Hashes of the frequent words (sorted, with their token), the network's weights, the number of
+    words met in each class of others, and the table of all words (word, n)."""
 
     hashes: np.ndarray
     tokens: np.ndarray
     weights: dict[str, np.ndarray]
+    met: np.ndarray
+    words: DataFrame | None = None
+
+    def without_words(self) -> WindowModel:
+        """What is broadcast: some 200 kB."""
+        return replace(self, words=None)
 
 
 def _initial() -> dict[str, np.ndarray]:
@@ -79,8 +90,8 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return map_batches(documents.select(F.col(text_col).cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _token_rows(model: WindowModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, their rows, and the tokens around each (SIZE where the document ends)."""
+def _token_rows(model: WindowModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, their rows, the classes around each (SIZE where the document ends), and word hashes."""
     starts, ends, rows = word_spans(data, offsets, WORD)
     h = span_hashes(LOWER[data], starts, ends)
     token = (SIZE - OTHERS + (h % np.uint64(OTHERS))).astype(np.int64)
@@ -93,7 +104,7 @@ def _token_rows(model: WindowModel, data: np.ndarray, offsets: np.ndarray) -> tu
         i = np.arange(max(0, -step), n - max(0, step))
         same = rows[i] == rows[i + step]
         around[i[same], k] = token[i[same] + step]
-    return token, rows, around
+    return token, rows, around, h
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -147,7 +158,7 @@ def train_step(w: dict[str, np.ndarray], power: dict[str, np.ndarray], token: np
 
 def _round(texts: DataFrame, model: WindowModel) -> dict[str, np.ndarray]:
     """The average of what all tasks make of the model's weights."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(model.without_words())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -157,7 +168,7 @@ def _round(texts: DataFrame, model: WindowModel) -> dict[str, np.ndarray]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, j in chunks(offsets):
-                token, _, around = _token_rows(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                token, _, around, _ = _token_rows(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for k in range(0, len(token), BATCH):
                     train_step(w, power, token[k : k + BATCH], around[k : k + BATCH])
                 seen += len(token)
@@ -176,32 +187,57 @@ def _round(texts: DataFrame, model: WindowModel) -> dict[str, np.ndarray]:
 
 
 def train(documents: DataFrame, text_col: str = "text") -> WindowModel:
-    """The vocabulary's bound is a parameter of the model, not of the counts, which cover all words;
-    words beyond it share OTHERS tokens."""
-    top = word_counts(documents, text_col).orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
+    """Count all words, then train on every text in one of the rounds."""
+    counts = settle(word_counts(documents, text_col))
+    top = counts.orderBy(F.desc("n"), "word").limit(SIZE - OTHERS).collect()
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    model = WindowModel(hashes[order], np.arange(len(top))[order], _initial())
+    met = np.zeros(OTHERS)
+    for r in counts.groupBy(F.col("word").bitwiseAND(OTHERS - 1).alias("other")).agg(F.sum("n").alias("n")).collect():
+        met[r["other"]] = r["n"]
+    for r in top:
+        met[r["word"] & (OTHERS - 1)] -= r["n"]
+    model = WindowModel(hashes[order], np.arange(len(top))[order], _initial(), np.maximum(met, 1), counts)
     texts = documents.select(F.col(text_col).cast("string").alias("text"))
-    model.weights = _round(texts.where(F.pmod(F.xxhash64("text"), F.lit(WARM_UP)) == 0), model)
-    model.weights = _round(texts, model)
+    for k in range(ROUNDS):
+        model.weights = _round(texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k), model)
     return model
 
 
 def score(documents: DataFrame, model: WindowModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, pseudo_log_likelihood, mean_log_likelihood) of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    """(id_col, n_tokens, pseudo_log_likelihood, mean_log_likelihood) of every row.
+
+    A task scores the classes and lists each document's words outside the frequent ones, with how
+    often each occurs; these are joined to the table of counts, and their shares added by row.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model.without_words())
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        classes = np.log(m.met)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
-                token, rows, around = _token_rows(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                token, rows, around, h = _token_rows(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                value = log_likelihoods(m.weights, token, around)
+                other = token >= SIZE - OTHERS
+                value[other] -= classes[token[other] - (SIZE - OTHERS)]
                 n = np.bincount(rows, minlength=j - i)
-                total = np.bincount(rows, weights=log_likelihoods(m.weights, token, around), minlength=j - i).astype(np.float64)  # integers if there is no token
-                mean = total / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, mask=n == 0)], names=[id_col, "n_tokens", "pseudo_log_likelihood", "mean_log_likelihood"])
-
-    return map_batches(documents.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` {id_type}, n_tokens long, pseudo_log_likelihood double, mean_log_likelihood double")
+                total = np.bincount(rows, weights=value, minlength=j - i).astype(np.float64)  # integers if there is no token
+                where, word = rows[other], h[other]
+                order = np.lexsort((word, where))
+                where, word = where[order], word[order]
+                first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (word[1:] != word[:-1])])) if len(where) else np.zeros(0, dtype=np.int64)
+                lengths = np.bincount(where[first], minlength=j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total), int_lists(word[first].view(np.int64), lengths), int_lists(np.diff(first, append=len(where)), lengths, np.int32)],
+                    names=["id", "n_tokens", "total", "words", "times"],
+                )
+
+    rows = map_batches(documents.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"id {id_type}, n_tokens long, total double, words array<long>, times array<int>")
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))  # the numbers are only used behind the checkpoint
+    parts = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    shares = parts.join(model.words.where("n > 1"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("shares"))
+    out = rows.select("row", "id", "n_tokens", "total").join(shares, "row", "left").withColumn("value", F.col("total") + F.coalesce("shares", F.lit(0.0)))
+    return out.select(F.col("id").alias(id_col), "n_tokens", F.col("value").alias("pseudo_log_likelihood"), F.when(F.col("n_tokens") > 0, F.col("value") / F.col("n_tokens")).alias("mean_log_likelihood"))

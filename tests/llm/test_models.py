@@ -107,6 +107,31 @@ def test_window_network_is_a_distribution_with_right_gradients():
             assert abs((high - low) / 0.02 - gradient[at]) < 0.05 * abs(gradient[at]) + 1e-4
 
 
+def test_words_share_their_class_by_their_counts(spark):
+    """Against a plain sum, with more words than classes; the counts of the words of a class add up to its own."""
+    rng = random.Random(4)
+    texts = [(k, " ".join(f"w{int(3000 * rng.random() ** 2)}" for _ in range(100))) for k in range(60)]
+    docs = spark.createDataFrame([*texts, (99, "never met")], "doc_id long, text string")
+    model = pseudo_likelihood.train(docs.where("doc_id < 99"))
+    counts = {r["word"]: r["n"] for r in model.words.collect()}
+    assert sum(counts.values()) == 60 * 100
+    got = {r.doc_id: r.pseudo_log_likelihood for r in pseudo_likelihood.score(docs, model).collect()}
+    edge = pseudo_likelihood.SIZE - pseudo_likelihood.OTHERS
+    for k, text in [*texts, (99, "never met")]:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        token, _, around, h = pseudo_likelihood._token_rows(model, data, np.array([0, len(data)]))
+        want = pseudo_likelihood.log_likelihoods(model.weights, token, around)
+        for i, (t, word) in enumerate(zip(token, h.view(np.int64), strict=True)):
+            if t >= edge:
+                want[i] += math.log(counts.get(int(word), 1)) - math.log(model.met[t - edge])
+        assert abs(got[k] - want.sum()) < 1e-3
+    others = {}
+    for word, n in counts.items():
+        if np.array([word]).view(np.uint64)[0] not in model.hashes:
+            others[word & (pseudo_likelihood.OTHERS - 1)] = others.get(word & (pseudo_likelihood.OTHERS - 1), 0) + n
+    assert all(model.met[k] == n for k, n in others.items())
+
+
 def test_pseudo_likelihood_rows_without_id_and_long_texts(spark):
     docs = spark.createDataFrame([(None, "one two three"), (None, None), (1, "one two three"), (1, "x"), (2, "word other " * 200_000)], "doc_id long, text string")
     got = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).collect()
