@@ -334,6 +334,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     rows = [parsed(read(x, y)) for x, y in zip(at, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    chunks = map_batches(archives.select("path").repartition("path"), places, "path string, at array<long>, n array<long>")
-    dealt = chunks.repartition("path", F.element_at("at", 1))
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work
+    chunks = map_batches(archives.select("path").repartition(tasks, "path"), places, "path string, at array<long>, n array<long>")
+    dealt = chunks.repartition(tasks, "path", F.element_at("at", 1))
     return map_batches(dealt, records, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, intact boolean, payload binary")
