@@ -1,4 +1,4 @@
-"""String similarity and counting columns."""
+"""Columns of string similarity, loudness and time."""
 
 from __future__ import annotations
 
@@ -56,3 +56,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def rms(samples: Column) -> Column:
     return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / F.size(samples))
+
+
+def level(rms_col: Column, full: float = 8000) -> Column:
+    """Loudness on a logarithmic scale: 0 at an RMS of 1, below it and without one, 1 from `full` on."""
+    return F.when(rms_col > 1, F.least(F.lit(1.0), F.log10(rms_col) / F.log10(F.lit(full)))).otherwise(F.lit(0.0))
+
+
+def after_ms(start: Column, offset_ms: Column) -> Column:
+    """The time that lies offset_ms milliseconds after start, in ISO form to the millisecond."""
+    return F.date_format(F.timestamp_millis(F.unix_millis(start.cast("timestamp")) + offset_ms.cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS")

@@ -34,16 +34,23 @@ def calibrate_confidence(state: DataFrame, fallback: float = 0.55) -> DataFrame:
     return out.select(F.when(F.col("note").isNull(), F.round("t", 2)).otherwise(fallback).alias("threshold"), "separation", F.when(F.col("note").isNull(), F.col("share_below")).alias("share_below"), "matched_n", "unmatched_n", "note")
 
 
+#: Bins of similarities from 0 to 1 in which a rank is looked for.
+BINS = 4096
+
+
 def calibrate_voice(pairs: DataFrame, target: float = 0.01, fallback: tuple[float, float] = (0.82, 0.06)) -> DataFrame:
     """One row: threshold, margin, recall, false_accepts, same_n, different_n, note."""
     n = pairs.agg(F.count_if("same").alias("same_n"), F.count_if(~F.col("same")).alias("different_n"), F.stddev_pop(F.when(F.col("same"), F.col("similarity"))).alias("spread"))
     different = pairs.where(~F.col("same"))
-    # The rank that the target names is near the top: a bounded top-n, not a full sort, would do;
-    # the exact percentile of a discrete rank is read from counts of equal values.
-    counts = different.groupBy("similarity").agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("through", F.sum("c").over(Window.orderBy(F.desc("similarity"))))
+    # The exact value at a rank: counts per bin (a bounded number of rows) tell the bin that holds it,
+    # and only the distinct values of that bin are ranked.
+    counts = different.groupBy("similarity").agg(F.count("*").alias("c")).withColumn("bin", F.floor(F.col("similarity") * BINS).cast("int"))
+    bins = counts.groupBy("bin").agg(F.sum("c").alias("in_bin"))
+    bins = bins.withColumn("before", F.sum("in_bin").over(Window.orderBy(F.desc("bin"))) - F.col("in_bin")).crossJoin(F.broadcast(n.select("different_n")))
     index = F.least(F.col("different_n") - 1, F.floor(F.col("different_n") * target))
-    cut = ranked.crossJoin(F.broadcast(n.select("different_n"))).where(F.col("through") > index).agg(F.max("similarity").alias("at"))
+    held = bins.withColumn("index", index).where((F.col("before") <= F.col("index")) & (F.col("index") < F.col("before") + F.col("in_bin")))
+    ranked = counts.join(F.broadcast(held), "bin").withColumn("through", F.col("before") + F.sum("c").over(Window.partitionBy("bin").orderBy(F.desc("similarity"))))
+    cut = ranked.where(F.col("through") > F.col("index")).agg(F.max("similarity").alias("at"))
     raw = n.join(cut, F.lit(True), "left").withColumn("raw", F.col("at") + 0.005)
     rates = pairs.crossJoin(F.broadcast(raw.select("raw"))).agg(
         F.avg(F.when(F.col("same"), (F.col("similarity") >= F.col("raw")).cast("double"))).alias("recall"), F.avg(F.when(~F.col("same"), (F.col("similarity") >= F.col("raw")).cast("double"))).alias("false_accepts")

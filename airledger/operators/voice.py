@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine
 
+#: Profiles that are broadcast at most: a few MB of centroids.
+BROADCAST_PROFILES = 4096
+
 
 def _unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
@@ -38,12 +41,22 @@ def forget(profiles: DataFrame, callsigns: list[str]) -> DataFrame:
     return profiles.where(~F.col("callsign").isin(*callsigns))
 
 
-def identify(clips: DataFrame, profiles: DataFrame, min_similarity: float = 0.82, margin: float = 0.06, min_enrolments: int = 2) -> DataFrame:
+def identify(clips: DataFrame, profiles: DataFrame, min_similarity: float = 0.82, margin: float = 0.06, min_enrolments: int = 2, block: int = BROADCAST_PROFILES) -> DataFrame:
     """(clip, callsign, score, runner_up, runner_up_score, reason): the nearest voice, unless it is far
-    or another comes close. Profiles are one row per station and are broadcast."""
-    pairs = clips.select("clip", "vector").crossJoin(F.broadcast(profiles.where(F.col("n") >= min_enrolments).select("callsign", "centroid"))).select("clip", "callsign", cosine(F.col("vector"), F.col("centroid")).alias("score"))
-    w = Window.partitionBy("clip").orderBy(F.desc("score"), F.desc("callsign"))
-    best = pairs.withColumn("_n", F.row_number().over(w)).withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w)).where("_n = 1")
+    or another comes close. Profiles are one row per station; up to `block` of them are broadcast, of
+    more each clip meets the blocks one by one. The rows are the same."""
+    usable = profiles.where(F.col("n") >= min_enrolments).select("callsign", "centroid")
+    blocks = -(-usable.count() // block)
+    if blocks <= 1:
+        met = clips.select("clip", "vector").crossJoin(F.broadcast(usable))
+    else:
+        dealt = usable.withColumn("block", F.pmod(F.xxhash64("callsign"), F.lit(blocks)))
+        met = clips.select("clip", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")).join(dealt, "block")
+    pairs = met.select("clip", "callsign", cosine(F.col("vector"), F.col("centroid")).alias("score"))
+    # Kept to two rows per clip before the shuffle already.
+    top = pairs.withColumn("place", F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("score"), F.desc("callsign")))).where("place <= 2")
+    of = lambda place, col: F.max(F.when(F.col("place") == place, F.col(col)))
+    best = top.groupBy("clip").agg(of(1, "callsign").alias("callsign"), of(1, "score").alias("score"), of(2, "callsign").alias("runner_up"), of(2, "score").alias("runner_up_score"))
     rows = clips.select("clip").join(best, "clip", "left")
     reason = F.when(F.col("callsign").isNull(), "no profiles").when(F.col("score") < min_similarity, "too far").when(F.col("score") - F.col("runner_up_score") < margin, "too close")
     return rows.withColumn("reason", reason).select("clip", F.when(F.col("reason").isNull(), F.col("callsign")).alias("callsign"), "score", "runner_up", "runner_up_score", "reason")

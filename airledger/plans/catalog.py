@@ -362,6 +362,20 @@ def frame_rms(v):
     return rows.withColumn("rms", F.round(rms(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("turn") + i)), 6))
 
 
+@_query("SELECT source, frame_no, round(CASE WHEN rms > 1 THEN least(1.0, log10(rms) / log10(8000)) ELSE 0 END, 6) AS level FROM net_frames")
+def frame_level(v):
+    from ..functions.text import level
+
+    return v("net_frames").select("source", "frame_no", F.round(level(F.col("rms")), 6).alias("level"))
+
+
+@_query("""SELECT session, id, strftime(cast(timestamp AS timestamp) + to_milliseconds(cast(round(confidence * 60000) AS bigint)), '%Y-%m-%dT%H:%M:%S.%g') AS started_at FROM net_log""")
+def line_times(v):
+    from ..functions.text import after_ms
+
+    return v("net_log").select("session", "id", after_ms(F.col("timestamp"), F.round(F.col("confidence") * 60000)).alias("started_at"))
+
+
 @_query("SELECT clip, word_no, text, start, \"end\" FROM (SELECT id AS clip, w AS word_no, CASE w WHEN 1 THEN 'over' ELSE 'there' END AS text, CASE w WHEN 1 THEN 0.0 ELSE 0.2 END AS start, CASE w WHEN 1 THEN 0.2 ELSE 0.4 END AS \"end\" FROM net_log, (SELECT 1 AS w UNION ALL SELECT 2))")
 def assemble_words(v):
     rows = v("net_log").select(F.col("id").alias("clip"))
@@ -693,6 +707,14 @@ def new_recordings(v):
     return readers.new_recordings(files, files.where("n % 3 = 0")).select("file", "seconds")
 
 
+@_query("""WITH f AS (SELECT session || '.wav' AS file, sum(clip_duration) AS seconds, count(*) AS n FROM net_log GROUP BY session)
+ SELECT file, 'net-' || replace(file, '.wav', '.jsonl') AS session, round_even(seconds / 60, 1) AS minutes, round_even(seconds / 8, 1) AS took_seconds FROM f WHERE n % 3 <> 0""")
+def manifest_rows(v):
+    """The same sessions as recordings, the new ones finished at eight times their length."""
+    files = v("net_log").groupBy(F.concat("session", F.lit(".wav")).alias("file")).agg(F.sum("clip_duration").alias("seconds"), F.count("*").alias("n"))
+    return readers.manifest_rows(files, files.where("n % 3 <> 0").select("file", (F.col("seconds") / 8).alias("took_seconds")))
+
+
 @_query("SELECT substr(timestamp, 1, 16) AS minute, source, count(*) AS lines, count(*) FILTER (matched) AS matched FROM net_log GROUP BY 1, 2")
 def heartbeat(v):
     rows = v("net_log").withColumn("ts", F.to_timestamp("timestamp"))

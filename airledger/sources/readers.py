@@ -78,6 +78,14 @@ def new_recordings(files: DataFrame, manifest: DataFrame, min_seconds: float = 6
     return files.where(F.col("seconds") >= min_seconds).join(manifest.select("file"), "file", "left_anti")
 
 
+def manifest_rows(files: DataFrame, finished: DataFrame) -> DataFrame:
+    """(file, session, minutes, took_seconds) of the recordings that were finished, for the manifest.
+    files: file, seconds; finished: file, took_seconds. The session is named after the recording."""
+    done = files.join(finished.select("file", "took_seconds"), "file")
+    session = F.concat(F.lit("net-"), F.regexp_replace("file", r"\.[^.]*$", ""), F.lit(".jsonl"))
+    return done.select("file", session.alias("session"), F.bround(F.col("seconds") / 60, 1).alias("minutes"), F.bround("took_seconds", 1).alias("took_seconds"))
+
+
 def latest_session(spark: SparkSession, path: str, pattern: str = "net-*.jsonl") -> DataFrame:
     """(session, modified) of the log that was written last."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("session"), F.col("modificationTime").alias("modified"))

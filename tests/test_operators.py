@@ -1,11 +1,14 @@
 """Refusals, folds, bursts, splits, readers and streams on small fixtures."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from airledger.operators import frames, log, match, split, voice
+from airledger.functions.text import after_ms, level
+from airledger.operators import calibrate, frames, log, match, split, voice
 from airledger.sources import readers, writers
 from airledger.streaming import live
 
@@ -92,6 +95,33 @@ def test_voice(spark):
     assert got["A"].n == 2 and abs(sum(x * x for x in got["A"].centroid) - 1) < 1e-9 and got["B"].centroid == [0.0, 1.0]
     clips = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.7071, 0.7071])], "clip int, vector array<double>")
     assert {r.clip: (r.callsign, r.reason) for r in voice.identify(clips, profiles, margin=0.5).collect()} == {1: ("B", None), 2: (None, "too close")}
+    assert {r.clip: (r.callsign, r.reason) for r in voice.identify(clips, profiles.where("n > 9")).collect()} == {1: (None, "no profiles"), 2: (None, "no profiles")}
+
+
+def test_identify_in_blocks(spark):
+    rng = random.Random(8)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    make = lambda n: [(str(k), 2, unit([rng.gauss(0, 1) for _ in range(6)])) for k in range(n)]
+    profiles = spark.createDataFrame(make(60) + [("twin", 2, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), ("twin2", 2, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])], "callsign string, n int, centroid array<double>")
+    clips = spark.createDataFrame([(int(k), v) for k, _, v in make(30)] + [(30, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])], "clip int, vector array<double>")
+    whole, parts = (sorted(map(tuple, voice.identify(clips, profiles, block=b).collect())) for b in (100, 7))
+    assert whole == parts and len(whole) == 31 and whole[30][3:] == ("twin", 1.0, "too close")
+
+
+def test_rank_over_bins(spark):
+    """The threshold lies above the share of different voices that the target names."""
+    rng = random.Random(3)
+    pairs = [(True, 0.9 + 0.001 * k) for k in range(60)] + [(False, round(rng.uniform(0.2, 0.8), 3)) for _ in range(500)] + [(False, 1.0), (False, 0.0), (False, 0.7501), (False, 0.75011)]
+    got = calibrate.calibrate_voice(spark.createDataFrame(pairs, "same boolean, similarity double"), target=0.02).first()
+    ranked = sorted((s for same, s in pairs if not same), reverse=True)
+    assert got.threshold == pytest.approx(round(ranked[int(len(ranked) * 0.02)] + 0.005, 3)) and got.different_n == 504
+
+
+def test_level_and_offset(spark):
+    rows = spark.createDataFrame([(1, None), (2, -1.0), (3, 1.0), (4, 80.0), (5, 8000.0), (6, 1e9)], "k int, r double")
+    assert [round(x.l, 3) for x in rows.select(level(F.col("r")).alias("l")).collect()] == [0, 0, 0, 0.488, 1, 1]
+    times = spark.sql("SELECT '2024-02-28T23:59:59.900' AS t, 1100 AS ms UNION ALL SELECT '2024-03-01 00:00:00', null UNION ALL SELECT null, 5")
+    assert {x.a for x in times.select(after_ms(F.col("t"), F.col("ms")).alias("a")).collect()} == {"2024-02-29T00:00:01.000", None}
 
 
 def test_readers(spark, tmp_path):
@@ -130,6 +160,8 @@ def test_writers_round_trip(spark, tmp_path):
 def test_recordings(spark):
     files = spark.createDataFrame([("a", 30.0), ("b", 90.0), ("c", 90.0)], "file string, seconds double")
     assert [r.file for r in readers.new_recordings(files, files.where("file = 'c'")).collect()] == ["b"]
+    finished = spark.createDataFrame([("a.b.wav", 12.34), ("gone.wav", 1.0)], "file string, took_seconds double")
+    assert [tuple(r) for r in readers.manifest_rows(spark.createDataFrame([("a.b.wav", 99), ("new.wav", 70)], "file string, seconds int"), finished).collect()] == [("a.b.wav", "net-a.b.jsonl", 1.6, 12.3)]
 
 
 def test_boards_stream(spark, tmp_path):
