@@ -50,8 +50,8 @@ def identify(clips: DataFrame, profiles: DataFrame, min_similarity: float = 0.82
     if blocks <= 1:
         met = clips.select("clip", "vector").crossJoin(F.broadcast(usable))
     else:
-        dealt = usable.withColumn("block", F.pmod(F.xxhash64("callsign"), F.lit(blocks)))
-        met = clips.select("clip", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")).join(dealt, "block")
+        dealt = usable.withColumn("block", F.pmod(F.xxhash64("callsign"), F.lit(blocks)).cast("int"))
+        met = clips.select("clip", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(dealt, "block")
     pairs = met.select("clip", "callsign", cosine(F.col("vector"), F.col("centroid")).alias("score"))
     # Kept to two rows per clip before the shuffle already.
     top = pairs.withColumn("place", F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("score"), F.desc("callsign")))).where("place <= 2")
