@@ -9,19 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames of one source that one window partition of the noise gate holds, those before it aside.
+CHUNK_FRAMES = 4096
+#: Seconds after which an alarm that is due has rung.
+RING_S = 0.001
+
 
 def noise_gate(frames: DataFrame, window_ms: int = 10_000, pct: float = 10, min_floor: float = 300, margin: float = 1.5, frame_ms: int = 30, warm_up_ms: int = 300) -> DataFrame:
     """Adds floor and open per frame of (source, session if present, frame_no, rms).
 
     The floor is a percentile of the window's levels, interpolated. The first frames (before the
     warm-up is over) and quiet floors are open; otherwise the level must stand out by the margin.
+    A source's frames are cut into chunks that carry the frames of a window before them, so that the
+    percentiles of one long source are work for many tasks.
     """
     keys = [c for c in ("source", "session") if c in frames.columns]
-    order = Window.partitionBy(*keys).orderBy("frame_no")
-    floor = F.percentile("rms", pct / 100).over(order.rowsBetween(1 - window_ms // frame_ms, 0))
-    early = F.row_number().over(order) < warm_up_ms // frame_ms
-    rows = frames.withColumn("floor", floor).withColumn("_early", early)
-    return rows.withColumn("open", F.col("_early") | (F.col("floor") < min_floor) | (F.col("rms") >= margin * F.col("floor"))).drop("_early")
+    width = max(1, window_ms // frame_ms)
+    size = max(CHUNK_FRAMES, width)
+    n, chunk = F.col("_n"), F.floor(F.col("_n") / size)
+    ahead = F.when(n % size > size - width, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    rows = frames.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("frame_no")) - 1).withColumn("_chunk", F.explode(ahead))
+    order = Window.partitionBy(*keys, "_chunk").orderBy("_n")
+    floor = F.percentile("rms", pct / 100).over(order.rowsBetween(1 - width, 0))
+    rows = rows.withColumn("floor", floor).where(F.col("_chunk") == chunk)
+    early = n + 1 < warm_up_ms // frame_ms
+    return rows.withColumn("open", early | (F.col("floor") < min_floor) | (F.col("rms") >= margin * F.col("floor"))).drop("_n", "_chunk")
 
 
 def gate(frames: DataFrame, **limits: float) -> DataFrame:
@@ -115,6 +127,28 @@ def islands(frames: DataFrame, frame_ms: int = 30, silence_ms: int = 800) -> Dat
     return rows.withColumn("burst", F.sum("_new").over(w)).groupBy(*keys, "burst").agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count("*").alias("speech_frames"))
 
 
+def snapshots(signals: DataFrame, stall_s: float = 5, silence_s: float = 300, silence_rms: float = 15) -> DataFrame:
+    """Counters of each source, as `health` reads them, after every signal and where an alarm rings.
+
+    signals: source, clock (seconds), kind (started, stopped, failed, finished, frame, spill, buffer,
+    overflow; others change nothing), value; those of one clock in order of seq, if there is one. A
+    start begins a new time of grace. What is missing has no row of its own: where a source sends
+    nothing until an alarm is due, a row of that instant stands between its signals.
+    """
+    w = Window.partitionBy("source").orderBy(*[c for c in ("clock", "seq") if c in signals.columns])
+    kind, began = F.col("kind"), F.col("kind") == "started"
+    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = signals.select(
+        "source", "clock", F.coalesce(last(kind.isin("started", "stopped", "failed", "finished"), began), F.lit(False)).alias("capturing"), F.coalesce(last(kind.isin("started", "finished"), kind == "finished"), F.lit(False)).alias("finished"),
+        last(kind.isin("started", "frame"), F.col("clock")).alias("last_frame"), last(began | ((kind == "frame") & (F.col("value") >= silence_rms)), F.col("clock")).alias("last_loud"),
+        *[F.coalesce(last(kind == k, F.col("value")), F.lit(0.0)).alias(name) for k, name in (("spill", "spill"), ("buffer", "buffer_fill"), ("overflow", "overflows"))],
+        F.lead("clock").over(w).alias("_next"),
+    )
+    due = F.array_distinct(F.array(F.col("last_frame") + stall_s + RING_S, F.col("last_loud") + silence_s + RING_S))
+    rings = F.filter(due, lambda t: F.coalesce(F.col("capturing") & (t > F.col("clock")) & (t < F.col("_next")), F.lit(False)))
+    return rows.withColumn("clock", F.explode(F.concat(F.array("clock"), rings))).drop("_next")
+
+
 def health(snapshots: DataFrame, stall_s: float = 5, silence_s: float = 300, silence_rms: float = 15) -> DataFrame:
     """(source, clock, state, issues) of snapshots of a source's counters.
 

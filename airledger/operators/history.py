@@ -82,6 +82,21 @@ def draft_roster(mined: DataFrame, checked: DataFrame | None = None) -> DataFram
     return rows.select("callsign", blank.alias("name"), blank.alias("sources"), blank.alias("position"))
 
 
+def draft_lines(mined: DataFrame, records: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """(part, place, line) of the draft as a file: comments that say what it is, the header, and a row
+    per callsign. records: the change records that were mined."""
+    rows = draft_roster(mined, checked)
+    facts = records.agg(F.countDistinct("session").cast("string").alias("sessions")).crossJoin(mined.agg(F.count_if("likely").alias("likely"))).crossJoin(rows.agg(F.count("*").alias("kept")))
+    head = F.array(
+        F.concat(F.lit("# Draft roster from "), F.col("sessions"), F.lit(" sessions. Nobody has checked it.")),
+        F.concat(F.lit("# Callsigns left out because nobody holds them: "), (F.col("likely") - F.col("kept")).cast("string")),
+        F.lit("# Strike what you do not know and fill in names and positions before use."),
+        F.lit("callsign,name,sources,position"),
+    )
+    comments = facts.select(F.posexplode(head).alias("place", "line")).select(F.lit(0).alias("part"), F.col("place").cast("string").alias("place"), "line")
+    return comments.union(rows.select(F.lit(1), "callsign", F.concat_ws(",", "callsign", "name", "sources", "position")))
+
+
 def hint_terms(roster: DataFrame, heard: DataFrame, att: DataFrame | None, source: str, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
     """(term, grp, place) in the order in which hints should be given: the vocabulary table (term, grp
     0 or 1, place), then this source's stations not yet heard, those heard, and everyone else; inside

@@ -275,6 +275,15 @@ def draft_roster(v):
     return history.draft_roster(mined, history.check_licences(mined, v("net_licences"), "CN87")).select("callsign")
 
 
+@_query(f"""WITH {MINED}, d AS (SELECT callsign FROM mined WHERE sessions >= 2 AND callsign NOT IN (SELECT callsign FROM net_licences WHERE status = 'not issued' AND NOT regexp_matches(callsign, '{geo.FOREIGN}'))),
+ t AS (SELECT (SELECT count(DISTINCT session) FROM net_records) AS n, (SELECT count(*) FROM mined WHERE sessions >= 2) - (SELECT count(*) FROM d) AS k)
+ SELECT 0 AS part, '0' AS place, '# Draft roster from ' || n || ' sessions. Nobody has checked it.' AS line FROM t UNION ALL SELECT 0, '1', '# Callsigns left out because nobody holds them: ' || k FROM t
+ UNION ALL SELECT 0, '2', '# Strike what you do not know and fill in names and positions before use.' UNION ALL SELECT 0, '3', 'callsign,name,sources,position' UNION ALL SELECT 1, callsign, callsign || ',,,' FROM d""")
+def draft_lines(v):
+    mined = _mined(v)
+    return history.draft_lines(mined, v("net_records"), history.check_licences(mined, v("net_licences"), "CN87"))
+
+
 HINTS = f"""{ATT}, hints AS (SELECT callsign AS term, CASE WHEN mine AND NOT heard THEN 2 WHEN mine THEN 3 ELSE 4 END AS grp, -coalesce(score, 0) AS place FROM
  (SELECT r.callsign, r.src IN ('', 'east') AS mine, r.callsign IN (SELECT matched_callsign FROM net_log WHERE matched AND session = '2024-01-30') AS heard, score FROM net_roster r LEFT JOIN att USING (callsign)))"""
 
@@ -510,6 +519,17 @@ def build_profiles(v):
     return voice.build_profiles(v("net_voice"))
 
 
+@_query("""WITH RECURSIVE s AS MATERIALIZED (SELECT callsign, row_number() OVER (PARTITION BY callsign ORDER BY ordinal) AS k, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u
+ FROM (SELECT callsign, ordinal, cast(vector AS double[]) AS v FROM net_voice)), p AS (SELECT callsign, k, u AS c FROM s WHERE k = 1 UNION ALL
+ SELECT callsign, k, list_transform(moved, lambda x: x / sqrt(list_inner_product(moved, moved))) FROM
+ (SELECT s.callsign, s.k, list_transform(list_zip(c, u), lambda z: (z[1] * p.k + z[2]) / (p.k + 1)) AS moved FROM p JOIN s ON s.callsign = p.callsign AND s.k = p.k + 1))
+ SELECT callsign, k AS n, i, round(c[i + 1], 6) AS value FROM (SELECT callsign, k, c, unnest(range(0, len(c))) AS i FROM p WHERE (callsign, k) IN (SELECT (callsign, max(k)) FROM p GROUP BY callsign))""")
+def profile_values(v):
+    """Centroids of the profiles, a row per component."""
+    rows = voice.build_profiles(v("net_voice")).select("callsign", F.col("n").cast("long").alias("n"), F.posexplode("centroid").alias("i", "value"))
+    return rows.withColumn("i", F.col("i").cast("long")).withColumn("value", F.round("value", 6))
+
+
 @_query("SELECT callsign, count(*) AS n FROM net_voice WHERE callsign NOT IN ('A') GROUP BY callsign HAVING count(*) >= 2")
 def known(v):
     return voice.known(voice.forget(voice.build_profiles(v("net_voice")), ["A"])).select("callsign", F.col("n").cast("long").alias("n"))
@@ -601,7 +621,18 @@ def gate(v):
     return frames.gate(v("net_frames")).select("source", "frame_no", "is_speech")
 
 
-@_query()
+BURSTS = """WITH RECURSIVE f AS MATERIALIZED (SELECT source, row_number() OVER (PARTITION BY source ORDER BY frame_no) AS n, is_speech AS s FROM net_frames),
+ m AS (SELECT source, cast(0 AS bigint) AS n, '' AS ring, cast(-1 AS bigint) AS start, 0 AS frames, 0 AS quiet, cast(-1 AS bigint) AS first, 0 AS len FROM (SELECT DISTINCT source FROM f) UNION ALL
+ SELECT source, k, CASE WHEN start < 0 AND NOT up THEN more ELSE '' END, CASE WHEN start < 0 AND up THEN k - 10 WHEN start < 0 OR over THEN -1 ELSE start END,
+ CASE WHEN start < 0 AND up THEN 10 WHEN start < 0 OR over THEN 0 ELSE frames + 1 END, CASE WHEN start < 0 OR over THEN 0 ELSE still END,
+ CASE WHEN start >= 0 AND over THEN start ELSE -1 END, CASE WHEN start >= 0 AND over THEN frames + 1 - still ELSE 0 END FROM
+ (SELECT *, length(more) = 10 AND length(replace(more, '.', '')) > 4 AS up, still >= 26 OR frames + 1 >= 4000 AS over FROM (SELECT m.*, f.n AS k, right(ring || CASE WHEN s THEN 'S' ELSE '.' END, 10) AS more,
+ CASE WHEN s THEN 0 ELSE quiet + 1 END AS still FROM m JOIN f ON f.source = m.source AND f.n = m.n + 1))),
+ found AS (SELECT source, first, len FROM m WHERE first >= 0 UNION ALL SELECT source, start, frames - quiet FROM m WHERE start >= 0 AND n = (SELECT max(n) FROM f WHERE f.source = m.source))
+ SELECT source, '' AS session, row_number() OVER (PARTITION BY source ORDER BY first) - 1 AS seq, first * 30 AS start_offset_ms, cast(len * 30 AS bigint) AS duration_ms FROM found WHERE len * 30 >= 400"""
+
+
+@_query(BURSTS)
 def bursts(v):
     return frames.bursts(v("net_frames"), trigger_ratio=0.4)
 
@@ -639,6 +670,31 @@ def state_changes(v):
     return windows.state_changes(frames.health(_snapshots(v)).select("source", "clock", "state"), ["source"], "clock")
 
 
+SIGNALS = """w AS (SELECT *, CASE WHEN kind IN ('started', 'frame') THEN clock END AS heard, CASE WHEN kind = 'started' OR (kind = 'frame' AND value >= 60) THEN clock END AS loud,
+ CASE WHEN kind IN ('started', 'failed', 'finished') THEN kind = 'started' END AS up, CASE WHEN kind IN ('started', 'finished') THEN kind = 'finished' END AS done, CASE WHEN kind = 'spill' THEN value END AS waiting FROM net_signals),
+ e AS (SELECT source, clock, coalesce(last_value(up IGNORE NULLS) OVER o, false) AS capturing, coalesce(last_value(done IGNORE NULLS) OVER o, false) AS finished, last_value(heard IGNORE NULLS) OVER o AS f,
+ last_value(loud IGNORE NULLS) OVER o AS l, coalesce(last_value(waiting IGNORE NULLS) OVER o, 0) AS spill, lead(clock) OVER (PARTITION BY source ORDER BY clock) AS nxt
+ FROM w WINDOW o AS (PARTITION BY source ORDER BY clock ROWS UNBOUNDED PRECEDING)),
+ r AS (SELECT * FROM e UNION SELECT * REPLACE (f + 5 + 0.001 AS clock) FROM e WHERE capturing AND f + 5 + 0.001 > clock AND f + 5 + 0.001 < nxt
+ UNION SELECT * REPLACE (l + 10 + 0.001 AS clock) FROM e WHERE capturing AND l + 10 + 0.001 > clock AND l + 10 + 0.001 < nxt),
+ verdicts AS (SELECT source, clock, CASE WHEN NOT capturing AND NOT finished OR capturing AND clock - f > 5 THEN 'error' WHEN capturing AND clock - l > 10 OR spill > 0 THEN 'warning' ELSE 'ok' END AS state FROM r)"""
+
+
+def _signals(v):
+    return frames.health(frames.snapshots(v("net_signals"), silence_s=10, silence_rms=60), silence_s=10).select("source", "clock", "state")
+
+
+@_query(f"WITH {SIGNALS} SELECT source, round(clock, 3) AS clock, state FROM verdicts")
+def health_signals(v):
+    """Health after every signal, and where a source's silence sets off an alarm."""
+    return _signals(v).withColumn("clock", F.round("clock", 3))
+
+
+@_query(f"""WITH {SIGNALS} SELECT source, round(clock, 3) AS clock, state, previous FROM (SELECT *, lag(state, 1, 'ok') OVER (PARTITION BY source ORDER BY clock) AS previous FROM verdicts) WHERE state <> previous""")
+def signal_changes(v):
+    return windows.state_changes(_signals(v), ["source"], "clock").withColumn("clock", F.round("clock", 3))
+
+
 @_query("SELECT callsign, round(s, 6) AS score, round(second, 6) AS runner_up_score FROM (SELECT matched_callsign AS callsign, confidence AS s, lead(confidence) OVER w AS second, row_number() OVER w AS n FROM net_log WHERE matched WINDOW w AS (PARTITION BY matched_callsign ORDER BY confidence DESC, id)) WHERE n = 1")
 def top_two(v):
     out = windows.top_two(v("net_log").where("matched"), ["matched_callsign"], "confidence", F.col("id"))
@@ -651,6 +707,29 @@ def address_state(v):
     return rows.select("id", geo.address_state(F.col("line")).alias("state"))
 
 
+@_query("""SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'WA' WHEN 1 THEN 'OR' WHEN 2 THEN substr(upper(c_name), 1, 2) WHEN 3 THEN NULL ELSE 'ID' END AS state FROM customer""")
+def address_states(v):
+    """Lines with a long code, a short one, none, no state at all, and blanks at the end."""
+    rows = v("net_customers")
+    k = F.col("id") % 5
+    line = F.when(k == 0, F.concat("name", F.lit(" WA 98101-2233"))).when(k == 1, F.concat("name", F.lit(", OR  97201"))).when(k == 2, F.concat("name", F.lit(" "), F.substring(F.upper("name"), 1, 2)))
+    line = line.when(k == 3, F.concat("name", F.lit(" wa 98101"))).otherwise(F.concat("name", F.lit(" ID 83701  ")))
+    return rows.select("id", geo.address_state(line).alias("state"))
+
+
+@_query("""WITH t AS (SELECT id AS clip, string_split(raw_text, ' ') AS parts FROM net_log), w AS (SELECT clip, parts, unnest(range(1, len(parts) + 1)) AS i FROM t)
+ SELECT clip, i AS word_no, parts[i] AS text, (i - 1) * 0.2 AS start, (i - 1) * 0.2 + CASE WHEN length(parts[i]) > 2 THEN 0.2 ELSE 0.1 END AS "end",
+ cast(coalesce(list_sum(list_transform(parts[1 : i - 1], lambda p: length(p) + 1)), 0) AS int) AS "offset" FROM w""")
+def assemble_lines(v):
+    """The lines' words, each cut after its second letter, put together and found again in the line."""
+    rows = v("net_log").select(F.col("id").alias("clip"), F.col("raw_text").alias("text"))
+    words = rows.select("clip", F.posexplode(F.split("text", " ")).alias("n", "w"))
+    parts = words.select("clip", "n", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.substring("w", 1, 2).alias("text")), F.struct(F.lit(1).alias("k"), F.substring("w", 3, 99).alias("text")))).alias("x")).where("x.text <> ''")
+    no = 2 * F.col("n") + F.col("x.k")
+    tokens = parts.select("clip", no.alias("token_no"), "x.text", (no * 10).alias("t0_cs"), (no * 10 + 10).alias("t1_cs"), (F.col("x.k") == 0).alias("starts_word"))
+    return text.assemble_words(tokens, rows)
+
+
 # Round trips through writers and readers, and streaming jobs in batch form
 
 

@@ -38,9 +38,13 @@ VIEWS = {
         substr({CALL}, 1, 5) || 'Q' AS candidate, {CALL} AS to_callsign FROM events WHERE event_type = 'click'""",
     "net_mentions": f"""SELECT {SESSION} AS session, event_id AS id, CASE WHEN event_id % 5 = 0 THEN substr({CALL}, 1, 5) || 'Q' ELSE {CALL} END AS candidate FROM events""",
     "net_frames": "SELECT cast(user_id % 4 AS string) AS source, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS frame_no, value * 10 AS rms, value > 60 AS is_speech FROM events",
+    "net_signals": """SELECT cast(user_id % 4 AS string) AS source, cast(event_id AS double) * 0.75 AS clock, CASE WHEN event_id % 50 = 7 THEN 'finished' WHEN event_type = 'signup' THEN 'started'
+        WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed' WHEN event_type = 'purchase' THEN 'spill' ELSE 'frame' END AS kind,
+        CASE WHEN event_type = 'purchase' THEN cast(event_id % 2 AS double) ELSE value END AS value FROM events""",
     "net_voice": "SELECT chr(cast(65 + label AS int)) AS callsign, vec_id AS ordinal, embedding AS vector FROM embeddings",
     "net_licences": f"""SELECT {call("c_custkey")} AS callsign, CASE WHEN c_custkey % 7 = 0 THEN 'not issued' ELSE 'active' END AS status, 'WA' AS state,
         chr(cast(65 + c_custkey % 18 AS int)) || chr(cast(65 + floor(c_custkey / 18) % 18 AS int)) || cast(c_custkey % 10 AS string) || cast(floor(c_custkey / 10) % 10 AS int) AS grid FROM customer""",
+    "net_customers": "SELECT c_custkey AS id, c_name AS name FROM customer",
     "net_words": f"""SELECT event_id AS clip, w.word_no, w.text, w.word_no * 0.3 + CASE WHEN w.word_no >= 2 AND event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS start,
         w.word_no * 0.3 + 0.3 + CASE WHEN w.word_no >= 2 AND event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS end, w.at AS offset FROM events,
         (SELECT 0 AS word_no, 'AB1CDE' AS text, 0 AS at UNION ALL SELECT 1, 'over', 7 UNION ALL SELECT 2, 'FG2HIJ', 12 UNION ALL SELECT 3, 'here', 19) w""",
@@ -65,5 +69,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names as common table expressions."""
-    used = [n for n in VIEWS if n in sql]
-    return ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used) + "\n" + sql) if used and not sql.lstrip().startswith("WITH") else ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used) + ",\n" + sql.lstrip()[4:]) if used else sql
+    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in sql)
+    if not views:
+        return sql
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{views},\n{sql.lstrip().removeprefix(start)}"
+    return f"WITH {views}\n{sql}"

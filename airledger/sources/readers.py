@@ -35,12 +35,16 @@ def read_corrections(spark: SparkSession, path: str, pattern: str = "*.jsonl") -
     return rows.select("session", "line_no", F.from_json("line", schemas.CORRECTION).alias("r")).select("session", "line_no", "r.*")
 
 
+#: Columns of a roster file that are looked at.
+ROSTER_COLUMNS = 64
+
+
 def read_roster(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """(ordinal, callsign, name, position, sources): columns by header name in any order, or by place
     without a header; comments, blank first cells and repeats are skipped, the first of a callsign
     stays. Files follow each other by name."""
-    parsed = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(8))), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    rows = _lines(spark, path, pattern).withColumn("r", parsed).withColumn("c", F.array(*[F.col(f"r.c{i}") for i in range(8)]))
+    parsed = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(ROSTER_COLUMNS))), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = _lines(spark, path, pattern).withColumn("r", parsed).withColumn("c", F.array(*[F.col(f"r.c{i}") for i in range(ROSTER_COLUMNS)]))
     first = F.lower(F.trim(F.coalesce(F.get("c", F.lit(0)), F.lit(""))))
     rows = rows.withColumn("_first", first).where(~F.col("_first").startswith("#") & (F.col("_first") != ""))
     heads = rows.where(F.col("_first").isin(*HEADER)).groupBy("file").agg(F.min_by(F.transform("c", lambda x: F.lower(F.trim(x))), "line_no").alias("head"), F.min("line_no").alias("head_line"))

@@ -57,6 +57,11 @@ def write_roster(df: DataFrame, path: str) -> None:
     df.select("callsign", "name", "sources", "position").write.option("header", True).csv(path)
 
 
+def write_draft(lines: DataFrame, path: str) -> None:
+    """Rows of `draft_lines` as one file, a report of a few hundred lines."""
+    lines.repartition(1).sortWithinPartitions("part", "place").select("line").write.text(path)
+
+
 def append_corrections(df: DataFrame, path: str) -> None:
     """Add rows of `record_corrections` to the correction log; keys without a value are written too."""
     df.write.mode("append").option("ignoreNullFields", False).json(path)

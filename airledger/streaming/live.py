@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.frames import BurstRules, BurstState, fleet, health
+from ..operators.frames import RING_S, BurstRules, BurstState, fleet, health
 from ..operators.text import detect_traffic, flag_echo
 from ..operators.windows import state_changes
 
@@ -132,6 +133,93 @@ def mark_late(lines: DataFrame) -> DataFrame:
     return lines.withColumn("late", F.coalesce(before > F.col("timestamp"), F.lit(False)))
 
 
+@dataclass
+class SourceState:
+    """What a source's health rests on: its counters, the clock they are of, signals that may still be
+    overtaken by late ones, and the verdict that was sent last."""
+
+    capturing: bool = False
+    finished: bool = False
+    last_frame: float | None = None
+    last_loud: float | None = None
+    spill: float = 0.0
+    buffer_fill: float = 0.0
+    overflows: float = 0.0
+    clock: float | None = None
+    held: list = field(default_factory=list)
+    said: list | None = None
+
+    def take(self, clock: float, kind: str, value: float, silence_rms: float) -> None:
+        if kind in ("started", "stopped", "failed", "finished"):
+            self.capturing = kind == "started"
+        if kind in ("started", "finished"):
+            self.finished = kind == "finished"
+        if kind in ("started", "frame"):
+            self.last_frame = clock
+        if kind == "started" or (kind == "frame" and value >= silence_rms):
+            self.last_loud = clock
+        counter = {"spill": "spill", "buffer": "buffer_fill", "overflow": "overflows"}.get(kind)
+        if counter:
+            setattr(self, counter, value)
+        self.clock = clock
+
+    def rings(self, stall_s: float, silence_s: float) -> list[float]:
+        """Instants at which an alarm rings if nothing comes before."""
+        due = {since + limit + RING_S for since, limit in ((self.last_frame, stall_s), (self.last_loud, silence_s)) if since is not None}
+        return sorted(t for t in due if self.capturing and t > self.clock)
+
+    def verdict(self, stall_s: float, silence_s: float) -> list:
+        over = [self.capturing and since is not None and self.clock - since > limit for since, limit in ((self.last_frame, stall_s), (self.last_loud, silence_s))]
+        return [self.capturing, self.finished, *over, self.spill, self.buffer_fill > 0.5, self.overflows]
+
+
+SNAPSHOT = ["capturing", "finished", "last_frame", "last_loud", "spill", "buffer_fill", "overflows"]
+
+
+def signals_stream(signals: DataFrame, stall_s: float = 5, silence_s: float = 300, silence_rms: float = 15, late: str = "10 seconds") -> DataFrame:
+    """Snapshots of a stream of signals (source, clock, kind, value), one wherever a verdict of `health`
+    with the same limits may change; `watch` or `health` goes on from there.
+
+    Each source has timers of event time: that it sends nothing shows once the clock of the stream has
+    passed the alarm by `late`. Rows of kind tick, of any source, keep that clock going (a rate source
+    makes them). Signals wait in the state until no earlier one can come.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = SourceState(**json.loads(kept.get[0])) if kept.exists else SourceState()
+        if not kept.hasTimedOut:
+            rows = pd.concat(list(batches))
+            state.held += [[float(t), k, float(x)] for t, k, x in zip(rows["clock"], rows["kind"], rows["value"].fillna(0), strict=True) if k != "tick"]
+            state.held.sort(key=lambda x: x[0])
+        now, out = kept.getCurrentWatermarkMs() / 1000, []
+
+        def say() -> None:
+            verdict = state.verdict(stall_s, silence_s)
+            if verdict != state.said:
+                state.said = verdict
+                out.append((str(key[0]), state.clock, *[getattr(state, f) for f in SNAPSHOT]))
+
+        while True:
+            coming = state.held[0][0] if state.held and state.held[0][0] <= now else None
+            for t in state.rings(stall_s, silence_s):
+                if t < coming if coming is not None else t <= now:
+                    state.clock = t
+                    say()
+            if coming is None:
+                break
+            state.take(*state.held.pop(0), silence_rms)
+            say()
+        wake = [x[0] for x in state.held[:1]] + state.rings(stall_s, silence_s)[:1]
+        kept.update((json.dumps(asdict(state)),))
+        if wake:
+            kept.setTimeoutTimestamp(int(max(min(wake), now) * 1000) + 1)
+        yield pd.DataFrame(out, columns=["source", "clock", *SNAPSHOT])
+
+    rows = signals.select(F.col("source").cast("string"), F.col("clock").cast("double"), "kind", F.col("value").cast("double"), F.timestamp_seconds("clock").alias("ts")).withWatermark("ts", late)
+    shape = "source string, clock double, capturing boolean, finished boolean, last_frame double, last_loud double, spill double, buffer_fill double, overflows double"
+    return rows.groupBy("source").applyInPandasWithState(run, shape, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def watch(snapshots: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Changes of the fleet's state over a stream of snapshots, with the state before each.
 

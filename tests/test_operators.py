@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airledger.functions.text import after_ms, level
-from airledger.operators import calibrate, frames, log, match, split, voice
+from airledger.operators import calibrate, frames, history, log, match, split, voice
 from airledger.sources import readers, writers
 from airledger.streaming import live
 
@@ -135,8 +135,9 @@ def test_readers(spark, tmp_path):
     assert readers.latest_session(spark, str(tmp_path / "log")).first().session == "net-a"
     (tmp_path / "r.csv").write_text("# roster\ncallsign,position,name,sources\nw6abc,start,Ann,\"east;west\"\n,,,\nW6ABC,again,,\nk7xyz,,Bo,\n")
     (tmp_path / "s.csv").write_text("n5def,Cy,east|west,gate\n")
+    (tmp_path / "t.csv").write_text("callsign" + ",x" * 9 + ",name\nn6def" + "," * 10 + "Di\n")
     got = [(r.ordinal, r.callsign, r.name, r.position, r.sources) for r in readers.read_roster(spark, str(tmp_path)).orderBy("ordinal").collect()]
-    assert got == [(0, "W6ABC", "Ann", "start", ["east", "west"]), (1, "K7XYZ", "Bo", "", []), (2, "N5DEF", "Cy", "gate", ["east", "west"])]
+    assert got == [(0, "W6ABC", "Ann", "start", ["east", "west"]), (1, "K7XYZ", "Bo", "", []), (2, "N5DEF", "Cy", "gate", ["east", "west"]), (3, "N6DEF", "Di", "", [])]
     label = {"timestamp": "t", "entry_id": 1, "candidate": "W6ABD", "from_callsign": None, "to_callsign": "W6ABC", "raw_text": "x", "more": 1}
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "f.jsonl").write_text(json.dumps(label) + "\n" + json.dumps({k: v for k, v in label.items() if k != "from_callsign"}) + "\nnot json\n")
@@ -217,6 +218,61 @@ def test_watch_goes_on_from_the_last_state(spark, tmp_path):
     assert found == [(1.0, "ok", "error"), (3.0, "error", "ok")]
 
 
+def signals(spark, rows):
+    return spark.createDataFrame([(s, float(t), k, None if x is None else float(x)) for s, t, k, x in rows], "source string, clock double, kind string, value double")
+
+
+STORY = [("a", 1, "frame", 50), ("a", 2, "started", None), ("a", 4, "frame", 50), ("a", 12, "frame", 3), ("a", 13, "failed", None), ("a", 40, "started", None), ("a", 44, "frame", 50), ("a", 45, "spill", 2), ("a", 46, "spill", 0),
+         ("a", 47, "finished", None), ("b", 3, "started", None), ("b", 6, "frame", 60), ("b", 50, "tick", None), ("c", 5, "started", None)] + [("c", t, "frame", 1) for t in range(6, 30)]
+WANTED = {
+    "a": [(1.0, "error"), (2.0, "ok"), (9.001, "error"), (12.0, "ok"), (13.0, "error"), (40.0, "ok"), (45.0, "warning"), (46.0, "ok")],
+    "b": [(11.001, "error")],
+    "c": [(15.001, "warning")],
+}
+
+
+def changes(rows):
+    by = {}
+    for r in sorted(rows, key=lambda r: r.clock):
+        seen = by.setdefault(r.source, [(0, "ok")])
+        if r.state != seen[-1][1]:
+            seen.append((round(r.clock, 3), r.state))
+    return {k: x[1:] for k, x in by.items()}
+
+
+def test_alarms_for_what_is_missing(spark):
+    found = frames.health(frames.snapshots(signals(spark, STORY), silence_s=10), silence_s=10)
+    assert changes(found.collect()) == WANTED
+
+
+def test_signals_stream_equals_batch(spark, tmp_path):
+    early, late = [x for x in STORY if x[1] < 10], [x for x in STORY if x[1] >= 10]
+    parts = [signals(spark, early[1:] + late[:1]), signals(spark, early[:1]), signals(spark, late[1:]), signals(spark, [("", 100, "tick", None)]), signals(spark, [("", 101, "tick", None)])]
+    rows = frames.health(live.signals_stream(stream_of(spark, tmp_path, parts), silence_s=10), silence_s=10)
+    query = rows.writeStream.format("memory").queryName("signals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run_stream(query)
+    got = changes(spark.table("signals").collect())
+    # The stream goes on after the last frame of c, which then stalls.
+    assert got == WANTED | {"c": [(15.001, "warning"), (34.001, "error")]}
+
+
+def test_noise_gate_over_chunks(spark, monkeypatch):
+    rows = spark.range(1500).select(F.lit("a").alias("source"), F.col("id").alias("frame_no"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 250).cast("double").alias("rms"))
+    whole = {tuple(r) for r in frames.noise_gate(rows).collect()}
+    monkeypatch.setattr(frames, "CHUNK_FRAMES", 1)
+    assert {tuple(r) for r in frames.noise_gate(rows).collect()} == whole and len(whole) == 1500
+
+
+def test_draft_as_a_file(spark, tmp_path):
+    mined = spark.createDataFrame([("W6ABC", True), ("K7XYZ", True), ("K7AAA", True), ("K7BBB", False)], "callsign string, likely boolean")
+    checked = spark.createDataFrame([("K7AAA", "not issued"), ("W6ABC", "active")], "callsign string, status string")
+    lines = history.draft_lines(mined, spark.createDataFrame([("s",), ("t",), ("s",)], "session string"), checked)
+    writers.write_draft(lines, str(tmp_path / "draft"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "draft")).collect()]
+    assert text[0] == "# Draft roster from 2 sessions. Nobody has checked it." and text[1].endswith(": 1") and text[3:] == ["callsign,name,sources,position", "K7XYZ,,,", "W6ABC,,,"]
+    assert [r.callsign for r in readers.read_roster(spark, str(tmp_path / "draft"), "*.txt").orderBy("ordinal").collect()] == ["K7XYZ", "W6ABC"]
+
+
 def test_heartbeat_and_live_log(spark, tmp_path):
     (tmp_path / "log").mkdir()
     records = [{"type": "entry", "session": "s", "seq": k, "id": k, "timestamp": f"2024-01-01 10:00:{k:02d}", "matched": k % 2 == 0, "source": "east"} for k in range(4)]
