@@ -10,19 +10,36 @@ from pyspark.sql import functions as F
 BITS = 61
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, a row of the table per character of a: as bits of one
-    number if b has up to 61 characters, as callsigns do, else as an array."""
-    one = F.lit(1).cast("long")
-    bit = lambda i: F.call_function("shiftleft", one, i)
-    whole = bit(F.length(b)) - 1
-    letters = F.transform(F.split(b, ""), lambda y, i: F.struct(y.alias("y"), bit(i).alias("bit")))
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def letter_masks(b: Column) -> Column:
+    """Each letter of b, with its places as the bits of a number."""
+    letters = F.transform(F.split(b, ""), lambda y, i: F.struct(y.alias("y"), _bit(i).alias("bit")))
+    places = lambda x: F.aggregate(letters, F.lit(0).cast("long"), lambda m, y: F.when(y.y == x, m.bitwiseOR(y.bit)).otherwise(m))
+    return F.map_from_entries(F.transform(F.array_distinct(F.split(b, "")), lambda x: F.struct(x, places(x))))
+
+
+def _lcs_by_masks(letters: Column, masks: Column, length: Column) -> Column:
+    """A row of the table per letter, each a row of bits."""
+    whole = _bit(length) - 1
 
     def step(row: Column, x: Column) -> Column:
-        same = row.bitwiseAND(F.aggregate(letters, F.lit(0).cast("long"), lambda m, y: F.when(y.y == x, m.bitwiseOR(y.bit)).otherwise(m)))
+        same = row.bitwiseAND(F.coalesce(F.try_element_at(masks, x), F.lit(0).cast("long")))
         return (row + same).bitwiseOR(row - same).bitwiseAND(whole)
 
-    bits = F.length(b) - F.bit_count(F.aggregate(F.split(a, ""), whole, step))
+    return length - F.bit_count(F.aggregate(letters, whole, step))
+
+
+def lcs_length(a: Column, b: Column, letters: Column | None = None, masks: Column | None = None) -> Column:
+    """Length of the longest common subsequence: by rows of bits if b has up to 61 characters, as
+    callsigns do, else by rows of numbers. Joins of many pairs hand over the letters of a and the
+    letter masks of b, made once per row."""
+    if masks is None:
+        bits = F.get(F.transform(F.array(letter_masks(b)), lambda m: _lcs_by_masks(F.split(a, ""), m, F.length(b))), F.lit(0))
+    else:
+        bits = _lcs_by_masks(letters, masks, F.length(b))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).when(F.length(b) <= BITS, bits).otherwise(_lcs_of_long(a, b))
 
 
@@ -42,10 +59,10 @@ def _lcs_of_long(a: Column, b: Column) -> Column:
     return F.get(rows, F.length(b))
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """Normalised insert-delete similarity, 0 to 100."""
+def indel_ratio(a: Column, b: Column, letters: Column | None = None, masks: Column | None = None) -> Column:
+    """Normalised insert-delete similarity, 0 to 100; letters and masks as for lcs_length."""
     total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / total)
+    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b, letters, masks) / total)
 
 
 def cosine(a: Column, b: Column) -> Column:

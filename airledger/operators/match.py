@@ -7,7 +7,7 @@ from math import floor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import indel_ratio
+from ..functions.text import indel_ratio, letter_masks
 from .text import mentions, normalise
 
 #: Rosters up to this many entries are broadcast against all distinct candidates; larger ones are first
@@ -27,8 +27,11 @@ def _scored(cands: DataFrame, roster: DataFrame, least: float, fewest: int = 0)
     """
     entries = roster.select("callsign", "name", "position", "ordinal")
     score = indel_ratio(F.col("candidate"), F.col("callsign"))
+    masked = entries.withColumn("_masks", letter_masks(F.col("callsign")))
+    each = indel_ratio(F.col("candidate"), F.col("callsign"), F.col("_letters"), F.col("_masks"))
+    lettered = lambda rows: rows.withColumn("_letters", F.split("candidate", ""))
     if roster.count() <= BROADCAST_ROSTER:
-        return cands.crossJoin(F.broadcast(entries)).withColumn("score", score)
+        return lettered(cands).crossJoin(F.broadcast(masked)).withColumn("score", each).drop("_letters", "_masks")
     longest = max(cands.agg(F.max(F.length("candidate"))).first()[0] or 0, entries.agg(F.max(F.length("callsign"))).first()[0] or 0)
     cuts = floor((1 - least / 100) * 2 * longest + 1e-9)
     left, right = _variants(cands, "candidate", cuts), _variants(entries.select("callsign").distinct(), "callsign", cuts)
@@ -38,8 +41,8 @@ def _scored(cands: DataFrame, roster: DataFrame, least: float, fewest: int = 0)
         return found
     enough = found.groupBy("candidate").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("candidate")
     tasks = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work
-    rest = cands.join(enough, "candidate", "left_anti").repartition(tasks, "candidate").crossJoin(entries).withColumn("score", score)
-    return found.join(enough, "candidate", "left_semi").unionByName(rest)
+    rest = lettered(cands.join(enough, "candidate", "left_anti").repartition(tasks, "candidate")).crossJoin(masked).withColumn("score", each)
+    return found.join(enough, "candidate", "left_semi").unionByName(rest.drop("_letters", "_masks"))
 
 
 def _variants(df: DataFrame, col: str, cuts: int) -> DataFrame:
@@ -61,7 +64,7 @@ def match_candidates(cands: DataFrame, roster: DataFrame, aliases: DataFrame | N
     """
     distinct = cands.select("candidate").where("candidate is not null and candidate <> ''").distinct()
     w = Window.partitionBy("candidate").orderBy(F.desc("score"), "ordinal")
-    ranked = _scored(distinct, roster, threshold - margin, 2).withColumn("_n", F.row_number().over(w)).withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w))
+    ranked = _scored(distinct, roster, threshold - margin, 2).withColumn("_n", F.row_number().over(w)).where("_n <= 2").withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w))
     best = distinct.join(ranked.where("_n = 1"), "candidate", "left")
     if aliases is not None:
         known = aliases.select("candidate", F.col("callsign").alias("_alias")).join(roster.select(F.col("callsign").alias("_alias"), F.col("name").alias("_an"), F.col("position").alias("_ap")).dropDuplicates(["_alias"]), "_alias")
