@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, licences, minhash, projection, pseudo_likelihood, quality, suffixes, warc
+from . import alignment, bpe, conversations, decontamination, language, licences, minhash, packing, projection, pseudo_likelihood, quality, suffixes, warc
 from .ngrams import held_out
 from .shared import read_table, shared_folder
 
@@ -75,8 +75,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("items", "hits")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every document as pieces of at most 1,024 ids, packed into as few sequences as best-fit decreasing needs."""
+    pieces = packing.cut(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
+    """Groups and links of two tokenizers' tokens over every document."""
+    return alignment.align(read_table(spark, sf_dir, "documents"), byte_level or public_tokenizers.path("byte_bpe_50k.json"), pieces or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    rows = read_table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damage(rows)).withColumnRenamed("conv_id", "of")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    return every.select("conv_id", *[F.coalesce(c, empty.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "of"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_warc_archives, op8_byte_bpe, op9_masked_pseudo_likelihood, op10_benchmark_decontamination]
+    found = [op1_quality_classifier, op2_licence_scan, op3_embedding_near_dedup, op4_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_warc_archives, op8_byte_bpe, op9_masked_pseudo_likelihood, op10_benchmark_decontamination, op11_best_fit_packing, op12_cross_tokenizer_alignment, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
