@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sentencepiece import SentencePieceProcessor
 
 from .bpe import _pack, _unpack
-from .coding import ByteLevelCoder, byte_level_tokens, share_file
+from .coding import byte_level_coder, byte_level_tokens, share_file
 from .shared import giving_back_pair, map_batches, written
 
 #: Bytes of text from which a block is closed.
@@ -82,7 +82,7 @@ class Aligner:
     """Both tokenizers with the bytes of their tokens."""
 
     def __init__(self, file_a: bytes, file_b: bytes):
-        self.a, self.b = ByteLevelCoder(file_a, plain=True), SentencePieceProcessor(model_proto=file_b)
+        self.a, self.b = byte_level_coder(file_a, plain=True), SentencePieceProcessor(model_proto=file_b)
         self.bytes_a, self.bytes_b = byte_level_tokens(self.a.tokenizer), piece_tokens(self.b)
         self.len_a, self.len_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
         #: Each id of A and then of B as text, before a comma, a bar and a semicolon.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -12,11 +13,15 @@ from tokenizers import Tokenizer
 
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64 << 20
-#: Words whose ids a task remembers; beyond that it starts afresh.
-KNOWN_WORDS = 250_000
+#: Words whose ids a worker remembers (at about 200 bytes 120 MB); beyond that it starts afresh.
+KNOWN_WORDS = 600_000
 #: How byte-level pre-tokenizers split a text (fixed value).
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for texts without number forms other than digits and without FEW, in the faster module.
+COMMON = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+FEW = frozenset("\x1c\x1d\x1e\x1f")
+
 
 def share_file(spark: SparkSession, path: str) -> Broadcast:
     """The bytes of a tokenizer's file, which only the driver has to see."""
@@ -38,7 +43,7 @@ class ByteLevelCoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = plain
-        self.split = regex.compile(BYTE_LEVEL).findall
+        self.split, self.split_common = regex.compile(BYTE_LEVEL).findall, re.compile(COMMON).findall
         special = {} if plain else {x.content: np.uint32(i).tobytes() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")").split if special else None
@@ -50,16 +55,31 @@ class ByteLevelCoder(dict):
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        if not text.isascii() and any(unicodedata.category(x) == "Cn" for x in set(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")  # newer characters, of which libraries differ
+        used = set(text)
+        kinds = set() if text.isascii() else set(map(unicodedata.category, used))
+        if "Cn" in kinds:  # newer characters, of which libraries differ
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        split = self.split if kinds & {"No", "Nl"} or used & FEW else self.split_common
         parts = self.cut(text) if self.cut else [text]
         if len(parts) == 1:
-            packed = b"".join(map(self.__getitem__, self.split(text)))
+            packed = b"".join(map(self.__getitem__, split(text)))
         else:
-            packed = b"".join(self.special[x] if k % 2 else b"".join(map(self.__getitem__, self.split(x))) for k, x in enumerate(parts))
+            packed = b"".join(self.special[x] if k % 2 else b"".join(map(self.__getitem__, split(x))) for k, x in enumerate(parts))
         return np.frombuffer(packed, dtype="<u4")
 
 
+_coders: dict[tuple[int, bool], ByteLevelCoder] = {}
+
+
+def byte_level_coder(file: bytes, plain: bool) -> ByteLevelCoder:
+    """The coder of a file, which a worker keeps from task to task with the words that it knows."""
+    key = hash(file), plain
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = ByteLevelCoder(file, plain)
+    return _coders[key]
+
+
 def byte_level_tokens(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary. Printable bytes stand for themselves, the others
     for the characters from U+0100 on, in order."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .coding import ByteLevelCoder, share_file
+from .coding import byte_level_coder, share_file
 from .shared import map_batches, written
 
 #: Largest capacity of a sequence: a plan has at most 4 x capacity x capacity runs (see `plan`).
@@ -109,7 +109,7 @@ def cut(documents: DataFrame, tokenizer_path: str, capacity: int = MAX_CAPACITY,
     kind, file = to_arrow_type(id_type), share_file(documents.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = ByteLevelCoder(file.value, plain=False), np.array([end_id], dtype="<u4")
+        coder, end = byte_level_coder(file.value, plain=False), np.array([end_id], dtype="<u4")
         rows: list[tuple] = []
         held = 0
 
