@@ -3,7 +3,8 @@
 Rows: one per document row, with the size of its shingle set, the smallest id of its group and
 whether it is that document. Null or word-free texts have an empty set and link with nothing.
 Very long texts are read whole.
-Repeated rows of one id count as one document: they share a group. Rows without an id link with
+Rows of one id are one document: they share a group, with all that any of their texts links with,
+also where the texts are unlike; n_shingles is that of each row. Rows without an id link with
 nothing and name no group: their component_id is null and kept is false. An empty table gives an empty
 result. Extra columns are not read, so their names cannot clash.
 """
@@ -249,21 +250,29 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     tail = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (estimated_similarity("pa", "pb") >= floor)).select("a", "b").distinct()
     canopies = canopies.select("a", "b").union(tail)
     families = connected_components(canopies).withColumnRenamed("component_id", "family")
-    sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n_shingles"))
     held = settle(families.join(groups, "id", "left").join(sizes, "id").select("family", "id", F.coalesce("component_id", "id").alias("comp"), "n_shingles"))
     by_comp = held.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     mixed = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps"), (F.sum("shingles") / BLOCK_SHINGLES).alias("least")).where("comps > 1")
     mixed = mixed.withColumn("cols", F.ceil(F.greatest(F.col("size") / block, "least")).cast("int")).withColumn("rows", F.ceil(F.greatest((F.col("size") - F.col("most")) / block, "least")).cast("int"))
     open_ = settle(held.drop("n_shingles").join(mixed.select("family", "main", "cols", "rows"), "family"))
-    open_ = open_.join(sets_of(open_.select("id")).groupBy("id").agg(F.first("shingles").alias("shingles")), "id")
+    open_ = open_.join(sets_of(open_.select("id")).dropDuplicates(["id", "shingles"]), "id")
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = open_.where("comp <> main").withColumn("x", salt("rows")).select("family", "x", every("cols").alias("y"), F.lit(True).alias("asks"), "id", "comp", "shingles")
     asked = open_.withColumn("y", salt("cols")).select("family", every("rows").alias("x"), "y", F.lit(False).alias("asks"), "id", "comp", "shingles")
     rest = asking.union(asked).groupBy("family", "x", "y").applyInArrow(giving_back(lambda t: _linked(t, percent)), "a long, b long")
     more = settle(rest.distinct())
-    final = connected_components(links.union(more))
+    # An id may have rows of several classes, which then are one document's.
+    digest = F.struct(F.coalesce("d0", F.lit(0)), F.coalesce("d1", F.lit(0)))
+    several = settle(signed.where("id is not null").groupBy("id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("id"))
+    of = some.select("id", "d0", "d1").join(several, "id", "left_semi").distinct().join(classes.select("d0", "d1", "rep"), ["d0", "d1"])
+    same = of.join(of.groupBy("id").agg(F.min("rep").alias("least")), "id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    final = connected_components(links.union(more).union(same.distinct()))
     placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d0", "d1", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "d0", "d1").join(placed, ["d0", "d1"], "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    # Rows of such an id that have no words are in its group too.
+    least = out.join(several, "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("least"))
+    out = out.join(least, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

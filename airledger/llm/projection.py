@@ -26,7 +26,7 @@ BLOCK_NUMBERS = 1 << 20
 #: Rows of a block that are multiplied at once, and pairs that are looked at once.
 STRIP, AGAIN = 512, 1 << 16
 #: A window grows on while at least one of so many pairs at its end is a link not found before.
-DENSE = 8
+DENSE = 4096
 #: Parts in which a group of equal vectors is joined.
 SALTS = 16
 
@@ -62,8 +62,31 @@ def passes_for(rows: int, block: int, cosine: float, miss: float) -> int:
     return 1 if meets >= 1 else max(1, ceil(log(miss) / log(1 - meets)))
 
 
+def mean_directions(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each length: what vectors of one model have in common tells none
+    of them apart. One vector per length reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, STRIP):
+                u, dims = unit_rows(batch.column(0).slice(at, STRIP))
+                for d in np.unique(dims):
+                    some = dims == d
+                    sums[int(d)] = sums.get(int(d), 0) + np.append(u[some, :d].sum(axis=0), some.sum())
+        for d, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), d, dtype=np.int32)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["dims", "place", "total"])
+
+    found: dict[int, list[float]] = {}
+    for r in map_batches(rows.select("vec"), run, "dims int, place int, total double").groupBy("dims", "place").agg(F.sum("total").alias("total")).orderBy("dims", "place").collect():
+        found.setdefault(r.dims, []).append(r.total)
+    return {d: np.array(x[:-1]) / x[-1] for d, x in found.items()}
+
+
 def sort_keys(rows: DataFrame, passes: int) -> DataFrame:
-    """(pass, dims, key, id): per pass, the concatenated signs of random projections of (id, vec)."""
+    """(pass, dims, key, id): per pass, the concatenated signs of random projections of (id, vec), by
+    what sets the vectors off from their mean."""
+    means = mean_directions(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -78,7 +101,7 @@ def sort_keys(rows: DataFrame, passes: int) -> DataFrame:
                     for p in range(passes):
                         if (p, d) not in planes:
                             planes[p, d] = np.random.default_rng([p, int(d)]).standard_normal((d, KEY_BITS), dtype=np.float32)
-                        key = ((u[some, :d] @ planes[p, d]) > 0) @ weights
+                        key = (((u[some, :d] - means[int(d)]) @ planes[p, d]) > 0) @ weights
                         n = len(key)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, dtype=np.int32)), pa.array(np.full(n, d, dtype=np.int32)), pa.array(key), pa.array(ids[some])], names=["pass", "dims", "key", "id"])
 
@@ -162,9 +185,10 @@ def window_pass(rows: DataFrame, at: int, cosine: float) -> tuple[DataFrame, Dat
     """(links, grown): (id, first, n) of what pass `at` finds anew, and (block, far) of the blocks
     whose windows reached further than the next block, None if there are none.
 
-    Every block is compared with itself and the next one. Where links not found before are dense at
-    the end of a window (DENSE), the window doubles, until they are not: work beyond the first
-    windows is thus bounded by the links that it finds, and no group is too large for a window.
+    Every block is compared with itself and the next one. Where links not found before are
+    more than one in DENSE pairs at the end of a window, the window doubles, until they are not: work
+    beyond the first windows is thus bounded by the links that it finds, and no group is too large
+    for a window.
     """
     own = F.element_at("blocks", at + 1)
     placed = rows.withColumn("block", own)
