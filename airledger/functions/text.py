@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import DoubleType
 
 #: Characters that a row of bits holds, with room for the carry.
 BITS = 61
@@ -65,6 +67,43 @@ def indel_ratio(a: Column, b: Column, letters: Column | None = None, masks: Colu
     return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b, letters, masks) / total)
 
 
+def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
+    """Characters as numbers, a column per string, filled up with pad."""
+    lengths = np.array([len(x) for x in strings])
+    codes = np.array(strings, dtype=f"<U{width}").view(np.uint32).reshape(len(strings), width).T.astype(np.int64)
+    codes[np.arange(width)[:, None] >= lengths] = pad
+    return codes
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Longest common subsequences of pairs of strings, a table row for all pairs at a time. Pairs of
+    like length go together, so that a long string does not widen the others."""
+    sizes = np.array([max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    out, low = np.zeros(len(a), dtype=np.int64), 0
+    for width in (8, 16, 64, int(sizes.max(initial=0))):
+        at = np.flatnonzero((sizes > low) & (sizes <= width))
+        low = max(low, width)
+        step = max(1, (1 << 16) // width)
+        for part in (at[i : i + step] for i in range(0, len(at), step)):
+            left, right = _codes([a[i] for i in part], width, -1), _codes([b[i] for i in part], width, -2)
+            row = np.zeros((width + 1, len(part)), dtype=np.int16 if width < 1 << 15 else np.int64)
+            for letter in left:
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(right == letter, row[:-1] + 1, 0)), axis=0)
+            out[part] = row[-1]
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """indel_ratio of very many pairs, in Arrow batches: some hundred times the speed of folds over
+    arrays."""
+    known = a.notna() & b.notna()
+    left, right = a[known].tolist(), b[known].tolist()
+    total = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], dtype=np.float64)
+    score = np.where(total > 0, 200.0 * lcs_lengths(left, right) / np.where(total > 0, total, 1), 100.0)
+    return pd.Series(score, index=a.index[known], dtype="float64").reindex(a.index)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of unit vectors, clamped to 0 to 1."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

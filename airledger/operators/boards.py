@@ -28,6 +28,16 @@ def passed_traffic(state: DataFrame) -> DataFrame:
     return state.where("traffic = 'yes' and traffic_cleared and matched_callsign is not null").select("session", F.col("matched_callsign").alias("callsign")).distinct()
 
 
+def stations(state: DataFrame) -> DataFrame:
+    """Per session and callsign: lines, matched lines, first line of a match, and whether any line has
+    traffic that is open, or that was passed."""
+    open_, passed = (F.col("traffic") == "yes") & ~F.coalesce("traffic_cleared", F.lit(False)), (F.col("traffic") == "yes") & F.coalesce("traffic_cleared", F.lit(False))
+    rows = state.where("matched_callsign is not null").groupBy("session", F.col("matched_callsign").alias("callsign"))
+    return rows.agg(
+        F.count("*").alias("lines"), F.count_if("matched").alias("matched_lines"), F.min(F.when(F.col("matched"), F.struct("timestamp", "id"))).alias("_f"), F.coalesce(F.bool_or(open_), F.lit(False)).alias("holding"), F.coalesce(F.bool_or(passed), F.lit(False)).alias("passed")
+    ).select("session", "callsign", "lines", "matched_lines", F.col("_f.timestamp").alias("first_seen"), "holding", "passed")
+
+
 def traffic_summary(state: DataFrame) -> DataFrame:
     """Per session: stations that declared traffic (passed or not), and lines that said yes and no."""
     return state.groupBy("session").agg(
@@ -49,5 +59,10 @@ def board(roster: DataFrame, state: DataFrame) -> DataFrame:
     lines = state.where("matched_callsign is not null").groupBy(F.col("matched_callsign").alias("callsign")).agg(
         F.count("*").alias("lines"), F.bool_or((F.col("traffic") == "yes") & ~F.coalesce("traffic_cleared", F.lit(False))).alias("holding")
     )
+    return place_stations(roster, lines)
+
+
+def place_stations(roster: DataFrame, lines: DataFrame) -> DataFrame:
+    """The board of a roster, given (callsign, lines, holding) of the stations heard."""
     place = F.coalesce(F.nullif("position", F.lit("")), F.nullif("name", F.lit("")), F.lit(""))
     return roster.join(lines, "callsign", "left").select("ordinal", "callsign", F.coalesce("lines", F.lit(0)).alias("lines"), F.col("lines").isNotNull().alias("heard"), F.coalesce("holding", F.lit(False)).alias("holding"), place.alias("place"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .voice import pair_moments, ranked_similarity, shares_from
+
 #: Steps of the confidence grid: 0.2 + i * STEP for i below 70, as a float range makes them.
 FIRST, STEP, POINTS = 0.2, 0.010000000000000009, 70
 
@@ -34,35 +38,22 @@ def calibrate_confidence(state: DataFrame, fallback: float = 0.55) -> DataFrame:
     return out.select(F.when(F.col("note").isNull(), F.round("t", 2)).otherwise(fallback).alias("threshold"), "separation", F.when(F.col("note").isNull(), F.col("share_below")).alias("share_below"), "matched_n", "unmatched_n", "note")
 
 
-#: Bins of similarities from 0 to 1 in which a rank is looked for.
-BINS = 4096
-
-
-def calibrate_voice(pairs: DataFrame, target: float = 0.01, fallback: tuple[float, float] = (0.82, 0.06)) -> DataFrame:
-    """One row: threshold, margin, recall, false_accepts, same_n, different_n, note."""
-    n = pairs.agg(F.count_if("same").alias("same_n"), F.count_if(~F.col("same")).alias("different_n"), F.stddev_pop(F.when(F.col("same"), F.col("similarity"))).alias("spread"))
-    different = pairs.where(~F.col("same"))
-    # The exact value at a rank: counts per bin (a bounded number of rows) tell the bin that holds it,
-    # and only the distinct values of that bin are ranked.
-    counts = different.groupBy("similarity").agg(F.count("*").alias("c")).withColumn("bin", F.floor(F.col("similarity") * BINS).cast("int"))
-    bins = counts.groupBy("bin").agg(F.sum("c").alias("in_bin"))
-    bins = bins.withColumn("before", F.sum("in_bin").over(Window.orderBy(F.desc("bin"))) - F.col("in_bin")).crossJoin(F.broadcast(n.select("different_n")))
-    index = F.least(F.col("different_n") - 1, F.floor(F.col("different_n") * target))
-    held = bins.withColumn("index", index).where((F.col("before") <= F.col("index")) & (F.col("index") < F.col("before") + F.col("in_bin")))
-    ranked = counts.join(F.broadcast(held), "bin").withColumn("through", F.col("before") + F.sum("c").over(Window.partitionBy("bin").orderBy(F.desc("similarity"))))
-    cut = ranked.where(F.col("through") > F.col("index")).agg(F.max("similarity").alias("at"))
-    raw = n.join(cut, F.lit(True), "left").withColumn("raw", F.col("at") + 0.005)
-    rates = pairs.crossJoin(F.broadcast(raw.select("raw"))).agg(
-        F.avg(F.when(F.col("same"), (F.col("similarity") >= F.col("raw")).cast("double"))).alias("recall"), F.avg(F.when(~F.col("same"), (F.col("similarity") >= F.col("raw")).cast("double"))).alias("false_accepts")
-    )
-    out = raw.crossJoin(rates)
-    few = (F.col("same_n") < 5) | (F.col("different_n") < 5)
-    threshold = F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.5), F.col("raw"))), 3)
-    return out.select(
-        F.when(few, fallback[0]).otherwise(threshold).alias("threshold"), F.when(few, fallback[1]).otherwise(F.round(F.greatest(F.lit(0.03), F.col("spread")), 3)).alias("margin"),
-        F.when(~few, F.col("recall")).alias("recall"), F.when(~few, F.col("false_accepts")).alias("false_accepts"), "same_n", "different_n",
-        F.when(few, "too few pairs").when(F.col("recall") < 0.15, "few same voices reach it").alias("note"),
-    )
+def calibrate_voice(samples: DataFrame, target: float = 0.01, fallback: tuple[float, float] = (0.82, 0.06)) -> DataFrame:
+    """One row: threshold, margin, recall, false_accepts, same_n, different_n, note. samples: callsign,
+    ordinal, vector.
+
+    All pairs of samples are compared, but none becomes a row: blocks of samples yield counts, moments
+    and histograms, of which a few numbers reach the driver.
+    """
+    found = {r.same: r for r in pair_moments(samples).collect()}
+    n = {same: found[same].n if same in found else 0 for same in (True, False)}
+    shape = "threshold double, margin double, recall double, false_accepts double, same_n long, different_n long, note string"
+    if min(n.values()) < 5:
+        return samples.sparkSession.createDataFrame([(*fallback, None, None, n[True], n[False], "too few pairs")], shape)
+    raw = ranked_similarity(samples, min(n[False] - 1, floor(n[False] * target))) + 0.005
+    shares = shares_from(samples, raw)
+    row = (min(0.98, max(0.5, raw)), max(0.03, found[True].spread), shares[True], shares[False], n[True], n[False], "few same voices reach it" if shares[True] < 0.15 else None)
+    return samples.sparkSession.createDataFrame([row], shape).withColumn("threshold", F.round("threshold", 3)).withColumn("margin", F.round("margin", 3))
 
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int = 34) -> DataFrame:

@@ -2,38 +2,103 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Frames of one source that one window partition of the noise gate holds, those before it aside.
 CHUNK_FRAMES = 4096
+#: Rows of snapshots that a chunk of time has on average when a fleet's state is folded.
+FLEET_ROWS = 1 << 16
 #: Seconds after which an alarm that is due has rung.
 RING_S = 0.001
 
 
+class LevelWindow:
+    """The last levels of a source, also kept in order, so that a percentile is read and not sorted for."""
+
+    def __init__(self, width: int, levels: list[float | None] = ()):
+        self.width, self.levels = width, deque(levels)
+        self.ordered = sorted(x for x in levels if x is not None)
+
+    def push(self, level: float | None) -> None:
+        self.levels.append(level)
+        if level is not None:
+            insort(self.ordered, level)
+        if len(self.levels) > self.width:
+            old = self.levels.popleft()
+            if old is not None:
+                self.ordered.pop(bisect_left(self.ordered, old))
+
+    def percentile(self, share: float) -> float | None:
+        """Interpolated between the two nearest levels."""
+        if not self.ordered:
+            return None
+        at = share * (len(self.ordered) - 1)
+        low = int(at)
+        return self.ordered[low] + (self.ordered[min(low + 1, len(self.ordered) - 1)] - self.ordered[low]) * (at - low)
+
+
+def _numbered(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """frames with _n, their number in the source from 0. Frames are numbered within ranges of frame_no,
+    whose sizes are summed up, so that a long source is no single task's work."""
+    part = F.floor(F.col("frame_no") / CHUNK_FRAMES)
+    rows = frames.withColumn("_part", part)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_part").eqNullSafe(F.col("_of"))]
+    met = rows.join(first, reduce(lambda x, y: x & y, same)).drop(*[f"_{k}" for k in keys], "_of")
+    return met.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("frame_no")) - 1 + F.col("_first")).drop("_part", "_first")
+
+
 def noise_gate(frames: DataFrame, window_ms: int = 10_000, pct: float = 10, min_floor: float = 300, margin: float = 1.5, frame_ms: int = 30, warm_up_ms: int = 300) -> DataFrame:
     """Adds floor and open per frame of (source, session if present, frame_no, rms).
 
-    The floor is a percentile of the window's levels, interpolated. The first frames (before the
-    warm-up is over) and quiet floors are open; otherwise the level must stand out by the margin.
-    A source's frames are cut into chunks that carry the frames of a window before them, so that the
-    percentiles of one long source are work for many tasks.
+    The floor is a percentile of the window's levels, interpolated; frames without a level take their
+    place in the window but do not count. The first frames (before the warm-up is over) and quiet
+    floors are open; otherwise the level must stand out by the margin. A source's frames are cut into
+    chunks that carry the frames of a window before them; a task goes through its chunks in order and
+    keeps the window's levels sorted.
     """
     keys = [c for c in ("source", "session") if c in frames.columns]
     width = max(1, window_ms // frame_ms)
     size = max(CHUNK_FRAMES, width)
     n, chunk = F.col("_n"), F.floor(F.col("_n") / size)
     ahead = F.when(n % size > size - width, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    rows = frames.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("frame_no")) - 1).withColumn("_chunk", F.explode(ahead))
-    order = Window.partitionBy(*keys, "_chunk").orderBy("_n")
-    floor = F.percentile("rms", pct / 100).over(order.rowsBetween(1 - width, 0))
-    rows = rows.withColumn("floor", floor).where(F.col("_chunk") == chunk)
-    early = n + 1 < warm_up_ms // frame_ms
-    return rows.withColumn("open", early | (F.col("floor") < min_floor) | (F.col("rms") >= margin * F.col("floor"))).drop("_n", "_chunk")
+    rows = _numbered(frames, keys).withColumn("_chunk", F.explode(ahead)).repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_n")
+    names, early = rows.columns, warm_up_ms // frame_ms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, window = None, LevelWindow(width)
+        for batch in batches:
+            of = list(zip(*(batch.column(names.index(c)).to_pylist() for c in (*keys, "_chunk")), strict=True))
+            levels, numbers = batch.column(names.index("rms")).to_pylist(), batch.column(names.index("_n")).to_pylist()
+            floors, opens = [], []
+            for key, level, number in zip(of, levels, numbers, strict=True):
+                if key != now:
+                    now, window = key, LevelWindow(width)
+                window.push(level)
+                if number // size != key[-1]:
+                    continue
+                floor = window.percentile(pct / 100)
+                floors.append(floor)
+                opens.append(True if number + 1 < early or (floor is not None and floor < min_floor) else None if floor is None or level is None else level >= margin * floor)
+            home = pa.array([number // size == key[-1] for key, number in zip(of, numbers, strict=True)], type=pa.bool_())
+            held = batch.filter(home)
+            yield pa.RecordBatch.from_arrays([*held.columns[: len(names) - 2], pa.array(floors, type=pa.float64()), pa.array(opens, type=pa.bool_())], names=[*names[:-2], "floor", "open"])
+
+    shape = T.StructType([*frames.schema.fields, T.StructField("floor", T.DoubleType()), T.StructField("open", T.BooleanType())])
+    return rows.mapInArrow(run, shape)
 
 
 def gate(frames: DataFrame, **limits: float) -> DataFrame:
@@ -127,23 +192,38 @@ def islands(frames: DataFrame, frame_ms: int = 30, silence_ms: int = 800) -> Dat
     return rows.withColumn("burst", F.sum("_new").over(w)).groupBy(*keys, "burst").agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count("*").alias("speech_frames"))
 
 
+#: Counters of a source: the kind of signal that a counter counts, and that whose last value it is.
+COUNTED = {"frames": ("frame",), "clips": ("clip",), "transcriptions": ("transcript",), "errors": ("failed", "error")}
+LAST = {"spill": "spill", "spilled": "spilled", "buffer_fill": "buffer", "overflows": "overflow", "level": "frame", "factor": "factor", "backlog": "backlog", "last_transcribe_s": "transcript"}
+#: How counters of several sources come together.
+SUMS = ("frames", "clips", "transcriptions", "errors", "overflows")
+LARGEST = ("spill", "spilled", "level", "factor", "buffer_fill", "backlog", "last_transcribe_s")
+
+
 def snapshots(signals: DataFrame, stall_s: float = 5, silence_s: float = 300, silence_rms: float = 15) -> DataFrame:
     """Counters of each source, as `health` reads them, after every signal and where an alarm rings.
 
-    signals: source, clock (seconds), kind (started, stopped, failed, finished, frame, spill, buffer,
-    overflow; others change nothing), value; those of one clock in order of seq, if there is one. A
-    start begins a new time of grace. What is missing has no row of its own: where a source sends
-    nothing until an alarm is due, a row of that instant stands between its signals.
+    signals: source, clock (seconds), kind (started, stopped, failed, finished, frame, clip, transcript,
+    error, spill, spilled, buffer, overflow, factor, backlog; others change nothing), value; those of one
+    clock in order of seq, if there is one. A start begins a new time of grace. What is missing has no
+    row of its own: where a source sends nothing until an alarm is due, a row of that instant stands
+    between its signals. no tells rows of one source and clock in their order.
     """
     w = Window.partitionBy("source").orderBy(*[c for c in ("clock", "seq") if c in signals.columns])
-    kind, began = F.col("kind"), F.col("kind") == "started"
-    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kind, began, sofar = F.col("kind"), F.col("kind") == "started", w.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(sofar)
     rows = signals.select(
-        "source", "clock", F.coalesce(last(kind.isin("started", "stopped", "failed", "finished"), began), F.lit(False)).alias("capturing"), F.coalesce(last(kind.isin("started", "finished"), kind == "finished"), F.lit(False)).alias("finished"),
-        last(kind.isin("started", "frame"), F.col("clock")).alias("last_frame"), last(began | ((kind == "frame") & (F.col("value") >= silence_rms)), F.col("clock")).alias("last_loud"),
-        *[F.coalesce(last(kind == k, F.col("value")), F.lit(0.0)).alias(name) for k, name in (("spill", "spill"), ("buffer", "buffer_fill"), ("overflow", "overflows"))],
+        "source",
+        "clock",
+        F.row_number().over(w).cast("long").alias("no"),
+        F.coalesce(last(kind.isin("started", "stopped", "failed", "finished"), began), F.lit(False)).alias("capturing"),
+        F.coalesce(last(kind.isin("started", "finished"), kind == "finished"), F.lit(False)).alias("finished"),
+        last(kind.isin("started", "frame"), F.col("clock")).alias("last_frame"),
+        last(began | ((kind == "frame") & (F.col("value") >= silence_rms)), F.col("clock")).alias("last_loud"),
+        *[F.coalesce(last(kind == k, F.col("value")), F.lit(0.0)).alias(name) for name, k in LAST.items()],
+        *[F.count_if(kind.isin(*k)).over(sofar).alias(name) for name, k in COUNTED.items()],
         F.lead("clock").over(w).alias("_next"),
-    )
+    )
     due = F.array_distinct(F.array(F.col("last_frame") + stall_s + RING_S, F.col("last_loud") + silence_s + RING_S))
     rings = F.filter(due, lambda t: F.coalesce(F.col("capturing") & (t > F.col("clock")) & (t < F.col("_next")), F.lit(False)))
     return rows.withColumn("clock", F.explode(F.concat(F.array("clock"), rings))).drop("_next")
@@ -167,14 +247,119 @@ def health(snapshots: DataFrame, stall_s: float = 5, silence_s: float = 300, sil
     return rows.withColumn("state", F.element_at(F.array(F.lit("ok"), F.lit("warning"), F.lit("error")), F.col("severity") + 1))
 
 
+STATES = ("ok", "warning", "error")
+
+
+class Fleet:
+    """The last snapshot of each source, and what they come to. Every change costs the source's own
+    counters, not those of all sources."""
+
+    def __init__(self, counters: list[str]):
+        self.counters = counters
+        self.last: dict[str, tuple] = {}
+        self.severities, self.capturing, self.loud = [0, 0, 0], 0, set()
+        self.totals = [0.0 if c in SUMS else [] for c in counters]
+
+    def put(self, source: str, severity: int, capturing: bool, issues: list[str], values: list[float | None]) -> None:
+        self._take_out(source)
+        self.last[source] = severity, bool(capturing), list(issues), [x or 0.0 for x in values]
+        self.severities[severity] += 1
+        self.capturing += bool(capturing)
+        if issues:
+            self.loud.add(source)
+        for k, x in enumerate(self.last[source][3]):
+            if isinstance(self.totals[k], list):
+                insort(self.totals[k], x)
+            else:
+                self.totals[k] += x
+
+    def _take_out(self, source: str) -> None:
+        if source not in self.last:
+            return
+        severity, capturing, _, values = self.last.pop(source)
+        self.severities[severity] -= 1
+        self.capturing -= capturing
+        self.loud.discard(source)
+        for k, x in enumerate(values):
+            if isinstance(self.totals[k], list):
+                self.totals[k].pop(bisect_left(self.totals[k], x))
+            else:
+                self.totals[k] -= x
+
+    def row(self) -> tuple:
+        """(severity, state, capturing, sources, issues, counters...)"""
+        severity = max((k for k, n in enumerate(self.severities) if n), default=0)
+        several = len(self.last) > 1
+        issues = [f"{s}: {x}" if several else x for s in sorted(self.loud) for x in self.last[s][2]]
+        return severity, STATES[severity], self.capturing > 0, len(self.last), issues, *[x[-1] if isinstance(x, list) and x else x or 0.0 for x in self.totals]
+
+
+def fleet_fields(counters: list[str]) -> list[T.StructField]:
+    """What Fleet.row() tells."""
+    kinds = {"severity": T.IntegerType(), "state": T.StringType(), "capturing": T.BooleanType(), "sources": T.IntegerType(), "issues": T.ArrayType(T.StringType())}
+    return [T.StructField(name, kind) for name, kind in (kinds | {c: T.DoubleType() for c in counters}).items()]
+
+
 def fleet(rows: DataFrame, by: str = "clock") -> DataFrame:
-    """One row per instant over all sources: worst state, issues named by source if there are
-    several, sums of counters, largest of levels, and whether any captures."""
-    several = F.count("*") > 1
-    issues = F.flatten(F.collect_list(F.transform("issues", lambda x: F.struct("source", x.alias("text")))))
-    total = rows.groupBy(by).agg(
-        F.max("severity").alias("severity"), F.bool_or("capturing").alias("capturing"), F.sum("spill").alias("spill"), F.sum("overflows").alias("overflows"), F.max("buffer_fill").alias("buffer_fill"),
-        several.alias("_many"), F.array_sort(issues).alias("_issues"),
-    )
-    named = F.transform("_issues", lambda x: F.when(F.col("_many"), F.concat(x.source, F.lit(": "), x.text)).otherwise(x.text))
-    return total.withColumn("issues", named).withColumn("state", F.element_at(F.array(F.lit("ok"), F.lit("warning"), F.lit("error")), F.col("severity") + 1)).drop("_many", "_issues")
+    """One row per instant at which a source reports, over all sources: each counts with its last
+    snapshot until its next. Worst state, issues named by source once there are several, sums of frames,
+    clips, transcriptions, errors and overflows, the largest of spill, level, factor, fill and backlog
+    (those that rows have), whether any captures, and how many sources have reported.
+
+    rows: of `health`; those of one source and instant in order of no, if there is one, else the worst
+    last. Time is cut into chunks of FLEET_ROWS rows on average. A chunk starts with the last snapshot
+    that each source has before it, so chunks are folded apart, each as a stream of sorted rows.
+    """
+    counters = [c for c in (*SUMS, *LARGEST) if c in rows.columns]
+    told = ["severity", "capturing", "issues", *counters]
+    slim = rows.select(F.col("source").cast("string").alias("source"), F.col(by).cast("double").alias("clock"), F.col("no") if "no" in rows.columns else F.lit(0).cast("long").alias("no"), "severity", "capturing", "issues", *[F.col(c).cast("double").alias(c) for c in counters])
+    slim = slim.where("clock is not null")
+    size = slim.agg(F.min("clock").alias("low"), F.max("clock").alias("high"), F.count("*").alias("n")).first()
+    chunks = max(1, size.n // FLEET_ROWS) if size.n and size.high > size.low else 1
+    span = (size.high - size.low) / chunks if chunks > 1 else 1.0
+    at = F.least(F.floor((F.col("clock") - F.lit(size.low or 0.0)) / F.lit(span)), F.lit(chunks - 1)) if chunks > 1 else F.lit(0).cast("long")
+    slim = slim.withColumn("chunk", at)
+    last = slim.groupBy("source", "chunk").agg(F.max_by(F.struct(*told), F.struct("clock", "no", "severity")).alias("row"))
+    until = F.coalesce(F.lead("chunk").over(Window.partitionBy("source").orderBy("chunk")), F.lit(chunks - 1).cast("long"))
+    held = last.withColumn("until", until).where("until > chunk").select("source", F.explode(F.sequence(F.col("chunk") + 1, "until")).alias("chunk"), *[F.col("row")[c].alias(c) for c in told])
+    both = slim.withColumn("kind", F.lit(1)).unionByName(held.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "clock", "no", "severity")
+    fields = [T.StructField(by, T.DoubleType()), *fleet_fields(counters)]
+    schema = T.StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        chunk, state, clock, out = None, Fleet(counters), None, []
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[] for _ in fields]
+            return pa.RecordBatch.from_arrays([pa.array(list(x), type=f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("source", "clock", "chunk", *told)}
+            for k in range(batch.num_rows):
+                if clock is not None and (columns["clock"][k] != clock or columns["chunk"][k] != chunk):
+                    out.append((clock, *state.row()))
+                if columns["chunk"][k] != chunk:
+                    chunk, state = columns["chunk"][k], Fleet(counters)
+                clock = columns["clock"][k]
+                state.put(columns["source"][k] or "", columns["severity"][k], columns["capturing"][k], columns["issues"][k] or [], [columns[c][k] for c in counters])
+            yield made()
+            out.clear()
+        if clock is not None:
+            out.append((clock, *state.row()))
+            yield made()
+
+    found = ordered.mapInArrow(run, schema)
+    return found.select(*[F.col(c).cast("long").alias(c) if c in SUMS else F.col(c) for c in found.columns])
+
+
+def heartbeat(fleet_rows: DataFrame, every_s: float, by: str = "clock") -> DataFrame:
+    """The fleet's state and totals every so many seconds, as of then: (beat, fleet's columns), from the
+    first interval that ends after a row to the last. Intervals in which nothing reports repeat."""
+    rest = [c for c in fleet_rows.columns if c != by]
+    beat = F.ceil(F.col(by) / every_s)
+    ends = fleet_rows.withColumn("beat", beat).groupBy("beat").agg(F.max_by(F.struct(*rest), by).alias("row"))
+    # One row per interval is left, a small table in order of time.
+    until = F.coalesce(F.lead("beat").over(Window.orderBy("beat")) - 1, F.col("beat"))
+    return ends.withColumn("until", until).select(F.explode(F.sequence("beat", "until")).alias("beat"), "row.*").withColumn("beat", F.col("beat") * F.lit(float(every_s)))

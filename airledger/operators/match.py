@@ -2,57 +2,98 @@
 
 from __future__ import annotations
 
-from math import floor
+from functools import reduce
+from itertools import combinations
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import indel_ratio, letter_masks
+from ..functions.text import indel_ratio, indel_ratios
+from ..plans.folders import written
 from .text import mentions, normalise
 
-#: Rosters up to this many entries are broadcast against all distinct candidates; larger ones are first
-#: joined by blocks, and only candidates with too few entries found are scored against all. Both give
-#: the same rows.
-BROADCAST_ROSTER = 500
+#: Rosters up to this many entries are broadcast against all distinct candidates; larger ones are
+#: searched by an index. Both give the same rows.
+BROADCAST_ROSTER = 2000
+
+
+#: Similarities down to which the index of a large roster is searched, one after the other, for those
+#: candidates that have too few entries yet. At the last one a shared letter is enough.
+RADII = (60, 40, 0)
+#: Letters of a string up to which all its subsequences of a length are indexed; of longer ones pairs of
+#: letters are, and beyond the second bound single letters.
+FULL_LETTERS, PAIR_LETTERS = 12, 64
 
 
 def _scored(cands: DataFrame, roster: DataFrame, least: float, fewest: int = 0) -> DataFrame:
     """(candidate, callsign, name, position, ordinal, score) of distinct candidates and entries: all
     pairs, or at least those that score `least` or more and the `fewest` best of each candidate.
 
-    A large roster is blocked exactly: strings whose similarity is at least `least` are within an
-    insert-delete distance that follows from their lengths, so deleting that many characters from
-    both leaves a common string. Both sides are exploded to what deletions leave and joined on it.
-    Candidates with fewer than `fewest` entries of that score are scored against the whole roster.
+    A large roster is searched by an index of subsequences (see _close), with a radius that grows: a
+    candidate is done once it has `fewest` entries that score at least the radius, as all others score
+    less. The others go on; those that share a letter with too few entries get the first of the roster.
     """
     entries = roster.select("callsign", "name", "position", "ordinal")
-    score = indel_ratio(F.col("candidate"), F.col("callsign"))
-    masked = entries.withColumn("_masks", letter_masks(F.col("callsign")))
-    each = indel_ratio(F.col("candidate"), F.col("callsign"), F.col("_letters"), F.col("_masks"))
-    lettered = lambda rows: rows.withColumn("_letters", F.split("candidate", ""))
     if roster.count() <= BROADCAST_ROSTER:
-        return lettered(cands).crossJoin(F.broadcast(masked)).withColumn("score", each).drop("_letters", "_masks")
-    longest = max(cands.agg(F.max(F.length("candidate"))).first()[0] or 0, entries.agg(F.max(F.length("callsign"))).first()[0] or 0)
-    cuts = floor((1 - least / 100) * 2 * longest + 1e-9)
-    left, right = _variants(cands, "candidate", cuts), _variants(entries.select("callsign").distinct(), "callsign", cuts)
-    close = left.join(right, "variant").select("candidate", "callsign").distinct().withColumn("score", score).where(F.col("score") >= least)
-    found = close.join(entries, "callsign").select("candidate", "callsign", "name", "position", "ordinal", "score")
-    if not fewest:
-        return found
-    enough = found.groupBy("candidate").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("candidate")
-    tasks = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work
-    rest = lettered(cands.join(enough, "candidate", "left_anti").repartition(tasks, "candidate")).crossJoin(masked).withColumn("score", each)
-    return found.join(enough, "candidate", "left_semi").unionByName(rest.drop("_letters", "_masks"))
-
-
-def _variants(df: DataFrame, col: str, cuts: int) -> DataFrame:
-    """df with every string that up to `cuts` deletions leave of col, as variant."""
-    out = F.array(F.col(col))
-    rows = df.withColumn("_v", out)
-    for _ in range(cuts):
-        shorter = F.flatten(F.transform("_v", lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))))
-        rows = rows.withColumn("_v", F.array_distinct(F.concat("_v", shorter)))
-    return rows.select(*df.columns, F.explode("_v").alias("variant"))
+        return cands.repartition(_tasks(cands), "candidate").crossJoin(F.broadcast(entries)).withColumn("score", indel_ratios("candidate", "callsign"))
+    entries, active, done = written(entries), written(cands), []
+    names = entries.select("callsign").distinct()
+    for radius in RADII if fewest else [least]:
+        close = _close(active, names, radius).join(entries, "callsign").select("candidate", "callsign", "name", "position", "ordinal", "score")
+        if not fewest:
+            return close
+        close = written(close)
+        enough = close.groupBy("candidate").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("candidate")
+        done.append(close.join(enough, "candidate", "left_semi"))
+        active = written(active.join(enough, "candidate", "left_anti"))
+        if active.isEmpty():
+            break
+    else:
+        first = entries.orderBy("ordinal").limit(2 * fewest)
+        rest = active.crossJoin(F.broadcast(first)).join(close, ["candidate", "ordinal"], "left_anti").withColumn("score", F.lit(0.0))
+        done.append(close.join(active, "candidate", "left_semi").unionByName(rest))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _tasks(df: DataFrame) -> int:
+    """Partitions by number, where there are few bytes and much work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _need(a: Column | int, b: Column | int, least: float):
+    """Letters that strings of two lengths have in common, in order, if they score `least`; as few as
+    the index has of long ones."""
+    longest = F.greatest(a, b) if isinstance(a, Column) else max(a, b)
+    total = least * (a + b) / 200 - 1e-9
+    if not isinstance(a, Column):
+        return 1 if longest > PAIR_LETTERS else min(2 if longest > FULL_LETTERS else longest, max(1, ceil(total)))
+    asked = F.greatest(F.lit(1), F.ceil(total).cast("int"))
+    return F.when(longest > PAIR_LETTERS, 1).otherwise(F.least(F.when(longest > FULL_LETTERS, 2).otherwise(longest), asked))
+
+
+def _close(cands: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """(candidate, callsign, score) of all pairs that score `least` or more, and share a letter.
+
+    Strings score so much only if they share a subsequence of a length that follows from their own two
+    lengths. Both sides are exploded to their subsequences of the lengths that their partners ask for,
+    and joined on them; a pair is scored once, if the shared one has the length for the pair.
+    """
+    left, right = cands.withColumn("_a", F.length("candidate")).where("_a > 0"), names.withColumn("_b", F.length("callsign")).where("_b > 0")
+    lengths = [sorted(r[0] for r in side.select(c).distinct().collect()) for side, c in ((left, "_a"), (right, "_b"))]
+    asked = [{(n, _need(n, m, least)) for n in lengths[k] for m in lengths[1 - k]} for k in (0, 1)]
+    left, right = _subsequences(left, "candidate", "_a", asked[0]), _subsequences(right, "callsign", "_b", asked[1])
+    met = left.join(right, "variant").where(F.length("variant") == _need(F.col("_a"), F.col("_b"), least)).select("candidate", "callsign").distinct()
+    return met.repartition(_tasks(cands), "candidate", "callsign").withColumn("score", indel_ratios("candidate", "callsign")).where(F.col("score") >= least)
+
+
+def _subsequences(df: DataFrame, col: str, length: str, asked: set[tuple[int, int]]) -> DataFrame:
+    """df with every subsequence of col, as variant, of the lengths asked for: of pairs (length of col,
+    length of the subsequence) that occur, at most C(12, 6) for each."""
+    picks = [(n, list(places)) for n, m in sorted(asked) if m <= n for places in combinations(range(1, n + 1), m)]
+    table = F.broadcast(df.sparkSession.createDataFrame(picks, "_of int, _places array<int>"))
+    word = F.array_join(F.transform("_places", lambda i: F.substring(F.col(col), i, F.lit(1))), "")
+    return df.join(table, F.col(length) == F.col("_of")).select(*df.columns, word.alias("variant"))
 
 
 def match_candidates(cands: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, threshold: float = 78, margin: float = 5) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +67,110 @@ def identify(clips: DataFrame, profiles: DataFrame, min_similarity: float = 0.82
     return rows.withColumn("reason", reason).select("clip", F.when(F.col("reason").isNull(), F.col("callsign")).alias("callsign"), "score", "runner_up", "runner_up_score", "reason")
 
 
+#: Vectors of a block; a task multiplies two blocks, a strip of STRIP rows at a time.
+PAIR_BLOCK, STRIP = 2048, 256
+
+
+def block_pairs(samples: DataFrame, told: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str, block: int | None = None) -> DataFrame:
+    """told(similarities, whether of the same station) of all unordered pairs of samples, each once, in
+    strips. samples: callsign, vector. Samples are dealt to blocks, and every two blocks meet in a task
+    as two matrices; what leaves the task is what `told` makes of the pairs. Null vectors are left out.
+    """
+    rows = samples.where("vector is not null").select("callsign", F.col("vector").cast("array<double>").alias("vector"), *(["ordinal"] if "ordinal" in samples.columns else []))
+    blocks = max(1, -(-rows.count() // (block or PAIR_BLOCK)))
+    of = F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(F.col("of"), x).alias("i"), F.greatest(F.col("of"), x).alias("j")))
+    dealt = rows.withColumn("of", of).withColumn("met", F.explode(met)).select("met.i", "met.j", "of", "callsign", "vector")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key)
+        at, station = group["of"].to_numpy(), pc.fill_null(group["callsign"].combine_chunks(), "").dictionary_encode().indices.to_numpy()
+        lists = group["vector"].combine_chunks()
+        vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        out = []
+        for k in range(0, len(left), STRIP):
+            part = left[k : k + STRIP]
+            others = right if i != j else right[k:]
+            similarity, same = np.clip(vectors[part] @ vectors[others].T, 0.0, 1.0), station[part][:, None] == station[others]
+            if i == j:
+                once = np.arange(len(part))[:, None] < np.arange(len(others))
+                similarity, same = similarity[once], same[once]
+            out.append(told(similarity.ravel(), same.ravel()))
+        return pa.concat_tables(out) if out else told(np.zeros(0), np.zeros(0, dtype=bool))
+
+    return dealt.groupBy("i", "j").applyInArrow(run, schema)
+
+
 def voice_pairs(samples: DataFrame) -> DataFrame:
     """(same, similarity) of each unordered pair of samples, once. samples: callsign, ordinal, vector.
 
-    This is quadratic in the samples by its meaning: calibration reads the few dozen kept per station.
+    This is quadratic in the samples by its meaning; calibration and separation read the pairs where
+    they are made and write none.
     """
-    a = samples.select(F.col("ordinal").alias("i"), F.col("callsign").alias("ca"), F.col("vector").alias("va"))
-    b = samples.select(F.col("ordinal").alias("j"), F.col("callsign").alias("cb"), F.col("vector").alias("vb"))
-    return a.join(b, F.col("i") < F.col("j")).select((F.col("ca") == F.col("cb")).alias("same"), cosine(F.col("va"), F.col("vb")).alias("similarity"))
+    return block_pairs(samples, lambda similarity, same: pa.table({"same": same, "similarity": similarity}), "same boolean, similarity double")
+
+
+def pair_moments(samples: DataFrame) -> DataFrame:
+    """(same, n, mean_similarity, spread): number, mean and population deviation of pairs of the same and
+    of different stations, put together from those of each strip."""
+
+    def told(similarity: np.ndarray, same: np.ndarray) -> pa.Table:
+        kinds = [(flag, similarity[same == flag]) for flag in (True, False)]
+        kinds = [(flag, x) for flag, x in kinds if len(x)]
+        return pa.table({"same": pa.array([f for f, _ in kinds], pa.bool_()), "n": pa.array([len(x) for _, x in kinds], pa.int64()), "mean": pa.array([x.mean() for _, x in kinds], pa.float64()), "m2": pa.array([((x - x.mean()) ** 2).sum() for _, x in kinds], pa.float64())})
+
+    parts = block_pairs(samples, told, "same boolean, n long, mean double, m2 double")
+    # Deviations about a common mean: n * mean ** 2 is summed about a half, which loses no digits of similarities.
+    off = F.col("mean") - 0.5
+    total = parts.groupBy("same").agg(F.sum("n").alias("n"), F.sum(off * F.col("n")).alias("s"), F.sum(F.col("m2") + off * off * F.col("n")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return total.select("same", "n", (mean + 0.5).alias("mean_similarity"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("spread"))
+
+
+def separation(samples: DataFrame) -> DataFrame:
+    """(same, n, mean_similarity) of the pairs of samples."""
+    return pair_moments(samples).select("same", "n", "mean_similarity")
+
+
+#: Bins that an interval of similarities is cut into while a rank is looked for, and pairs of one bin
+#: that are few enough to be told one by one.
+RANK_BINS, FEW_PAIRS = 4096, 100_000
+
+
+def ranked_similarity(samples: DataFrame, rank: int, few: int = FEW_PAIRS) -> float:
+    """The similarity of the pair of different stations that `rank` (from 0) others exceed. The bin that
+    holds it is cut into bins again until few pairs are left in it, which are ranked."""
+    low, high = 0.0, 1.0
+    while True:
+
+        def told(similarity: np.ndarray, same: np.ndarray, low: float = low, high: float = high) -> pa.Table:
+            x = similarity[~same & (similarity >= low) & (similarity <= high)]
+            at = np.minimum(((x - low) / (high - low) * RANK_BINS).astype(np.int64), RANK_BINS - 1)
+            bins, counts = np.unique(at, return_counts=True)
+            smallest, largest = np.full(RANK_BINS, np.inf), np.full(RANK_BINS, -np.inf)
+            np.minimum.at(smallest, at, x)
+            np.maximum.at(largest, at, x)
+            return pa.table({"bin": bins, "n": counts, "low": smallest[bins], "high": largest[bins]})
+
+        bins = block_pairs(samples, told, "bin long, n long, low double, high double").groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy(F.desc("bin")).collect()
+        for b in bins:  # at most RANK_BINS
+            if rank < b.n:
+                break
+            rank -= b.n
+        low, high = b.low, b.high
+        if low == high:
+            return low
+        if b.n <= few:
+            values = block_pairs(samples, lambda similarity, same: pa.table({"x": similarity[~same & (similarity >= low) & (similarity <= high)]}), "x double")
+            return values.orderBy(F.desc("x")).offset(rank).first()["x"]
+
+
+def shares_from(samples: DataFrame, least: float) -> dict[bool, float]:
+    """Of pairs of the same (True) and of different stations, the share that are as similar as `least`."""
 
+    def told(similarity: np.ndarray, same: np.ndarray) -> pa.Table:
+        return pa.table({"same": pa.array([True, False]), "n": pa.array([int(same.sum()), int((~same).sum())], pa.int64()), "hit": pa.array([int((similarity[same] >= least).sum()), int((similarity[~same] >= least).sum())], pa.int64())})
 
-def separation(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("same").agg(F.count("*").alias("n"), F.avg("similarity").alias("mean_similarity"))
+    rows = block_pairs(samples, told, "same boolean, n long, hit long").groupBy("same").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).collect()
+    return {r.same: r.hit / r.n for r in rows if r.n}

@@ -194,18 +194,25 @@ def board(v):
     return boards.board(v("net_roster"), v("net_log"))
 
 
-LOG_PARTS = f"""f AS (SELECT session, count(*) AS n, count(DISTINCT CASE WHEN source <> '' THEN source END) AS srcs FROM net_log GROUP BY session),
- lines AS (SELECT session, 0 AS part, '' AS t, 0 AS i, 'Session ' || session || ': ' || n || ' lines' AS line FROM f
- UNION ALL SELECT session, 1, timestamp, id, concat_ws(' ', substr(timestamp, 12, 8), CASE WHEN srcs > 1 AND source <> '' THEN '[' || source || ']' END, coalesce(matched_callsign, 'UNMATCHED'), raw_text,
-  CASE WHEN corrected THEN '[corrected]' END, CASE WHEN traffic = 'yes' AND traffic_cleared THEN '[traffic passed]' WHEN traffic = 'yes' THEN '[traffic]' END) FROM net_log JOIN f USING (session)
- UNION ALL SELECT session, 2, '', 0, 'Check-ins: ' || string_agg(callsign, ', ' ORDER BY ordinal) FROM ({FIRSTS.format("matched AND matched_callsign IS NOT NULL")}) GROUP BY session
- UNION ALL SELECT session, 3, '', 0, 'Outstanding traffic: ' || string_agg(callsign, ', ' ORDER BY ordinal) FROM ({FIRSTS.format("traffic = 'yes' AND NOT traffic_cleared AND matched AND matched_callsign IS NOT NULL")}) GROUP BY session
- UNION ALL SELECT session, 4, '', 0, 'Passed traffic: ' || string_agg(DISTINCT matched_callsign, ', ' ORDER BY matched_callsign) FROM net_log WHERE traffic = 'yes' AND traffic_cleared AND matched_callsign IS NOT NULL GROUP BY session)"""
+LOG_PARTS = f"""said AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN candidate END AS original_callsign, CASE WHEN id % 3 = 0 THEN 'Op ' || id END AS operator_name, CASE WHEN id % 5 = 0 THEN 'gate' ELSE '' END AS position) FROM net_log),
+ f AS (SELECT session, count(*) AS n, count(DISTINCT nullif(source, '')) AS srcs, count(DISTINCT CASE WHEN matched THEN matched_callsign END) AS stations FROM said GROUP BY session),
+ detailed AS (SELECT *, concat_ws(' / ', nullif(position, ''), operator_name) AS detail FROM said),
+ lines AS (SELECT session, 0 AS part, '' AS t, 0 AS i, 'Net session log -- ' || n || ' transmissions, ' || stations || ' stations' AS line FROM f
+ UNION ALL SELECT session, 1, '', 0, '' FROM f UNION ALL SELECT session, 3, '', 0, '' FROM f
+ UNION ALL SELECT session, 2, timestamp, id, '[' || timestamp || ']' || CASE WHEN srcs > 1 AND source <> '' THEN ' (' || source || ')' ELSE '' END || ' ' ||
+  CASE WHEN NOT matched THEN 'UNMATCHED' WHEN detail <> '' THEN matched_callsign || ' (' || detail || ')' ELSE matched_callsign END || CASE WHEN corrected THEN ' [corrected from ' || coalesce(original_callsign, 'unmatched') || ']' ELSE '' END || ':' ||
+  CASE WHEN traffic = 'yes' AND traffic_cleared THEN ' [TRAFFIC PASSED]' WHEN traffic = 'yes' THEN ' [TRAFFIC]' ELSE '' END || ' ' || raw_text FROM detailed JOIN f USING (session)
+ UNION ALL SELECT f.session, 4, '', 0, 'Check-ins: ' || coalesce(string_agg(callsign, ', ' ORDER BY ordinal), '') FROM f LEFT JOIN ({FIRSTS.format("matched AND matched_callsign IS NOT NULL")}) c ON c.session = f.session GROUP BY f.session
+ UNION ALL SELECT session, 5, '', 0, 'Traffic outstanding: ' || string_agg(callsign, ', ' ORDER BY ordinal) FROM ({FIRSTS.format("traffic = 'yes' AND NOT traffic_cleared AND matched AND matched_callsign IS NOT NULL")}) GROUP BY session
+ UNION ALL SELECT session, 6, '', 0, 'Traffic passed: ' || string_agg(DISTINCT matched_callsign, ', ' ORDER BY matched_callsign) FROM net_log WHERE traffic = 'yes' AND traffic_cleared AND matched_callsign IS NOT NULL GROUP BY session)"""
 
 
 @_query(f"WITH {LOG_PARTS} SELECT session, row_number() OVER (PARTITION BY session ORDER BY part, t, i) - 1 AS line_no, line FROM lines")
 def render_log(v):
-    return writers.render_log(v("net_log"))
+    """The log of lines of which some were corrected, and some stations have a name or a place."""
+    k = F.col("id")
+    rows = v("net_log").withColumn("original_callsign", F.when(k % 2 == 0, F.col("candidate"))).withColumn("operator_name", F.when(k % 3 == 0, F.concat(F.lit("Op "), k))).withColumn("position", F.when(k % 5 == 0, "gate").otherwise(""))
+    return writers.render_log(rows)
 
 
 # History
@@ -504,14 +511,14 @@ def voice_pairs(v):
 
 @_query(f"WITH {PAIRS} SELECT same, count(*) AS n, round(avg(similarity), 6) AS mean_similarity FROM pairs GROUP BY same")
 def separation(v):
-    return voice.separation(voice.voice_pairs(v("net_voice"))).withColumn("mean_similarity", F.round("mean_similarity", 6))
+    return voice.separation(v("net_voice")).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
 @_query(f"""WITH {PAIRS}, n AS (SELECT count(*) FILTER (same) AS s, count(*) FILTER (NOT same) AS d, stddev_pop(similarity) FILTER (same) AS spread FROM pairs),
  r AS (SELECT similarity, row_number() OVER (ORDER BY similarity DESC) - 1 AS k FROM pairs WHERE NOT same), c AS (SELECT similarity + 0.005 AS raw FROM r, n WHERE k = least(d - 1, cast(floor(d * 0.01) AS bigint)))
  SELECT round(least(0.98, greatest(0.5, raw)), 3) AS threshold, round(greatest(0.03, spread), 3) AS margin, (SELECT round(avg(CASE WHEN similarity >= raw THEN 1.0 ELSE 0 END), 6) FROM pairs WHERE same) AS recall, s AS same_n, d AS different_n FROM c, n""")
 def calibrate_voice(v):
-    return calibrate.calibrate_voice(voice.voice_pairs(v("net_voice"))).select("threshold", "margin", F.round("recall", 6).alias("recall"), "same_n", "different_n")
+    return calibrate.calibrate_voice(v("net_voice")).select("threshold", "margin", F.round("recall", 6).alias("recall"), "same_n", "different_n")
 
 
 @_query()
@@ -659,11 +666,6 @@ def health(v):
     return frames.health(_snapshots(v)).select("source", "clock", "state")
 
 
-@_query(f"WITH {HEALTH} SELECT clock, CASE max(severity) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ok' END AS state, bool_or(capturing) AS capturing, cast(sum(spill) AS bigint) AS spill, max(fill) AS buffer_fill FROM health GROUP BY clock")
-def fleet(v):
-    return frames.fleet(frames.health(_snapshots(v))).select("clock", "state", "capturing", "spill", "buffer_fill")
-
-
 @_query(f"""WITH {HEALTH}, s AS (SELECT source, clock, CASE severity WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ok' END AS state FROM health)
  SELECT source, clock, state, previous FROM (SELECT *, lag(state, 1, 'ok') OVER (PARTITION BY source ORDER BY clock) AS previous FROM s) WHERE state <> previous""")
 def state_changes(v):
@@ -695,6 +697,45 @@ def signal_changes(v):
     return windows.state_changes(_signals(v), ["source"], "clock").withColumn("clock", F.round("clock", 3))
 
 
+# The fleet at an instant: the last verdict of each source up to it, by an as-of join.
+FLEET = """up AS (SELECT *, sum(CASE WHEN kind = 'frame' THEN 1 ELSE 0 END) OVER o AS frames, sum(CASE WHEN kind = 'failed' THEN 1 ELSE 0 END) OVER o AS errors, coalesce(last_value(CASE WHEN kind = 'frame' THEN value END IGNORE NULLS) OVER o, 0) AS level,
+ coalesce(last_value(CASE WHEN kind = 'spill' THEN value END IGNORE NULLS) OVER o, 0) AS spill, coalesce(last_value(CASE WHEN kind IN ('started', 'failed', 'finished') THEN kind = 'started' END IGNORE NULLS) OVER o, false) AS capturing,
+ coalesce(last_value(CASE WHEN kind IN ('started', 'finished') THEN kind = 'finished' END IGNORE NULLS) OVER o, false) AS finished, last_value(CASE WHEN kind IN ('started', 'frame') THEN clock END IGNORE NULLS) OVER o AS heard,
+ last_value(CASE WHEN kind = 'started' OR (kind = 'frame' AND value >= 60) THEN clock END IGNORE NULLS) OVER o AS loud, lead(clock) OVER (PARTITION BY source ORDER BY clock) AS until
+ FROM net_signals WINDOW o AS (PARTITION BY source ORDER BY clock ROWS UNBOUNDED PRECEDING)),
+ due AS (SELECT * FROM up UNION ALL SELECT * EXCLUDE (ring) REPLACE (ring AS clock) FROM (SELECT *, unnest([heard + 5 + 0.001, loud + 10 + 0.001]) AS ring FROM up) WHERE capturing AND ring > clock AND ring < until),
+ told AS (SELECT *, CASE WHEN NOT capturing AND NOT finished THEN 'not capturing' WHEN capturing AND clock - heard > 5 THEN 'no audio frames' WHEN capturing AND clock - loud > 10 THEN 'silent' END AS trouble FROM due),
+ judged AS (SELECT *, CASE WHEN trouble IN ('not capturing', 'no audio frames') THEN 2 WHEN trouble IS NOT NULL OR spill > 0 THEN 1 ELSE 0 END AS severity FROM told),
+ held AS (SELECT t.clock AS instant, j.* FROM (SELECT * FROM (SELECT DISTINCT clock FROM judged), (SELECT DISTINCT source FROM judged)) t ASOF JOIN judged j ON j.source = t.source AND t.clock >= j.clock),
+ named AS (SELECT *, count(*) OVER (PARTITION BY instant) AS sources, concat_ws('; ', CASE WHEN severity = 2 THEN trouble END, CASE WHEN spill > 0 THEN 'clips waiting on disk' END, CASE WHEN severity < 2 THEN trouble END) AS said FROM held),
+ fleet AS (SELECT instant, max(severity) AS severity, bool_or(capturing) AS capturing, max(spill) AS spill, sum(frames) AS frames, sum(errors) AS errors, max(level) AS level, max(sources) AS sources,
+ coalesce(string_agg(CASE WHEN sources > 1 THEN source || ': ' || replace(said, '; ', '; ' || source || ': ') ELSE said END, '; ' ORDER BY source) FILTER (said <> ''), '') AS issues FROM named GROUP BY instant)"""
+STATE = "CASE severity WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ok' END AS state"
+
+
+def _fleet(v):
+    return frames.fleet(frames.health(frames.snapshots(v("net_signals"), silence_s=10, silence_rms=60), silence_s=10))
+
+
+@_query(f"WITH {FLEET} SELECT round(instant, 3) AS clock, {STATE}, capturing, spill, cast(frames AS bigint) AS frames, cast(errors AS bigint) AS errors, round(level, 6) AS level, cast(sources AS int) AS sources, issues FROM fleet")
+def fleet(v):
+    """The fleet at every report of a source, of sources that report at different times."""
+    return _fleet(v).select(F.round("clock", 3).alias("clock"), "state", "capturing", "spill", "frames", "errors", F.round("level", 6).alias("level"), "sources", F.array_join("issues", "; ").alias("issues"))
+
+
+@_query(f"WITH {FLEET}, s AS (SELECT instant, {STATE} FROM fleet) SELECT round(instant, 3) AS clock, state, previous FROM (SELECT *, lag(state, 1, 'ok') OVER (ORDER BY instant) AS previous FROM s) WHERE state <> previous")
+def fleet_changes(v):
+    rows = windows.state_changes(_fleet(v).withColumn("fleet", F.lit("all")), ["fleet"], "clock")
+    return rows.select(F.round("clock", 3).alias("clock"), "state", "previous")
+
+
+@_query(f"""WITH {FLEET}, span AS (SELECT cast(ceil(min(instant) / 60) AS bigint) AS low, cast(ceil(max(instant) / 60) AS bigint) AS high FROM fleet), beats AS (SELECT unnest(range(low, high + 1)) * 60.0::DOUBLE AS beat FROM span)
+ SELECT beat, {STATE}, cast(frames AS bigint) AS frames, cast(errors AS bigint) AS errors, round(level, 6) AS level FROM beats ASOF JOIN fleet ON beat >= instant""")
+def fleet_heartbeat(v):
+    """The fleet's state and totals every minute, also of minutes in which nothing reports."""
+    return frames.heartbeat(_fleet(v), 60).select("beat", "state", "frames", "errors", F.round("level", 6).alias("level"))
+
+
 @_query("SELECT callsign, round(s, 6) AS score, round(second, 6) AS runner_up_score FROM (SELECT matched_callsign AS callsign, confidence AS s, lead(confidence) OVER w AS second, row_number() OVER w AS n FROM net_log WHERE matched WINDOW w AS (PARTITION BY matched_callsign ORDER BY confidence DESC, id)) WHERE n = 1")
 def top_two(v):
     out = windows.top_two(v("net_log").where("matched"), ["matched_callsign"], "confidence", F.col("id"))
@@ -800,10 +841,11 @@ def heartbeat(v):
     return live.heartbeat(rows).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "source", "lines", "matched")
 
 
-@_query("""SELECT session, matched_callsign AS callsign, count(*) AS lines, min(timestamp) AS first_seen, max(timestamp) AS last_seen, arg_max(traffic = 'yes' AND NOT traffic_cleared, id) AS holding
- FROM net_log WHERE matched_callsign IS NOT NULL GROUP BY 1, 2""")
+@_query("""WITH l AS (SELECT *, traffic = 'yes' AND NOT traffic_cleared AS open, traffic = 'yes' AND traffic_cleared AS done FROM net_log WHERE matched_callsign IS NOT NULL)
+ SELECT session, matched_callsign AS callsign, count(*) AS lines, count(*) FILTER (matched) AS matched_lines, min(timestamp) FILTER (matched) AS first_seen, count(*) FILTER (open) > 0 AS holding, count(*) FILTER (done) > 0 AS passed FROM l GROUP BY 1, 2""")
 def live_boards(v):
-    return live.boards_stream(v("net_log").withColumn("seq", F.col("id")))
+    """What the live boards show of each station; tests/test_streams.py holds the stream to it."""
+    return boards.stations(v("net_log"))
 
 
 @_query("SELECT session, id, cast(least(id % 7 + 1, 26 - id % 20) AS bigint) AS run FROM net_log")

@@ -24,27 +24,32 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def render_log(state: DataFrame) -> DataFrame:
-    """(session, line_no, line) of each session's readable log: title, lines, check-ins, outstanding,
-    passed."""
-    facts = state.groupBy("session").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("source") != "", F.col("source"))).alias("srcs"))
-    rows = state.join(facts.select("session", "srcs"), "session")
-    who = F.when(F.col("matched_callsign").isNotNull(), F.col("matched_callsign")).otherwise(F.lit("UNMATCHED"))
-    place = F.array_compact(F.array(*[F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in ("position", "operator_name")]))
-    line = F.concat_ws(
-        " ", F.substring("timestamp", 12, 8), F.when((F.col("srcs") > 1) & (F.col("source") != ""), F.concat(F.lit("["), F.col("source"), F.lit("]"))), who,
-        F.when(F.size(place) > 0, F.concat(F.lit("("), F.array_join(place, " / "), F.lit(")"))), F.coalesce("raw_text", F.lit("")), F.when(F.coalesce("corrected", F.lit(False)), F.lit("[corrected]")),
-        F.when(F.col("traffic") == "yes", F.when(F.coalesce("traffic_cleared", F.lit(False)), F.lit("[traffic passed]")).otherwise(F.lit("[traffic]"))),
-    )
+    """(session, line_no, line) of each session's readable log: a title with the numbers of lines and
+    stations, the lines, then check-ins, outstanding and passed traffic. A session without check-ins
+    keeps that line, the last two are there only if they name a station.
+
+    A line tells its receiver only where the session has several, the station's place and name only
+    where it is matched, and the callsign that a correction replaced.
+    """
+    text = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    corrected, traffic = F.coalesce("corrected", F.lit(False)), F.col("traffic") == "yes"
+    detail = F.concat_ws(" / ", text("position"), text("operator_name"))
+    who = F.when(F.col("matched"), F.concat_ws(" ", "matched_callsign", F.when(detail != "", F.concat(F.lit("("), detail, F.lit(")"))))).otherwise(F.lit("UNMATCHED"))
+    was = F.when(corrected, F.concat(F.lit(" [corrected from "), F.coalesce(text("original_callsign"), F.lit("unmatched")), F.lit("]"))).otherwise("")
+    flag = F.when(traffic & F.coalesce("traffic_cleared", F.lit(False)), " [TRAFFIC PASSED]").when(traffic, " [TRAFFIC]").otherwise("")
+    facts = state.groupBy("session").agg(F.count("*").alias("n"), F.countDistinct(text("source")).alias("srcs"))
+    heard, waiting, passed = check_ins(state), holding_traffic(state), passed_traffic(state).withColumn("ordinal", F.lit(0))
+    facts = facts.join(heard.groupBy("session").agg(F.count("*").alias("stations")), "session", "left")
+    where = F.when((F.col("srcs") > 1) & text("source").isNotNull(), F.concat(F.lit(" ("), F.col("source"), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("["), F.coalesce("timestamp", F.lit("")), F.lit("]"), where, F.lit(" "), who, was, F.lit(":"), flag, F.lit(" "), F.coalesce("raw_text", F.lit("")))
     blank = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("i"))
-    title = facts.select("session", F.lit(0).alias("part"), blank.alias("o"), F.concat(F.lit("Session "), F.col("session"), F.lit(": "), F.col("n").cast("string"), F.lit(" lines")).alias("line"))
-    body = rows.select("session", F.lit(1).alias("part"), F.struct(F.col("timestamp").alias("t"), F.col("id").cast("long").alias("i")).alias("o"), line.alias("line"))
-    tail = []
-    for part, name, found, order in ((2, "Check-ins", check_ins(state), "ordinal"), (3, "Outstanding traffic", holding_traffic(state), "ordinal"), (4, "Passed traffic", passed_traffic(state).withColumn("ordinal", F.lit(0)), "ordinal")):
-        listed = found.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "callsign"))), lambda x: x.callsign), ", ").alias("names"))
-        tail.append(listed.select("session", F.lit(part).alias("part"), blank.alias("o"), F.concat(F.lit(f"{name}: "), F.col("names")).alias("line")))
-    out = title.union(body)
-    for t in tail:
-        out = out.union(t)
+    one = lambda part, said: facts.select("session", F.lit(part).alias("part"), blank.alias("o"), said.alias("line"))
+    body = state.join(facts.select("session", "srcs"), "session").select("session", F.lit(2).alias("part"), F.struct(F.col("timestamp").alias("t"), F.col("id").cast("long").alias("i")).alias("o"), line.alias("line"))
+    out = one(0, F.concat(F.lit("Net session log -- "), F.col("n"), F.lit(" transmissions, "), F.coalesce("stations", F.lit(0)), F.lit(" stations"))).union(one(1, F.lit(""))).union(body).union(one(3, F.lit("")))
+    for part, name, found in ((4, "Check-ins", heard), (5, "Traffic outstanding", waiting), (6, "Traffic passed", passed)):
+        listed = found.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "callsign"))), lambda x: x.callsign), ", ").alias("names"))
+        rows = facts.select("session").join(listed, "session", "left" if part == 4 else "inner")
+        out = out.union(rows.select("session", F.lit(part).alias("part"), blank.alias("o"), F.concat(F.lit(f"{name}: "), F.coalesce("names", F.lit(""))).alias("line")))
     return out.select("session", (F.row_number().over(Window.partitionBy("session").orderBy("part", "o")) - 1).alias("line_no"), "line")
 
 

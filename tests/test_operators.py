@@ -108,13 +108,27 @@ def test_identify_in_blocks(spark):
     assert whole == parts and len(whole) == 31 and whole[30][3:] == ("twin", 1.0, "too close")
 
 
-def test_rank_over_bins(spark):
-    """The threshold lies above the share of different voices that the target names."""
+def test_voice_threshold_from_blocks(spark, monkeypatch):
+    """All pairs in blocks and strips, and a rank that is found by cutting bins, against all pairs in a list."""
     rng = random.Random(3)
-    pairs = [(True, 0.9 + 0.001 * k) for k in range(60)] + [(False, round(rng.uniform(0.2, 0.8), 3)) for _ in range(500)] + [(False, 1.0), (False, 0.0), (False, 0.7501), (False, 0.75011)]
-    got = calibrate.calibrate_voice(spark.createDataFrame(pairs, "same boolean, similarity double"), target=0.02).first()
-    ranked = sorted((s for same, s in pairs if not same), reverse=True)
-    assert got.threshold == pytest.approx(round(ranked[int(len(ranked) * 0.02)] + 0.005, 3)) and got.different_n == 504
+    rows = [(f"s{k % 9}", k, [rng.gauss(0, 1) + (4 if i == k % 9 else 0) for i in range(12)]) for k in range(150)] + [("s1", 150, [1.0] * 12), ("s2", 151, [1.0] * 12)]
+    unit = [(s, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for s, _, v in rows]
+    pairs = [(a[0] == b[0], min(1.0, max(0.0, sum(x * y for x, y in zip(a[1], b[1], strict=True))))) for i, a in enumerate(unit) for b in unit[:i]]
+    different, same = sorted((x for k, x in pairs if not k), reverse=True), [x for k, x in pairs if k]
+    monkeypatch.setattr(voice, "STRIP", 7)
+    samples = spark.createDataFrame([(s, i, v) for (s, v), (_, i, _) in zip(unit, rows, strict=True)], "callsign string, ordinal int, vector array<double>")
+    monkeypatch.setattr(voice, "PAIR_BLOCK", 20)
+    assert sorted((r.same, round(r.similarity, 9)) for r in voice.voice_pairs(samples).collect()) == sorted((k, round(x, 9)) for k, x in pairs)
+    for rank in (0, 1, 40, 2000, len(different) - 1):
+        assert voice.ranked_similarity(samples, rank, few=1) == pytest.approx(different[rank], abs=1e-12)
+    got = calibrate.calibrate_voice(samples, target=0.02).first()
+    raw = different[int(len(different) * 0.02)] + 0.005
+    mean = sum(same) / len(same)
+    assert got.threshold == pytest.approx(round(min(0.98, max(0.5, raw)), 3)) and (got.same_n, got.different_n) == (len(same), len(different))
+    assert got.margin == pytest.approx(round(max(0.03, math.sqrt(sum((x - mean) ** 2 for x in same) / len(same))), 3))
+    assert got.recall == pytest.approx(sum(x >= raw for x in same) / len(same)) and got.false_accepts == pytest.approx(sum(x >= raw for x in different) / len(different))
+    assert {r.same: round(r.mean_similarity, 9) for r in voice.separation(samples).collect()} == {True: round(mean, 9), False: round(sum(different) / len(different), 9)}
+    assert calibrate.calibrate_voice(samples.limit(3)).first().note == "too few pairs"
 
 
 def test_level_and_offset(spark):
@@ -165,14 +179,6 @@ def test_recordings(spark):
     assert [tuple(r) for r in readers.manifest_rows(spark.createDataFrame([("a.b.wav", 99), ("new.wav", 70)], "file string, seconds int"), finished).collect()] == [("a.b.wav", "net-a.b.jsonl", 1.6, 12.3)]
 
 
-def test_boards_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("s", 1, "t1", "W6ABC", "yes", False), ("s", 2, "t2", "W6ABC", "yes", True), ("s", 3, "t3", None, "", False)], "session string, seq long, timestamp string, matched_callsign string, traffic string, traffic_cleared boolean")
-    rows.write.parquet(str(tmp_path / "in"))
-    query = live.boards_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("boards").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert [(r.callsign, r.lines, r.holding) for r in spark.table("boards").collect()] == [("W6ABC", 2, False)]
-
-
 def stream_of(spark, tmp_path, parts):
     """A stream that gets one part per batch."""
     for k, part in enumerate(parts):
@@ -210,14 +216,6 @@ def test_gate_stream_equals_batch(spark, tmp_path):
     assert {(r.frame_no, round(r.floor, 6), r.open) for r in spark.table("gated").collect()} == want
 
 
-def test_watch_goes_on_from_the_last_state(spark, tmp_path):
-    shape = "source string, clock double, capturing boolean, finished boolean, last_frame double, last_loud double, spill int, buffer_fill double, overflows int"
-    parts = [spark.createDataFrame([("a", float(t), up, False, float(t), float(t), 0, 0.0, 0)], shape) for t, up in ((1, False), (2, False), (3, True))]
-    found = []
-    run_stream(live.watch(stream_of(spark, tmp_path, parts), lambda df, n: found.extend((r.clock, r.previous, r.state) for r in df.collect()), str(tmp_path / "cp")))
-    assert found == [(1.0, "ok", "error"), (3.0, "error", "ok")]
-
-
 def signals(spark, rows):
     return spark.createDataFrame([(s, float(t), k, None if x is None else float(x)) for s, t, k, x in rows], "source string, clock double, kind string, value double")
 
