@@ -165,6 +165,51 @@ def spell(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("spelled", F.array_join(spoken, " "))
 
 
+def renderings(df: DataFrame, col: str = "callsign") -> DataFrame:
+    """df with a row per way in which a callsign that was heard right is written down (rendering,
+    written): spoken, hyphenated, welded, with letter names, digits as numerals, ordinals or Roman, in a
+    sentence. All keep every character, so matching has to find the callsign in each. For callsigns of
+    one digit with letters on both sides."""
+    call = F.upper(F.col(col))
+    niner = [*V.DIGIT_WORDS[:9], "niner"]
+    said = {w[0].upper(): w for w in V.ALPHABET} | {str(i): w for i, w in enumerate(niner)}
+    named = {letter: name for name, letter in reversed(V.LETTER_NAMES.items())} | {str(i): w for i, w in enumerate(niner)}
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    by = lambda text, words: F.transform(letters(text), lambda c: F.coalesce(F.try_element_at(V.literal_map(words), c), c))
+    glue = lambda words: F.array_join(words, " ")
+    head, digit, tail = (F.regexp_extract(call, "^([A-Z]+)([0-9])([A-Z]+)$", k) for k in (1, 2, 3))
+    spoken, n = by(call, said), F.length(call)
+
+    def digit_as(words: dict[str, str]) -> Column:
+        """Spoken, with another word for the digit where there is one."""
+        return glue(by(call, said | words))
+
+    ordinals = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth"]
+    ends = {1: "st", 2: "nd", 3: "rd"}
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(spoken, 2 * i + 1, 2), "-"))
+    last = F.try_element_at(V.literal_map(said), F.substring(head, -1, 1))
+    ways = {
+        "spoken": glue(spoken),
+        "hyphenated": glue(pairs),
+        "glued": F.concat_ws(" ", F.array_join(F.slice(spoken, 1, 2), ""), glue(F.slice(spoken, F.lit(3), F.greatest(n - 2, F.lit(0))))),
+        "numeral": digit_as({str(i): str(i) for i in range(10)}),
+        "ordinal": digit_as({str(i + 1): w for i, w in enumerate(ordinals)}),
+        "numeric ordinal": digit_as({str(i): f"{i}{ends.get(i, 'th')}" for i in range(1, 10)}),
+        "roman": digit_as({"2": "II", "3": "III", "4": "IV", "6": "VI", "7": "VII", "8": "VIII", "9": "IX"}),
+        "half a niner": digit_as({"9": "9er"}),
+        "split niner": digit_as({"9": "9 or"}),
+        "welded": F.trim(F.concat(glue(by(F.expr(f"substring(regexp_extract(upper({col}), '^([A-Z]+)', 1), 1, length(regexp_extract(upper({col}), '^([A-Z]+)', 1)) - 1)"), said)), F.lit(" "), last, digit, tail)),
+        "collapsed suffix": F.concat(glue(by(head, said)), F.lit(" "), digit, tail),
+        "in a sentence": F.concat(F.lit("Net control, this is "), glue(spoken), F.lit(", checking in, no traffic.")),
+        "shouted": F.upper(glue(spoken)),
+        "title": F.initcap(glue(spoken)),
+        "letter names": glue(by(call, named)),
+        "half letter names": F.concat_ws(" ", glue(by(head, named)), glue(by(digit, said)), glue(by(tail, said))),
+        "hyphen joined": F.concat(head, digit, F.lit("-"), tail),
+    }
+    return df.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("rendering"), way.alias("written")) for name, way in ways.items()])).alias("_w")).select(*df.columns, "_w.*")
+
+
 # Words and phrases that settle whether traffic is declared.
 NEGATORS = ["no", "not", "negative", "without", "nothing", "none", "zero", "clear"]
 ASKING = ["any", "anyone", "anybody", "who", "whom"]

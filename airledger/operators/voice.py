@@ -22,20 +22,48 @@ def _unit(v: Column) -> Column:
 
 
 def build_profiles(embeddings: DataFrame, order_col: str = "ordinal", max_samples: int = 12) -> DataFrame:
-    """(callsign, centroid, n, samples): an ordered fold, as the centroid is made a unit vector after
-    every sample. embeddings: callsign, order_col, vector. One station's samples are one group: a
-    few dozen vectors in a radio log."""
-    rows = embeddings.groupBy("callsign").agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.transform("vector", lambda x: x.cast("double")).alias("v")))).alias("s"))
-    start = F.struct(F.array().cast("array<double>").alias("c"), F.lit(0).alias("n"))
+    """(callsign, centroid, n, samples, through): an ordered fold, as the centroid is made a unit vector
+    after every sample; through is the order of the last one. embeddings: callsign, order_col, vector.
+    One station's samples are one group: a few dozen vectors in a radio log."""
+    rows = _in_order(embeddings, order_col)
+    return _folded(rows.withColumn("start", F.struct(F.array().cast("array<double>").alias("c"), F.lit(0).cast("long").alias("n"))).withColumn("had", F.array().cast("array<array<double>>")), max_samples)
+
+
+def extend_profiles(stored: DataFrame, embeddings: DataFrame, order_col: str = "ordinal", max_samples: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(profiles, refused): stored profiles that go on with later samples, and stations that are new.
+
+    The fold takes up a station's centroid and number, so the earlier samples are not read again. A
+    sample that is not later than all its station has is refused, as its place in the order is past:
+    build the profiles of the refused callsigns anew from all their samples. Stored profiles without
+    through (of an older file) take any sample.
+    """
+    had = stored if "through" in stored.columns else stored.withColumn("through", F.lit(None).cast(embeddings.schema[order_col].dataType))
+    known_ = had.select("callsign", F.struct(F.col("centroid").alias("c"), F.col("n").cast("long").alias("n")).alias("start"), F.col("samples").alias("had"), F.col("through").alias("before"))
+    met = embeddings.join(known_.select("callsign", "before"), "callsign", "left")
+    late = F.coalesce(F.col(order_col) <= F.col("before"), F.lit(False))
+    new = _in_order(met.where(~late), order_col)
+    rows = known_.join(new, "callsign", "full")
+    start = F.coalesce("start", F.struct(F.array().cast("array<double>").alias("c"), F.lit(0).cast("long").alias("n")))
+    out = _folded(rows.withColumn("start", start).withColumn("had", F.coalesce("had", F.array().cast("array<array<double>>"))).withColumn("s", F.coalesce("s", F.expr("filter(s, x -> false)"), F.array().cast(new.schema["s"].dataType))), max_samples)
+    return out.join(known_.select("callsign", "before"), "callsign", "left").withColumn("through", F.coalesce("through", "before")).drop("before"), met.where(late).select(embeddings.columns)
+
+
+def _in_order(embeddings: DataFrame, order_col: str) -> DataFrame:
+    return embeddings.groupBy("callsign").agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.transform("vector", lambda x: x.cast("double")).alias("v")))).alias("s"))
+
+
+def _folded(rows: DataFrame, max_samples: int) -> DataFrame:
+    """Profiles of (callsign, start: centroid and number before, had: samples before, s: new samples)."""
 
     def step(acc: Column, x: Column) -> Column:
         v = _unit(x.v)
-        moved = F.when(acc.n == 0, v).otherwise(_unit(F.transform(F.zip_with(acc.c, v, lambda a, b: (a * acc.n + b) / (acc.n + 1)), lambda y: y)))
+        moved = F.when(acc.n == 0, v).otherwise(_unit(F.zip_with(acc.c, v, lambda a, b: (a * acc.n + b) / (acc.n + 1))))
         return F.struct(moved.alias("c"), (acc.n + 1).alias("n"))
 
-    folded = rows.withColumn("f", F.aggregate("s", start, step))
-    last = F.slice("s", F.greatest(F.size("s") - max_samples, F.lit(0)) + 1, max_samples)
-    return folded.select("callsign", F.col("f.c").alias("centroid"), F.col("f.n").alias("n"), F.transform(last, lambda x: _unit(x.v)).alias("samples"))
+    every = F.concat("had", F.transform("s", lambda x: _unit(x.v)))
+    last = F.slice(every, F.greatest(F.size(every) - max_samples, F.lit(0)) + 1, max_samples)
+    folded = rows.withColumn("f", F.aggregate("s", F.col("start"), step))
+    return folded.select("callsign", F.col("f.c").alias("centroid"), F.col("f.n").alias("n"), last.alias("samples"), F.array_max(F.transform("s", lambda x: x.o)).alias("through"))
 
 
 def known(profiles: DataFrame, min_enrolments: int = 2) -> DataFrame:

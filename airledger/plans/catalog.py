@@ -11,7 +11,7 @@ from ..functions import geo, vocabulary
 from ..operators import boards, calibrate, frames, history, log, match, scoring, split, text, voice, windows
 from ..sources import readers, writers
 from ..streaming import live
-from .folders import new_folder
+from .folders import new_folder, written
 from .views import view, with_views
 
 Query = Callable[[Callable[[str], DataFrame]], DataFrame]
@@ -439,6 +439,17 @@ def roster_conflicts(v):
     return match.roster_conflicts(v("net_roster"), 50).withColumn("score", F.round("score", 6))
 
 
+WAYS = ["spoken", "hyphenated", "glued", "numeral", "ordinal", "numeric ordinal", "roman", "half a niner", "split niner", "welded", "collapsed suffix", "in a sentence", "shouted", "title", "letter names", "half letter names", "hyphen joined"]
+
+
+@_query(f"SELECT callsign, rendering, true AS matched, callsign AS found FROM net_roster, (SELECT unnest({WAYS}) AS rendering)")
+def renderings(v):
+    """Every station of the roster, written in every way that loses nothing, is matched as itself."""
+    written_ = text.renderings(v("net_roster").select("callsign")).select(F.col("callsign").alias("session"), F.col("rendering").alias("id"), F.col("written").alias("raw_text"))
+    found = match.match_lines(written_, v("net_roster"))
+    return found.select(F.col("session").alias("callsign"), F.col("id").alias("rendering"), "matched", F.col("callsign").alias("found"))
+
+
 CROSS = f"""pairs AS (SELECT l.id AS clip, l.candidate AS callsign, m.candidate AS candidate FROM net_log l JOIN net_mentions m ON m.session = l.session AND m.id = l.id),
  checked AS (SELECT clip, callsign, cast({RATIO} AS double) >= 78 AS supported FROM pairs WHERE regexp_full_match(callsign, '[A-Z]{{1,2}}[0-9][A-Z]{{1,3}}'))"""
 
@@ -526,17 +537,32 @@ def build_profiles(v):
     return voice.build_profiles(v("net_voice"))
 
 
-@_query("""WITH RECURSIVE s AS MATERIALIZED (SELECT callsign, row_number() OVER (PARTITION BY callsign ORDER BY ordinal) AS k, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u
+PROFILES = """WITH RECURSIVE s AS MATERIALIZED (SELECT callsign, row_number() OVER (PARTITION BY callsign ORDER BY ordinal) AS k, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u
  FROM (SELECT callsign, ordinal, cast(vector AS double[]) AS v FROM net_voice)), p AS (SELECT callsign, k, u AS c FROM s WHERE k = 1 UNION ALL
  SELECT callsign, k, list_transform(moved, lambda x: x / sqrt(list_inner_product(moved, moved))) FROM
  (SELECT s.callsign, s.k, list_transform(list_zip(c, u), lambda z: (z[1] * p.k + z[2]) / (p.k + 1)) AS moved FROM p JOIN s ON s.callsign = p.callsign AND s.k = p.k + 1))
- SELECT callsign, k AS n, i, round(c[i + 1], 6) AS value FROM (SELECT callsign, k, c, unnest(range(0, len(c))) AS i FROM p WHERE (callsign, k) IN (SELECT (callsign, max(k)) FROM p GROUP BY callsign))""")
+ SELECT callsign, k AS n, i, round(c[i + 1], 6) AS value FROM (SELECT callsign, k, c, unnest(range(0, len(c))) AS i FROM p WHERE (callsign, k) IN (SELECT (callsign, max(k)) FROM p GROUP BY callsign))"""
+
+
+@_query(PROFILES)
 def profile_values(v):
     """Centroids of the profiles, a row per component."""
     rows = voice.build_profiles(v("net_voice")).select("callsign", F.col("n").cast("long").alias("n"), F.posexplode("centroid").alias("i", "value"))
     return rows.withColumn("i", F.col("i").cast("long")).withColumn("value", F.round("value", 6))
 
 
+@_query(PROFILES)
+def extended_profiles(v):
+    """The same from profiles of the first samples, written down, that the later ones are added to."""
+    rows = v("net_voice")
+    half = rows.agg((F.max("ordinal") / 2).alias("half"))
+    told = rows.crossJoin(F.broadcast(half))
+    stored = written(voice.build_profiles(told.where("ordinal <= half").drop("half")))
+    profiles, _ = voice.extend_profiles(stored, told.where("ordinal > half").drop("half"))
+    parts = profiles.select("callsign", "n", F.posexplode("centroid").alias("i", "value"))
+    return parts.withColumn("i", F.col("i").cast("long")).withColumn("value", F.round("value", 6))
+
+
 @_query("SELECT callsign, count(*) AS n FROM net_voice WHERE callsign NOT IN ('A') GROUP BY callsign HAVING count(*) >= 2")
 def known(v):
     return voice.known(voice.forget(voice.build_profiles(v("net_voice")), ["A"])).select("callsign", F.col("n").cast("long").alias("n"))
@@ -784,6 +810,15 @@ def read_sessions(v):
     return readers.read_sessions(rows.sparkSession, folder, "*.json").select("type", "id", "timestamp", "raw_text", F.round("confidence", 6).alias("confidence"))
 
 
+@_query("SELECT type, id, timestamp, raw_text, round(confidence, 6) AS confidence FROM net_records")
+def split_log(v):
+    """The same read in splits of 10,000 bytes, each by a task of its own."""
+    rows = v("net_records").select("type", "id", "timestamp", "raw_text", "confidence")
+    folder = new_folder(rows.sparkSession)
+    writers.append_records(rows, folder)
+    return readers.split_log(rows.sparkSession, folder, "*.json", 10_000).select("type", "id", "timestamp", "raw_text", F.round("confidence", 6).alias("confidence"))
+
+
 @_query("SELECT id, timestamp, matched, matched_callsign, raw_text, round(confidence, 6) AS confidence, traffic FROM net_log")
 def export_csv(v):
     rows = v("net_log")

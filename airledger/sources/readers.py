@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .lines import SPLIT_BYTES, LogSource
 
 #: A roster's header is known by its first cell.
 HEADER = ("callsign", "call", "call_sign")
@@ -27,6 +28,27 @@ def read_sessions(spark: SparkSession, path: str, pattern: str = "net-*.jsonl")
     return rows.where("r.type is not null").select("session", "line_no", "r.*")
 
 
+def split_log(spark: SparkSession, path: str, pattern: str = "net-*.jsonl", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """read_sessions of logs of any size: (session, line_no, type, ...), where line_no is the byte at
+    which the record's line starts. Each file is read in splits by many tasks."""
+    return _log_records(_log_lines(spark.read, spark, path, pattern, split_bytes))
+
+
+def follow_log(spark: SparkSession, path: str, pattern: str = "net-*.jsonl", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The same as a stream over logs that are appended to: each line comes once it is whole."""
+    return _log_records(_log_lines(spark.readStream, spark, path, pattern, split_bytes))
+
+
+def _log_lines(reader, spark: SparkSession, path: str, pattern: str, split_bytes: int) -> DataFrame:
+    spark.dataSource.register(LogSource)
+    return reader.format(LogSource.name()).option("path", path).option("pattern", pattern).option("splitBytes", split_bytes).load()
+
+
+def _log_records(lines: DataFrame) -> DataFrame:
+    rows = lines.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("session"), F.col("offset").alias("line_no"), F.from_json("line", schemas.RECORD, {"mode": "PERMISSIVE"}).alias("r"))
+    return rows.where("r.type is not null").select("session", "line_no", "r.*")
+
+
 def read_corrections(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Labels in order; a line without one of the keys is skipped, a key that is null is fine."""
     keys = F.json_object_keys("line")

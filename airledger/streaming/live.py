@@ -98,7 +98,7 @@ def bursts_stream(frames: DataFrame, idle_ms: int = 10_000, late: str = "10 seco
         order = json.loads(held.get[0]) if held.exists else {"next": None, "held": [], "machine": {}, "gate": {}, "last": None}
         state, found, opened = BurstState(**order["machine"]), [], Gate(gate, **order["gate"]) if gate else None
         for _, at, speech, *level in _frames_in_order(order, batches, held, columns, idle_ms):
-            if order["last"] is not None and at - order["last"] > idle_ms:
+            if order["last"] is not None and at - order["last"] > idle_ms and state.start >= 0:
                 found.append((state.close(rules), order["last"]))  # idle, whether or not the timer came in between
             passed = opened is None or bool(opened.push(level[0])[1])  # the gate looks at every frame
             heard = bool(speech) and passed
