@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -510,6 +511,69 @@ def best_setting(v):
     return calibrate.best_setting(_scores(v)).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+def _cut_sql(gap: int) -> str:
+    """Segments of net_talk, cut at pauses of `gap` ms, by the rules of W3."""
+    return f"""(WITH clips AS (SELECT clip, string_agg(text, ' ' ORDER BY word_no) AS said, max(end_ms) + 500 AS dur FROM net_talk GROUP BY clip), st AS (SELECT clip, k, place AS begins, place + length(text) AS ends FROM net_talk WHERE w = 0),
+ prs AS (SELECT a.clip, a.k, a.ends AS lo, b.begins AS hi FROM st a JOIN st b ON b.clip = a.clip AND b.k = a.k + 1 WHERE a.clip % 13 <> 0),
+ ins AS (SELECT p.clip, p.k, t.word_no, t.place, t.start_ms, t.start_ms - lag(t.end_ms) OVER (PARTITION BY p.clip, p.k ORDER BY t.word_no) AS pause FROM prs p JOIN net_talk t ON t.clip = p.clip AND t.place BETWEEN p.lo AND p.hi WHERE t.clip % 11 <> 0),
+ longest AS (SELECT *, row_number() OVER (PARTITION BY clip, k ORDER BY pause DESC, word_no) AS r FROM ins WHERE pause IS NOT NULL), cuts AS (SELECT clip, place, start_ms FROM longest WHERE r = 1 AND pause >= {gap}),
+ heads AS (SELECT * FROM cuts UNION ALL SELECT DISTINCT clip, 0, 0 FROM cuts),
+ pcs AS (SELECT h.clip, row_number() OVER o AS seg_no, trim(substr(said, place + 1, coalesce(lead(place) OVER o, length(said)) - place)) AS text, start_ms AS start_offset_ms, coalesce(lead(start_ms) OVER o, dur) - start_ms AS duration_ms
+  FROM heads h JOIN clips c ON c.clip = h.clip WINDOW o AS (PARTITION BY h.clip ORDER BY place)),
+ bad AS (SELECT DISTINCT clip FROM pcs WHERE text = '' OR duration_ms < 400)
+ SELECT * FROM pcs WHERE clip NOT IN (SELECT clip FROM bad) UNION ALL SELECT clip, 1, said, 0, dur FROM clips WHERE clip NOT IN (SELECT clip FROM pcs) OR clip IN (SELECT clip FROM bad))"""
+
+
+def _cut(v, gap: int) -> DataFrame:
+    talk = v("net_talk")
+    clips = talk.groupBy("clip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x.text), " ").alias("text"), (F.max("end_ms") + 500).alias("duration_ms")).withColumn("suspect", F.col("clip") % 13 == 0)
+    words = talk.where("clip % 11 <> 0").select("clip", "word_no", "text", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("place").alias("offset"))
+    named = talk.where("w = 0").select("clip", F.col("text").alias("callsign"), F.col("place").alias("start"), (F.col("place") + F.length("text")).alias("end"))
+    return split.split_transmissions(clips, words, named, min_gap_ms=gap)
+
+
+@_query(f"SELECT clip, cast(seg_no AS int) AS seg_no, text, cast(start_offset_ms AS bigint) AS start_offset_ms, cast(duration_ms AS bigint) AS duration_ms FROM {_cut_sql(500)}")
+def split_talk(v):
+    """Clips of one to three stations: pauses that are too short or lie nowhere between, slivers, clips
+    without timings and echoes."""
+    return _cut(v, 500)
+
+
+SETTINGS = (150, 500, 1500)
+TALK_SCORES = f"""segs AS ({" UNION ALL ".join(f"SELECT {g} AS setting, * FROM {_cut_sql(g)}" for g in SETTINGS)}), heard AS (SELECT DISTINCT setting, clip, seg_no, unnest(regexp_extract_all(text, '[A-Z]{{2}}[0-9][A-Z]{{3}}')) AS callsign FROM segs),
+ per AS (SELECT s.setting, s.clip, s.seg_no, count(callsign) AS stations FROM segs s LEFT JOIN heard h ON h.setting = s.setting AND h.clip = s.clip AND h.seg_no = s.seg_no GROUP BY 1, 2, 3),
+ whole AS (SELECT setting, clip, count(*) AS n, count(*) FILTER (stations > 0) AS clean, count(*) FILTER (stations = 0) AS empty, max(stations) AS most FROM per GROUP BY 1, 2),
+ scores AS (SELECT setting, count(*) AS clips, cast(sum(clean) AS bigint) - count(*) FILTER (n = 1 AND most > 1) AS clean, count(*) FILTER (n = 1 AND most > 1) AS merged, cast(sum(empty) AS bigint) AS empty, (SELECT count(DISTINCT callsign) FROM heard h WHERE h.setting = w.setting) AS stations FROM whole w GROUP BY setting),
+ valued AS (SELECT *, cast(clean + 0.5 * stations - 1.5 * merged - 0.2 * empty AS double) AS value FROM scores)"""
+
+
+def _talk_scores(v) -> DataFrame:
+    cuts = reduce(DataFrame.union, [_cut(v, g).withColumn("setting", F.lit(g)) for g in SETTINGS])
+    found = cuts.select("setting", "clip", "seg_no", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2}[0-9][A-Z]{3})"), F.lit(1))).alias("callsign"))
+    return calibrate.score_settings(cuts, found)
+
+
+@_query(f"WITH {TALK_SCORES} SELECT setting, clips, clean, merged, empty, stations, round(value, 6) AS value FROM valued")
+def talk_settings(v):
+    """How well each shortest pause cuts the same clips."""
+    return _talk_scores(v).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@_query(f"WITH {TALK_SCORES} SELECT setting, round(value, 6) AS value, setting = (SELECT setting FROM valued ORDER BY value DESC, setting LIMIT 1) AS best FROM valued WHERE value >= (SELECT max(value) FROM valued) - 200")
+def best_talk_setting(v):
+    return calibrate.best_setting(_talk_scores(v), 200).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@_query("""WITH t AS (SELECT clip, count(DISTINCT text) FILTER (w = 0) AS stations, count(*) FILTER (w > 0) AS others FROM net_talk GROUP BY clip)
+ SELECT clip, stations > 2 OR (stations = 2 AND others < 3) AS suspect FROM t""")
+def echo_talk(v):
+    """Clips of three stations, and of two with hardly a word besides, look like the prompt coming back."""
+    talk = v("net_talk")
+    lines = talk.groupBy(F.col("clip").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x.text), " ").alias("raw_text")).withColumn("session", F.lit("talk"))
+    named = talk.where("w = 0").select(F.lit("talk").alias("session"), F.col("clip").alias("id"), F.col("k").alias("pos"), F.col("text").alias("callsign"))
+    return text.flag_echo(lines, named).select(F.col("id").alias("clip"), "suspect")
+
+
 # Voice
 
 PAIRS = "pairs AS (SELECT a.callsign = b.callsign AS same, greatest(0.0, least(1.0, list_inner_product(cast(a.vector AS double[]), cast(b.vector AS double[])))) AS similarity FROM net_voice a JOIN net_voice b ON a.ordinal < b.ordinal)"

@@ -48,6 +48,14 @@ VIEWS = {
     "net_words": f"""SELECT event_id AS clip, w.word_no, w.text, w.word_no * 0.3 + CASE WHEN w.word_no >= 2 AND event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS start,
         w.word_no * 0.3 + 0.3 + CASE WHEN w.word_no >= 2 AND event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS end, w.at AS offset FROM events,
         (SELECT 0 AS word_no, 'AB1CDE' AS text, 0 AS at UNION ALL SELECT 1, 'over', 7 UNION ALL SELECT 2, 'FG2HIJ', 12 UNION ALL SELECT 3, 'here', 19) w""",
+    # Words of clips in which one to three stations speak, with pauses of several lengths before the
+    # second and third; clips of 11 have no timings, some stations say their name only.
+    "net_talk": f"""SELECT clip, k, w, text, row_number() OVER (PARTITION BY clip ORDER BY k, w) - 1 AS word_no, cast(sum(length(text) + 1) OVER (PARTITION BY clip ORDER BY k, w) - length(text) - 1 AS int) AS place,
+        cast(sum(pause + ms) OVER (PARTITION BY clip ORDER BY k, w) - ms AS bigint) AS start_ms, cast(sum(pause + ms) OVER (PARTITION BY clip ORDER BY k, w) AS bigint) AS end_ms FROM
+        (SELECT event_id AS clip, k, w, CASE w WHEN 0 THEN {call("(user_id + k * 31)")} WHEN 1 THEN 'over' ELSE 'standing' END AS text, CASE w WHEN 0 THEN CASE WHEN (event_id + k) % 4 = 1 THEN 200 ELSE 600 END WHEN 1 THEN 100 ELSE 300 END AS ms,
+         CASE WHEN w > 0 OR k = 0 THEN 50 ELSE CASE (event_id * 5 + event_id % 7 + k * 3) % 5 WHEN 0 THEN 0 WHEN 1 THEN 200 WHEN 2 THEN 450 WHEN 3 THEN 600 ELSE 1700 END END AS pause
+         FROM events, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks, (SELECT 0 AS w UNION ALL SELECT 1 UNION ALL SELECT 2) ws
+         WHERE k <= event_id % 3 AND (w = 0 OR (event_id + k) % 5 <> 0) AND (w < 2 OR (event_id + k) % 4 <> 1)) said""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 
