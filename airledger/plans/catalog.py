@@ -524,8 +524,7 @@ def _cut_sql(gap: int) -> str:
  SELECT * FROM pcs WHERE clip NOT IN (SELECT clip FROM bad) UNION ALL SELECT clip, 1, said, 0, dur FROM clips WHERE clip NOT IN (SELECT clip FROM pcs) OR clip IN (SELECT clip FROM bad))"""
 
 
-def _cut(v, gap: int) -> DataFrame:
-    talk = v("net_talk")
+def _cut(talk: DataFrame, gap: int) -> DataFrame:
     clips = talk.groupBy("clip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x.text), " ").alias("text"), (F.max("end_ms") + 500).alias("duration_ms")).withColumn("suspect", F.col("clip") % 13 == 0)
     words = talk.where("clip % 11 <> 0").select("clip", "word_no", "text", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("place").alias("offset"))
     named = talk.where("w = 0").select("clip", F.col("text").alias("callsign"), F.col("place").alias("start"), (F.col("place") + F.length("text")).alias("end"))
@@ -536,7 +535,7 @@ def _cut(v, gap: int) -> DataFrame:
 def split_talk(v):
     """Clips of one to three stations: pauses that are too short or lie nowhere between, slivers, clips
     without timings and echoes."""
-    return _cut(v, 500)
+    return _cut(v("net_talk"), 500)
 
 
 SETTINGS = (150, 500, 1500)
@@ -548,7 +547,8 @@ TALK_SCORES = f"""segs AS ({" UNION ALL ".join(f"SELECT {g} AS setting, * FROM {
 
 
 def _talk_scores(v) -> DataFrame:
-    cuts = reduce(DataFrame.union, [_cut(v, g).withColumn("setting", F.lit(g)) for g in SETTINGS])
+    talk = written(v("net_talk"))
+    cuts = written(reduce(DataFrame.union, [_cut(talk, g).withColumn("setting", F.lit(g)) for g in SETTINGS]))
     found = cuts.select("setting", "clip", "seg_no", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2}[0-9][A-Z]{3})"), F.lit(1))).alias("callsign"))
     return calibrate.score_settings(cuts, found)
 
@@ -561,7 +561,7 @@ def talk_settings(v):
 
 @_query(f"WITH {TALK_SCORES} SELECT setting, round(value, 6) AS value, setting = (SELECT setting FROM valued ORDER BY value DESC, setting LIMIT 1) AS best FROM valued WHERE value >= (SELECT max(value) FROM valued) - 200")
 def best_talk_setting(v):
-    return calibrate.best_setting(_talk_scores(v), 200).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    return calibrate.best_setting(written(_talk_scores(v)), 200).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @_query("""WITH t AS (SELECT clip, count(DISTINCT text) FILTER (w = 0) AS stations, count(*) FILTER (w > 0) AS others FROM net_talk GROUP BY clip)

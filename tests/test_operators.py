@@ -131,6 +131,20 @@ def test_voice_threshold_from_blocks(spark, monkeypatch):
     assert calibrate.calibrate_voice(samples.limit(3)).first().note == "too few pairs"
 
 
+def test_profiles_go_on_from_stored_ones(spark):
+    rng = random.Random(8)
+    rows = [(f"s{k % 3}", k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(60)] + [("new", 90, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "callsign string, ordinal int, vector array<double>")
+    stored = voice.build_profiles(table.where("ordinal < 40 and callsign <> 's2'"))
+    later = table.where("ordinal >= 40 or callsign = 's2'").union(table.where("ordinal in (3, 39)"))
+    profiles, refused = voice.extend_profiles(stored, later)
+    plain = lambda df: {r.callsign: ([round(x, 9) for x in r.centroid], r.n, [[round(x, 9) for x in s] for s in r.samples], r.through) for r in df.collect()}
+    assert plain(profiles) == plain(voice.build_profiles(table)) and len(plain(profiles)) == 4
+    assert sorted((r.callsign, r.ordinal) for r in refused.collect()) == [("s0", 3), ("s0", 39)]
+    same, none = voice.extend_profiles(stored, later.limit(0))
+    assert plain(same) == plain(stored) and none.count() == 0
+
+
 def test_level_and_offset(spark):
     rows = spark.createDataFrame([(1, None), (2, -1.0), (3, 1.0), (4, 80.0), (5, 8000.0), (6, 1e9)], "k int, r double")
     assert [round(x.l, 3) for x in rows.select(level(F.col("r")).alias("l")).collect()] == [0, 0, 0, 0.488, 1, 1]
