@@ -16,9 +16,14 @@ from ..functions.text import cosine
 BROADCAST_PROFILES = 4096
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, not at each of its places (and for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    norm = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x * x))
+    return _let(v, lambda u: _let(norm(u), lambda k: F.when(k > 0, F.transform(u, lambda x: x / k)).otherwise(u)))
 
 
 def build_profiles(embeddings: DataFrame, order_col: str = "ordinal", max_samples: int = 12) -> DataFrame:
