@@ -2,9 +2,9 @@
 
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id,
 or in the same document before. Rows: one per document row. Null texts are empty; texts shorter
-than `length` keep all their bytes; rows that repeat an id are documents of equal rank, so neither
-makes the other's strings earlier ones; rows without an id come after all others and are of equal
-rank (the id 2^63 - 1 stands for none). A very long text makes up a block, which one task holds
+than `length` keep all their bytes; between rows that repeat an id the smaller start is earlier, and
+equal starts are no earlier than each other; rows without an id come after all others, as rows that
+repeat the id 2^63 - 1. A very long text makes up a block, which one task holds
 packed; what is derived from it is made piece by piece, and equal contexts are kept once. An empty
 table gives an empty result; extra columns are not read.
 
@@ -360,7 +360,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         many |= often > 1
         places = np.concatenate([np.zeros(0, dtype=np.int64), *(at[many[np.searchsorted(known, h)]] for at, h in found)])
         rows, which = distinct_contexts(data, offsets, places, length)
-        by = np.argsort(which, kind="stable")
+        doc = np.searchsorted(offsets, places, side="right") - 1
+        by = np.lexsort((places - offsets[doc], ids[doc], which))
         number = which[by]
         return ids, offsets, data, places, by, rows, number, np.flatnonzero(np.diff(number, prepend=-1))
 

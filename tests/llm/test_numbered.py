@@ -401,6 +401,14 @@ def test_repeated_strings_rows_without_id(spark):
     assert got == brute_repeats([(suffixes.NO_ID if d is None else d, (t or "").encode()) for d, t in rows])
 
 
+def test_repeated_strings_of_rows_that_share_an_id(spark):
+    """Of rows of one id, and of rows without one, the smaller start is earlier, whichever row comes first in a block."""
+    once = "".join(chr(97 + i * i % 26) + str(i) for i in range(80))
+    rows = [(7, "head " + once), (7, once), (None, "more " + once[::-1]), (None, once[::-1] + "z"), (7, once + "q")]
+    got = sorted((suffixes.NO_ID if r.doc_id is None else r.doc_id, *list(r)[1:]) for r in suffixes.remove_repeats(docs(spark, rows).coalesce(1)).collect())
+    assert got == brute_repeats([(suffixes.NO_ID if d is None else d, (t or "").encode()) for d, t in rows])
+
+
 def test_repeated_strings_survive_another_split(spark, monkeypatch):
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
