@@ -19,7 +19,12 @@ is split later on. Blocks go through these steps:
 3. A range combines its runs with a loser tree over common-prefix lengths. Sorted contexts and
    their common prefixes give, for each place of a string around its anchor, the classes of equal
    strings and the first of each.
-4. Each block gets back which of its strings are not first, and drops the bytes they cover.
+4. Anchors whose fingerprint occurs more than `spread` times are kept out of the ranges, as their
+   contexts could not be split there. Blocks that hold some send the digests of their strings, each
+   with its first occurrence in the block, and a minimum per digest finds the first of all.
+5. Each block gets back which of its strings are not first, and drops the bytes they cover.
+
+Slices and ranges grow in number with the blocks, so that neither grows in size.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import hashlib
 import struct
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +50,43 @@ from .shared import giving_back, giving_back_pair, map_batches, settle
 _U = np.uint64
 #: Bytes of an anchor's fingerprint.
 GRAM = 32
-#: Bytes of text of a block, and the slices in which fingerprints meet.
-BLOCK_BYTES, SLICES = 2 << 20, 512
+#: Bytes of text of a block; fingerprints meet in at least SLICES slices, and one for so many blocks.
+BLOCK_BYTES, SLICES, SLICE_BLOCKS = 2 << 20, 512, 32
 #: Bytes in which a block's anchors are found at once, and contexts that are compared at once.
 PIECE_BYTES, PIECE_ROWS = 1 << 19, 1 << 15
 #: Stands for the id of rows without one.
 NO_ID = (1 << 63) - 1
-#: Ranges of the sort: one per block, at most so many (their cuts are broadcast, 32 bytes each).
-MAX_RANGES = 16384
+#: The sort has one range per block. At most so many are cut by bytes (the cuts are broadcast, 32
+#: bytes each); with more blocks, each of these is dealt into several by fingerprint.
+MAX_CUTS = 16384
+#: Occurrences above which the strings around a fingerprint meet by digest.
+SPREAD = 1 << 17
+
+
+class Suspects(NamedTuple):
+    """Anchors of a block whose fingerprint occurs more than once, and their distinct contexts."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    data: np.ndarray
+    #: Place, id of the document and place in it, of each anchor, in order of context, id and place in it.
+    at: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
+    #: The number of each anchor's context, and the first anchor of each context.
+    number: np.ndarray
+    first: np.ndarray
+    #: Sorted contexts, their fingerprints, and which of them meet by digest.
+    rows: np.ndarray
+    prints: np.ndarray
+    heavy: np.ndarray
+
+
+def _grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with its indices, in order."""
+    order = np.argsort(values, kind="stable")
+    found, begin = np.unique(values[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, begin[1:]), strict=False)
 
 
 def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
@@ -140,6 +175,13 @@ def distinct_contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray,
     return whole[first], number[np.concatenate(which)] if n else np.concatenate(which)
 
 
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct fingerprints of a block, and how often each occurs."""
+    pairs = [np.unique(h, return_counts=True) for h in parts]
+    values, which = np.unique(np.concatenate([np.zeros(0, dtype=_U), *(h for h, _ in pairs)]), return_inverse=True)
+    return values, np.bincount(which, weights=np.concatenate([np.zeros(0), *(n for _, n in pairs)]), minlength=len(values)).astype(np.int64)
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of bytes and integers as one compressed value; _loosen gives them back."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sq", x.dtype.str[1:].encode(), x.nbytes) for x in arrays)
@@ -302,7 +344,22 @@ def later_strings(rows: np.ndarray, lcp: np.ndarray, docs: np.ndarray, places: n
     return out
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False) -> DataFrame:
+def string_digests(rows: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """For each k: the contexts with a string that starts k bytes before the anchor, and the 128-bit
+    digests of k and the string."""
+    right, left = rows[:, -2].astype(np.int64) - 1, rows[:, -1].astype(np.int64) - 1
+    for k in range(length - GRAM + 1):
+        some = np.flatnonzero((left >= k) & (right >= length - k))
+        if len(some):
+            whole = np.concatenate([rows[some, : length - k], rows[some, length : length + k], np.full((len(some), 1), k + 1, dtype=np.uint8)], axis=1)
+            values, which = np.unique(_strings(whole), return_inverse=True)
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in values.tolist()]
+            yield k, some, [digests[i] for i in which.tolist()]
+
+
+def remove_repeats(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_text: bool = False, spread: int = SPREAD
+) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of each row; kept_text is what
     is left, without characters that were cut in part."""
     if not GRAM < length <= 250:
@@ -315,22 +372,27 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, packed in _packed(batches):
             _, offsets, data = _loosen(packed)
-            h = np.unique(np.concatenate([np.zeros(0, dtype=_U), *(np.unique(h) for _, h in _block_anchors(data, offsets, length))]))
-            part = (h % _U(SLICES)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            h, size = h[order] // _U(SLICES), np.bincount(part, minlength=SLICES)
-            ends = np.cumsum(size)
-            some = np.flatnonzero(size)
-            packed = [_squeeze((h[ends[s] - size[s] : ends[s]]).astype(np.uint32), (h[ends[s] - size[s] : ends[s]] >> _U(32)).astype(np.uint16)) for s in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), pa.array(packed, type=pa.binary())], names=["block", "slice", "prints"])
+            h, often = _counted([h for _, h in _block_anchors(data, offsets, length)])
+            rest = h // _U(slices)
+            some, packed = [], []
+            for s, own in _grouped((h % _U(slices)).astype(np.int64)):
+                some.append(s)
+                packed.append(_squeeze(rest[own].astype(np.uint32), (rest[own] >> _U(32)).astype(np.uint16), often[own].astype(np.uint32)))
+            columns = [pa.array(np.full(len(some), block)), pa.array(some, type=pa.int64()), pa.array(packed, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "slice", "prints"])
 
     def meet(table: pa.Table) -> pa.Table:
-        """Which of a slice's fingerprints more than one block has."""
-        sets = [lo.astype(_U) | hi.astype(_U) << _U(32) for lo, hi in (_loosen(x) for x in table["prints"].to_pylist())]
-        values, count = np.unique(np.concatenate(sets), return_counts=True)
-        many = values[count > 1]
-        marks = [_squeeze(np.packbits(np.isin(x, many, assume_unique=True))) for x in sets]
-        return pa.table({"of": table["block"], "at": table["slice"], "marks": pa.array(marks, type=pa.binary())})
+        """Which of a slice's fingerprints more than one block has, and which occur too often for a range."""
+        parts = [_loosen(x) for x in table["prints"].to_pylist()]
+        sets = [lo.astype(_U) | hi.astype(_U) << _U(32) for lo, hi, _ in parts]
+        values, which, blocks_of = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        heavy = (np.bincount(which, weights=np.concatenate([x[2] for x in parts])) > spread)[which]
+        many, at, marks, any_heavy = (blocks_of > 1)[which], 0, [], []
+        for x in sets:
+            own = slice(at, at := at + len(x))
+            marks.append(_squeeze(np.packbits(many[own]), np.packbits(heavy[own])))
+            any_heavy.append(bool(heavy[own].any()))
+        return pa.table({"of": table["block"], "at": table["slice"], "marks": pa.array(marks, type=pa.binary()), "heavy": pa.array(any_heavy, type=pa.bool_())})
 
     def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         for batch in batches:
@@ -341,49 +403,65 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         for block, ids, data, offsets in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_squeeze(ids, offsets, data)], type=pa.binary())], names=["block", "texts"])
 
-    def suspects(left: pa.Table, right: pa.Table) -> tuple:
-        """Of a block: ids, offsets, bytes, places of suspect anchors (in order of id and place),
-        the order of their contexts, and the distinct sorted contexts with the number of each."""
+    def suspects(left: pa.Table, right: pa.Table) -> Suspects:
         ids, offsets, data = _loosen(left["texts"][0].as_py())
         found = [(at.astype(np.int64), h) for at, h in _block_anchors(data, offsets, length)]
-        known = np.unique(np.concatenate([np.zeros(0, dtype=_U), *(np.unique(h) for _, h in found)]))
-        part = (known % _U(SLICES)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        size = np.bincount(part, minlength=SLICES)
+        known, often = _counted([h for _, h in found])
         marks = dict(zip(right["at"].to_pylist(), right["marks"].to_pylist(), strict=True))
-        many = np.zeros(len(known), dtype=bool)
-        if len(known):
-            many[order] = np.concatenate([np.unpackbits(_loosen(marks[s])[0])[: size[s]].astype(bool) for s in np.flatnonzero(size)])
-        often = np.zeros(len(known), dtype=np.int64)
-        for _, h in found:
-            often += np.bincount(np.searchsorted(known, h), minlength=len(known))
-        many |= often > 1
-        places = np.concatenate([np.zeros(0, dtype=np.int64), *(at[many[np.searchsorted(known, h)]] for at, h in found)])
+        many, heavy = often > 1, np.zeros(len(known), dtype=bool)
+        for s, own in _grouped((known % _U(slices)).astype(np.int64)):
+            others, loads = (np.unpackbits(x)[: len(own)].astype(bool) for x in _loosen(marks[s]))
+            many[own] |= others
+            heavy[own] = loads
+        which_print = [np.searchsorted(known, h) for _, h in found]
+        places = np.concatenate([np.zeros(0, dtype=np.int64), *(at[many[w]] for (at, _), w in zip(found, which_print, strict=True))])
+        prints = np.concatenate([np.zeros(0, dtype=np.int64), *(w[many[w]] for w in which_print)])
         rows, which = distinct_contexts(data, offsets, places, length)
         doc = np.searchsorted(offsets, places, side="right") - 1
         by = np.lexsort((places - offsets[doc], ids[doc], which))
         number = which[by]
-        return ids, offsets, data, places, by, rows, number, np.flatnonzero(np.diff(number, prepend=-1))
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        own = prints[by][first]
+        return Suspects(ids, offsets, data, places[by], ids[doc[by]], (places - offsets[doc])[by], number, first, rows, known[own], heavy[own])
 
     source = settle(map_batches(texts, packed_blocks, "block long, texts binary"))
-    fingerprints = settle(map_batches(source, prints, "block long, slice int, prints binary").groupBy("slice").applyInArrow(giving_back(meet), "of long, at int, marks binary"))
     blocks = source.count()
-    sample = _splitters(documents, text_col, length, max(1, min(MAX_RANGES, blocks)), max(0.01, min(1.0, 8 / max(1, blocks))))
+    slices, deals = max(SLICES, -(-blocks // SLICE_BLOCKS)), max(1, -(-blocks // MAX_CUTS))
+    met = map_batches(source, prints, "block long, slice long, prints binary").groupBy("slice").applyInArrow(giving_back(meet), "of long, at long, marks binary, heavy boolean")
+    fingerprints = settle(met)
+    sample = _splitters(documents, text_col, length, max(1, min(MAX_CUTS, blocks)), max(0.01, min(1.0, 8 / max(1, blocks))))
     cuts = np.frombuffer(sample, dtype=f"S{GRAM}") if sample else np.zeros(0, dtype=f"S{GRAM}")
     shared = spark.sparkContext.broadcast(cuts)
 
+    def ranges(x: Suspects) -> Iterator[tuple[int, np.ndarray]]:
+        """The ranges of a block's contexts, each with their numbers in order; heavy ones have none."""
+        light = np.flatnonzero(~x.heavy)
+        cut = np.searchsorted(shared.value, _strings(x.rows[light, :GRAM]), side="right") if len(light) else light
+        for r, own in _grouped(cut * deals + (x.prints[light] % _U(deals)).astype(np.int64)):
+            yield r, light[own]
+
     def runs(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, offsets, _, places, by, rows, number, first = suspects(left, right)
-        where = np.searchsorted(shared.value, _strings(rows[:, :GRAM]), side="right") if len(rows) else np.zeros(0, dtype=np.int64)
-        at = places[by[first]]
-        doc = np.searchsorted(offsets, at, side="right") - 1
+        x = suspects(left, right)
+        doc, begin = x.doc[x.first], x.begin[x.first]
         out = {"range": [], "block": [], "run": []}
-        for r in np.unique(where):
-            part = np.flatnonzero(where == r)
-            lcp, tails = front_code(rows[part])
-            out["range"].append(int(r)), out["block"].append(left["block"][0].as_py())
-            out["run"].append(_squeeze(lcp, tails, ids[doc[part]], at[part] - offsets[doc[part]]))
-        return pa.table({"range": pa.array(out["range"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "run": pa.array(out["run"], pa.binary())})
+        for r, part in ranges(x):
+            lcp, tails = front_code(x.rows[part])
+            out["range"].append(r), out["block"].append(left["block"][0].as_py())
+            out["run"].append(_squeeze(lcp, tails, doc[part], begin[part]))
+        return pa.table({"range": pa.array(out["range"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "run": pa.array(out["run"], pa.binary())})
+
+    def heavy_strings(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The strings of a block's heavy contexts by digest, each with its first occurrence there."""
+        x = suspects(left, right)
+        heavy = np.flatnonzero(x.heavy)
+        starts = list(zip(x.doc[x.first][heavy].tolist(), x.begin[x.first][heavy].tolist(), strict=True))
+        least: dict[bytes, tuple[int, int]] = {}
+        for _, some, digests in string_digests(x.rows[heavy], length):
+            for i, digest in zip(some.tolist(), digests, strict=True):
+                least[digest] = min(least.get(digest, starts[i]), starts[i])
+        docs, begins = zip(*least.values(), strict=True) if least else ((), ())
+        block = np.full(len(least), left["block"][0].as_py(), dtype=np.int64)
+        return pa.table({"digest": pa.array(list(least), pa.binary()), "id": pa.array(docs, pa.int64()), "begin": pa.array(begins, pa.int64()), "of": block})
 
     def combine(table: pa.Table) -> pa.Table:
         """Sort a range's runs into one, find the first of all strings, and answer each block."""
@@ -407,43 +485,40 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             cls = members[ends[i] - len(x[0]) : ends[i]]
             mine = (docs[cls] == x[2]) & (places[cls] == x[3])
             answers.append(_squeeze(np.packbits(mine), later[cls[mine]].ravel()))
-        return pa.table({"of": table["block"], "at": pa.array(table["range"].to_numpy(), pa.int32()), "marks": pa.array([struct.pack("<q", len(x[0])) + y for x, y in zip(runs, answers, strict=True)], type=pa.binary())})
+        return pa.table({"of": table["block"], "at": pa.array(table["range"].to_numpy() + slices, pa.int64()), "marks": pa.array(answers, type=pa.binary())})
 
     fields = [T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * keep_text
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, answers = right.filter(pa.compute.less(right["at"], SLICES)), right.filter(pa.compute.greater_equal(right["at"], SLICES))
-        ids, offsets, data, places, by, rows, number, _ = suspects(left, marks)
-        answers = answers.sort_by("at")
-        mine, later = np.zeros(0, dtype=bool), np.zeros((0, back + 1), dtype=bool)
-        for packed in answers["marks"].to_pylist():
-            (n,) = struct.unpack_from("<q", packed)
-            own, bits = _loosen(packed[8:])
-            own = np.unpackbits(own)[:n].astype(bool)
-            mine = np.concatenate([mine, own])
-            later = np.concatenate([later, np.unpackbits(bits.reshape(int(own.sum()), (back + 8) // 8), axis=1)[:, : back + 1].astype(bool)])
-        if len(mine) != len(rows):
-            raise ValueError("an answer of a range is missing")
+        at = right["at"]
+        marks = right.filter(pa.compute.and_(pa.compute.greater_equal(at, 0), pa.compute.less(at, slices)))
+        firsts = set(right.filter(pa.compute.less(at, 0))["marks"].to_pylist())
+        merged = right.filter(pa.compute.greater_equal(at, slices))
+        answers = dict(zip(merged["at"].to_pylist(), merged["marks"].to_pylist(), strict=True))
+        x = suspects(left, marks)
+        ids, offsets, data = x.ids, x.offsets, x.data
+        mine, later = x.heavy.copy(), np.zeros((len(x.rows), back + 1), dtype=bool)
+        for r, part in ranges(x):
+            own, bits = _loosen(answers[r + slices])
+            part = part[np.unpackbits(own)[: len(part)].astype(bool)]
+            mine[part] = True
+            later[part] = np.unpackbits(bits.reshape(len(part), (back + 8) // 8), axis=1)[:, : back + 1]
+        heavy = np.flatnonzero(x.heavy)
+        starts = [struct.pack(">qq", *pair) for pair in zip(x.doc[x.first][heavy].tolist(), x.begin[x.first][heavy].tolist(), strict=True)]
+        for k, some, digests in string_digests(x.rows[heavy], length):
+            later[heavy[some], k] = [digest + starts[i] not in firsts for i, digest in zip(some.tolist(), digests, strict=True)]
         change = np.zeros(len(data) + 1, dtype=np.int64)
-        if len(rows):
-            size = rows.shape[1]
-            at = places[by]
-            right_, left_ = rows[number, size - 2].astype(np.int64) - 1, rows[number, size - 1].astype(np.int64) - 1
-            first = np.ones(len(at), dtype=bool)
-            first[1:] = number[1:] != number[:-1]
+        if len(x.rows):
+            right_, left_ = x.rows[x.number, -2].astype(np.int64) - 1, x.rows[x.number, -1].astype(np.int64) - 1
             # Occurrences that share (id, place) with the first are no later than it.
-            doc = ids[np.searchsorted(offsets, at, side="right") - 1]
-            place = at - offsets[np.searchsorted(offsets, at, side="right") - 1]
-            begin = np.flatnonzero(first)
-            top = mine[number] & (doc == doc[begin][number]) & (place == place[begin][number])
+            top = mine[x.number] & (x.doc == x.doc[x.first][x.number]) & (x.begin == x.begin[x.first][x.number])
             low, high = np.maximum(0, length - right_), left_
             whole = ~top & (low <= high)
-            np.add.at(change, at[whole] - high[whole], 1)
-            np.add.at(change, at[whole] - low[whole] + length, -1)
-            index = np.cumsum(mine) - 1
-            hit, k = np.nonzero(later[index[number[top]]]) if top.any() else (np.zeros(0, dtype=np.int64),) * 2
-            np.add.at(change, at[top][hit] - k, 1)
-            np.add.at(change, at[top][hit] - k + length, -1)
+            np.add.at(change, x.at[whole] - high[whole], 1)
+            np.add.at(change, x.at[whole] - low[whole] + length, -1)
+            hit, k = np.nonzero(later[x.number[top]])
+            np.add.at(change, x.at[top][hit] - k, 1)
+            np.add.at(change, x.at[top][hit] - k + length, -1)
         gone = np.cumsum(change[:-1]) > 0
         out = {f.name: [] for f in fields}
         for d in range(len(ids)):
@@ -457,9 +532,17 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({name: pa.array(x, type=kind) for (name, x), kind in zip(out.items(), kinds, strict=False)})
 
-    sorted_runs = source.groupBy("block").cogroup(fingerprints.groupBy("of")).applyInArrow(giving_back_pair(runs), "range int, block long, run binary")
-    answers = sorted_runs.groupBy("range").applyInArrow(giving_back(combine), "of long, at int, marks binary")
-    back_to = fingerprints.union(answers.select("of", (F.col("at") + SLICES).alias("at"), "marks"))
+    marks = fingerprints.select("of", "at", "marks")
+    sorted_runs = source.groupBy("block").cogroup(marks.groupBy("of")).applyInArrow(giving_back_pair(runs), "range long, block long, run binary")
+    back_to = marks.union(sorted_runs.groupBy("range").applyInArrow(giving_back(combine), "of long, at long, marks binary"))
+    loaded = fingerprints.where("heavy").select("of").distinct()
+    if not loaded.isEmpty():
+        held = source.join(loaded, source.block == loaded.of, "left_semi").groupBy("block").cogroup(marks.join(loaded, "of", "left_semi").groupBy("of"))
+        strings = settle(held.applyInArrow(giving_back_pair(heavy_strings), "digest binary, id long, begin long, of long"))
+        # All columns are keys of the join: a string that every block holds has its first in few of them.
+        least = strings.groupBy("digest").agg(F.min(F.struct("id", "begin")).alias("least")).select("digest", "least.*")
+        start = [F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("id", "begin")]
+        back_to = back_to.union(strings.join(least, ["digest", "id", "begin"]).select("of", F.lit(-1).cast("long").alias("at"), F.concat("digest", *start).alias("marks")))
     out = source.groupBy("block").cogroup(back_to.groupBy("of")).applyInArrow(giving_back_pair(drop), T.StructType(fields))
     return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
 

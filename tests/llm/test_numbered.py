@@ -409,6 +409,22 @@ def test_repeated_strings_of_rows_that_share_an_id(spark):
     assert got == brute_repeats([(suffixes.NO_ID if d is None else d, (t or "").encode()) for d, t in rows])
 
 
+@pytest.mark.parametrize("spread", [0, 20])
+def test_repeated_strings_of_a_passage_in_a_third_of_all_rows(spark, monkeypatch, spread):
+    """Strings of frequent fingerprints meet by digest, the others in ranges that are dealt into several; the rows are the same."""
+    monkeypatch.setattr(suffixes, "MAX_CUTS", 2)
+    monkeypatch.setattr(suffixes, "SLICES", 3)
+    monkeypatch.setattr(suffixes, "SLICE_BLOCKS", 2)
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefghi \0é") for _ in range(n))
+    passage, rare = make(140), make(180)
+    rows = [(i, make(rng.randint(0, 200)) + (passage[rng.randint(0, 9) : rng.randint(130, 140)] if i % 3 == 0 else rare if i % 37 == 1 else "") + make(rng.randint(0, 300))) for i in range(200)]
+    rows += [(None, "x" + passage), (None, passage), (None, passage), (3, passage), (250, "a" * 700), (251, None), (252, passage * 3)]
+    rng.shuffle(rows)
+    got = sorted((suffixes.NO_ID if r.doc_id is None else r.doc_id, *list(r)[1:]) for r in suffixes.remove_repeats(docs(spark, rows).repartition(12), spread=spread).collect())
+    assert got == brute_repeats([(suffixes.NO_ID if d is None else d, (t or "").encode()) for d, t in rows])
+
+
 def test_repeated_strings_survive_another_split(spark, monkeypatch):
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
