@@ -19,9 +19,10 @@ def attendance(state: DataFrame, roster: DataFrame, decay: float = 0.85) -> Data
     ages = session_age(state)
     per = state.where("matched and matched_callsign is not null").groupBy("session", F.col("matched_callsign").alias("callsign")).agg(F.count("*").alias("n"), F.collect_set(F.nullif("source", F.lit(""))).alias("src"))
     per = per.join(roster.select("callsign").distinct(), "callsign", "left_semi").join(F.broadcast(ages), "session")
-    weight = F.pow(F.lit(float(decay)), F.col("age"))
+    # Sums of doubles depend on their order, which would rank equal histories at random: decimals add up exactly.
+    weight = F.pow(F.lit(float(decay)), F.col("age")).cast("decimal(38,28)")
     return per.groupBy("callsign").agg(
-        F.count("*").alias("sessions"), F.sum("n").alias("transmissions"), F.sum(weight).alias("score"), F.max("session").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("src")))).alias("sources")
+        F.count("*").alias("sessions"), F.sum("n").alias("transmissions"), F.sum(weight).cast("double").alias("score"), F.max("session").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("src")))).alias("sources")
     )
 
 
