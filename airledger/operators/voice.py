@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from .blocks import met, packed
 
 #: Profiles that are broadcast at most: a few MB of centroids.
 BROADCAST_PROFILES = 4096
@@ -101,38 +102,44 @@ def identify(clips: DataFrame, profiles: DataFrame, min_similarity: float = 0.82
 
 
 #: Vectors of a block; a task multiplies two blocks, a strip of STRIP rows at a time.
-PAIR_BLOCK, STRIP = 2048, 256
+PAIR_BLOCK, STRIP = 8192, 256
+
+
+def voice_blocks(samples: DataFrame, block: int | None = None) -> DataFrame:
+    """Samples (callsign, vector) packed into blocks, for several of the functions below; null vectors
+    are left out. Blocks are returned as they are."""
+    if "rows" in samples.columns:
+        return samples
+    rows = samples.where("vector is not null").select("callsign", "vector", *(["ordinal"] if "ordinal" in samples.columns else []))
+    return packed(rows, block or PAIR_BLOCK)
+
+
+def _matrix(rows: pa.StructArray) -> tuple[np.ndarray, pa.Array]:
+    """The vectors of a block as a matrix of doubles, and their stations."""
+    lists = rows.field("vector")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1), pc.fill_null(rows.field("callsign"), "")
 
 
 def block_pairs(samples: DataFrame, told: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str, block: int | None = None) -> DataFrame:
     """told(similarities, whether of the same station) of all unordered pairs of samples, each once, in
-    strips. samples: callsign, vector. Samples are dealt to blocks, and every two blocks meet in a task
-    as two matrices; what leaves the task is what `told` makes of the pairs. Null vectors are left out.
+    strips. samples: callsign, vector, or their blocks. Every two blocks meet in a task as two matrices;
+    what leaves the task is what `told` makes of the pairs.
     """
-    rows = samples.where("vector is not null").select("callsign", F.col("vector").cast("array<double>").alias("vector"), *(["ordinal"] if "ordinal" in samples.columns else []))
-    blocks = max(1, -(-rows.count() // (block or PAIR_BLOCK)))
-    of = F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(F.col("of"), x).alias("i"), F.greatest(F.col("of"), x).alias("j")))
-    dealt = rows.withColumn("of", of).withColumn("met", F.explode(met)).select("met.i", "met.j", "of", "callsign", "vector")
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        i, j = (x.as_py() for x in key)
-        at, station = group["of"].to_numpy(), pc.fill_null(group["callsign"].combine_chunks(), "").dictionary_encode().indices.to_numpy()
-        lists = group["vector"].combine_chunks()
-        vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        out = []
-        for k in range(0, len(left), STRIP):
-            part = left[k : k + STRIP]
-            others = right if i != j else right[k:]
-            similarity, same = np.clip(vectors[part] @ vectors[others].T, 0.0, 1.0), station[part][:, None] == station[others]
+    blocks = voice_blocks(samples, block)
+
+    def run(i: int, a: pa.StructArray, j: int, b: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        (x, left), (y, right) = _matrix(a), _matrix(b)
+        code = pa.concat_arrays([left, right]).dictionary_encode().indices.to_numpy()
+        left, right = code[: len(x)], code[len(x) :]
+        for k in range(0, len(x), STRIP):
+            low = k if i == j else 0
+            similarity, same = np.clip(x[k : k + STRIP] @ y[low:].T, 0.0, 1.0), left[k : k + STRIP, None] == right[low:]
             if i == j:
-                once = np.arange(len(part))[:, None] < np.arange(len(others))
+                once = np.arange(len(similarity))[:, None] < np.arange(len(y) - low)
                 similarity, same = similarity[once], same[once]
-            out.append(told(similarity.ravel(), same.ravel()))
-        return pa.concat_tables(out) if out else told(np.zeros(0), np.zeros(0, dtype=bool))
+            yield from told(similarity.ravel(), same.ravel()).to_batches()
 
-    return dealt.groupBy("i", "j").applyInArrow(run, schema)
+    return met(blocks, blocks, run, schema, once=True)
 
 
 def voice_pairs(samples: DataFrame) -> DataFrame:
@@ -174,6 +181,7 @@ RANK_BINS, FEW_PAIRS = 4096, 100_000
 def ranked_similarity(samples: DataFrame, rank: int, few: int = FEW_PAIRS) -> float:
     """The similarity of the pair of different stations that `rank` (from 0) others exceed. The bin that
     holds it is cut into bins again until few pairs are left in it, which are ranked."""
+    samples = voice_blocks(samples)
     low, high = 0.0, 1.0
     while True:
 
