@@ -93,6 +93,74 @@ def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+class Names:
+    """Strings that others are compared with, all at once: a row of the table of common subsequences is a
+    row of bits per name, in order of their length and then of `order`."""
+
+    def __init__(self, names: list[str], order: np.ndarray):
+        sizes = np.array([len(x) for x in names], dtype=np.int64)
+        self.groups = []
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            at = at[np.argsort(order[at], kind="stable")]
+            part = [names[i] for i in at]
+            masks: dict[str, np.ndarray] = {}
+            if 0 < size <= 64:
+                kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if size <= n)
+                codes = _codes(part, size, -1)
+                for place in range(size):
+                    for code in np.unique(codes[place]).tolist():
+                        mask = masks.setdefault(chr(code), np.zeros(len(at), dtype=kind))
+                        mask[codes[place] == code] |= kind(1 << place)
+            self.groups.append((size, at, part, masks))
+
+    @staticmethod
+    def _common(text: str, size: int, part: list[str], masks: dict[str, np.ndarray]) -> np.ndarray:
+        """Lengths of the longest common subsequences of text and the names of one length."""
+        if size > 64:
+            return lcs_lengths([text] * len(part), part)
+        if not size:
+            return np.zeros(len(part), dtype=np.uint8)
+        whole = next(iter(masks.values())).dtype.type((1 << size) - 1)
+        row = np.full(len(part), whole)
+        for letter in text:
+            if letter in masks:
+                same = row & masks[letter]
+                row = (row + same) | (row - same)
+        return size - np.bitwise_count(row & whole)
+
+    def best(self, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, similarities) of the k names that are most alike, or of some more."""
+        found, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for size, at, part, masks in self.groups:
+            common, left = self._common(text, size, part, masks), k
+            for value in range(int(common.max()), -1, -1):
+                hits = np.flatnonzero(common == value)[:left]
+                found.append(at[hits])
+                scores.append(np.full(len(hits), 200.0 * value / (len(text) + size) if text or size else 100.0))
+                left -= len(hits)
+                if not left:
+                    break
+        return np.concatenate(found), np.concatenate(scores)
+
+    def above(self, text: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, similarities) of all names that are as similar as `least`."""
+        found, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for size, at, part, masks in self.groups:
+            if not text and not size:
+                score = np.full(len(at), 100.0)
+            else:
+                score = 200.0 * np.arange(size + 1) / (len(text) + size)
+                enough = int(np.searchsorted(score, least))
+                common = self._common(text, size, part, masks)
+                at = at[hits := np.flatnonzero(common >= enough)]
+                score = score[common[hits]]
+            at, score = at[score >= least], score[score >= least]
+            found.append(at)
+            scores.append(score)
+        return np.concatenate(found), np.concatenate(scores)
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     """indel_ratio of very many pairs, in Arrow batches: some hundred times the speed of folds over

@@ -17,14 +17,17 @@ from ..plans.folders import written
 
 #: Bytes of rows that an Arrow batch carries to a Python worker (a longer row is a batch of its own).
 BATCH_BYTES = 4 << 20
+#: Files of a table of blocks at most.
+FILES = 1024
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """(block, rows): the rows, dealt to blocks of about `size`, written down."""
+    """(block, rows): the rows, dealt to blocks of about `size`, written down in as many files as there
+    are blocks, FILES at most: few bytes may be much work, which is shared out by file."""
     blocks = max(1, -(-rows.count() // size))
     of = F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int")
-    return written(rows.groupBy(of.alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")))
+    return written(rows.groupBy(of.alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).repartition(min(blocks, FILES)))
 
 
 def met(left: DataFrame, right: DataFrame, told: Callable[[int, pa.StructArray, int, pa.StructArray], Iterator[pa.RecordBatch]], schema: str, once: bool = False) -> DataFrame:

@@ -2,58 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-from math import ceil
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import indel_ratio, indel_ratios
-from ..plans.folders import written
+from ..functions.text import Names, indel_ratio, indel_ratios
+from .blocks import met, packed
 from .text import mentions, normalise
 
-#: Rosters up to this many entries are broadcast against all distinct candidates; larger ones are
-#: searched by an index. Both give the same rows.
+#: Rosters up to this many entries are broadcast against all distinct candidates; larger ones meet them
+#: block by block. Both give the same rows.
 BROADCAST_ROSTER = 2000
+#: Candidates and roster entries of a block.
+CANDIDATE_BLOCK, ROSTER_BLOCK = 1024, 1 << 16
+#: Pairs of alike entries that a batch has at least, but for the last one.
+CONFLICT_ROWS = 1 << 16
 
 
-#: Similarities down to which the index of a large roster is searched, one after the other, for those
-#: candidates that have too few entries yet. At the last one a shared letter is enough.
-RADII = (60, 40, 0)
-#: Letters of a string up to which all its subsequences of a length are indexed; of longer ones pairs of
-#: letters are, and beyond the second bound single letters.
-FULL_LETTERS, PAIR_LETTERS = 12, 64
-
-
-def _scored(cands: DataFrame, roster: DataFrame, least: float, fewest: int = 0) -> DataFrame:
+def _best(cands: DataFrame, roster: DataFrame, k: int) -> DataFrame:
     """(candidate, callsign, name, position, ordinal, score) of distinct candidates and entries: all
-    pairs, or at least those that score `least` or more and the `fewest` best of each candidate.
-
-    A large roster is searched by an index of subsequences (see _close), with a radius that grows: a
-    candidate is done once it has `fewest` entries that score at least the radius, as all others score
-    less. The others go on; those that share a letter with too few entries get the first of the roster.
-    """
-    entries = roster.select("callsign", "name", "position", "ordinal")
+    pairs, or those among which the k best of each candidate are (by score, then ordinal)."""
+    entries = roster.select("callsign", "name", "position", "ordinal").where("callsign is not null")
     if roster.count() <= BROADCAST_ROSTER:
         return cands.repartition(_tasks(cands), "candidate").crossJoin(F.broadcast(entries)).withColumn("score", indel_ratios("candidate", "callsign"))
-    entries, active, done = written(entries), written(cands), []
-    names = entries.select("callsign").distinct()
-    for radius in RADII if fewest else [least]:
-        close = _close(active, names, radius).join(entries, "callsign").select("candidate", "callsign", "name", "position", "ordinal", "score")
-        if not fewest:
-            return close
-        close = written(close)
-        enough = close.groupBy("candidate").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("candidate")
-        done.append(close.join(enough, "candidate", "left_semi"))
-        active = written(active.join(enough, "candidate", "left_anti"))
-        if active.isEmpty():
-            break
-    else:
-        first = entries.orderBy("ordinal").limit(2 * fewest)
-        rest = active.crossJoin(F.broadcast(first)).join(close, ["candidate", "ordinal"], "left_anti").withColumn("score", F.lit(0.0))
-        done.append(close.join(active, "candidate", "left_semi").unionByName(rest))
-    return reduce(DataFrame.unionByName, done)
+
+    def told(i: int, left: pa.StructArray, j: int, right: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        ordinals, names = right.field("ordinal").to_numpy(), Names(right.field("callsign").to_pylist(), right.field("ordinal").to_numpy())
+        texts = left.field("candidate").to_pylist()
+        found = [names.best(x, k) for x in texts]
+        at, score = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+        rows = right.take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([left.field("candidate").take(pa.array(np.repeat(np.arange(len(texts)), [len(f[0]) for f in found]))), rows.field("callsign"), rows.field("name"), rows.field("position"), pa.array(ordinals[at]), pa.array(score)], names=["candidate", "callsign", "name", "position", "ordinal", "score"])
+
+    schema = f"candidate string, callsign string, name string, position string, ordinal {entries.schema['ordinal'].dataType.simpleString()}, score double"
+    return met(packed(cands, CANDIDATE_BLOCK), packed(entries, ROSTER_BLOCK), told, schema)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -61,41 +46,6 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _need(a: Column | int, b: Column | int, least: float):
-    """Letters that strings of two lengths have in common, in order, if they score `least`; as few as
-    the index has of long ones."""
-    longest = F.greatest(a, b) if isinstance(a, Column) else max(a, b)
-    total = least * (a + b) / 200 - 1e-9
-    if not isinstance(a, Column):
-        return 1 if longest > PAIR_LETTERS else min(2 if longest > FULL_LETTERS else longest, max(1, ceil(total)))
-    asked = F.greatest(F.lit(1), F.ceil(total).cast("int"))
-    return F.when(longest > PAIR_LETTERS, 1).otherwise(F.least(F.when(longest > FULL_LETTERS, 2).otherwise(longest), asked))
-
-
-def _close(cands: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """(candidate, callsign, score) of all pairs that score `least` or more, and share a letter.
-
-    Strings score so much only if they share a subsequence of a length that follows from their own two
-    lengths. Both sides are exploded to their subsequences of the lengths that their partners ask for,
-    and joined on them; a pair is scored once, if the shared one has the length for the pair.
-    """
-    left, right = cands.withColumn("_a", F.length("candidate")).where("_a > 0"), names.withColumn("_b", F.length("callsign")).where("_b > 0")
-    lengths = [sorted(r[0] for r in side.select(c).distinct().collect()) for side, c in ((left, "_a"), (right, "_b"))]
-    asked = [{(n, _need(n, m, least)) for n in lengths[k] for m in lengths[1 - k]} for k in (0, 1)]
-    left, right = _subsequences(left, "candidate", "_a", asked[0]), _subsequences(right, "callsign", "_b", asked[1])
-    met = left.join(right, "variant").where(F.length("variant") == _need(F.col("_a"), F.col("_b"), least)).select("candidate", "callsign").distinct()
-    return met.repartition(_tasks(cands), "candidate", "callsign").withColumn("score", indel_ratios("candidate", "callsign")).where(F.col("score") >= least)
-
-
-def _subsequences(df: DataFrame, col: str, length: str, asked: set[tuple[int, int]]) -> DataFrame:
-    """df with every subsequence of col, as variant, of the lengths asked for: of pairs (length of col,
-    length of the subsequence) that occur, at most C(12, 6) for each."""
-    picks = [(n, list(places)) for n, m in sorted(asked) if m <= n for places in combinations(range(1, n + 1), m)]
-    table = F.broadcast(df.sparkSession.createDataFrame(picks, "_of int, _places array<int>"))
-    word = F.array_join(F.transform("_places", lambda i: F.substring(F.col(col), i, F.lit(1))), "")
-    return df.join(table, F.col(length) == F.col("_of")).select(*df.columns, word.alias("variant"))
-
-
 def match_candidates(cands: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, threshold: float = 78, margin: float = 5) -> DataFrame:
     """Per distinct candidate: matched, callsign, name, position, score, runner_up, runner_up_score,
     reason and via_alias. Refused candidates keep their nearest entry's score.
@@ -105,7 +55,7 @@ def match_candidates(cands: DataFrame, roster: DataFrame, aliases: DataFrame | N
     """
     distinct = cands.select("candidate").where("candidate is not null and candidate <> ''").distinct()
     w = Window.partitionBy("candidate").orderBy(F.desc("score"), "ordinal")
-    ranked = _scored(distinct, roster, threshold - margin, 2).withColumn("_n", F.row_number().over(w)).where("_n <= 2").withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w))
+    ranked = _best(distinct, roster, 2).withColumn("_n", F.row_number().over(w)).where("_n <= 2").withColumn("runner_up", F.lead("callsign").over(w)).withColumn("runner_up_score", F.lead("score").over(w))
     best = distinct.join(ranked.where("_n = 1"), "candidate", "left")
     if aliases is not None:
         known = aliases.select("candidate", F.col("callsign").alias("_alias")).join(roster.select(F.col("callsign").alias("_alias"), F.col("name").alias("_an"), F.col("position").alias("_ap")).dropDuplicates(["_alias"]), "_alias")
@@ -152,14 +102,26 @@ def nearest(cands: DataFrame, roster: DataFrame, k: int = 8) -> DataFrame:
     """The k closest roster entries of each candidate; nothing for an empty one."""
     distinct = cands.select("candidate").where("candidate is not null and candidate <> ''").distinct()
     w = Window.partitionBy("candidate").orderBy(F.desc("score"), "ordinal")
-    return _scored(distinct, roster, 70, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "rank", "callsign", "score")
+    return _best(distinct, roster, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "rank", "callsign", "score")
 
 
 def roster_conflicts(roster: DataFrame, min_score: float = 70) -> DataFrame:
     """Pairs of roster entries so alike that lines naming one may be refused."""
-    a = roster.select(F.col("callsign").alias("candidate"), F.col("ordinal").alias("_o")).distinct()
-    pairs = _scored(a.select("candidate"), roster, min_score).join(a, "candidate").where((F.col("_o") < F.col("ordinal")) & (F.col("score") >= min_score))
-    return pairs.select(F.col("candidate").alias("first"), F.col("callsign").alias("second"), "score")
+
+    def told(i: int, left: pa.StructArray, j: int, right: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        firsts, ordinals = left.field("ordinal").to_numpy(), right.field("ordinal").to_numpy()
+        names, found = Names(right.field("callsign").to_pylist(), ordinals), []
+        for n, text in enumerate(left.field("callsign").to_pylist()):
+            at, score = names.above(text, min_score)
+            after = ordinals[at] > firsts[n]
+            found.append((np.full(int(after.sum()), n), at[after], score[after]))
+            if n == len(firsts) - 1 or sum(len(f[0]) for f in found) >= CONFLICT_ROWS:
+                of, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                found = []
+                yield pa.RecordBatch.from_arrays([left.field("callsign").take(pa.array(of)), right.field("callsign").take(pa.array(at)), pa.array(score)], names=["first", "second", "score"])
+
+    entries = roster.select("callsign", "ordinal").where("callsign is not null").distinct()
+    return met(packed(entries, CANDIDATE_BLOCK), packed(entries, ROSTER_BLOCK), told, "first string, second string, score double")
 
 
 def cross_check(suspect: DataFrame, others: DataFrame, threshold: float = 78) -> DataFrame:
