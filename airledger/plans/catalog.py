@@ -876,7 +876,7 @@ def read_sessions(v):
 
 @_query("SELECT type, id, timestamp, raw_text, round(confidence, 6) AS confidence FROM net_records")
 def split_log(v):
-    """The same read in splits of 10,000 bytes, each by a task of its own."""
+    """The same read in splits of 10,000 bytes, dealt to tasks."""
     rows = v("net_records").select("type", "id", "timestamp", "raw_text", "confidence")
     folder = new_folder(rows.sparkSession)
     writers.append_records(rows, folder)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import fnmatch
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,10 +18,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Bytes of a file that one task reads, and of one read.
 SPLIT_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Bytes read on at the end of a split for the rest of its last line, and lines of a batch.
+TAIL_BYTES, BATCH_LINES = 1 << 10, 8192
+#: Tasks that small splits are dealt to, before these get more than SPLIT_BYTES each.
+TASKS = 512
 SHAPE = "file string, offset long, line string"
 
 
-class Split(InputPartition):
+class Split:
     """Bytes [begin, end) of a file. Lines that start in it belong to it; with `whole`, only those that
     end in a line feed count, as a writer may not be done with the last one."""
 
@@ -41,41 +46,78 @@ def _listed(path: str, pattern: str) -> dict[str, int]:
     return {prefix + f.path: f.size for f in sorted(found, key=lambda f: f.base_name) if f.type == fs.FileType.File and (f is info or fnmatch.fnmatch(f.base_name, pattern))}
 
 
-def _rows(split: Split) -> Iterator[pa.RecordBatch]:
-    """Batches of (file, offset, line) of the lines that start in the split, without their ends."""
-    store, place = _open(split.path)
-    name = place.rsplit("/", 1)[-1]
-    with store.open_input_file(place) as file:
-        size = file.size()
-        at = max(0, split.begin - 1)  # a line starts where the byte before is a line feed
-        file.seek(at)
-        held, skip = b"", split.begin > 0
-        offsets: list[int] = []
-        lines: list[str] = []
-        start = at
-        while True:
-            block = file.read(READ_BYTES)
-            held += block
-            ended = held.split(b"\n")
-            held = ended.pop()
-            last = not block
-            if last and held and not split.whole:
-                ended.append(held)
-                held = b""
-            for line in ended:
-                if skip:
-                    skip = False
-                elif start < split.end:
-                    offsets.append(start)
-                    lines.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
-                start += len(line) + 1
-                if start >= split.end:
-                    break
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(offsets, pa.int64()), pa.array(lines)], names=["file", "offset", "line"])
-                offsets, lines = [], []
-            if last or start >= min(split.end, size):
-                return
+class Splits(InputPartition):
+    """Splits that one task reads, one after the other."""
+
+    def __init__(self, parts: list[tuple[str, int, int]], whole: bool = False):
+        self.parts, self.whole = parts, whole
+
+
+def _dealt(parts: list[tuple[str, int, int]], whole: bool = False) -> list[Splits]:
+    """A task for each split, or for several splits in a row if there were more than TASKS, up to SPLIT_BYTES
+    of them: small splits of a large log do not become more tasks than a driver can start."""
+    size = sum(end - begin for _, begin, end in parts)
+    tasks = max(TASKS, -(-size // SPLIT_BYTES))
+    each = max(1, -(-len(parts) // tasks))
+    return [Splits(parts[k : k + each], whole) for k in range(0, len(parts), each)]
+
+
+def _rows(splits: Splits) -> Iterator[pa.RecordBatch]:
+    """Batches of (file, offset, line) of the lines that start in the splits, without their ends."""
+    names: list[str] = []
+    offsets: list[int] = []
+    lines: list[str] = []
+    for path, parts in groupby(splits.parts, lambda part: part[0]):
+        store, place = _open(path)
+        name = place.rsplit("/", 1)[-1]
+        with store.open_input_file(place) as file:
+            size = file.size()
+            for _, begin, end in parts:
+                for offset, line in _lines_of(file, size, Split(path, begin, end, splits.whole)):
+                    names.append(name)
+                    offsets.append(offset)
+                    lines.append(line)
+                    if len(lines) == BATCH_LINES:
+                        yield _batch(names, offsets, lines)
+                        names, offsets, lines = [], [], []
+    if lines:
+        yield _batch(names, offsets, lines)
+
+
+def _batch(names: list[str], offsets: list[int], lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(offsets, pa.int64()), pa.array(lines)], names=["file", "offset", "line"])
+
+
+def _lines_of(file: pa.NativeFile, size: int, split: Split) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines that start in a split. No more is read than the split and what is
+    missing of its last line."""
+    start = max(0, split.begin - 1)  # a line starts where the byte before is a line feed
+    file.seek(start)
+    held, skip, at, ahead = [], split.begin > 0, start, TAIL_BYTES
+    while True:
+        block = file.read(min(READ_BYTES, max(split.end - at, ahead)))
+        ahead = ahead * 2 if at >= split.end else ahead
+        at += len(block)
+        held.append(block)
+        last = not block
+        if not last and b"\n" not in block:
+            if skip and at >= split.end:
+                return  # the line of an earlier split goes on beyond this one
+            continue
+        ended = b"".join(held).split(b"\n")
+        held = [ended.pop()]
+        if last and held[0] and not split.whole:
+            ended.append(held[0])
+        for line in ended:
+            if skip:
+                skip = False
+            elif start < split.end:
+                yield start, line.removesuffix(b"\r").decode("utf-8", "replace")
+            start += len(line) + 1
+            if start >= split.end:
+                break
+        if last or start >= min(split.end, size):
+            return
 
 
 class LogReader(DataSourceReader):
@@ -84,9 +126,9 @@ class LogReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         files = _listed(self.path, self.pattern)
-        return [Split(f, i, min(i + self.split, size)) for f, size in files.items() for i in range(0, size, self.split)]
+        return _dealt([(f, i, min(i + self.split, size)) for f, size in files.items() for i in range(0, size, self.split)])
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
         yield from _rows(partition)
 
 
@@ -119,9 +161,9 @@ class LogStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
         had, have = json.loads(start["files"]), json.loads(end["files"])
-        return [Split(f, i, min(i + self.split, size), True) for f, size in have.items() for i in range(had.get(f, 0), size, self.split)]
+        return _dealt([(f, i, min(i + self.split, size)) for f, size in have.items() for i in range(had.get(f, 0), size, self.split)], True)
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
         yield from _rows(partition)
 
     def commit(self, end: dict) -> None:
