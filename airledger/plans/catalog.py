@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -488,10 +487,7 @@ def split_transmissions(v):
 
 
 def _scores(v):
-    cuts = None
-    for setting in (300, 500, 1500):
-        part = split.split_transmissions(_clips(v), v("net_words"), _stations(v), min_gap_ms=setting).withColumn("setting", F.lit(setting))
-        cuts = part if cuts is None else cuts.union(part)
+    cuts = split.split_settings(_clips(v), v("net_words"), _stations(v), [300, 500, 1500])
     found = cuts.select("setting", "clip", "seg_no", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2}[0-9][A-Z]{3})"), F.lit(1))).alias("callsign"))
     return calibrate.score_settings(cuts, found)
 
@@ -524,18 +520,18 @@ def _cut_sql(gap: int) -> str:
  SELECT * FROM pcs WHERE clip NOT IN (SELECT clip FROM bad) UNION ALL SELECT clip, 1, said, 0, dur FROM clips WHERE clip NOT IN (SELECT clip FROM pcs) OR clip IN (SELECT clip FROM bad))"""
 
 
-def _cut(talk: DataFrame, gap: int) -> DataFrame:
+def _cuts(talk: DataFrame, gaps: tuple[int, ...]) -> DataFrame:
     clips = talk.groupBy("clip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x.text), " ").alias("text"), (F.max("end_ms") + 500).alias("duration_ms")).withColumn("suspect", F.col("clip") % 13 == 0)
     words = talk.where("clip % 11 <> 0").select("clip", "word_no", "text", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("place").alias("offset"))
     named = talk.where("w = 0").select("clip", F.col("text").alias("callsign"), F.col("place").alias("start"), (F.col("place") + F.length("text")).alias("end"))
-    return split.split_transmissions(clips, words, named, min_gap_ms=gap)
+    return split.split_settings(clips, words, named, list(gaps))
 
 
 @_query(f"SELECT clip, cast(seg_no AS int) AS seg_no, text, cast(start_offset_ms AS bigint) AS start_offset_ms, cast(duration_ms AS bigint) AS duration_ms FROM {_cut_sql(500)}")
 def split_talk(v):
     """Clips of one to three stations: pauses that are too short or lie nowhere between, slivers, clips
     without timings and echoes."""
-    return _cut(v("net_talk"), 500)
+    return _cuts(v("net_talk"), (500,)).drop("setting")
 
 
 SETTINGS = (150, 500, 1500)
@@ -547,8 +543,7 @@ TALK_SCORES = f"""segs AS ({" UNION ALL ".join(f"SELECT {g} AS setting, * FROM {
 
 
 def _talk_scores(v) -> DataFrame:
-    talk = written(v("net_talk"))
-    cuts = written(reduce(DataFrame.union, [_cut(talk, g).withColumn("setting", F.lit(g)) for g in SETTINGS]))
+    cuts = written(_cuts(written(v("net_talk")), SETTINGS))
     found = cuts.select("setting", "clip", "seg_no", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2}[0-9][A-Z]{3})"), F.lit(1))).alias("callsign"))
     return calibrate.score_settings(cuts, found)
 
