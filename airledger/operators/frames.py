@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .windows import in_ranges
+
 #: Frames of one source that one window partition of the noise gate holds, those before it aside.
 CHUNK_FRAMES = 4096
 #: Rows of snapshots that a chunk of time has on average when a fleet's state is folded.
 FLEET_ROWS = 1 << 16
+#: Signals of all sources that a range of time has on average when snapshots are made.
+SIGNAL_ROWS = 1 << 16
+#: Intervals of a heartbeat that one window holds at most.
+BEATS = 4096
 #: Seconds after which an alarm that is due has rung.
 RING_S = 0.001
 
@@ -208,25 +214,47 @@ def snapshots(signals: DataFrame, stall_s: float = 5, silence_s: float = 300, si
     clock in order of seq, if there is one. A start begins a new time of grace. What is missing has no
     row of its own: where a source sends nothing until an alarm is due, a row of that instant stands
     between its signals. no tells rows of one source and clock in their order.
+
+    Time is cut into ranges of SIGNAL_ROWS signals on average (part, which rises with a source's rows).
+    Each range sums up what its signals say, and its rows go on from the sums of those before it, so
+    that a long source is no single task's work.
     """
-    w = Window.partitionBy("source").orderBy(*[c for c in ("clock", "seq") if c in signals.columns])
-    kind, began, sofar = F.col("kind"), F.col("kind") == "started", w.rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(sofar)
-    rows = signals.select(
+    order = [c for c in ("clock", "seq") if c in signals.columns]
+    kind, began = F.col("kind"), F.col("kind") == "started"
+    last = {
+        "capturing": F.when(kind.isin("started", "stopped", "failed", "finished"), began),
+        "finished": F.when(kind.isin("started", "finished"), kind == "finished"),
+        "last_frame": F.when(kind.isin("started", "frame"), F.col("clock")),
+        "last_loud": F.when(began | ((kind == "frame") & (F.col("value") >= silence_rms)), F.col("clock")),
+        **{name: F.when(kind == k, F.col("value")) for name, k in LAST.items()},
+    }
+    rows, highest = in_ranges(signals.select("source", *order, "kind", "value"), "clock", SIGNAL_ROWS, "part")
+    rows = rows.select("*", *[F.when(kind.isin(*k), 1).otherwise(0).cast("long").alias(name) for name, k in COUNTED.items()], F.lit(1).cast("long").alias("no"))
+    at, counts = F.struct(*order), [*COUNTED, "no"]
+    sums = rows.repartition(highest + 1, "source", "part").groupBy("source", "part").agg(
+        *[F.max_by(x, F.when(x.isNotNull(), at)).alias(name) for name, x in last.items()], *[F.sum(name).alias(name) for name in counts], F.min("clock").alias("first")
+    )
+    parts = Window.partitionBy("source").orderBy("part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.struct(*[F.last(name, ignorenulls=True).over(earlier).alias(name) for name in last], F.lead("first").over(parts).alias("after"))
+    begin = sums.select("source", "part", begin.alias("begin"), *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in counts])
+    rows = rows.unionByName(begin, allowMissingColumns=True).repartition(highest + 1, "source", "part")
+    # A range's first row tells what was before it.
+    w = Window.partitionBy("source", "part").orderBy(F.col("begin").isNull(), *order)
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    missing = {"capturing": F.lit(False), "finished": F.lit(False), "last_frame": F.lit(None), "last_loud": F.lit(None)}
+    rows = rows.select(
         "source",
         "clock",
-        F.row_number().over(w).cast("long").alias("no"),
-        F.coalesce(last(kind.isin("started", "stopped", "failed", "finished"), began), F.lit(False)).alias("capturing"),
-        F.coalesce(last(kind.isin("started", "finished"), kind == "finished"), F.lit(False)).alias("finished"),
-        last(kind.isin("started", "frame"), F.col("clock")).alias("last_frame"),
-        last(began | ((kind == "frame") & (F.col("value") >= silence_rms)), F.col("clock")).alias("last_loud"),
-        *[F.coalesce(last(kind == k, F.col("value")), F.lit(0.0)).alias(name) for name, k in LAST.items()],
-        *[F.count_if(kind.isin(*k)).over(sofar).alias(name) for name, k in COUNTED.items()],
-        F.lead("clock").over(w).alias("_next"),
-    )
+        *[F.coalesce(F.last(F.coalesce(x, F.col("begin")[name]), ignorenulls=True).over(sofar), missing.get(name, F.lit(0.0))).alias(name) for name, x in last.items()],
+        *[F.sum(name).over(sofar).alias(name) for name in counts],
+        F.coalesce(F.lead("clock").over(w), F.first("begin.after").over(sofar)).alias("_next"),
+        "part",
+        F.col("begin").isNull().alias("_signal"),
+    ).where("_signal")
     due = F.array_distinct(F.array(F.col("last_frame") + stall_s + RING_S, F.col("last_loud") + silence_s + RING_S))
     rings = F.filter(due, lambda t: F.coalesce(F.col("capturing") & (t > F.col("clock")) & (t < F.col("_next")), F.lit(False)))
-    return rows.withColumn("clock", F.explode(F.concat(F.array("clock"), rings))).drop("_next")
+    return rows.withColumn("clock", F.explode(F.concat(F.array("clock"), rings))).drop("_next", "_signal")
 
 
 def health(snapshots: DataFrame, stall_s: float = 5, silence_s: float = 300, silence_rms: float = 15) -> DataFrame:
@@ -286,9 +314,12 @@ class Fleet:
             else:
                 self.totals[k] -= x
 
+    def severity(self) -> int:
+        return max((k for k, n in enumerate(self.severities) if n), default=0)
+
     def row(self) -> tuple:
         """(severity, state, capturing, sources, issues, counters...)"""
-        severity = max((k for k, n in enumerate(self.severities) if n), default=0)
+        severity = self.severity()
         several = len(self.last) > 1
         issues = [f"{s}: {x}" if several else x for s in sorted(self.loud) for x in self.last[s][2]]
         return severity, STATES[severity], self.capturing > 0, len(self.last), issues, *[x[-1] if isinstance(x, list) and x else x or 0.0 for x in self.totals]
@@ -300,7 +331,7 @@ def fleet_fields(counters: list[str]) -> list[T.StructField]:
     return [T.StructField(name, kind) for name, kind in (kinds | {c: T.DoubleType() for c in counters}).items()]
 
 
-def fleet(rows: DataFrame, by: str = "clock") -> DataFrame:
+def fleet(rows: DataFrame, by: str = "clock", previous: bool = False) -> DataFrame:
     """One row per instant at which a source reports, over all sources: each counts with its last
     snapshot until its next. Worst state, issues named by source once there are several, sums of frames,
     clips, transcriptions, errors and overflows, the largest of spill, level, factor, fill and backlog
@@ -309,27 +340,27 @@ def fleet(rows: DataFrame, by: str = "clock") -> DataFrame:
     rows: of `health`; those of one source and instant in order of no, if there is one, else the worst
     last. Time is cut into chunks of FLEET_ROWS rows on average. A chunk starts with the last snapshot
     that each source has before it, so chunks are folded apart, each as a stream of sorted rows.
+
+    previous: with the state before each instant (ok at first), in the column previous.
     """
     counters = [c for c in (*SUMS, *LARGEST) if c in rows.columns]
     told = ["severity", "capturing", "issues", *counters]
     slim = rows.select(F.col("source").cast("string").alias("source"), F.col(by).cast("double").alias("clock"), F.col("no") if "no" in rows.columns else F.lit(0).cast("long").alias("no"), "severity", "capturing", "issues", *[F.col(c).cast("double").alias(c) for c in counters])
-    slim = slim.where("clock is not null")
-    size = slim.agg(F.min("clock").alias("low"), F.max("clock").alias("high"), F.count("*").alias("n")).first()
-    chunks = max(1, size.n // FLEET_ROWS) if size.n and size.high > size.low else 1
-    span = (size.high - size.low) / chunks if chunks > 1 else 1.0
-    at = F.least(F.floor((F.col("clock") - F.lit(size.low or 0.0)) / F.lit(span)), F.lit(chunks - 1)) if chunks > 1 else F.lit(0).cast("long")
-    slim = slim.withColumn("chunk", at)
+    slim, highest = in_ranges(slim.where("clock is not null"), "clock", FLEET_ROWS, "chunk")
     last = slim.groupBy("source", "chunk").agg(F.max_by(F.struct(*told), F.struct("clock", "no", "severity")).alias("row"))
-    until = F.coalesce(F.lead("chunk").over(Window.partitionBy("source").orderBy("chunk")), F.lit(chunks - 1).cast("long"))
+    until = F.coalesce(F.lead("chunk").over(Window.partitionBy("source").orderBy("chunk")), F.lit(highest).cast("long"))
     held = last.withColumn("until", until).where("until > chunk").select("source", F.explode(F.sequence(F.col("chunk") + 1, "until")).alias("chunk"), *[F.col("row")[c].alias(c) for c in told])
     both = slim.withColumn("kind", F.lit(1)).unionByName(held.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "clock", "no", "severity")
-    fields = [T.StructField(by, T.DoubleType()), *fleet_fields(counters)]
+    ordered = both.repartition(highest + 1, "chunk").sortWithinPartitions("chunk", "kind", "clock", "no", "severity")
+    fields = [T.StructField(by, T.DoubleType()), *fleet_fields(counters), *([T.StructField("previous", T.StringType())] if previous else [])]
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        chunk, state, clock, out = None, Fleet(counters), None, []
+        chunk, state, clock, before, out = None, Fleet(counters), None, "ok", []
+
+        def told_at(clock: float) -> tuple:
+            return clock, *state.row(), *([before] if previous else [])
 
         def made() -> pa.RecordBatch:
             columns = zip(*out, strict=True) if out else [[] for _ in fields]
@@ -338,16 +369,18 @@ def fleet(rows: DataFrame, by: str = "clock") -> DataFrame:
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in ("source", "clock", "chunk", *told)}
             for k in range(batch.num_rows):
-                if clock is not None and (columns["clock"][k] != clock or columns["chunk"][k] != chunk):
-                    out.append((clock, *state.row()))
+                now = columns["clock"][k]
+                if clock is not None and (now != clock or columns["chunk"][k] != chunk):
+                    out.append(told_at(clock))
                 if columns["chunk"][k] != chunk:
-                    chunk, state = columns["chunk"][k], Fleet(counters)
-                clock = columns["clock"][k]
+                    chunk, state, clock = columns["chunk"][k], Fleet(counters), None
+                if now != clock:
+                    clock, before = now, STATES[state.severity()]
                 state.put(columns["source"][k] or "", columns["severity"][k], columns["capturing"][k], columns["issues"][k] or [], [columns[c][k] for c in counters])
             yield made()
             out.clear()
         if clock is not None:
-            out.append((clock, *state.row()))
+            out.append(told_at(clock))
             yield made()
 
     found = ordered.mapInArrow(run, schema)
@@ -359,7 +392,10 @@ def heartbeat(fleet_rows: DataFrame, every_s: float, by: str = "clock") -> DataF
     first interval that ends after a row to the last. Intervals in which nothing reports repeat."""
     rest = [c for c in fleet_rows.columns if c != by]
     beat = F.ceil(F.col(by) / every_s)
-    ends = fleet_rows.withColumn("beat", beat).groupBy("beat").agg(F.max_by(F.struct(*rest), by).alias("row"))
-    # One row per interval is left, a small table in order of time.
-    until = F.coalesce(F.lead("beat").over(Window.orderBy("beat")) - 1, F.col("beat"))
-    return ends.withColumn("until", until).select(F.explode(F.sequence("beat", "until")).alias("beat"), "row.*").withColumn("beat", F.col("beat") * F.lit(float(every_s)))
+    ends = fleet_rows.withColumn("beat", beat).groupBy("beat").agg(F.max_by(F.struct(*rest), by).alias("row")).withColumn("range", F.floor(F.col("beat") / BEATS))
+    # Within a range a row counts until the next one, and the range's last row until the next range's first.
+    inner = ends.withColumn("until", F.coalesce(F.lead("beat").over(Window.partitionBy("range").orderBy("beat")) - 1, F.col("beat")))
+    last = ends.groupBy("range").agg(F.max_by("row", "beat").alias("row"), (F.max("beat") + 1).alias("beat"), F.min("beat").alias("first"))
+    outer = last.withColumn("until", F.lead("first").over(Window.orderBy("range")) - 1).where("until >= beat")
+    rows = inner.select("beat", "until", "row").unionByName(outer.select("beat", "until", "row"))
+    return rows.select(F.explode(F.sequence("beat", "until")).alias("beat"), "row.*").withColumn("beat", F.col("beat") * F.lit(float(every_s)))

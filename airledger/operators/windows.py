@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a table is cut into at most.
+MOST_RANGES = 4096
+
+
+def in_ranges(df: DataFrame, by: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """df with the number of the range of a number that each row falls into, and the highest number.
+    Ranges hold about so many rows, however the values lie, and rise with them; equal values share one.
+    A null is in range -1. Only the bounds, at most MOST_RANGES, reach the driver."""
+    shares = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    found = df.agg(F.count(by).alias("n"), F.percentile_approx(F.col(by).cast("double"), shares, 8 * MOST_RANGES).alias("at")).first()
+    n = max(1, min(found.n // rows, MOST_RANGES))
+    bounds = sorted({x for x in (found.at[k * MOST_RANGES // n - 1] for k in range(1, n)) if math.isfinite(x)})
+    if not bounds:
+        return df.withColumn(name, F.when(F.col(by).isNull(), -1).otherwise(0).cast("long")), 0
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=by, outputCol=name, handleInvalid="keep").transform(df)
+    return cut.withColumn(name, F.when(F.col(by).isNull(), -1).otherwise(F.col(name)).cast("long")), len(bounds) + 1
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
     """The last row in order of each key, whole. A maximum of structs, so it combines map-side."""
@@ -42,10 +63,21 @@ def budget_prefix(df: DataFrame, order: str, cost: str, budget: float, keys: lis
     return df.withColumn("running_cost", F.sum(cost).over(w)).where(F.col("running_cost") <= budget)
 
 
-def state_changes(df: DataFrame, keys: list[str], order: str, state: str = "state", initial: str = "ok") -> DataFrame:
-    """Rows whose state differs from the one before, which is `initial` at first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("previous", F.lag(state, 1, initial).over(w)).where(F.col(state) != F.col("previous"))
+def state_changes(df: DataFrame, keys: list[str], order: str, state: str = "state", initial: str = "ok", part: str | None = None) -> DataFrame:
+    """Rows whose state differs from the one before, which is `initial` at first.
+
+    part: a column that rises with the order, by which a key's rows are cut into windows of their own.
+    """
+    if part is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumn("previous", F.lag(state, 1, initial).over(w)).where(F.col(state) != F.col("previous"))
+    ends = df.groupBy(*keys, part).agg(F.max_by(F.struct(F.col(state).alias("state")), F.struct(order)).alias("_end"))
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in (*keys, part)], F.lag("_end").over(Window.partitionBy(*keys).orderBy(part)).alias("_end"))
+    met = df.join(ends, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, part)]))
+    w = Window.partitionBy(*keys, part).orderBy(order)
+    before = F.when(F.col("_end").isNull(), F.lit(initial)).otherwise(F.col("_end.state"))
+    previous = F.when(F.row_number().over(w) == 1, before).otherwise(F.lag(state).over(w))
+    return met.withColumn("previous", previous).where(F.col(state) != F.col("previous")).select(*df.columns, "previous")
 
 
 def session_age(sessions: DataFrame) -> DataFrame:

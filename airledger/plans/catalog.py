@@ -768,18 +768,18 @@ SIGNALS = """w AS (SELECT *, CASE WHEN kind IN ('started', 'frame') THEN clock E
 
 
 def _signals(v):
-    return frames.health(frames.snapshots(v("net_signals"), silence_s=10, silence_rms=60), silence_s=10).select("source", "clock", "state")
+    return frames.health(frames.snapshots(v("net_signals"), silence_s=10, silence_rms=60), silence_s=10).select("source", "clock", "state", "part")
 
 
 @_query(f"WITH {SIGNALS} SELECT source, round(clock, 3) AS clock, state FROM verdicts")
 def health_signals(v):
     """Health after every signal, and where a source's silence sets off an alarm."""
-    return _signals(v).withColumn("clock", F.round("clock", 3))
+    return _signals(v).select("source", F.round("clock", 3).alias("clock"), "state")
 
 
 @_query(f"""WITH {SIGNALS} SELECT source, round(clock, 3) AS clock, state, previous FROM (SELECT *, lag(state, 1, 'ok') OVER (PARTITION BY source ORDER BY clock) AS previous FROM verdicts) WHERE state <> previous""")
 def signal_changes(v):
-    return windows.state_changes(_signals(v), ["source"], "clock").withColumn("clock", F.round("clock", 3))
+    return windows.state_changes(_signals(v), ["source"], "clock", part="part").select("source", F.round("clock", 3).alias("clock"), "state", "previous")
 
 
 # The fleet at an instant: the last verdict of each source up to it, by an as-of join.
@@ -798,8 +798,8 @@ FLEET = """up AS (SELECT *, sum(CASE WHEN kind = 'frame' THEN 1 ELSE 0 END) OVER
 STATE = "CASE severity WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ok' END AS state"
 
 
-def _fleet(v):
-    return frames.fleet(frames.health(frames.snapshots(v("net_signals"), silence_s=10, silence_rms=60), silence_s=10))
+def _fleet(v, **told):
+    return frames.fleet(frames.health(frames.snapshots(v("net_signals"), silence_s=10, silence_rms=60), silence_s=10), **told)
 
 
 @_query(f"WITH {FLEET} SELECT round(instant, 3) AS clock, {STATE}, capturing, spill, cast(frames AS bigint) AS frames, cast(errors AS bigint) AS errors, round(level, 6) AS level, cast(sources AS int) AS sources, issues FROM fleet")
@@ -810,7 +810,7 @@ def fleet(v):
 
 @_query(f"WITH {FLEET}, s AS (SELECT instant, {STATE} FROM fleet) SELECT round(instant, 3) AS clock, state, previous FROM (SELECT *, lag(state, 1, 'ok') OVER (ORDER BY instant) AS previous FROM s) WHERE state <> previous")
 def fleet_changes(v):
-    rows = windows.state_changes(_fleet(v).withColumn("fleet", F.lit("all")), ["fleet"], "clock")
+    rows = _fleet(v, previous=True).where("state <> previous")
     return rows.select(F.round("clock", 3).alias("clock"), "state", "previous")
 
 
