@@ -88,20 +88,20 @@ class Aligner:
         #: Each id of A and then of B as text, before a comma, a bar and a semicolon.
         self.shown = [f"{i}{end}" for t in (self.bytes_a, self.bytes_b) for i in range(len(t)) for end in ",|;"]
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        out = []
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, none = [], np.zeros(0, dtype=np.int64)
         for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            a = self.a.ids(f" {text}").tolist() if text else []
+            a = self.a.ids(f" {text}") if text else none
             raw = f" {text}".encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((a, b) if same else ([], []))
+            same = text and b"".join(map(self.bytes_b.__getitem__, b)) == raw and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw
+            out.append((a, np.array(b, dtype=np.int64)) if same else (none, none))
         return out
 
     def add(self, block: Block, ids: list, texts: list[str], keep_groups: bool) -> None:
         """Align some documents and put them into the block."""
         found = self.tokens(texts)
         size_a, size_b = (np.array([len(x[k]) for x in found], dtype=np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for x in found for i in x[k]), dtype=np.int64, count=int(s.sum())) for k, s in ((0, size_a), (1, size_b)))
+        a, b = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 1))
         group_a, group_b, first, count = group_labels(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
         of_a, of_b = np.repeat(np.arange(len(ids)), size_a), np.repeat(np.arange(len(ids)), size_b)
         n_links = np.bincount(of_a, weights=count, minlength=len(ids)).astype(np.int64)

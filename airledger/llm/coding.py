@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -43,6 +44,9 @@ class ByteLevelCoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = plain
+        #: Without a normaliser and a template, a pre-token's ids are those that the model alone finds.
+        self.model = self.tokenizer.model if self.tokenizer.normalizer is None and self.tokenizer.post_processor is None else None
+        self.shown = {b: c for c, b in _byte_of().items()}
         self.split, self.split_common = regex.compile(BYTE_LEVEL).findall, re.compile(COMMON).findall
         special = {} if plain else {x.content: np.uint32(i).tobytes() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = special
@@ -51,8 +55,12 @@ class ByteLevelCoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return ids
+        if self.model is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
     def ids(self, text: str) -> np.ndarray:
         used = set(text)
@@ -80,12 +88,17 @@ def byte_level_coder(file: bytes, plain: bool) -> ByteLevelCoder:
     return _coders[key]
 
 
-def byte_level_tokens(tokenizer: Tokenizer) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary. Printable bytes stand for themselves, the others
-    for the characters from U+0100 on, in order."""
+def _byte_of() -> dict[str, int]:
+    """The byte that a character of a byte-level vocabulary stands for: printable bytes stand for themselves,
+    the others for the characters from U+0100 on, in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = sorted(set(range(256)) - set(shown))
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def byte_level_tokens(tokenizer: Tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    byte_of = _byte_of()
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, number in vocabulary.items():

@@ -38,3 +38,25 @@ def test_unlike_texts_of_one_id(spark):
     assert len(got) == len(rows)
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, b), (3, c), (6, "alone")]
+
+
+def test_a_pre_token_is_encoded_by_the_model_alone(monkeypatch):
+    """Ids of op12's first tokenizer come from its model, as the tokenizer has them for any bytes."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from airledger.llm import coding
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as file:
+        coder = coding.ByteLevelCoder(file.read(), plain=True)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rng = random.Random(3)
+    parts = ["the", " The", "'s", "  ", "\n", "\t", "\x00", "\x1c", "é", "中文", "　", "\U0001f600", "<|endoftext|>", "1234", "²", "...", "_", "ﬁ", "é", "​"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        assert coder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert coder.model is not None
