@@ -7,7 +7,7 @@ from math import floor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .voice import pair_moments, ranked_similarity, shares_from, voice_blocks
+from .voice import pair_numbers, rank_and_reach
 
 #: Steps of the confidence grid: 0.2 + i * STEP for i below 70, as a float range makes them.
 FIRST, STEP, POINTS = 0.2, 0.010000000000000009, 70
@@ -45,15 +45,13 @@ def calibrate_voice(samples: DataFrame, target: float = 0.01, fallback: tuple[fl
     All pairs of samples are compared, but none becomes a row: blocks of samples yield counts, moments
     and histograms, of which a few numbers reach the driver.
     """
-    blocks = voice_blocks(samples)
-    found = {r.same: r for r in pair_moments(blocks).collect()}
-    n = {same: found[same].n if same in found else 0 for same in (True, False)}
+    n = pair_numbers(samples)
     shape = "threshold double, margin double, recall double, false_accepts double, same_n long, different_n long, note string"
     if min(n.values()) < 5:
         return samples.sparkSession.createDataFrame([(*fallback, None, None, n[True], n[False], "too few pairs")], shape)
-    raw = ranked_similarity(blocks, min(n[False] - 1, floor(n[False] * target))) + 0.005
-    shares = shares_from(blocks, raw)
-    row = (min(0.98, max(0.5, raw)), max(0.03, found[True].spread), shares[True], shares[False], n[True], n[False], "few same voices reach it" if shares[True] < 0.15 else None)
+    value, reach, moments = rank_and_reach(samples, min(n[False] - 1, floor(n[False] * target)), step=0.005)
+    shares = {same: hit / size for same, (size, hit) in reach.items()}
+    row = (min(0.98, max(0.5, value + 0.005)), max(0.03, moments.first().spread), shares[True], shares[False], n[True], n[False], "few same voices reach it" if shares[True] < 0.15 else None)
     return samples.sparkSession.createDataFrame([row], shape).withColumn("threshold", F.round("threshold", 3)).withColumn("margin", F.round("margin", 3))
 
 
