@@ -219,12 +219,17 @@ def block_pairs(samples: DataFrame, told: Callable[[Sides], Iterator[pa.Table]],
     return met(blocks, blocks, run, schema, once=True)
 
 
-def voice_pairs(samples: DataFrame) -> DataFrame:
+def voice_pairs(samples: DataFrame, digits: int | None = None) -> DataFrame:
     """(same, similarity) of each unordered pair of samples, once. samples: callsign, ordinal, vector.
+    With `digits` (6 at most) similarities are rounded, and a task counts its pairs by similarity and
+    returns them in that order: what is written of them is short where similarities repeat.
 
     This is quadratic in the samples by its meaning; calibration and separation read the pairs where
     they are made and write none.
     """
+    if digits is not None and not 0 <= digits <= 6:
+        raise ValueError("digits must be from 0 to 6")
+    most = ROWS
 
     def each(sides: Sides) -> Iterator[pa.Table]:
         for s in sides.same():
@@ -233,7 +238,25 @@ def voice_pairs(samples: DataFrame) -> DataFrame:
             s = _clipped(s[s > -np.inf])
             yield pa.table({"same": np.full(len(s), False), "similarity": s})
 
-    return block_pairs(samples, each, "same boolean, similarity double")
+    def counted(sides: Sides) -> Iterator[pa.Table]:
+        for same in (False, True):
+            n, taken = np.zeros(10**digits + 1, np.int64), 0
+            for s in sides.same() if same else (_clipped(s).ravel() for _, _, s in sides.different(tile=len(sides.y))):
+                s *= 10.0**digits
+                whole = s.astype(np.int32)
+                whole += s - whole >= 0.5
+                n += np.bincount(whole, minlength=len(n))
+                taken += len(s)
+            n[0] -= taken - sides.n[same]  # places of tiles that are no pairs were taken as 0
+            values = np.flatnonzero(n)
+            ends = np.cumsum(n[values])
+            for start in range(0, sides.n[same], most):
+                end = min(start + most, sides.n[same])
+                part = slice(np.searchsorted(ends, start, "right"), np.searchsorted(ends, end) + 1)
+                times = np.minimum(ends[part], end) - np.maximum(ends[part] - n[values[part]], start)
+                yield pa.table({"same": np.full(end - start, same), "similarity": np.repeat(values[part] / 10.0**digits, times)})
+
+    return block_pairs(samples, each if digits is None else counted, "same boolean, similarity double")
 
 
 def _sums(pieces: Iterator[np.ndarray], n: int) -> tuple[int, float, float]:

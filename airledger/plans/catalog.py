@@ -576,7 +576,7 @@ PAIRS = "pairs AS (SELECT a.callsign = b.callsign AS same, greatest(0.0, least(1
 
 @_query(f"WITH {PAIRS} SELECT same, round(similarity, 6) AS similarity FROM pairs")
 def voice_pairs(v):
-    return voice.voice_pairs(v("net_voice")).withColumn("similarity", F.round("similarity", 6))
+    return voice.voice_pairs(v("net_voice"), digits=6)
 
 
 @_query(f"WITH {PAIRS} SELECT same, count(*) AS n, round(avg(similarity), 6) AS mean_similarity FROM pairs GROUP BY same")
